@@ -49,21 +49,13 @@ def identity_loss(scores: DataFrame) -> DataFrame:
 def fit_temperature(scores: DataFrame) -> DataFrame:
     """Grid temperature with the lowest log-loss, the smaller one on a tie.
 
-    The grid is a fixed list, so each temperature is one sum of a single aggregate.
+    Each distinct score meets the fixed grid; partial sums leave one row per temperature and task.
     """
-    z = logit(F.col("p"))
-    total = F.sum(F.col("pos") + F.col("neg"))
-    scaled = scores.withColumn("__z", z)
-    losses = scaled.agg(
-        total.alias("__n"), *[F.sum(_loss(1.0 / (1.0 + F.exp(-F.col("__z") / t)))).alias(f"__{i}") for i, t in enumerate(TEMPERATURES)]
-    )
-    entries = F.array(
-        *[
-            F.struct((F.col(f"__{i}") / F.col("__n")).alias("log_loss"), F.lit(t).alias("temperature"))
-            for i, t in enumerate(TEMPERATURES)
-        ]
-    )
-    return losses.select(F.array_min(entries).alias("best")).select("best.temperature", "best.log_loss")
+    grid = F.explode(F.array(*[F.lit(t) for t in TEMPERATURES])).alias("temperature")
+    tried = scores.select("pos", "neg", logit(F.col("p")).alias("z"), grid)
+    loss = _loss(1.0 / (1.0 + F.exp(-F.col("z") / F.col("temperature"))))
+    losses = tried.groupBy("temperature").agg((F.sum(loss) / F.sum(F.col("pos") + F.col("neg"))).alias("log_loss"))
+    return losses.agg(F.min(F.struct("log_loss", "temperature")).alias("best")).select("best.temperature", "best.log_loss")
 
 
 def fit_sigmoid(scores: DataFrame, steps: int = FIT_STEPS, rate: float = FIT_RATE) -> tuple[float, float]:
