@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +63,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="pulsefleet-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for written intermediate tables: a new one below the checkpoint folder."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        checkpointed(spark.range(1))
+    return f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
