@@ -1,6 +1,6 @@
 """Driver queries over the test tables, grouped by topic."""
 
-from pulsefleet.plans import history, quality, sequential, statistics  # noqa: F401
+from pulsefleet.plans import history, operations, quality, sequential, statistics  # noqa: F401
 from pulsefleet.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

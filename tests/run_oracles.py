@@ -1,5 +1,6 @@
 """Command line: python tests/run_oracles.py [folder] [name ...] compares queries with their SQL."""
 
+import os
 import sys
 import time
 from pathlib import Path
@@ -14,6 +15,8 @@ from tests import compare  # noqa: E402
 def main():
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     spark = local_session()
+    if os.environ.get("SEGMENT_ROWS"):  # force the segmented plans on small data
+        spark.conf.set("spark.pulsefleet.segmentRows", os.environ["SEGMENT_ROWS"])
     connection = compare.connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     wanted = sys.argv[2:]
