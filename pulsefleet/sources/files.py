@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsefleet.operators.quality import benchmark_rules, duplicate_ids, with_errors
 from pulsefleet.operators.windows import SERIES, WINDOW
@@ -42,7 +41,8 @@ def metrics_view(stored: DataFrame) -> DataFrame:
 
 # -- benchmark runs -------------------------------------------------------------------------
 
-BENCHMARK_RUN = T.StructType.fromDDL(
+# Schemas are DDL text, so that importing this module needs no session.
+BENCHMARK_RUN = (
     """schema_version int, run_id string, device_id string, scenario string, variant string, run_type string,
     iteration int, order_index int,
     metrics map<string, struct<unit: string, direction: string, samples: array<double>>>,
@@ -62,16 +62,20 @@ def read_benchmark_runs(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     lines = spark.read.text(path).where(F.trim("value") != "")
     parsed = lines.select(
         "value",
-        F.from_json("value", T.StructType([*BENCHMARK_RUN.fields, T.StructField("_corrupt", T.StringType())]),
-                    {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r"),
-    )
+        F.from_json(
+            "value",
+            BENCHMARK_RUN + ", _corrupt string",
+            {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
+        ).alias("r"),
+    )
     rows = parsed.select("value", "r.*")
+    fields = [c for c in rows.columns if c not in ("value", "_corrupt")]
     checked = with_errors(rows, [("malformed", F.col("_corrupt").isNotNull()), *benchmark_rules()])
     repeated = duplicate_ids(rows.where(F.col("run_id").isNotNull()), "run_id").select("run_id", F.lit(True).alias("__dup"))
     checked = checked.join(repeated, "run_id", "left").withColumn(
         "errors", F.when(F.col("__dup"), F.array_append("errors", F.lit("duplicate_run_id"))).otherwise(F.col("errors"))
     )
-    good = checked.where(F.size("errors") == 0).select(*[f.name for f in BENCHMARK_RUN.fields])
+    good = checked.where(F.size("errors") == 0).select(*fields)
     return good, checked.where(F.size("errors") > 0).select(F.col("value").alias("line"), "errors")
 
 
@@ -94,7 +98,7 @@ def overhead_sums(runs: DataFrame) -> DataFrame:
 
 # -- certification episodes -----------------------------------------------------------------
 
-CERTIFICATION_EPISODE = T.StructType.fromDDL(
+CERTIFICATION_EPISODE = (
     """episode_id string, label_provenance string, support_slice string, eligible boolean, accepted boolean,
     correct boolean, critical_event boolean, critical_detected boolean, committed_action boolean,
     severe_harm boolean, rollback_attempted boolean, rollback_succeeded boolean, protected_policy_violation boolean"""
