@@ -1,18 +1,18 @@
 """Operators whose state depends on their own earlier decisions, folded over each key in order.
 
 These recurrences cannot be written as frames or running aggregates: a cooldown depends on what was
-accepted, and a baseline's learning rate on the deviation it just computed. ``fold`` runs one small
-kernel per key. A key above the row budget is cut in consecutive segments that are folded one after
-the other with the state carried between them, so no task ever holds more than a segment; the
-segments of all heavy keys advance together, and ordinary keys are folded in one pass.
+accepted, and a baseline's learning rate on the deviation it just computed. ``fold`` hashes rows by
+key, sorts inside the partitions, and streams each partition through one small kernel, so memory is
+an Arrow batch and a state, never a group. A key above the row budget would still be one long task;
+it is cut in consecutive segments that are folded one after the other with the state carried
+between them, and the segments of all heavy keys advance together.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from pulsefleet.operators.ordered import HEAVY, HOUR_US, SEG, Ordered
 from pulsefleet.session import shared_folder
 
-# (rows in order, state or None) -> (output columns, new state); a state is JSON-compatible.
-Kernel = Callable[[pd.DataFrame, object], tuple[dict[str, list], object]]
+# (column -> values of consecutive rows of one key, state or None) -> (output columns, new state).
+# A state is JSON-compatible.
+Rows = dict[str, list]
+Kernel = Callable[[Rows, object], tuple[Rows, object]]
 
 
 def fold(
@@ -37,24 +39,43 @@ def fold(
     keys, order = list(keys), list(order)
     kept = keys + order + [c for c in keep if c not in keys + order]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + outputs
+    names = output_names(outputs)
     seq = Ordered(df, keys, order, slot=slot)
 
-    def run(pdf: pd.DataFrame, state: object) -> tuple[pd.DataFrame, object]:
-        pdf = pdf.sort_values(order, kind="stable", ignore_index=True)
-        columns, state = kernel(pdf, state)
-        return pdf[kept].assign(**columns), state
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf, None)[0]
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for pdf in batches:
+            rows = {c: pdf[c].tolist() for c in pdf.columns}
+            marks = list(zip(*(rows[k] for k in keys)))
+            made: Rows = {n: [] for n in names}
+            start = 0
+            while start < len(marks):
+                if marks[start] != current:
+                    current, state = marks[start], None
+                end = start + 1
+                while end < len(marks) and marks[end] == current:
+                    end += 1
+                out, state = kernel({c: v[start:end] for c, v in rows.items()}, state)
+                for n in names:
+                    made[n].extend(out[n])
+                start = end
+            yield pdf[kept].assign(**made)
+
+    def streamed(rows: DataFrame) -> DataFrame:
+        placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+        return placed.mapInPandas(scan, schema)
 
     if not seq.split:
-        return df.groupBy(*keys).applyInPandas(whole, schema)
+        return streamed(df)
+    light = streamed(seq.df.where(~F.col(HEAVY)).select(*df.columns))
+    return light.unionByName(_fold_heavy(seq, df, keys, order, kept, kernel, schema))
+
 
-    light = seq.df.where(~F.col(HEAVY)).select(*df.columns).groupBy(*keys).applyInPandas(whole, schema)
-    return light.unionByName(_fold_heavy(seq, df, keys, kept, run, schema))
+def output_names(ddl: str) -> list[str]:
+    return [part.strip().split()[0] for part in ddl.split(", ")]
 
 
-def _fold_heavy(seq: Ordered, df: DataFrame, keys, kept, run, schema: str) -> DataFrame:
+def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel, schema: str) -> DataFrame:
     """Fold the segments of the heavy keys in turn; results and states go to written tables."""
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -63,13 +84,15 @@ def _fold_heavy(seq: Ordered, df: DataFrame, keys, kept, run, schema: str) -> Da
     stored = spark.read.schema(heavy.schema).parquet(f"{folder}/rows")
     last = stored.agg(F.max(SEG)).first()[0]
     with_state = schema + ", __state string"
-    fields = [part.strip().split()[0].strip("`") for part in with_state.split(", ")]
+    fields = output_names(with_state)
 
     def step(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
         if rows.empty:  # the key has ended; its state is not needed any more
             return pd.DataFrame({f: pd.Series(dtype=object) for f in fields})
         state = json.loads(states["__state"].iloc[0]) if len(states) else None
-        out, state = run(rows, state)
+        rows = rows.sort_values(order, kind="stable", ignore_index=True)
+        made, state = kernel({c: rows[c].tolist() for c in rows.columns}, state)
+        out = rows[kept].assign(**made)
         # The state rides on the last row, so rows and state commit together.
         out["__state"] = None
         out.loc[len(out) - 1, "__state"] = json.dumps(state)
@@ -106,31 +129,35 @@ BASELINE_OUTPUTS = (
 
 def baseline_kernel(columns: Sequence[str], min_samples: int = 30, sensitivity: float = 1.6) -> Kernel:
     """Exponential mean and variance of seven metrics; a strong deviation slows the learning down."""
-    weight = np.array([m[1] for m in BASELINE_METRICS])
-    floor = np.array([m[2] for m in BASELINE_METRICS])
-    sign = np.array([-1.0 if m[3] else 1.0 for m in BASELINE_METRICS])
     names = [m[0] for m in BASELINE_METRICS]
+    metrics = [(i, m[1], m[2], m[2] * m[2], -1.0 if m[3] else 1.0) for i, m in enumerate(BASELINE_METRICS)]
     scale = max(0.75, min(3.0, max(0.6, sensitivity)))
-
-    def kernel(pdf: pd.DataFrame, state):
-        values = pdf[list(columns)].to_numpy(float)
-        n, mean, var = (0, None, None) if state is None else (state[0], np.array(state[1]), np.array(state[2]))
-        out = {c: [] for c in ("sample_count", "ready", "confidence", "anomaly_score", "risk_adjustment",
-                               "dominant_metric", "status", "means", "deviations")}
-        for v in values:
-            if n == 0:
-                mean, var, deviation = v.copy(), floor * floor, np.zeros(len(v))
-            else:
-                spread = np.maximum(floor, np.sqrt(np.maximum(0.0, var)))
-                rise = np.maximum(0.0, sign * (v - mean) / np.maximum(1.0, spread))
-                deviation = np.clip(rise / scale * 35.0, 0.0, 100.0)
-                alpha = np.where(deviation >= 70.0, 0.006, np.where(deviation >= 45.0, 0.012, 0.08 if n < 30 else 0.025))
-                gap = v - mean
-                mean = mean + alpha * gap
-                var = np.maximum((1.0 - alpha) * var + alpha * gap * gap, floor * floor)
+    ready_at = max(5, min_samples)
+
+    def kernel(rows: Rows, state):
+        n, mean, var = (0, [0.0] * len(names), [0.0] * len(names)) if state is None else (state[0], list(state[1]), list(state[2]))
+        out: Rows = {c: [] for c in output_names(BASELINE_OUTPUTS)}
+        columns_out = list(out.values())
+        for values in zip(*(rows[c] for c in columns)):
+            slow = 0.08 if n < 30 else 0.025
+            deviations, score = [], 0.0
+            for i, weight, floor, floor2, sign in metrics:
+                v = values[i]
+                if n == 0:
+                    mean[i], var[i] = v, floor2
+                    deviations.append(0.0)
+                    continue
+                gap = v - mean[i]
+                spread = max(1.0, floor, var[i] ** 0.5)
+                deviation = min(100.0, max(0.0, sign * gap / spread / scale * 35.0))
+                alpha = 0.006 if deviation >= 70.0 else 0.012 if deviation >= 45.0 else slow
+                mean[i] += alpha * gap
+                var[i] = max((1.0 - alpha) * var[i] + alpha * gap * gap, floor2)
+                deviations.append(deviation)
+                score += deviation * weight
             n += 1
-            ready = n >= max(5, min_samples)
-            score = float(np.clip((deviation * weight).sum(), 0.0, 100.0))
+            ready = n >= ready_at
+            score = min(100.0, score)
             if ready:
                 confidence = min(100.0, max(45.0, n / max(1, min_samples * 3) * 100.0))
                 adjustment = min(10.0, max(-4.0, (score - 40.0) * 0.18))
@@ -138,10 +165,11 @@ def baseline_kernel(columns: Sequence[str], min_samples: int = 30, sensitivity:
             else:
                 score = min(35.0, score * 0.35)
                 confidence, adjustment, status = min(45.0, n / max(1, min_samples) * 45.0), 0.0, "WARMING_UP"
-            row = (n, ready, confidence, score, adjustment, names[int(deviation.argmax())], status, mean, deviation)
-            for column, value in zip(out.values(), row):
+            top = names[deviations.index(max(deviations))]
+            row = (n, ready, confidence, score, adjustment, top, status, list(mean), deviations)
+            for column, value in zip(columns_out, row):
                 column.append(value)
-        return out, None if n == 0 else [n, mean.tolist(), var.tolist()]
+        return out, [n, mean, var]
 
     return kernel
 
@@ -157,9 +185,9 @@ def adaptive_baseline(df: DataFrame, keys, order, columns: Sequence[str], min_sa
 def cooldown_kernel(clock: str, seconds: float, units: float) -> Kernel:
     """A row is accepted when the last accepted one is at least the cooldown ago."""
 
-    def kernel(pdf: pd.DataFrame, last):
+    def kernel(rows: Rows, last):
         accepted, remaining = [], []
-        for now in pdf[clock].tolist():
+        for now in rows[clock]:
             elapsed = None if last is None else max(0.0, (now - last) / units)
             wait = 0.0 if elapsed is None or elapsed >= seconds else seconds - elapsed
             accepted.append(wait == 0.0)
@@ -183,10 +211,10 @@ def budget_kernel(clock: str, target: Sequence[str], per_hour: int, cooldown_sec
     are still cooling down; both expire.
     """
 
-    def kernel(pdf: pd.DataFrame, state):
+    def kernel(rows: Rows, state):
         recent, until = ([], {}) if state is None else (state[0], dict(state[1]))
         verdicts = []
-        for now, *parts in pdf[[clock, *target]].itertuples(index=False):
+        for now, *parts in zip(rows[clock], *(rows[c] for c in target)):
             recent = [t for t in recent if now - t < 3600 * units]
             until = {k: t for k, t in until.items() if t > now}
             key = "\x1f".join(str(p) for p in parts)
@@ -222,11 +250,11 @@ def sampling_kernel(
     """Which ticks to capture. Flags: elevated, severe, foreground_changed, invalid, safety,
     within_budget (of a capture taken now) and collector_failed."""
 
-    def kernel(pdf: pd.DataFrame, state):
+    def kernel(rows: Rows, state):
         last, burst, slow, blocked = state or (None, None, False, 0.0)
         capture, reasons = [], []
         flags = ("elevated", "severe", "foreground_changed", "invalid", "safety", "within_budget", "collector_failed")
-        for t, elevated, severe, moved, invalid, safety, cheap, failed in pdf[[clock, *flags]].itertuples(index=False):
+        for t, elevated, severe, moved, invalid, safety, cheap, failed in zip(rows[clock], *(rows[f] for f in flags)):
             now = t / units_per_ms
             forced = moved or invalid or safety or severe
             interval = elevated_ms if (forced or elevated) else stable_ms
@@ -271,10 +299,10 @@ def adaptive_sampling(df: DataFrame, keys, order, units_per_ms: float = 1.0, slo
 def recent_apps_kernel(clock: str, app: str, window: float, limit: int) -> Kernel:
     """Recently seen apps, the most recently added first; at most ``limit`` are remembered."""
 
-    def kernel(pdf: pd.DataFrame, apps):
+    def kernel(rows: Rows, apps):
         apps = [list(a) for a in apps or []]
         listed = []
-        for now, name in pdf[[clock, app]].itertuples(index=False):
+        for now, name in zip(rows[clock], rows[app]):
             known = next((a for a in apps if a[0] == name), None)
             if known:
                 known[1] = int(now)

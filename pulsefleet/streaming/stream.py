@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from pulsefleet.operators import training
-from pulsefleet.operators.sequential import Kernel
+from pulsefleet.operators.sequential import Kernel, Rows, output_names
 from pulsefleet.sources.sinks import SNAPSHOT_KEYS, flatten_snapshots, write_batch
 
 
@@ -63,7 +63,7 @@ def stateful_fold(
     keys, order = list(keys), list(order)
     kept = keys + order
     kinds = {c: stream.schema[c].dataType.simpleString() for c in kept}
-    names = [part.strip().split()[0] for part in outputs.split(", ")]
+    names = output_names(outputs)
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items()) + ", late boolean, " + outputs
     expires = watermark is not None and idle_ms is not None
 
@@ -81,7 +81,7 @@ def stateful_fold(
             high = high if late[i] else mark
         fresh = pdf[[not x for x in late]].reset_index(drop=True)
         if len(fresh):
-            columns, inner = kernel(fresh, inner)
+            columns, inner = kernel({c: fresh[c].tolist() for c in fresh.columns}, inner)
             yield fresh[kept].assign(late=False, **columns)
             state.update((json.dumps([inner, [int(v) for v in high]]),))
             if expires:
@@ -97,26 +97,28 @@ def stateful_fold(
 # -- kernels that batch code expresses with frames ------------------------------------------
 
 
-def rolling_mean_kernel(columns: Sequence[str], rows: int = 30) -> Kernel:
+def rolling_mean_kernel(columns: Sequence[str], size: int = 30) -> Kernel:
     """Mean of the last rows of each column; the state is a bounded list per column."""
 
-    def kernel(pdf: pd.DataFrame, state):
+    def kernel(rows: Rows, state):
         state = state or [[] for _ in columns]
         out = {}
         for i, c in enumerate(columns):
-            joined = pd.Series([*state[i], *pdf[c].tolist()], dtype=float)
-            out[f"{c}_mean"] = joined.rolling(rows, min_periods=1).mean().tolist()[len(state[i]) :]
-            state[i] = joined.tolist()[-(rows - 1) :]
+            joined = [*state[i], *rows[c]]
+            known = len(state[i])
+            spans = [joined[max(0, k - size + 1) : k + 1] for k in range(known, len(joined))]
+            out[f"{c}_mean"] = [sum(span) / len(span) for span in spans]
+            state[i] = joined[-(size - 1) :]
         return out, state
 
     return kernel
 
 
 def alert_kernel(critical: str, calm: str, raise_after: int = 2, clear_after: int = 2) -> Kernel:
-    def kernel(pdf: pd.DataFrame, state):
+    def kernel(rows: Rows, state):
         alert, high, low = state or (False, 0, 0)
         out = []
-        for c, ok in pdf[[critical, calm]].itertuples(index=False):
+        for c, ok in zip(rows[critical], rows[calm]):
             high, low = (high + 1, 0) if c else (0, low + 1) if ok else (0, 0)
             alert = True if high >= raise_after else False if low >= clear_after else alert
             out.append(bool(alert))
@@ -128,10 +130,10 @@ def alert_kernel(critical: str, calm: str, raise_after: int = 2, clear_after: in
 def boundary_kernel(clock: str, session: str, phase: str, foreground: Sequence[str], max_gap: int) -> Kernel:
     """Episode index and boundary reason of each frame."""
 
-    def kernel(pdf: pd.DataFrame, state):
+    def kernel(rows: Rows, state):
         before, index = (None, -1) if state is None else state
         indexes, reasons = [], []
-        for row in pdf[[clock, session, phase, *foreground]].itertuples(index=False, name=None):
+        for row in zip(*(rows[c] for c in (clock, session, phase, *foreground))):
             reason = None
             if before is None:
                 reason = "first_frame"
