@@ -61,6 +61,11 @@ def first_match(rules: Sequence[tuple[Column, object]], default) -> Column:
     return chain.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def label_risk(label) -> Column:
     return by_value(col(label), LABEL_RISK, UNKNOWN_RISK)
 
@@ -153,8 +158,8 @@ def live_root_cause(cols: Mapping[str, Column], t: Thresholds = Thresholds()) ->
             for place, (name, score) in enumerate(signals)
         ]
     )
-    best = F.array_max(F.array_compact(ranked))
-    return F.struct(best["name"].alias("name"), best["score"].alias("score"))
+    # The struct orders by score, then by place; callers read its name and score.
+    return F.array_max(F.array_compact(ranked))
 
 
 def fused_risk(
@@ -254,7 +259,6 @@ def window_diagnosis(f: Mapping[str, Column], predicted_class, t: Thresholds = T
         ),
         entry(label == "RECOVERY", "recovery", 0.70, "pressure improving"),
     ]
-    found = F.array_compact(F.array(*signals))
     calm = label == "NORMAL"
     fallback = F.array(
         F.struct(
@@ -263,12 +267,17 @@ def window_diagnosis(f: Mapping[str, Column], predicted_class, t: Thresholds = T
             F.when(calm, "resource pattern stable").otherwise("forecast trend elevated").alias("reason"),
         )
     )
-    listed = F.when(F.size(found) > 0, found).otherwise(fallback)
+    listed = let(F.array_compact(F.array(*signals)), lambda found: F.when(F.size(found) > 0, found).otherwise(fallback))
     # Highest score first; the array order breaks ties, so carry the position.
     placed = F.transform(
         listed, lambda e, i: F.struct((-e["score"]).alias("k"), i.alias("i"), e.alias("e"))
     )
     ranked = F.transform(F.array_sort(placed), lambda e: e["e"])
+    return let(F.struct(ranked.alias("ranked"), label.alias("label")), _diagnosis_fields)
+
+
+def _diagnosis_fields(d: Column) -> Column:
+    ranked, label = d["ranked"], d["label"]
     top = F.element_at(ranked, 1)
     return F.struct(
         top["primary"].alias("primary"),
@@ -453,44 +462,48 @@ def drift_level(shift, drop) -> Column:
     )
 
 
+PREDICTION_FIELDS = (
+    "risk double, probability double, confidence double, class string, reason string, "
+    "root_cause struct<primary:string,severity:string>, model_readiness string, "
+    "model_generated_at string, feature_count double, recommended_action string, safe_to_heal boolean"
+)
+
+
 def parse_prediction(text) -> Column:
     """Struct of the prediction fields in a payload; a bare number is a plain risk value.
 
     A payload that is not readable, or whose risk is outside 0..100, gives risk -1.
     """
     text = col(text)
-    obj = F.from_json(
-        text,
-        "risk double, probability double, confidence double, class string, reason string, "
-        "root_cause struct<primary:string,severity:string>, model_readiness string, "
-        "model_generated_at string, feature_count double, recommended_action string, safe_to_heal boolean",
-    )
     is_object = F.substring(text, 1, 1) == "{"
-    number = text.try_cast("double")
-    risk = F.coalesce(F.when(is_object, F.coalesce(obj["risk"], obj["probability"])).otherwise(number), F.lit(-1.0))
+    parsed = F.struct(
+        F.from_json(F.when(is_object, text), PREDICTION_FIELDS).alias("obj"),
+        is_object.alias("is_object"),
+        F.when(~is_object, text.try_cast("double")).alias("number"),
+    )
+    return let(parsed, _prediction_fields)
+
+
+def _prediction_fields(parsed: Column) -> Column:
+    obj, is_object = parsed["obj"], parsed["is_object"]
+    risk = F.coalesce(obj["risk"], obj["probability"], parsed["number"], F.lit(-1.0))
     valid = (risk >= 0.0) & (risk <= 100.0)
     pick = lambda of_object, of_number: F.when(is_object, of_object).otherwise(of_number)
     keep = lambda value, default: F.when(valid, value).otherwise(F.lit(default))
     named = lambda field, default: F.coalesce(F.nullif(field, F.lit("")), F.lit(default))
+    by_risk = F.when(risk >= 75.0, "CRITICAL").when(risk >= 55.0, "WARNING").otherwise("NORMAL")
+    cause = obj["root_cause"]
     return F.struct(
         F.when(valid, risk).otherwise(F.lit(-1.0)).alias("risk"),
         keep(clamp(pick(F.coalesce(obj["confidence"], F.lit(0.0)), F.lit(55.0))), 0.0).alias("confidence"),
-        keep(
-            pick(
-                named(obj["class"], "UNKNOWN"),
-                F.when(risk >= 75.0, "CRITICAL").when(risk >= 55.0, "WARNING").otherwise("NORMAL"),
-            ),
-            "UNKNOWN",
-        ).alias("predicted_class"),
+        keep(pick(named(obj["class"], "UNKNOWN"), by_risk), "UNKNOWN").alias("predicted_class"),
         keep(pick(named(obj["reason"], "N/A"), F.lit("legacy model probability")), "N/A").alias("reason"),
-        keep(pick(named(obj["root_cause"]["primary"], "unknown"), F.lit("legacy_probability")), "unknown").alias(
-            "root_cause"
-        ),
-        keep(pick(named(obj["root_cause"]["severity"], "normal"), F.lit("normal")), "normal").alias("severity"),
+        keep(pick(named(cause["primary"], "unknown"), F.lit("legacy_probability")), "unknown").alias("root_cause"),
+        keep(pick(named(cause["severity"], "normal"), F.lit("normal")), "normal").alias("severity"),
         keep(pick(named(obj["model_readiness"], "unknown"), F.lit("unknown")), "unknown").alias("readiness"),
         keep(pick(F.coalesce(obj["feature_count"], F.lit(0.0)).cast("int"), F.lit(0)), 0).alias("feature_count"),
-        keep(
-            pick(named(obj["recommended_action"], "monitor_only"), F.lit("monitor_only")), "monitor_only"
-        ).alias("recommended_action"),
+        keep(pick(named(obj["recommended_action"], "monitor_only"), F.lit("monitor_only")), "monitor_only").alias(
+            "recommended_action"
+        ),
         keep(pick(F.coalesce(obj["safe_to_heal"], F.lit(False)), F.lit(False)), False).alias("safe_to_heal"),
     )

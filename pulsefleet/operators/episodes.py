@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsefleet.functions.scoring import first_match
 from pulsefleet.operators.ordered import HOUR_US, Ordered
-from pulsefleet.operators.windows import array_at, array_mad, array_median
+from pulsefleet.operators.windows import array_at, array_gaps, array_median
 
 BAD_COLLECTOR = ("UNAVAILABLE", "FAILED", "INVALID")
 
@@ -79,12 +79,10 @@ def out_of_order_frames(cut: DataFrame) -> DataFrame:
 
 
 def baseline_columns(name: str, packed: Column) -> dict[str, Column]:
-    """Median, MAD, p05 and p95 (nearest index, half to even) of a short sorted array."""
-    center = array_median(packed)
+    """Median, p05 and p95 (nearest index, half to even) of a short sorted array."""
     at = lambda q: array_at(packed, F.bround((F.size(packed) - 1) * F.lit(q)))
     return {
-        f"{name}_median": center,
-        f"{name}_mad": array_mad(packed, center),
+        f"{name}_median": array_median(packed),
         f"{name}_p05": at(0.05),
         f"{name}_p95": at(0.95),
     }
@@ -118,7 +116,7 @@ def episodes(
         F.max("boundary_reason").alias("start_reason"),
         *[F.min_by(c, position).alias(c) for c in first_columns],
         *[F.max_by(c, position).alias(c) for c in last_columns],
-        *[F.array_sort(F.collect_list(F.when(F.col("early"), F.col(c)))).alias(f"__{c}") for c in resources],
+        *[F.sort_array(F.collect_list(F.when(F.col("early"), F.col(c)))).alias(f"__{c}") for c in resources],
     ]
     rows = cut.groupBy(*ids).agg(*aggs)
     if collectors:
@@ -128,8 +126,10 @@ def episodes(
         )
     else:
         rows = rows.withColumn("failed_collectors", F.array().cast("array<string>"))
-    for c in resources:
-        rows = rows.withColumns(baseline_columns(c, F.col(f"__{c}")))
+    merged = lambda maps: {k: v for m in maps for k, v in m.items()}
+    rows = rows.withColumns(merged(baseline_columns(c, F.col(f"__{c}")) for c in resources))
+    rows = rows.withColumns({f"__g_{c}": array_gaps(F.col(f"__{c}"), F.col(f"{c}_median")) for c in resources})
+    rows = rows.withColumns({f"{c}_mad": array_median(F.col(f"__g_{c}")) for c in resources})
     # The end reason of an episode is the start reason of the next one.
     seq = Ordered(rows, keys, ["start_t", "episode_index"], slot=slot, after=1)
     seq.with_columns({"end_reason": F.coalesce(F.lead("start_reason").over(seq.window), F.lit("input_exhausted"))})
@@ -143,7 +143,7 @@ def episodes(
                 "positive_interval": F.col("end_t") > F.col("start_t"),
             }
         )
-        .drop(*[f"__{c}" for c in resources])
+        .drop(*[f"__{k}{c}" for k in ("", "g_") for c in resources])
     )
 
 

@@ -25,6 +25,8 @@ def descendants(
     links = edges.select(*keys, F.col(parent).alias("__from"), F.col(child).alias("node")).where(
         F.col("__from") != F.col("node")
     )
+    # Written once, hashed by the join keys: the rounds neither rebuild nor reshuffle the edges.
+    links = checkpointed(links.distinct().repartition(*keys, "__from"))
     frontier = checkpointed(roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     seen = frontier
     while not frontier.isEmpty():

@@ -205,7 +205,16 @@ def private_update(delta: Column, clip: float, noise: float = 0.0, seed: int = 0
     task repeats it; production seeds must be secret.
     """
     limit = max(0.001, clip)
-    norm = F.sqrt(F.aggregate(delta, F.lit(0.0), lambda acc, v: acc + v * v))
+    length = lambda values: F.sqrt(F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v * v))
+    measured = F.struct(delta.alias("delta"), length(delta).alias("norm"))
+    protect = lambda m: F.struct(
+        m["norm"].alias("original_norm"), _protect(m["delta"], m["norm"], limit, noise, seed).alias("protected")
+    )
+    done = lambda u: F.struct(u["original_norm"], u["protected"], length(u["protected"]).alias("clipped_norm"))
+    return S.let(S.let(measured, protect), done)
+
+
+def _protect(delta: Column, norm: Column, limit: float, noise: float, seed: int) -> Column:
     scale = F.when(norm > limit, F.lit(limit) / norm).otherwise(F.lit(1.0))
     unit = lambda h: (F.shiftrightunsigned(h, 11) + 0.5) / float(2**53)
 
@@ -215,12 +224,7 @@ def private_update(delta: Column, clip: float, noise: float = 0.0, seed: int = 0
         h1, h2 = F.xxhash64(delta, i, F.lit(seed)), F.xxhash64(delta, i, F.lit(seed + 1))
         return v * scale + noise * F.sqrt(-2.0 * F.log(unit(h1))) * F.cos(unit(h2) * (2.0 * np.pi))
 
-    protected = F.transform(delta, one)
-    return F.struct(
-        norm.alias("original_norm"),
-        protected.alias("protected"),
-        F.sqrt(F.aggregate(protected, F.lit(0.0), lambda acc, v: acc + v * v)).alias("clipped_norm"),
-    )
+    return F.transform(delta, one)
 
 
 def fleet_mean(updates: DataFrame, vector: str, groups: Sequence[str] = ()) -> DataFrame:

@@ -60,9 +60,8 @@ def waste_score() -> Column:
 
 
 def with_intent(processes: DataFrame, intents: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Process rows with the intent of their tick; a tick without intent has no foreground."""
-    columns = ("foreground_pid", "foreground_process", "app_kind", "is_fullscreen", "recent_pids")
-    joined = processes.join(intents.select(*keys, *columns), list(keys), "left")
+    """Process rows with the intent columns of their tick; a tick without intent has no foreground."""
+    joined = processes.join(intents, list(keys), "left")
     return joined.withColumns(
         {
             "foreground_pid": F.coalesce("foreground_pid", F.lit(0)),
@@ -73,114 +72,117 @@ def with_intent(processes: DataFrame, intents: DataFrame, keys: Sequence[str]) -
     )
 
 
+# Fixed values per category: safety, importance score and safety score (trusted or not).
+CLASS_TABLE = {
+    "SYSTEM_CRITICAL": ("PROTECTED", "PROTECTED", 100.0, 0.0, 0.0),
+    "SECURITY": ("PROTECTED", "PROTECTED", 100.0, 0.0, 0.0),
+    "FOREGROUND_FULLSCREEN_APP": ("USER_ACTIVE", "USER_ACTIVE", 100.0, 0.0, 0.0),
+    "FOREGROUND_APP": ("USER_ACTIVE", "USER_ACTIVE", 95.0, 5.0, 5.0),
+    "ACTIVE_APP_FAMILY": ("USER_ACTIVE", "USER_ACTIVE", 88.0, 8.0, 8.0),
+    "RECENT_USER_APP": ("OBSERVE_ONLY", "OBSERVE_ONLY", 82.0, 18.0, 18.0),
+    "USER_APP": ("OBSERVE_ONLY", "OBSERVE_ONLY", 78.0, 25.0, 25.0),
+    "BROWSER_CHILD": ("CANDIDATE", "CAUTIOUS", 42.0, 68.0, 45.0),
+    "UPDATER_SYNC": ("CANDIDATE", "CAUTIOUS", 30.0, 76.0, 48.0),
+    "WINDOWS_SERVICE": ("OBSERVE_ONLY", "OBSERVE_ONLY", 72.0, 20.0, 20.0),
+    "BACKGROUND_HELPER": ("CANDIDATE", "CANDIDATE", 38.0, 62.0, 62.0),
+    "UNKNOWN": ("CAUTIOUS", "CAUTIOUS", 58.0, 35.0, 35.0),
+}
+# Reclaimable shares of private memory and working set, and the recommendation with
+# the waste score from which it applies.
+GAIN_SHARES = {"BROWSER_CHILD": (0.55, 0.45), "UPDATER_SYNC": (0.60, 0.50), "BACKGROUND_HELPER": (0.50, 0.40)}
+RECOMMENDATIONS = {
+    "SYSTEM_CRITICAL": "protect",
+    "SECURITY": "protect",
+    "FOREGROUND_FULLSCREEN_APP": "protect_fullscreen_app",
+    "FOREGROUND_APP": "protect_foreground",
+    "ACTIVE_APP_FAMILY": "protect_active_app_family",
+    "RECENT_USER_APP": "observe_recent_user_app",
+    "USER_APP": "observe_visible_app",
+    "BROWSER_CHILD": "observe_browser_child",
+    "UPDATER_SYNC": "observe_updater",
+    "WINDOWS_SERVICE": "observe_service",
+    "BACKGROUND_HELPER": "observe_background_helper",
+}
+BUSY_RECOMMENDATIONS = (
+    ("BROWSER_CHILD", 55.0, "sleep_or_trim_candidate"),
+    ("UPDATER_SYNC", 45.0, "delay_or_lower_priority_candidate"),
+    ("BACKGROUND_HELPER", 50.0, "lower_priority_or_trim_candidate"),
+)
+
+
 def classify(df: DataFrame) -> DataFrame:
     """Category, safety, scores, intent flags, recommendation and reasons of each process row.
 
-    Needs the process columns and the intent columns of ``with_intent``. The first matching class
-    wins, and all outputs of a class come from one rule table.
+    Needs the process columns and the intent columns of ``with_intent``. The category is decided
+    once, by the first matching rule; everything else is looked up from it.
     """
-    name, path = F.col("name"), F.lower("exe_path")
-    pid, front = F.col("pid"), F.col("foreground_pid")
+    name, pid, front = F.col("name"), F.col("pid"), F.col("foreground_pid")
     is_front = (pid != 0) & (pid == front)
-    recent = F.array_contains("recent_pids", pid)
     shields = F.coalesce(F.col("app_kind").isin(*S.PROTECTED_APP_KINDS), F.lit(False))
-    family = (
-        shields
-        & (F.col("foreground_process") != "")
-        & (name != "")
-        & ((pid == front) | (F.lower(name) == F.lower("foreground_process")))
-    )
+    same_name = (F.col("foreground_process") != "") & (name != "") & (F.lower(name) == F.lower("foreground_process"))
     df = df.withColumns(
         {
-            "waste_score": waste_score(),
             "__front": is_front,
-            "__recent": recent,
-            "__family": family,
+            "__recent": F.array_contains("recent_pids", pid),
+            "__family": shields & (same_name | ((pid == front) & (F.col("foreground_process") != "") & (name != ""))),
             "__trusted": F.col("trusted_path") | F.col("signed_trusted"),
+            "waste_score": waste_score(),
             "is_foreground": F.col("is_foreground") | is_front,
             "is_system_critical": (pid <= 4) | named(name, CRITICAL_NAMES),
         }
     )
     trusted, waste = F.col("__trusted"), F.col("waste_score")
-    service = (F.col("session_id") == 0) | F.instr(path, SERVICE_PATHS[0]).cast("boolean") | F.instr(
-        path, SERVICE_PATHS[1]
-    ).cast("boolean")
-    gain = lambda private, working: F.greatest(
-        F.lit(0.0), F.least(F.col("private_mb") * private, F.col("working_set_mb") * working)
-    )
-    either = lambda yes, no: F.when(trusted, yes).otherwise(no)
-    zero = F.lit(0.0)
-
-    def outcome(category, safety, importance, safety_score, expected, recommendation):
-        text = lambda v: v if isinstance(v, Column) else F.lit(v)
-        number = lambda v: (v if isinstance(v, Column) else F.lit(float(v))).cast("double")
-        return F.struct(
-            F.lit(category).alias("category"),
-            text(safety).alias("safety"),
-            number(importance).alias("importance_score"),
-            number(safety_score).alias("safety_score"),
-            number(expected).alias("expected_gain_mb"),
-            text(recommendation).alias("recommendation"),
-        )
-
-    busy = lambda limit, yes, no: F.when(waste >= limit, yes).otherwise(no)
-    rules = [
-        (F.col("is_system_critical"), outcome("SYSTEM_CRITICAL", "PROTECTED", 100, 0, zero, "protect")),
-        (named(name, SECURITY_NAMES, SECURITY_TOKENS), outcome("SECURITY", "PROTECTED", 100, 0, zero, "protect")),
-        (
-            F.col("__front") & F.col("is_fullscreen"),
-            outcome("FOREGROUND_FULLSCREEN_APP", "USER_ACTIVE", 100, 0, zero, "protect_fullscreen_app"),
-        ),
-        (F.col("is_foreground"), outcome("FOREGROUND_APP", "USER_ACTIVE", 95, 5, zero, "protect_foreground")),
-        (F.col("__family"), outcome("ACTIVE_APP_FAMILY", "USER_ACTIVE", 88, 8, zero, "protect_active_app_family")),
-        (F.col("__recent"), outcome("RECENT_USER_APP", "OBSERVE_ONLY", 82, 18, zero, "observe_recent_user_app")),
-        (F.col("has_visible_window"), outcome("USER_APP", "OBSERVE_ONLY", 78, 25, zero, "observe_visible_app")),
-        (
-            named(name, BROWSER_NAMES),
-            outcome(
-                "BROWSER_CHILD", either("CANDIDATE", "CAUTIOUS"), 42, either(68.0, 45.0), gain(0.55, 0.45),
-                busy(55.0, "sleep_or_trim_candidate", "observe_browser_child"),
-            ),
+    path = F.lower("exe_path")
+    service = (F.col("session_id") == 0) | path.contains(SERVICE_PATHS[0]) | path.contains(SERVICE_PATHS[1])
+    df = df.withColumn(
+        "category",
+        S.first_match(
+            [
+                (F.col("is_system_critical"), "SYSTEM_CRITICAL"),
+                (named(name, SECURITY_NAMES, SECURITY_TOKENS), "SECURITY"),
+                (F.col("__front") & F.col("is_fullscreen"), "FOREGROUND_FULLSCREEN_APP"),
+                (F.col("is_foreground"), "FOREGROUND_APP"),
+                (F.col("__family"), "ACTIVE_APP_FAMILY"),
+                (F.col("__recent"), "RECENT_USER_APP"),
+                (F.col("has_visible_window"), "USER_APP"),
+                (named(name, BROWSER_NAMES), "BROWSER_CHILD"),
+                (S.has_any(F.lower(name), UPDATER_TOKENS), "UPDATER_SYNC"),
+                (service, "WINDOWS_SERVICE"),
+                (trusted, "BACKGROUND_HELPER"),
+            ],
+            "UNKNOWN",
         ),
-        (
-            S.has_any(F.lower(name), UPDATER_TOKENS),
-            outcome(
-                "UPDATER_SYNC", either("CANDIDATE", "CAUTIOUS"), 30, either(76.0, 48.0), gain(0.60, 0.50),
-                busy(45.0, "delay_or_lower_priority_candidate", "observe_updater"),
-            ),
-        ),
-        (service, outcome("WINDOWS_SERVICE", "OBSERVE_ONLY", 72, 20, zero, "observe_service")),
-        (
-            trusted,
-            outcome(
-                "BACKGROUND_HELPER", "CANDIDATE", 38, 62, gain(0.50, 0.40),
-                busy(50.0, "lower_priority_or_trim_candidate", "observe_background_helper"),
-            ),
-        ),
-    ]
-    chosen = S.first_match(rules, outcome("UNKNOWN", "CAUTIOUS", 58, 35, zero, "observe_unknown"))
+    )
+    category = F.col("category")
+    column = lambda i: {c: row[i] for c, row in CLASS_TABLE.items()}
+    pick = lambda i: S.by_value(category, column(i), None)
+    gain = S.first_match(
+        [
+            (category == c, F.greatest(F.lit(0.0), F.least(F.col("private_mb") * a, F.col("working_set_mb") * b)))
+            for c, (a, b) in GAIN_SHARES.items()
+        ],
+        0.0,
+    )
+    busy = [((category == c) & (waste >= limit), text) for c, limit, text in BUSY_RECOMMENDATIONS]
     io = F.col("io_read_kbps") + F.col("io_write_kbps")
     says = lambda condition, text: F.when(condition, F.lit(text))
-    category = F.col("category")
-    reasons = F.array_compact(
-        F.array(
-            says(F.col("cpu") >= 20.0, "high cpu"),
-            says(F.col("private_mb") >= 350.0, "high private memory"),
-            says(F.col("working_set_mb") >= 500.0, "large working set"),
-            says(io >= 1024.0, "active disk io"),
-            says(~F.col("has_visible_window"), "background or hidden"),
-            says(F.col("is_foreground"), "foreground user app"),
-            says(F.col("__recent"), "recently active user app"),
-            F.when(F.col("__family"), F.concat(F.lit("same family as active "), F.col("app_kind"))),
-            says(F.col("is_fullscreen") & F.col("__front"), "fullscreen foreground app"),
-            says(trusted, "trusted install path/signature"),
-            says(category == "SYSTEM_CRITICAL", "critical windows process"),
-            says(category == "SECURITY", "security/antivirus process"),
-            says(category == "BROWSER_CHILD", "browser background process"),
-            says(category == "UPDATER_SYNC", "updater/sync style process"),
-            says(category == "WINDOWS_SERVICE", "windows service context"),
-            says(category == "UNKNOWN", "unknown process identity"),
-        )
+    reasons = (
+        says(F.col("cpu") >= 20.0, "high cpu"),
+        says(F.col("private_mb") >= 350.0, "high private memory"),
+        says(F.col("working_set_mb") >= 500.0, "large working set"),
+        says(io >= 1024.0, "active disk io"),
+        says(~F.col("has_visible_window"), "background or hidden"),
+        says(F.col("is_foreground"), "foreground user app"),
+        says(F.col("__recent"), "recently active user app"),
+        F.when(F.col("__family"), F.concat(F.lit("same family as active "), F.col("app_kind"))),
+        says(F.col("is_fullscreen") & F.col("__front"), "fullscreen foreground app"),
+        says(trusted, "trusted install path/signature"),
+        says(category == "SYSTEM_CRITICAL", "critical windows process"),
+        says(category == "SECURITY", "security/antivirus process"),
+        says(category == "BROWSER_CHILD", "browser background process"),
+        says(category == "UPDATER_SYNC", "updater/sync style process"),
+        says(category == "WINDOWS_SERVICE", "windows service context"),
+        says(category == "UNKNOWN", "unknown process identity"),
     )
     role = (
         F.when(F.col("__front"), F.when(F.col("is_fullscreen"), "foreground_fullscreen").otherwise("foreground"))
@@ -188,16 +190,19 @@ def classify(df: DataFrame) -> DataFrame:
         .when(F.col("__recent"), "recent_app")
         .otherwise("none")
     )
-    fields = ("category", "safety", "importance_score", "safety_score", "expected_gain_mb", "recommendation")
-    out = df.withColumn("__o", chosen).withColumns({f: F.col("__o")[f] for f in fields})
-    return out.withColumns(
+    return df.withColumns(
         {
-            "reason": F.array_join(reasons, ", "),
+            "safety": F.when(trusted, pick(0)).otherwise(pick(1)),
+            "importance_score": pick(2),
+            "safety_score": F.when(trusted, pick(3)).otherwise(pick(4)),
+            "expected_gain_mb": gain,
+            "recommendation": S.first_match(busy, S.by_value(category, RECOMMENDATIONS, "observe_unknown")),
+            "reason": F.concat_ws(", ", *reasons),
             "is_recently_active": F.col("__recent"),
             "matches_user_intent": F.col("__front") | F.col("__recent") | F.col("__family"),
             "intent_role": role,
         }
-    ).drop("__o", "__front", "__recent", "__family", "__trusted")
+    ).drop("__front", "__recent", "__family", "__trusted")
 
 
 def pressure_rank() -> Column:

@@ -16,6 +16,8 @@ from pulsefleet.session import RowBudget
 
 BUCKETS = 256
 TIE_SLICES = 64
+ONE_TASK_ROWS = 200_000
+PERCENTILE_ROWS = 500_000
 
 
 def cut_points(df: DataFrame, value: str, buckets: int = BUCKETS) -> list[float]:
@@ -72,21 +74,23 @@ def prefix_sums(
     )
 
 
-def global_rank(df: DataFrame, value: str, tie: str, rank: str = "rank") -> DataFrame:
-    """1-based rank of each row by (value, tie) over the whole table; ``tie`` must be unique.
+def global_rank(df: DataFrame, value: str, tie: str, rank: str = "rank", rows: int | None = None) -> DataFrame:
+    """1-based rank of each row by (value, hash of tie, tie) over the whole table; ``tie`` is unique.
 
-    Rows that share a cut value can be many; they are spread over hash slices, so ties are ordered
-    by (hash of tie, tie).
+    ``rows`` is the row count where the caller knows it; a short table is ranked by one task. Rows
+    that share a cut value can be many, so they are spread over slices of the hash of ``tie``.
     """
-    numeric = df.withColumn("__v", F.col(value).cast("double")).withColumn("__h", F.xxhash64(tie))
+    hashed = df.withColumn("__h", F.xxhash64(tie).bitwiseXOR(F.lit(-(2**63))))
+    if (df.count() if rows is None else rows) <= ONE_TASK_ROWS:
+        return hashed.withColumn(rank, F.row_number().over(Window.orderBy(value, "__h", tie))).drop("__h")
+    numeric = hashed.withColumn("__v", F.col(value).cast("double"))
     cuts = cut_points(numeric, "__v")
-    bucket = bucket_of(F.col("__v"), cuts)
     at_cut = F.col("__v").isin(*cuts) if cuts else F.lit(False)
     placed = numeric.withColumns(
         {
-            "__bucket": bucket,
+            "__bucket": bucket_of(F.col("__v"), cuts),
             "__off_cut": (~at_cut).cast("int"),
-            "__slice": F.when(at_cut, F.shiftrightunsigned("__h", 58)).otherwise(F.lit(0)),
+            "__slice": F.when(at_cut, F.floor((F.col("__h") / 2.0**63 + 1.0) * (TIE_SLICES / 2))).otherwise(F.lit(0)),
         }
     )
     parts = ["__bucket", "__off_cut", "__slice"]
@@ -94,8 +98,7 @@ def global_rank(df: DataFrame, value: str, tie: str, rank: str = "rank") -> Data
     # At most BUCKETS * (TIE_SLICES + 1) rows, so one task orders them.
     over = Window.orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*parts, F.coalesce(F.sum("__n").over(over), F.lit(0)).alias("__offset"))
-    unsigned = F.col("__h").bitwiseXOR(F.lit(-(2**63)))
-    inside = Window.partitionBy(*parts).orderBy(value, unsigned, tie)
+    inside = Window.partitionBy(*parts).orderBy(value, "__h", tie)
     return (
         placed.withColumn("__i", F.row_number().over(inside))
         .join(F.broadcast(offsets), parts)
@@ -104,25 +107,32 @@ def global_rank(df: DataFrame, value: str, tie: str, rank: str = "rank") -> Data
     )
 
 
+def _largest(df: DataFrame, groups: Sequence[str]) -> int:
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+
+
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for groups of any size.
 
-    Small groups use Spark's ``percentile`` on the compressed values; when a group has too many
-    distinct values for one task the prefix sums above find the two neighbours of each position.
+    ``percentile`` keeps the distinct values of a group in one task, so it is used where the largest
+    group is small, first on the rows and then on values compressed with their counts. Beyond that
+    the prefix sums above find the two neighbours of each position.
     """
     if not groups:
         whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs)
         return whole.drop("__all")
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
-    budget = RowBudget.of(df.sparkSession)
-    largest = counts.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    if (largest or 0) <= budget.segment_rows:
-        wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
-        packed = counts.groupBy(*groups).agg(
-            F.percentile(value, wanted, F.col("__n")).alias("__q"), F.sum("__n").alias("count")
-        )
-        return packed.select(*groups, "count", *[F.get("__q", i).alias(n) for i, n in enumerate(probs)])
+    source = df.where(F.col(value).isNotNull())
+    limit = min(RowBudget.of(df.sparkSession).segment_rows, PERCENTILE_ROWS)
+    wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
+    unpack = [F.get("__q", i).alias(n) for i, n in enumerate(probs)]
+    if _largest(source, groups) <= limit:
+        packed = source.groupBy(*groups).agg(F.percentile(value, wanted).alias("__q"), F.count(F.lit(1)).alias("count"))
+        return packed.select(*groups, "count", *unpack)
+    counts = source.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+    if _largest(counts, groups) <= limit:
+        packed = counts.groupBy(*groups).agg(F.percentile(value, wanted, F.col("__n")).alias("__q"), F.sum("__n").alias("count"))
+        return packed.select(*groups, "count", *unpack)
     ranked = prefix_sums(counts, groups, value, ["__n"], cut_points(counts, value))
     totals = counts.groupBy(*groups).agg(F.sum("__n").alias("count"))
     ranked = ranked.join(totals, groups)

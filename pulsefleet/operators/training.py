@@ -41,13 +41,18 @@ def train_forest(
     min_leaf: int = MIN_LEAF,
     seed: int = SEED,
 ) -> PipelineModel:
-    balanced = with_class_weights(rows, label).withColumn("label_id", label_id(label))
+    # The fit passes over its input several times; windows are dearer than their stored features.
+    kept = rows.select(*features, label).persist()
+    balanced = with_class_weights(kept, label).withColumn("label_id", label_id(label))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth,
         minInstancesPerNode=min_leaf, seed=seed,
     )
-    return Pipeline(stages=[assembler, forest]).fit(balanced.select(*features, "label_id", "weight"))
+    try:
+        return Pipeline(stages=[assembler, forest]).fit(balanced.select(*features, "label_id", "weight"))
+    finally:
+        kept.unpersist()
 
 
 def score(rows: DataFrame, model: PipelineModel) -> DataFrame:

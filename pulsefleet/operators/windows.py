@@ -75,7 +75,7 @@ def derived_features(
 
 
 def median_of(v: Sequence[Column]) -> Column:
-    ordered = F.array_sort(F.array(*v))
+    ordered = F.sort_array(F.array(*v))
     n = len(v)
     if n % 2:
         return F.element_at(ordered, n // 2 + 1)
@@ -104,12 +104,15 @@ def feature_columns(
 
 
 def _past(seq: Ordered, names: Sequence[str]) -> dict[str, list[Column]]:
-    """Add the window's rows as structs (one lag per distance) and return their fields."""
-    row = F.struct(*names)
-    seq.with_columns({f"__p{i}": F.lag(row, i).over(seq.window) for i in range(WINDOW - 1, 0, -1)})
-    return {
-        name: [F.col(f"__p{i}")[name] for i in range(WINDOW - 1, 0, -1)] + [F.col(name)] for name in names
-    }
+    """Add the earlier values of the window as columns and return all values, oldest first.
+
+    Offset functions only move a pointer, so they are much cheaper than sliding aggregates.
+    """
+    back = range(WINDOW - 1, 0, -1)
+    seq.with_columns({f"__p{i}_{n}": F.lag(n, i).over(seq.window) for n in names for i in back})
+    # The first samples of a key lack earlier rows, not just values: a counter tells them apart.
+    seq.with_columns({"__p_rows": F.count(F.lit(1)).over(seq.rows(-(WINDOW - 1), 0))})
+    return {n: [F.col(f"__p{i}_{n}") for i in back] + [F.col(n)] for n in names}
 
 
 def _drop_past(df: DataFrame) -> DataFrame:
@@ -127,7 +130,7 @@ def window_features(
     """Features over the last eight samples; rows with fewer than eight samples are left out."""
     seq = Ordered(df, keys, order, slot=slot, before=WINDOW - 1)
     values = _past(seq, SERIES)
-    full = seq.result().where(F.col(f"__p{WINDOW - 1}").isNotNull())
+    full = seq.result().where(F.col("__p_rows") == WINDOW)
     return _drop_past(full.select("*", *[c.alias(n) for n, c in feature_columns(values, thresholds, baseline).items()]))
 
 
@@ -182,7 +185,7 @@ def training_set(
     seq = Ordered(df, keys, order, slot=slot, before=WINDOW - 1, after=HORIZON)
     values = _past(seq, SERIES)
     label = _future(seq, thresholds)
-    full = seq.result().where(F.col(f"__p{WINDOW - 1}").isNotNull() & F.col(f"__f{HORIZON}").isNotNull())
+    full = seq.result().where((F.col("__p_rows") == WINDOW) & F.col(f"__f{HORIZON}").isNotNull())
     given = F.upper(F.trim(F.col(manual))) if manual else F.lit(None).cast("string")
     chosen = F.when(given.isin(*S.LABELS), given).otherwise(label)
     source = F.when(given.isin(*S.LABELS), "manual").otherwise("heuristic")
@@ -223,10 +226,11 @@ def robust_z(
     """Median, MAD and robust z of each value within its last ``rows`` samples (itself included)."""
     seq = Ordered(df, keys, order, slot=slot, before=rows - 1)
     frame = seq.rows(-(rows - 1), 0)
-    seq.with_columns({f"__v_{c}": F.array_sort(F.collect_list(c).over(frame)) for c in columns})
+    seq.with_columns({f"__v_{c}": F.sort_array(F.collect_list(c).over(frame)) for c in columns})
     out = seq.result()
     out = out.withColumns({f"{c}_median": array_median(F.col(f"__v_{c}")) for c in columns})
-    out = out.withColumns({f"{c}_mad": array_mad(F.col(f"__v_{c}"), F.col(f"{c}_median")) for c in columns})
+    out = out.withColumns({f"__g_{c}": array_gaps(F.col(f"__v_{c}"), F.col(f"{c}_median")) for c in columns})
+    out = out.withColumns({f"{c}_mad": array_median(F.col(f"__g_{c}")) for c in columns})
     out = out.withColumns(
         {
             f"{c}_z": (F.col(c) - F.col(f"{c}_median")) / F.greatest(F.lit(0.01), F.col(f"{c}_mad") * 1.4826)
@@ -234,7 +238,7 @@ def robust_z(
         }
         | {"sample_count": F.size(f"__v_{columns[0]}")}
     )
-    return out.drop(*[f"__v_{c}" for c in columns])
+    return out.drop(*[f"__{k}_{c}" for k in "vg" for c in columns])
 
 
 def array_median(ordered: Column) -> Column:
@@ -245,9 +249,9 @@ def array_median(ordered: Column) -> Column:
     return F.when(n % 2 == 1, upper).otherwise((F.get(ordered, half - 1) + upper) / 2.0)
 
 
-def array_mad(values: Column, center: Column) -> Column:
-    """Median absolute deviation of an array from its center."""
-    return array_median(F.array_sort(F.transform(values, lambda x: F.abs(x - center))))
+def array_gaps(values: Column, center: Column) -> Column:
+    """Sorted distances of an array from its center."""
+    return F.sort_array(F.transform(values, lambda x: F.abs(x - center)))
 
 
 def array_at(ordered: Column, index: Column) -> Column:
@@ -284,7 +288,7 @@ def rolling_p95(df: DataFrame, keys, order, value: str, rows: int = 60, slot: in
     usable = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0))
     seq = Ordered(usable, keys, order, slot=slot, before=rows - 1)
     frame = seq.rows(-(rows - 1), 0)
-    seq.with_columns({"__v": F.array_sort(F.collect_list(value).over(frame))})
+    seq.with_columns({"__v": F.sort_array(F.collect_list(value).over(frame))})
     at = F.ceil(F.size("__v") * 0.95) - 1
     return seq.result().withColumn(f"{value}_p95", array_at(F.col("__v"), at)).drop("__v")
 
@@ -300,7 +304,7 @@ def collector_cost(
 
     recent = newest_rows(df, keys, order, rows)
     packed = recent.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(duration)).alias("__v"),
+        F.sort_array(F.collect_list(duration)).alias("__v"),
         F.max_by(F.struct(duration, succeeded), F.struct(*order)).alias("__last"),
     )
     at = lambda q: array_at(F.col("__v"), F.ceil((F.size("__v") - 1) * q))

@@ -34,9 +34,7 @@ def intents(spark, folder):
 
 
 def classified(spark, folder):
-    ticks = intents(spark, folder)
-    rows = P.classify(P.with_intent(processes(spark, folder), ticks, TICK))
-    return rows.join(ticks.select(*TICK, "workload_phase"), TICK)
+    return P.classify(P.with_intent(processes(spark, folder), intents(spark, folder), TICK))
 
 
 _PHASES_SQL = "[" + ", ".join(f"'{p}'" for p in S.WORKLOAD_PHASES) + "]"

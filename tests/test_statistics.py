@@ -147,13 +147,16 @@ def test_exact_quantiles_on_both_plans(spark):
             assert (r["m"], r["h"]) == pytest.approx(tuple(expect[r["g"]]), abs=1e-12)
 
 
-def test_global_rank_with_heavy_ties(spark):
+def test_global_rank_with_heavy_ties(spark, monkeypatch):
     rows = [(f"k{i}", 7 if i % 3 else i) for i in range(900)]
     df = spark.createDataFrame(rows, "k string, v long")
-    ranks = [(r["rank"], r["v"]) for r in R.global_rank(df, "v", "k").collect()]
+    one_task = {r["k"]: r["rank"] for r in R.global_rank(df, "v", "k").collect()}
+    monkeypatch.setattr(R, "ONE_TASK_ROWS", 0)
+    ranks = [(r["rank"], r["v"], r["k"]) for r in R.global_rank(df, "v", "k").collect()]
     ranks.sort()
-    assert [r for r, _ in ranks] == list(range(1, 901))
-    assert [v for _, v in ranks] == sorted(v for _, v in rows)
+    assert [r for r, _, _ in ranks] == list(range(1, 901))
+    assert [v for _, v, _ in ranks] == sorted(v for _, v in rows)
+    assert {k: r for r, _, k in ranks} == one_task
 
 
 def bench_rows(spark, crash=0, notes=""):
