@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
@@ -72,42 +72,44 @@ def with_intent(processes: DataFrame, intents: DataFrame, keys: Sequence[str]) -
     )
 
 
-# Fixed values per category: safety, importance score and safety score (trusted or not).
-CLASS_TABLE = {
-    "SYSTEM_CRITICAL": ("PROTECTED", "PROTECTED", 100.0, 0.0, 0.0),
-    "SECURITY": ("PROTECTED", "PROTECTED", 100.0, 0.0, 0.0),
-    "FOREGROUND_FULLSCREEN_APP": ("USER_ACTIVE", "USER_ACTIVE", 100.0, 0.0, 0.0),
-    "FOREGROUND_APP": ("USER_ACTIVE", "USER_ACTIVE", 95.0, 5.0, 5.0),
-    "ACTIVE_APP_FAMILY": ("USER_ACTIVE", "USER_ACTIVE", 88.0, 8.0, 8.0),
-    "RECENT_USER_APP": ("OBSERVE_ONLY", "OBSERVE_ONLY", 82.0, 18.0, 18.0),
-    "USER_APP": ("OBSERVE_ONLY", "OBSERVE_ONLY", 78.0, 25.0, 25.0),
-    "BROWSER_CHILD": ("CANDIDATE", "CAUTIOUS", 42.0, 68.0, 45.0),
-    "UPDATER_SYNC": ("CANDIDATE", "CAUTIOUS", 30.0, 76.0, 48.0),
-    "WINDOWS_SERVICE": ("OBSERVE_ONLY", "OBSERVE_ONLY", 72.0, 20.0, 20.0),
-    "BACKGROUND_HELPER": ("CANDIDATE", "CANDIDATE", 38.0, 62.0, 62.0),
-    "UNKNOWN": ("CAUTIOUS", "CAUTIOUS", 58.0, 35.0, 35.0),
-}
-# Reclaimable shares of private memory and working set, and the recommendation with
-# the waste score from which it applies.
-GAIN_SHARES = {"BROWSER_CHILD": (0.55, 0.45), "UPDATER_SYNC": (0.60, 0.50), "BACKGROUND_HELPER": (0.50, 0.40)}
-RECOMMENDATIONS = {
-    "SYSTEM_CRITICAL": "protect",
-    "SECURITY": "protect",
-    "FOREGROUND_FULLSCREEN_APP": "protect_fullscreen_app",
-    "FOREGROUND_APP": "protect_foreground",
-    "ACTIVE_APP_FAMILY": "protect_active_app_family",
-    "RECENT_USER_APP": "observe_recent_user_app",
-    "USER_APP": "observe_visible_app",
-    "BROWSER_CHILD": "observe_browser_child",
-    "UPDATER_SYNC": "observe_updater",
-    "WINDOWS_SERVICE": "observe_service",
-    "BACKGROUND_HELPER": "observe_background_helper",
+# Fixed values per category: safety when trusted and when not, importance, safety score when trusted
+# and when not, reclaimable shares of private memory and working set, recommendation, and the waste
+# score from which the second recommendation applies.
+CLASSES = (
+    ("SYSTEM_CRITICAL", "PROTECTED", "PROTECTED", 100.0, 0.0, 0.0, 0.0, 0.0, "protect", None, None),
+    ("SECURITY", "PROTECTED", "PROTECTED", 100.0, 0.0, 0.0, 0.0, 0.0, "protect", None, None),
+    ("FOREGROUND_FULLSCREEN_APP", "USER_ACTIVE", "USER_ACTIVE", 100.0, 0.0, 0.0, 0.0, 0.0, "protect_fullscreen_app", None, None),
+    ("FOREGROUND_APP", "USER_ACTIVE", "USER_ACTIVE", 95.0, 5.0, 5.0, 0.0, 0.0, "protect_foreground", None, None),
+    ("ACTIVE_APP_FAMILY", "USER_ACTIVE", "USER_ACTIVE", 88.0, 8.0, 8.0, 0.0, 0.0, "protect_active_app_family", None, None),
+    ("RECENT_USER_APP", "OBSERVE_ONLY", "OBSERVE_ONLY", 82.0, 18.0, 18.0, 0.0, 0.0, "observe_recent_user_app", None, None),
+    ("USER_APP", "OBSERVE_ONLY", "OBSERVE_ONLY", 78.0, 25.0, 25.0, 0.0, 0.0, "observe_visible_app", None, None),
+    ("BROWSER_CHILD", "CANDIDATE", "CAUTIOUS", 42.0, 68.0, 45.0, 0.55, 0.45, "observe_browser_child", 55.0, "sleep_or_trim_candidate"),
+    ("UPDATER_SYNC", "CANDIDATE", "CAUTIOUS", 30.0, 76.0, 48.0, 0.60, 0.50, "observe_updater", 45.0, "delay_or_lower_priority_candidate"),
+    ("WINDOWS_SERVICE", "OBSERVE_ONLY", "OBSERVE_ONLY", 72.0, 20.0, 20.0, 0.0, 0.0, "observe_service", None, None),
+    ("BACKGROUND_HELPER", "CANDIDATE", "CANDIDATE", 38.0, 62.0, 62.0, 0.50, 0.40, "observe_background_helper", 50.0, "lower_priority_or_trim_candidate"),
+    ("UNKNOWN", "CAUTIOUS", "CAUTIOUS", 58.0, 35.0, 35.0, 0.0, 0.0, "observe_unknown", None, None),
+)
+CLASS_REASONS = {
+    "SYSTEM_CRITICAL": "critical windows process",
+    "SECURITY": "security/antivirus process",
+    "BROWSER_CHILD": "browser background process",
+    "UPDATER_SYNC": "updater/sync style process",
+    "WINDOWS_SERVICE": "windows service context",
+    "UNKNOWN": "unknown process identity",
 }
-BUSY_RECOMMENDATIONS = (
-    ("BROWSER_CHILD", 55.0, "sleep_or_trim_candidate"),
-    ("UPDATER_SYNC", 45.0, "delay_or_lower_priority_candidate"),
-    ("BACKGROUND_HELPER", 50.0, "lower_priority_or_trim_candidate"),
-)
+
+
+def class_table(spark: SparkSession) -> DataFrame:
+    """The class dimension: one row per category and trust, 24 rows in all."""
+    rows = []
+    for name, safe, unsafe, weight, score, low, private, working, quiet, busy_at, busy in CLASSES:
+        rest = (private, working, quiet, busy_at, busy, CLASS_REASONS.get(name))
+        rows += [(name, True, safe, weight, score, *rest), (name, False, unsafe, weight, low, *rest)]
+    return spark.createDataFrame(
+        rows,
+        "category string, __trusted boolean, safety string, importance_score double, safety_score double, "
+        "__private double, __working double, __quiet string, __busy_at double, __busy string, __why string",
+    )
 
 
 def classify(df: DataFrame) -> DataFrame:
@@ -125,45 +127,35 @@ def classify(df: DataFrame) -> DataFrame:
             "__front": is_front,
             "__recent": F.array_contains("recent_pids", pid),
             "__family": shields & (same_name | ((pid == front) & (F.col("foreground_process") != "") & (name != ""))),
-            "__trusted": F.col("trusted_path") | F.col("signed_trusted"),
+            "__trusted": F.coalesce(F.col("trusted_path") | F.col("signed_trusted"), F.lit(False)),
             "waste_score": waste_score(),
             "is_foreground": F.col("is_foreground") | is_front,
             "is_system_critical": (pid <= 4) | named(name, CRITICAL_NAMES),
         }
     )
-    trusted, waste = F.col("__trusted"), F.col("waste_score")
     path = F.lower("exe_path")
     service = (F.col("session_id") == 0) | path.contains(SERVICE_PATHS[0]) | path.contains(SERVICE_PATHS[1])
-    df = df.withColumn(
-        "category",
-        S.first_match(
-            [
-                (F.col("is_system_critical"), "SYSTEM_CRITICAL"),
-                (named(name, SECURITY_NAMES, SECURITY_TOKENS), "SECURITY"),
-                (F.col("__front") & F.col("is_fullscreen"), "FOREGROUND_FULLSCREEN_APP"),
-                (F.col("is_foreground"), "FOREGROUND_APP"),
-                (F.col("__family"), "ACTIVE_APP_FAMILY"),
-                (F.col("__recent"), "RECENT_USER_APP"),
-                (F.col("has_visible_window"), "USER_APP"),
-                (named(name, BROWSER_NAMES), "BROWSER_CHILD"),
-                (S.has_any(F.lower(name), UPDATER_TOKENS), "UPDATER_SYNC"),
-                (service, "WINDOWS_SERVICE"),
-                (trusted, "BACKGROUND_HELPER"),
-            ],
-            "UNKNOWN",
-        ),
-    )
-    category = F.col("category")
-    column = lambda i: {c: row[i] for c, row in CLASS_TABLE.items()}
-    pick = lambda i: S.by_value(category, column(i), None)
-    gain = S.first_match(
+    category = S.first_match(
         [
-            (category == c, F.greatest(F.lit(0.0), F.least(F.col("private_mb") * a, F.col("working_set_mb") * b)))
-            for c, (a, b) in GAIN_SHARES.items()
+            (F.col("is_system_critical"), "SYSTEM_CRITICAL"),
+            (named(name, SECURITY_NAMES, SECURITY_TOKENS), "SECURITY"),
+            (F.col("__front") & F.col("is_fullscreen"), "FOREGROUND_FULLSCREEN_APP"),
+            (F.col("is_foreground"), "FOREGROUND_APP"),
+            (F.col("__family"), "ACTIVE_APP_FAMILY"),
+            (F.col("__recent"), "RECENT_USER_APP"),
+            (F.col("has_visible_window"), "USER_APP"),
+            (named(name, BROWSER_NAMES), "BROWSER_CHILD"),
+            (S.has_any(F.lower(name), UPDATER_TOKENS), "UPDATER_SYNC"),
+            (service, "WINDOWS_SERVICE"),
+            (F.col("__trusted"), "BACKGROUND_HELPER"),
         ],
-        0.0,
+        "UNKNOWN",
     )
-    busy = [((category == c) & (waste >= limit), text) for c, limit, text in BUSY_RECOMMENDATIONS]
+    # A one-element inline keeps the rule chain in one place: filters on the category are applied to
+    # its result instead of being pushed below it as another copy of the chain.
+    df = df.select("*", F.inline(F.array(F.struct(category.alias("category")))))
+    # A join, not a chain of conditions per output: filters on the outputs stay short expressions.
+    df = df.join(F.broadcast(class_table(df.sparkSession)), ["category", "__trusted"])
     io = F.col("io_read_kbps") + F.col("io_write_kbps")
     says = lambda condition, text: F.when(condition, F.lit(text))
     reasons = (
@@ -176,13 +168,8 @@ def classify(df: DataFrame) -> DataFrame:
         says(F.col("__recent"), "recently active user app"),
         F.when(F.col("__family"), F.concat(F.lit("same family as active "), F.col("app_kind"))),
         says(F.col("is_fullscreen") & F.col("__front"), "fullscreen foreground app"),
-        says(trusted, "trusted install path/signature"),
-        says(category == "SYSTEM_CRITICAL", "critical windows process"),
-        says(category == "SECURITY", "security/antivirus process"),
-        says(category == "BROWSER_CHILD", "browser background process"),
-        says(category == "UPDATER_SYNC", "updater/sync style process"),
-        says(category == "WINDOWS_SERVICE", "windows service context"),
-        says(category == "UNKNOWN", "unknown process identity"),
+        says(F.col("__trusted"), "trusted install path/signature"),
+        F.col("__why"),
     )
     role = (
         F.when(F.col("__front"), F.when(F.col("is_fullscreen"), "foreground_fullscreen").otherwise("foreground"))
@@ -190,19 +177,17 @@ def classify(df: DataFrame) -> DataFrame:
         .when(F.col("__recent"), "recent_app")
         .otherwise("none")
     )
+    gain = F.least(F.col("private_mb") * F.col("__private"), F.col("working_set_mb") * F.col("__working"))
     return df.withColumns(
         {
-            "safety": F.when(trusted, pick(0)).otherwise(pick(1)),
-            "importance_score": pick(2),
-            "safety_score": F.when(trusted, pick(3)).otherwise(pick(4)),
-            "expected_gain_mb": gain,
-            "recommendation": S.first_match(busy, S.by_value(category, RECOMMENDATIONS, "observe_unknown")),
+            "expected_gain_mb": F.greatest(F.lit(0.0), gain),
+            "recommendation": F.when(F.col("waste_score") >= F.col("__busy_at"), F.col("__busy")).otherwise(F.col("__quiet")),
             "reason": F.concat_ws(", ", *reasons),
             "is_recently_active": F.col("__recent"),
             "matches_user_intent": F.col("__front") | F.col("__recent") | F.col("__family"),
             "intent_role": role,
         }
-    ).drop("__front", "__recent", "__family", "__trusted")
+    ).drop(*[c for c in df.columns if c.startswith("__")])
 
 
 def pressure_rank() -> Column:
