@@ -37,9 +37,7 @@ def sample_rows(metric_rows: DataFrame) -> DataFrame:
 
 def summarize(samples: DataFrame, groups: Sequence[str], value: str = "sample") -> DataFrame:
     """Count, median, p95, p99 (linear interpolation) and mean per group."""
-    quantiles = exact_quantiles(samples, groups, value, QUANTILES)
-    means = samples.groupBy(*groups).agg(F.avg(value).alias("mean"))
-    return quantiles.join(means, list(groups))
+    return exact_quantiles(samples, groups, value, QUANTILES, {"mean": F.avg(value)})
 
 
 def run_p95(samples: DataFrame, groups: Sequence[str] = GROUP) -> DataFrame:

@@ -36,11 +36,11 @@ def cut_episodes(
     """Frames with ``episode_index`` (per key), ``boundary_reason`` on first frames, and two flags.
 
     A boundary is a gap above the limit, else a change of session, phase or foreground, in that
-    order. ``early`` marks the first frames of an episode that feed its baseline; ``out_of_order``
-    marks a clock that did not advance.
+    order. ``early`` marks the first frames of an episode that feed its baseline, ``next_reason`` is
+    the boundary reason of the next frame, and ``out_of_order`` marks a clock that did not advance.
     """
     clock = order[0]
-    seq = Ordered(frames, keys, order, slot=slot, before=max(1, rules.baseline_frames - 1))
+    seq = Ordered(frames, keys, order, slot=slot, before=max(2, rules.baseline_frames), after=1)
     here = F.struct(
         F.col(clock).alias("t"),
         F.col(session).alias("session"),
@@ -68,7 +68,12 @@ def cut_episodes(
         }
     )
     seq.with_columns({"__edge": F.col("boundary_reason").isNotNull().cast("int")})
-    seq.with_columns({"early": F.max("__edge").over(seq.rows(-(rules.baseline_frames - 1), 0)) == 1})
+    seq.with_columns(
+        {
+            "early": F.max("__edge").over(seq.rows(-(rules.baseline_frames - 1), 0)) == 1,
+            "next_reason": F.lead("boundary_reason").over(seq.window),
+        }
+    )
     seq.cumulate({"episode_index": ("sum", F.col("__edge"))})
     return seq.result().withColumn("episode_index", F.col("episode_index") - 1).drop("__here", "__before", "__edge")
 
@@ -97,7 +102,6 @@ def episodes(
     last_columns: Sequence[str] = (),
     collectors: str | None = None,
     rules: EpisodeRules = EpisodeRules(),
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """One row per episode of ``cut_episodes`` output.
 
@@ -114,6 +118,8 @@ def episodes(
         F.max(clock).alias("end_t"),
         F.count(F.lit(1)).alias("frame_count"),
         F.max("boundary_reason").alias("start_reason"),
+        # Only the last frame of an episode is followed by a boundary, or by nothing.
+        F.coalesce(F.max("next_reason"), F.lit("input_exhausted")).alias("end_reason"),
         *[F.min_by(c, position).alias(c) for c in first_columns],
         *[F.max_by(c, position).alias(c) for c in last_columns],
         *[F.sort_array(F.collect_list(F.when(F.col("early"), F.col(c)))).alias(f"__{c}") for c in resources],
@@ -130,21 +136,14 @@ def episodes(
     rows = rows.withColumns(merged(baseline_columns(c, F.col(f"__{c}")) for c in resources))
     rows = rows.withColumns({f"__g_{c}": array_gaps(F.col(f"__{c}"), F.col(f"{c}_median")) for c in resources})
     rows = rows.withColumns({f"{c}_mad": array_median(F.col(f"__g_{c}")) for c in resources})
-    # The end reason of an episode is the start reason of the next one.
-    seq = Ordered(rows, keys, ["start_t", "episode_index"], slot=slot, after=1)
-    seq.with_columns({"end_reason": F.coalesce(F.lead("start_reason").over(seq.window), F.lit("input_exhausted"))})
-    return (
-        seq.result()
-        .withColumns(
-            {
-                "observation_interval": F.col("end_t") - F.col("start_t"),
-                "outcome_interval": F.lit(rules.outcome_interval),
-                "valid": (F.col("frame_count") >= rules.min_frames) & (F.size("failed_collectors") == 0),
-                "positive_interval": F.col("end_t") > F.col("start_t"),
-            }
-        )
-        .drop(*[f"__{k}{c}" for k in ("", "g_") for c in resources])
-    )
+    return rows.withColumns(
+        {
+            "observation_interval": F.col("end_t") - F.col("start_t"),
+            "outcome_interval": F.lit(rules.outcome_interval),
+            "valid": (F.col("frame_count") >= rules.min_frames) & (F.size("failed_collectors") == 0),
+            "positive_interval": F.col("end_t") > F.col("start_t"),
+        }
+    ).drop(*[f"__{k}{c}" for k in ("", "g_") for c in resources])
 
 
 def failed_collectors(frames: DataFrame, ids: Sequence[str], health: str) -> DataFrame:
@@ -169,30 +168,25 @@ def context_episodes(
     stays OPEN. The second frame has one row per captured sample, with its episode.
     """
     clock = order[0]
-    seq = Ordered(samples, keys, order, slot=slot, before=1)
+    seq = Ordered(samples, keys, order, slot=slot, before=1, after=1)
     seq.with_columns({"__ctx": F.struct(phase, behaviour)})
-    before = F.lag("__ctx").over(seq.window)
-    seq.with_columns({"__edge": (before.isNull() | ~before.eqNullSafe(F.col("__ctx"))).cast("int")})
+    before, after = F.lag("__ctx").over(seq.window), F.lead("__ctx").over(seq.window)
+    # The last sample of an episode sees the start of the next one.
+    ends = F.when(after.isNotNull() & ~after.eqNullSafe(F.col("__ctx")), F.lead(clock).over(seq.window))
+    seq.with_columns({"__edge": (before.isNull() | ~before.eqNullSafe(F.col("__ctx"))).cast("int"), "__closed": ends})
     seq.cumulate({"episode_index": ("sum", F.col("__edge"))})
-    placed = seq.result().drop("__ctx")
+    placed = seq.result().drop("__ctx", "__edge")
     rows = placed.groupBy(*keys, "episode_index").agg(
         F.min(clock).alias("started_at"),
+        F.coalesce(F.max("__closed"), F.min(clock)).alias("ended_at"),
+        F.when(F.max("__closed").isNull(), "OPEN").otherwise("WORKLOAD_OR_FOREGROUND_CHANGE").alias("end_reason"),
         F.min_by(phase, F.struct(*order)).alias(phase),
         F.min_by(behaviour, F.struct(*order)).alias(behaviour),
         F.count(F.lit(1)).alias("samples"),
         F.sum(captured.cast("int")).alias("captures"),
     )
-    nxt = Ordered(rows, keys, ["started_at", "episode_index"], slot=slot, after=1)
-    nxt.with_columns({"__next": F.lead("started_at").over(nxt.window)})
-    closed = nxt.result().withColumns(
-        {
-            "ended_at": F.coalesce("__next", "started_at"),
-            "end_reason": F.when(F.col("__next").isNull(), "OPEN").otherwise("WORKLOAD_OR_FOREGROUND_CHANGE"),
-            "start_reason": F.when(F.col("episode_index") == 1, "INITIAL").otherwise("CHANGED_CONTEXT"),
-        }
-    )
-    summaries = placed.where(captured).drop("__edge")
-    return closed.drop("__next"), summaries
+    closed = rows.withColumn("start_reason", F.when(F.col("episode_index") == 1, "INITIAL").otherwise("CHANGED_CONTEXT"))
+    return closed, placed.where(captured).drop("__closed")
 
 
 def collector_status(ready: Column, within_budget: Column, captured: Column) -> Column:

@@ -7,12 +7,12 @@ a bucket is a window over one bucket only. Results are exact: the cut points onl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefleet.session import RowBudget
+from pulsefleet.session import RowBudget, checkpointed
 
 BUCKETS = 256
 TIE_SLICES = 64
@@ -54,6 +54,7 @@ def prefix_sums(
         elif (largest or 0) <= min(budget.segment_rows, 100_000):
             cuts = []
         else:
+            df = checkpointed(df)  # read for the cuts, the bucket totals and the ranks
             cuts = cut_points(df, value)
     before = Window.unboundedPreceding
     if not cuts:
@@ -111,15 +112,23 @@ def _largest(df: DataFrame, groups: Sequence[str]) -> int:
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame,
+    groups: Sequence[str],
+    value: str,
+    probs: Mapping[str, float],
+    extras: Mapping[str, Column] | None = None,
+) -> DataFrame:
     """Linearly interpolated quantiles per group, exact for groups of any size.
 
     ``percentile`` keeps the distinct values of a group in one task, so it is used where the largest
     group is small, first on the rows and then on values compressed with their counts. Beyond that
-    the prefix sums above find the two neighbours of each position.
+    the prefix sums above find the two neighbours of each position. ``extras`` are further aggregates
+    of the rows, computed in the same pass where that is possible.
     """
+    extras = extras or {}
     if not groups:
-        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs)
+        whole = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, extras)
         return whole.drop("__all")
     groups = list(groups)
     source = df.where(F.col(value).isNotNull())
@@ -127,12 +136,20 @@ def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dic
     wanted = F.array(*[F.lit(float(p)) for p in probs.values()])
     unpack = [F.get("__q", i).alias(n) for i, n in enumerate(probs)]
     if _largest(source, groups) <= limit:
-        packed = source.groupBy(*groups).agg(F.percentile(value, wanted).alias("__q"), F.count(F.lit(1)).alias("count"))
-        return packed.select(*groups, "count", *unpack)
+        packed = source.groupBy(*groups).agg(
+            F.percentile(value, wanted).alias("__q"),
+            F.count(F.lit(1)).alias("count"),
+            *[c.alias(n) for n, c in extras.items()],
+        )
+        return packed.select(*groups, "count", *unpack, *extras)
+    if extras:
+        also = source.groupBy(*groups).agg(*[c.alias(n) for n, c in extras.items()])
+        return exact_quantiles(source, groups, value, probs).join(also, groups)
     counts = source.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
     if _largest(counts, groups) <= limit:
         packed = counts.groupBy(*groups).agg(F.percentile(value, wanted, F.col("__n")).alias("__q"), F.sum("__n").alias("count"))
         return packed.select(*groups, "count", *unpack)
+    counts = checkpointed(counts)
     ranked = prefix_sums(counts, groups, value, ["__n"], cut_points(counts, value))
     totals = counts.groupBy(*groups).agg(F.sum("__n").alias("count"))
     ranked = ranked.join(totals, groups)

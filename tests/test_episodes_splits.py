@@ -21,7 +21,7 @@ def frames(spark, rows):
 def build(spark, rows, **rules):
     rules = E.EpisodeRules(**rules)
     cut = E.cut_episodes(frames(spark, rows), ["device_id"], ["t"], "session", "phase", ["behavior", "app"], rules, slot=1000)
-    made = E.episodes(cut, ["device_id"], ["t"], ["cpu"], collectors="health", rules=rules, slot=1000)
+    made = E.episodes(cut, ["device_id"], ["t"], ["cpu"], collectors="health", rules=rules)
     return made.orderBy("start_t").collect()
 
 
