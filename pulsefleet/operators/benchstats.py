@@ -225,6 +225,8 @@ def run_plan(
     variants: Sequence[str] = (BASELINE_VARIANT, SUBJECT_VARIANT),
     repetitions: int = 10,
     seed: int = 20260711,
+    known: Sequence[str] = VARIANTS,
+    subject: str = SUBJECT_VARIANT,
 ) -> DataFrame:
     """Balanced plan: each device runs every scenario, run type, iteration and variant.
 
@@ -233,9 +235,9 @@ def run_plan(
     """
     if repetitions < 2:
         raise ValueError("repetitions must be at least 2")
-    if BASELINE_VARIANT not in variants or SUBJECT_VARIANT not in variants:
+    if BASELINE_VARIANT not in variants or subject not in variants:
         raise ValueError("a plan needs the baseline and the subject variant")
-    if set(variants) - set(VARIANTS) or set(scenarios) - set(SCENARIOS):
+    if set(variants) - set(known) or set(scenarios) - set(SCENARIOS):
         raise ValueError("unknown variant or scenario")
     each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
     cells = (

@@ -519,7 +519,7 @@ def d45_event_ewma(spark, folder):
 
 # -- benchmark runs -------------------------------------------------------------------------
 
-_VARIANT = {"N": "windows_baseline", "A": "predictive_autoheal", "R": "process_lasso"}
+_VARIANT = {"N": "windows_baseline", "A": "subject_optimizer", "R": "process_lasso"}
 
 
 def bench_samples(spark, folder):
@@ -571,7 +571,7 @@ def bench_runs(spark, folder):
 
 BENCH = """
 smp AS (SELECT CASE WHEN l_linestatus = 'O' THEN 'coding' ELSE 'gaming' END AS scenario, CASE WHEN l_linenumber <= 3 THEN 'cold' ELSE 'warm' END AS run_type,
-  CASE l_returnflag WHEN 'N' THEN 'windows_baseline' WHEN 'A' THEN 'predictive_autoheal' ELSE 'process_lasso' END AS variant, l_orderkey % 12 AS iteration,
+  CASE l_returnflag WHEN 'N' THEN 'windows_baseline' WHEN 'A' THEN 'subject_optimizer' ELSE 'process_lasso' END AS variant, l_orderkey % 12 AS iteration,
   l_extendedprice * CASE l_returnflag WHEN 'A' THEN 0.4::DOUBLE WHEN 'R' THEN 0.9::DOUBLE ELSE 1.0::DOUBLE END AS sample,
   CASE WHEN l_returnflag = 'R' AND l_quantity >= 50 THEN 1 ELSE 0 END AS crashes, l_discount * 10 AS cpu, l_tax * 500 AS memory FROM lineitem)"""
 RUN_P95 = "p95 AS (SELECT scenario, run_type, variant, iteration, quantile_cont(sample, 0.95) AS p95 FROM smp GROUP BY ALL)"
@@ -690,7 +690,7 @@ def bench_records(spark, folder):
         F.when(k % 37 == 0, " ").otherwise(F.concat_ws("-", F.col("l_suppkey"), F.col("l_linenumber"))).alias("run_id"),
         F.lit("lab").alias("device_id"),
         F.when(k % 41 == 0, "cooking").otherwise(known).alias("scenario"),
-        F.when(k % 2 == 0, "windows_baseline").otherwise("predictive_autoheal").alias("variant"),
+        F.when(k % 2 == 0, "windows_baseline").otherwise("subject_optimizer").alias("variant"),
         F.when(k % 3 == 0, "cold").otherwise("warm").alias("run_type"),
         F.when(k % 43 == 0, -1).otherwise((k % 10).cast("int")).alias("iteration"),
         F.lit(1).alias("order_index"),
@@ -749,11 +749,11 @@ def a4_metric_rows(spark, folder):
     """SELECT 'c' || c_custkey || '-' || sc || '-' || rt || '-' || lpad(CAST(it AS VARCHAR), 3, '0') || '-' || v AS run_id, sc AS scenario, v AS variant, rt AS run_type,
  CAST(it AS INT) AS iteration, CAST(row_number() OVER (PARTITION BY c_custkey, sc, rt, it ORDER BY md5('42|c' || c_custkey || '|' || sc || '|' || rt || '|' || it || '|' || v)) AS INT) AS order_index
 FROM customer, (SELECT unnest(['coding', 'gaming']) AS sc), (SELECT unnest(['cold', 'warm']) AS rt), range(1, 3) AS s(it),
- (SELECT unnest(['windows_baseline', 'predictive_autoheal', 'process_lasso']) AS v)""",
+ (SELECT unnest(['windows_baseline', 'subject_optimizer', 'process_lasso']) AS v)""",
 )
 def a13_run_plan(spark, folder):
     devices = table(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("device_id"))
-    plan = B.run_plan(devices, ["coding", "gaming"], ["windows_baseline", "predictive_autoheal", "process_lasso"], 2, 42)
+    plan = B.run_plan(devices, ["coding", "gaming"], ["windows_baseline", "subject_optimizer", "process_lasso"], 2, 42)
     return plan.select("run_id", "scenario", "variant", "run_type", "iteration", "order_index")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefleet.operators.quality import benchmark_rules, duplicate_ids, with_errors
+from pulsefleet.operators.quality import VARIANTS, benchmark_rules, duplicate_ids, with_errors
 from pulsefleet.operators.windows import SERIES, WINDOW
 
 METRIC_DEFAULTS = {
@@ -53,7 +53,7 @@ BENCHMARK_RUN = (
 )
 
 
-def read_benchmark_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_benchmark_runs(spark: SparkSession, path: str, variants: Sequence[str] = VARIANTS) -> tuple[DataFrame, DataFrame]:
     """(valid runs, rejected lines) of a JSON-lines file or folder.
 
     Blank lines are skipped. A line that is not an object, breaks the contract, or repeats a run id
@@ -70,7 +70,7 @@ def read_benchmark_runs(spark: SparkSession, path: str) -> tuple[DataFrame, Data
     )
     rows = parsed.select("value", "r.*")
     fields = [c for c in rows.columns if c not in ("value", "_corrupt")]
-    checked = with_errors(rows, [("malformed", F.col("_corrupt").isNotNull()), *benchmark_rules()])
+    checked = with_errors(rows, [("malformed", F.col("_corrupt").isNotNull()), *benchmark_rules(variants=variants)])
     repeated = duplicate_ids(rows.where(F.col("run_id").isNotNull()), "run_id").select("run_id", F.lit(True).alias("__dup"))
     checked = checked.join(repeated, "run_id", "left").withColumn(
         "errors", F.when(F.col("__dup"), F.array_append("errors", F.lit("duplicate_run_id"))).otherwise(F.col("errors"))

@@ -162,12 +162,12 @@ def test_global_rank_with_heavy_ties(spark, monkeypatch):
 def bench_rows(spark, crash=0, notes=""):
     samples, runs = [], []
     for i in range(1, 11):
-        for variant, base in (("windows_baseline", 100.0), ("predictive_autoheal", 35.0)):
+        for variant, base in (("windows_baseline", 100.0), ("subject_optimizer", 35.0)):
             run = f"{variant}-{i}"
             for s in range(5):
                 samples.append(("d", "coding", "warm", "latency", variant, i, run, "ms", "lower", base + s * (10 if base == 100 else 5)))
-            c = crash if variant == "predictive_autoheal" and i == 1 else 0
-            position = 1 + (i + (variant == "predictive_autoheal")) % 2
+            c = crash if variant == "subject_optimizer" and i == 1 else 0
+            position = 1 + (i + (variant == "subject_optimizer")) % 2
             runs.append(("d", "coding", "warm", "latency", variant, run, i, position, c, 0, 0, 0, 2.0, 4, 100.0, 4, notes, "b", "AC", "COOL"))
     return (
         spark.createDataFrame(samples, "device_id string, scenario string, run_type string, metric string, variant string, iteration int, run_id string, unit string, direction string, sample double"),
