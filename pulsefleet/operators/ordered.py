@@ -17,6 +17,7 @@ When no key is heavy (one small aggregate decides), the plan is the plain single
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ class Ordered:
 
     # -- bounded frames ---------------------------------------------------------------------
 
-    @property
+    @cached_property
     def window(self):
         return Window.partitionBy(*self.parts).orderBy(*self.order)
 

@@ -304,6 +304,53 @@ def a1_read_metrics(spark, folder):
     return metrics_view(stored).select("device_id", "seq", r("cpu").alias("cpu"), r("net").alias("net"), "process_count", "top_process", "scenario_label")
 
 
+@query(
+    "a6_runtime_windows",
+    """SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 'disk_history too short' END AS error, CASE WHEN vec_id % 9 <> 0 THEN round(list_avg(v[-8:]), 6) + 0 END AS cpu_mean,
+ CASE WHEN vec_id % 9 <> 0 THEN round(v[1], 6) + 0 END AS mem_last, CASE WHEN vec_id % 9 <> 0 THEN 0.0::DOUBLE END AS net_max FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)""",
+)
+def a6_runtime_windows(spark, folder):
+    """Parallel history arrays as model windows; an absent series is zeros, a short one is an error."""
+    from pulsefleet.sources.files import window_rows, window_values
+
+    v = F.col("embedding").cast("array<double>")
+    packets = table(spark, folder, "embeddings").select(
+        "vec_id", v.alias("cpu_history"), F.reverse(v).alias("mem_history"), F.when(F.col("vec_id") % 9 == 0, F.slice(v, 1, 7)).otherwise(v).alias("disk_history")
+    )
+    rows = window_rows(packets)
+    f = W.feature_columns(window_values())
+    only = lambda c: F.when(F.col("error").isNull(), r(c))
+    return rows.select("vec_id", "error", only(f["cpu_mean"]).alias("cpu_mean"), only(f["mem_last"]).alias("mem_last"), only(f["net_max"]).alias("net_max"))
+
+
+@query(
+    "a12_device_export",
+    """SELECT CAST(l_orderkey AS VARCHAR) AS episode_id, l_orderkey * 10 + l_linenumber AS observed_at, l_quantity AS cpu_percent, l_discount AS memory_percent, l_tax AS disk_free_percent,
+ l_extendedprice AS network_down_kbps, 0.0::DOUBLE AS network_up_kbps, l_linenumber AS process_count, l_returnflag AS collector_health FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_custkey = 7""",
+)
+def a12_device_export(spark, folder):
+    """The rows of a device's CSV export, in time order."""
+    from pulsefleet.sources.sinks import device_export
+
+    key = F.col("l_orderkey")
+    summaries = table(spark, folder, "lineitem").select(
+        key.cast("string").alias("episode_id"), (key * 10 + F.col("l_linenumber")).alias("observed_at"), F.col("l_quantity").alias("cpu_percent"), F.col("l_discount").alias("memory_percent"),
+        F.col("l_tax").alias("disk_free_percent"), F.col("l_extendedprice").alias("network_down_kbps"), F.lit(0.0).alias("network_up_kbps"), F.col("l_linenumber").alias("process_count"),
+        F.col("l_returnflag").alias("collector_health"),
+    )
+    episodes = table(spark, folder, "orders").select(F.col("o_orderkey").cast("string").alias("episode_id"), F.col("o_custkey").cast("string").alias("device_id"))
+    return device_export(summaries, episodes, "7")
+
+
+@query("a15_event_log", "SELECT CAST(json_extract_string(props, '$.k') AS INT) AS k, count(*) AS entries FROM events GROUP BY 1")
+def a15_event_log(spark, folder):
+    """JSON lines of text fields read into typed columns."""
+    from pulsefleet.sources.files import event_log
+
+    lines = table(spark, folder, "events").select(F.col("props").alias("value"))
+    return event_log(lines, ["k", "missing"], {"k": "int"}).groupBy("k").agg(F.count(F.lit(1)).alias("entries"))
+
+
 @query(
     "a3_conform_columns",
     "SELECT c_custkey AS device_id, c_name AS platform, round(c_acctbal, 2) AS balance, 3 AS schema_version, 'UNKNOWN' AS gpu_tier FROM customer",
