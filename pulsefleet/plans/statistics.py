@@ -257,13 +257,14 @@ s AS (SELECT CASE WHEN grouping(slice) = 1 THEN 'global' ELSE slice END AS suppo
     + ", " + clopper_pearson_sql("resolved_episodes", "eligible_episodes", "s", "support_slice", "c2")
     + ", " + clopper_pearson_sql("critical_detected", "critical_events", "s", "support_slice", "c3")
     + ", " + clopper_pearson_sql("severe_harmful_actions", "committed_actions", "s", "support_slice", "c4")
-    + f"""SELECT s.*, round(x1.lower, 6) + 0.0::DOUBLE AS correct_lower_bound, round(x2.lower, 6) + 0.0::DOUBLE AS coverage_lower_bound,
- round(x3.lower, 6) + 0.0::DOUBLE AS critical_recall_lower_bound, round(x4.upper, 6) + 0.0::DOUBLE AS severe_harm_upper_bound,
- concat_ws(',', CASE WHEN x1.lower < 0.99 THEN 'correct_outcome_lower_bound_failed' END, CASE WHEN x2.lower < 0.70 THEN 'coverage_lower_bound_failed' END,
-  CASE WHEN x3.lower < 0.97 THEN 'critical_recall_lower_bound_failed' END, CASE WHEN x4.upper >= 0.001 THEN 'severe_harm_upper_bound_failed' END) AS failures,
- 'NOT_CERTIFIED' AS status
-FROM s JOIN {_bounds_select('c1')} x1 USING (support_slice) JOIN {_bounds_select('c2')} x2 USING (support_slice)
- JOIN {_bounds_select('c3')} x3 USING (support_slice) JOIN {_bounds_select('c4')} x4 USING (support_slice)""",
+    + f"""SELECT * EXCLUDE (l1, l2, l3, u4), round(l1, 6) + 0.0::DOUBLE AS correct_lower_bound, round(l2, 6) + 0.0::DOUBLE AS coverage_lower_bound,
+ round(l3, 6) + 0.0::DOUBLE AS critical_recall_lower_bound, round(u4, 6) + 0.0::DOUBLE AS severe_harm_upper_bound,
+ concat_ws(',', CASE WHEN eligible_episodes = 0 THEN 'no_eligible_episodes' END, CASE WHEN resolved_episodes = 0 THEN 'no_resolved_episodes' WHEN l1 < 0.99 THEN 'correct_outcome_lower_bound_failed' END,
+  CASE WHEN eligible_episodes > 0 AND l2 < 0.70 THEN 'coverage_lower_bound_failed' END, CASE WHEN critical_events = 0 THEN 'no_critical_user_impact_episodes' WHEN l3 < 0.97 THEN 'critical_recall_lower_bound_failed' END,
+  CASE WHEN committed_actions = 0 THEN 'no_committed_action_evidence' WHEN u4 >= 0.001 THEN 'severe_harm_upper_bound_failed' END, CASE WHEN rollback_attempts = 0 THEN 'no_injected_rollback_evidence' END) AS failures,
+ 'NOT_CERTIFIED' AS status FROM (SELECT s.*, coalesce(x1.lower, 0) AS l1, coalesce(x2.lower, 0) AS l2, coalesce(x3.lower, 0) AS l3, coalesce(x4.upper, 1) AS u4
+FROM s LEFT JOIN {_bounds_select('c1')} x1 USING (support_slice) LEFT JOIN {_bounds_select('c2')} x2 USING (support_slice)
+ LEFT JOIN {_bounds_select('c3')} x3 USING (support_slice) LEFT JOIN {_bounds_select('c4')} x4 USING (support_slice))""",
 )
 def d27_slice_certification(spark, folder):
     report = V.certify_slices(certification_episodes(spark, folder))
