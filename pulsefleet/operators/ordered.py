@@ -28,12 +28,14 @@ HOUR_US = 3_600_000_000
 
 SEG, HALO, HEAVY = "__seg", "__halo", "__heavy"
 _HELPERS = (SEG, HALO, HEAVY)
+SLOTS_PER_SEGMENT = 8
 
 
 class Ordered:
     """Rows of ``df`` per ``keys`` in the total order ``order``.
 
-    time    numeric column that leads ``order``; histogram slots are ``slot`` of its units wide
+    time    numeric column that leads ``order``
+    slot    widest histogram slot in its units; heavy keys make the slots finer
     before  rows before the current one that any frame reads
     after   rows after the current one that any frame reads
     """
@@ -66,18 +68,22 @@ class Ordered:
             )
             .where(F.col("__n") > self.rows_per_segment)
         )
+        span, pieces = F.col("__hi") - F.col("__lo"), F.ceil(F.col("__n") / self.rows_per_segment)
         found = heavy.agg(
             F.count(F.lit(1)).alias("keys"),
-            F.sum(F.least(F.col("__n"), F.floor((F.col("__hi") - F.col("__lo")) / slot) + 2)).alias("slots"),
-            F.sum(F.ceil(2 * F.col("__n") / self.rows_per_segment) + 1).alias("segments"),
+            F.sum(span).alias("span"),
+            F.min(F.floor(span / (SLOTS_PER_SEGMENT * pieces))).alias("fine"),
+            F.sum(2 * pieces + 1).alias("segments"),
         ).first()
         self.split = found["keys"] > 0
         self._carry_fits = self.split and found["segments"] <= budget.broadcast_rows
         self.parts = self.keys + [SEG] if self.split else self.keys
         self.df = df
         if self.split:
-            small = found["slots"] <= budget.broadcast_rows
-            self.df = self._segmented(df, heavy.select(*self.keys), before, after, small)
+            # Slots must be much finer than segments for every heavy key.
+            self.slot = max(1, min(slot, int(found["fine"])))
+            slots = found["span"] / self.slot + 2 * found["keys"]
+            self.df = self._segmented(df, heavy.select(*self.keys), before, after, slots <= budget.broadcast_rows)
 
     # -- segments ---------------------------------------------------------------------------
 

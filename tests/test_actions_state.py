@@ -162,11 +162,12 @@ def test_window_features_of_the_contract_case(spark):
     assert W.window_features(df.where("t < 7"), ["device_id"], ["t"], slot=100).count() == 0
 
 
-def test_segments_cover_every_row_once(spark, small_segments):
+@pytest.mark.parametrize("slot", [10, 10**9])
+def test_segments_cover_every_row_once(spark, small_segments, slot):
     rows = [("hot", t, t % 7) for t in range(1000)] + [("hot", 5000, 1)] * 90 + [("cold", t, 1) for t in range(20)]
     df = spark.createDataFrame(rows, "k string, t long, v long").withColumn("i", F.monotonically_increasing_id())
-    seq = Ordered(df, ["k"], ["t", "i"], slot=10, before=7, after=5)
-    assert seq.split
+    seq = Ordered(df, ["k"], ["t", "i"], slot=slot, before=7, after=5)
+    assert seq.split and seq.df.select("__seg").distinct().count() > 5
     seq.with_columns({"n": F.count(F.lit(1)).over(seq.rows(-7, 0)), "m": F.count(F.lit(1)).over(seq.rows(1, 5))})
     seq.cumulate({"total": ("sum", F.col("v")), "place": ("sum", F.lit(1))})
     out = seq.result()
