@@ -68,8 +68,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for written intermediate tables: a new one below the checkpoint folder."""
+    """Folder for written intermediate tables: a new one below the checkpoint folder.
+
+    The application owns it: Hadoop's file system removes it when the application ends.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         checkpointed(spark.range(1))
-    return f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = context._jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/tables/{uuid.uuid4().hex}")
+    files = path.getFileSystem(context._jsc.hadoopConfiguration())
+    files.mkdirs(path.getParent())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    files.delete(path, True)
+    return path.toString()
