@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions.scoring import first_match
-from pulsefleet.operators.ordered import HOUR_US, Ordered
+from pulsefleet.operators.ordered import Ordered
 from pulsefleet.operators.windows import array_at, array_gaps, array_median
 
 BAD_COLLECTOR = ("UNAVAILABLE", "FAILED", "INVALID")
@@ -31,7 +31,6 @@ def cut_episodes(
     phase: str,
     foreground: Sequence[str],
     rules: EpisodeRules = EpisodeRules(),
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Frames with ``episode_index`` (per key), ``boundary_reason`` on first frames, and two flags.
 
@@ -40,7 +39,7 @@ def cut_episodes(
     the boundary reason of the next frame, and ``out_of_order`` marks a clock that did not advance.
     """
     clock = order[0]
-    seq = Ordered(frames, keys, order, slot=slot, before=max(2, rules.baseline_frames), after=1)
+    seq = Ordered(frames, keys, order, before=max(2, rules.baseline_frames), after=1)
     here = F.struct(
         F.col(clock).alias("t"),
         F.col(session).alias("session"),
@@ -160,7 +159,6 @@ def context_episodes(
     phase: str,
     behaviour: str,
     captured: Column,
-    slot: int = HOUR_US,
 ) -> tuple[DataFrame, DataFrame]:
     """Episodes that change with phase or behaviour (no gap rule), and the captured samples.
 
@@ -168,7 +166,7 @@ def context_episodes(
     stays OPEN. The second frame has one row per captured sample, with its episode.
     """
     clock = order[0]
-    seq = Ordered(samples, keys, order, slot=slot, before=1, after=1)
+    seq = Ordered(samples, keys, order, before=1, after=1)
     seq.with_columns({"__ctx": F.struct(phase, behaviour)})
     before, after = F.lag("__ctx").over(seq.window), F.lead("__ctx").over(seq.window)
     # The last sample of an episode sees the start of the next one.

@@ -42,6 +42,12 @@ def descendants(
     return seen
 
 
+def foreground_family(edges: DataFrame, intents: DataFrame, tick: Sequence[str]) -> DataFrame:
+    """The foreground process of each tick and its descendants. Pid 0 is no process: it starts no family."""
+    roots = intents.where(F.col("foreground_pid") != 0).select(*tick, F.col("foreground_pid").alias("node"))
+    return descendants(edges, roots, tick)
+
+
 def family_edges(processes: DataFrame, family: DataFrame, tick: Sequence[str]) -> DataFrame:
     """Parent-child edges whose parent runs in the tick; weight 1.0 inside the foreground family."""
     tick = list(tick)

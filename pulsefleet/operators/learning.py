@@ -14,7 +14,6 @@ from pulsefleet.functions import scoring as S
 RIDGE = 1.0
 EXPLORATION = 1.0
 REWARD_LIMIT = 2.0
-MODEL_LIMIT = 10_000
 
 
 def reward_statistics(samples: DataFrame, action: str = "action", vector: str = "x", reward: str = "reward") -> DataFrame:
@@ -85,51 +84,55 @@ def solve_models(statistics: DataFrame, ridge: float = RIDGE) -> DataFrame:
 def predict(contexts: DataFrame, models: DataFrame, action: str, vector: str, ridge: float = RIDGE, exploration: float = EXPLORATION) -> DataFrame:
     """Expected reward, uncertainty, lower bound and whether the action is well known.
 
-    The models are a few small records (checked), shipped with the task; an action without a model
-    is scored by the ridge prior.
+    Models are joined by action, so any number of actions will do; Spark broadcasts them while they are
+    small. An action without a model is scored by the ridge prior.
     """
-    kept = models.limit(MODEL_LIMIT + 1).collect()
-    if len(kept) > MODEL_LIMIT:
-        raise ValueError("too many actions for one model set; partition the actions")
-    known = {m["action"]: (int(m["n"]), np.asarray(m["weights"]), np.asarray(m["inverse"])) for m in kept}
-
-    @F.pandas_udf("expected double, uncertainty double, observations long")
-    def score(actions: pd.Series, vectors: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"expected": 0.0, "uncertainty": 0.0, "observations": 0}, index=actions.index)
-        for name in actions.unique():
-            at = (actions == name).to_numpy()
-            x = np.vstack(vectors[at].to_numpy())
+
+    @F.pandas_udf("expected double, uncertainty double")
+    def score(vectors: pd.Series, weights: pd.Series, inverses: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(vectors), 2))
+        # Rows of one action share a model: the product of a batch is taken once per model.
+        models = weights.map(lambda w: None if w is None else w.tobytes())
+        for _, at in vectors.groupby(models.fillna(b"").to_numpy(), sort=False).indices.items():
+            x = np.vstack(vectors.iloc[at].to_numpy())
             d = x.shape[1]
-            n, w, inverse = known.get(name, (0, np.zeros(d), (np.eye(d) / ridge).ravel()))
-            inverse = inverse.reshape(d, d)
-            out.loc[at, "expected"] = x @ w
-            out.loc[at, "uncertainty"] = np.sqrt(np.maximum(0.0, np.einsum("ij,jk,ik->i", x, inverse, x)))
-            out.loc[at, "observations"] = n
-        return out
-
-    scored = contexts.withColumn("__p", score(F.col(action), F.col(vector).cast("array<double>")))
+            w, inverse = weights.iloc[at[0]], inverses.iloc[at[0]]
+            w = np.zeros(d) if w is None else w
+            inverse = np.eye(d) / ridge if inverse is None else inverse.reshape(d, d)
+            out[at, 0] = x @ w
+            out[at, 1] = np.sqrt(np.maximum(0.0, np.einsum("ij,jk,ik->i", x, inverse, x)))
+        return pd.DataFrame(out, columns=["expected", "uncertainty"])
+
+    known = models.select(
+        F.col("action").alias("__action"), F.col("n").alias("__n"), F.col("weights").alias("__w"), F.col("inverse").alias("__i")
+    )
+    joined = contexts.join(known, contexts[action].eqNullSafe(known["__action"]), "left")
+    scored = joined.withColumn("__p", score(F.col(vector).cast("array<double>"), "__w", "__i"))
+    observations = F.coalesce("__n", F.lit(0))
     return scored.withColumns(
         {
             "expected_reward": F.col("__p.expected"),
             "uncertainty": F.col("__p.uncertainty"),
             "lower_bound": F.col("__p.expected") - exploration * F.col("__p.uncertainty"),
-            "observations": F.col("__p.observations"),
-            "sufficiently_known": (F.col("__p.observations") >= 20) & (F.col("__p.uncertainty") <= 0.75),
+            "observations": observations,
+            "sufficiently_known": (observations >= 20) & (F.col("__p.uncertainty") <= 0.75),
         }
-    ).drop("__p")
+    ).drop("__p", "__action", "__n", "__w", "__i")
 
 
 def shadow_choice(
-    scored: DataFrame, decision: Sequence[str], ordinal: str, required: float = 0.05, minimum: int = 30
+    scored: DataFrame, decision: Sequence[str], ordinal: str, required: float = 0.05, minimum: int = 30, target: str | None = None
 ) -> DataFrame:
     """Per decision the allowed candidate with the highest lower bound, and whether it would act.
 
     scored: decision keys, action, reversible, safety_passed, lower_bound, expected_reward,
     uncertainty, observations, and an ordinal that breaks ties in favour of the earlier candidate.
+    ``target`` names the column of what a candidate acts on; the chosen one's is returned as ``target``.
     """
+    chosen = [F.col(target).alias("target")] if target else []
     allowed = (F.col("action") != "None") & F.col("reversible") & F.col("safety_passed")
     best = F.max_by(
-        F.when(allowed, F.struct("action", "expected_reward", "uncertainty", "lower_bound", "observations")),
+        F.when(allowed, F.struct("action", *chosen, "expected_reward", "uncertainty", "lower_bound", "observations")),
         F.when(allowed, F.struct(F.col("lower_bound"), (-F.col(ordinal)).alias("o"))),
     )
     rows = scored.groupBy(*decision).agg(best.alias("b"))

@@ -4,8 +4,10 @@ A window over ``partitionBy(device).orderBy(ts)`` sorts all rows of a device in
 fails once one device holds a large share of a big table. ``Ordered`` keeps that plain window for
 ordinary keys and cuts only the keys above the row budget into consecutive segments:
 
-* a histogram of (key, time slot) of the heavy keys gives the cuts, so every segment but the last
-  of a key has more rows than any frame needs;
+* the rows of the heavy keys are written in ranges of (key, order); the ranges follow a sample of the
+  full order, so a burst within one second, or many rows with one timestamp and a tie-break, are split
+  like any others;
+* counts per range give every row its place in its key, and a segment is a fixed number of places;
 * rows near a cut are copied into the neighbouring segment (halo), so frames bounded in rows see
   the same neighbours as before; the copies are dropped by ``cut``;
 * running values restart in each segment and get the value carried from the segments before it,
@@ -22,128 +24,75 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefleet.session import RowBudget
-
-HOUR_US = 3_600_000_000
+from pulsefleet.session import RowBudget, shared_folder
 
 SEG, HALO, HEAVY = "__seg", "__halo", "__heavy"
 _HELPERS = (SEG, HALO, HEAVY)
-SLOTS_PER_SEGMENT = 8
+RANGES_PER_SEGMENT = 4
 
 
 class Ordered:
     """Rows of ``df`` per ``keys`` in the total order ``order``.
 
-    time    numeric column that leads ``order``
-    slot    widest histogram slot in its units; heavy keys make the slots finer
     before  rows before the current one that any frame reads
     after   rows after the current one that any frame reads
+
+    Only rows that agree in all of ``order`` cannot be told apart, so they stay in one range.
     """
 
-    def __init__(
-        self,
-        df: DataFrame,
-        keys: Sequence[str],
-        order: Sequence[str],
-        *,
-        time: str | None = None,
-        slot: int = HOUR_US,
-        before: int = 0,
-        after: int = 0,
-    ) -> None:
+    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], *, before: int = 0, after: int = 0) -> None:
         self.keys = list(keys)
         self.order = list(order)
-        self.time = time or self.order[0]
-        self.slot = slot
         budget = RowBudget.of(df.sparkSession)
         self.reach = max(before, after)
         self.rows_per_segment = max(budget.segment_rows, 2 * self.reach + 2)
-
-        heavy = (
-            df.groupBy(*self.keys)
-            .agg(
-                F.count(F.lit(1)).alias("__n"),
-                F.min(self.time).alias("__lo"),
-                F.max(self.time).alias("__hi"),
-            )
-            .where(F.col("__n") > self.rows_per_segment)
-        )
-        span, pieces = F.col("__hi") - F.col("__lo"), F.ceil(F.col("__n") / self.rows_per_segment)
-        found = heavy.agg(
-            F.count(F.lit(1)).alias("keys"),
-            F.sum(span).alias("span"),
-            F.min(F.floor(span / (SLOTS_PER_SEGMENT * pieces))).alias("fine"),
-            F.sum(2 * pieces + 1).alias("segments"),
-        ).first()
+        heavy = df.groupBy(*self.keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > self.rows_per_segment)
+        segments = F.ceil(F.col("__n") / self.rows_per_segment)
+        found = heavy.agg(F.count(F.lit(1)).alias("keys"), F.sum(segments).alias("segments")).first()
         self.split = found["keys"] > 0
         self._carry_fits = self.split and found["segments"] <= budget.broadcast_rows
         self.parts = self.keys + [SEG] if self.split else self.keys
         self.df = df
         if self.split:
-            # Slots must be much finer than segments for every heavy key.
-            self.slot = max(1, min(slot, int(found["fine"])))
-            slots = found["span"] / self.slot + 2 * found["keys"]
-            self.df = self._segmented(df, heavy.select(*self.keys), before, after, slots <= budget.broadcast_rows)
+            side = F.broadcast if found["keys"] <= budget.broadcast_rows else (lambda frame: frame)
+            self.df = self._segmented(df, side(heavy), before, after, int(found["segments"]))
 
     # -- segments ---------------------------------------------------------------------------
 
-    def _slot(self) -> Column:
-        return F.floor(F.col(self.time) / F.lit(self.slot))
-
-    def _segmented(self, df, heavy_keys, before, after, small) -> DataFrame:
+    def _segmented(self, df: DataFrame, heavy: DataFrame, before: int, after: int, segments: int) -> DataFrame:
         """Attach segment, halo and heavy columns; one row per copy."""
-        side = F.broadcast if small else (lambda frame: frame)
-        slots = (
-            df.join(side(heavy_keys), self.keys, "left_semi")
-            .groupBy(*self.keys, self._slot().alias("__slot"))
-            .agg(F.count(F.lit(1)).alias("__n"))
-        )
-        w = Window.partitionBy(*self.keys).orderBy("__slot")
-        done = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, 0))
-        slots = slots.withColumn("__from", done - F.col("__n")).withColumn(
-            "__raw", F.floor(F.col("__from") / self.rows_per_segment)
-        )
-        in_raw = F.sum("__n").over(Window.partitionBy(*self.keys, "__raw"))
-        opens = (F.lag("__raw").over(w).isNull()) | (
-            (F.col("__raw") != F.lag("__raw").over(w)) & (in_raw >= F.lit(self.reach))
-        )
-        slots = slots.withColumn("__open", opens.cast("int")).withColumn(
-            SEG, (F.sum("__open").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).cast("int")
-        )
-        per_seg = Window.partitionBy(*self.keys, SEG)
-        per_key = Window.partitionBy(*self.keys)
-        slots = slots.select(
-            *self.keys,
-            "__slot",
-            SEG,
-            F.min("__from").over(per_seg).alias("__first"),
-            F.max(F.col("__from") + F.col("__n")).over(per_seg).alias("__end"),
-            F.max(SEG).over(per_key).alias("__last_seg"),
-            "__from",
-            (F.col("__from") + F.col("__n")).alias("__to"),
-        )
-        copy = lambda seg, halo: F.struct(seg.cast("int").alias(SEG), F.lit(halo).alias(HALO))
+        spark = df.sparkSession
+        ranges = max(2, RANGES_PER_SEGMENT * segments)
+        placed = df.join(heavy, self.keys).repartitionByRange(ranges, *self.keys, *self.order)
+        placed = placed.withColumn("__range", F.spark_partition_id())
+        # Written, because a range is where a row came to lie: it must not be dealt anew.
+        folder = shared_folder(spark)
+        placed.write.parquet(folder)
+        placed = spark.read.schema(placed.schema).parquet(folder)
+        counts = placed.groupBy(*self.keys, "__range").agg(F.count(F.lit(1)).alias("__c"))
+        across = Window.partitionBy(*self.keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+        starts = counts.select(*self.keys, "__range", F.coalesce(F.sum("__c").over(across), F.lit(0)).alias("__start"))
+        inside = Window.partitionBy(*self.keys, "__range").orderBy(*self.order)
+        place = F.col("__start") + F.row_number().over(inside) - 1
+        placed = placed.join(starts, [*self.keys, "__range"]).withColumn("__place", place)
+
+        size = F.lit(self.rows_per_segment)
+        seg = F.floor(F.col("__place") / size)
+        last = F.floor((F.col("__n") - 1) / size)
+        offset = F.col("__place") - seg * size
+        copy = lambda s, halo: F.struct(s.cast("int").alias(SEG), F.lit(halo).alias(HALO))
         copies = F.array_compact(
             F.array(
-                copy(F.col(SEG), False),
-                F.when(
-                    (F.col("__end") - F.col("__to") < before) & (F.col(SEG) < F.col("__last_seg")),
-                    copy(F.col(SEG) + 1, True),
-                ),
-                F.when(
-                    (F.col("__from") - F.col("__first") < after) & (F.col(SEG) > 0),
-                    copy(F.col(SEG) - 1, True),
-                ),
+                copy(seg, False),
+                F.when((size - 1 - offset < before) & (seg < last), copy(seg + 1, True)),
+                F.when((offset < after) & (seg > 0), copy(seg - 1, True)),
             )
         )
-        slots = slots.select(*self.keys, "__slot", copies.alias("__copies"))
-        whole = F.array(copy(F.lit(0), False))
-        joined = df.withColumn("__slot", self._slot()).join(side(slots), self.keys + ["__slot"], "left")
-        return (
-            joined.withColumn(HEAVY, F.col("__copies").isNotNull())
-            .withColumn("__copy", F.explode(F.coalesce("__copies", whole)))
-            .select(*df.columns, HEAVY, f"__copy.{SEG}", f"__copy.{HALO}")
-        )
+        placed = placed.withColumn("__copy", F.explode(copies))
+        split = placed.select(*df.columns, F.lit(True).alias(HEAVY), f"__copy.{SEG}", f"__copy.{HALO}")
+        light = df.join(heavy.select(*self.keys), self.keys, "left_anti")
+        whole = (F.lit(False).alias(HEAVY), F.lit(0).alias(SEG), F.lit(False).alias(HALO))
+        return light.select(*df.columns, *whole).unionByName(split)
 
     # -- bounded frames ---------------------------------------------------------------------
 

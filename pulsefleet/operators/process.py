@@ -182,7 +182,8 @@ def classify(df: DataFrame) -> DataFrame:
         {
             "expected_gain_mb": F.greatest(F.lit(0.0), gain),
             "recommendation": F.when(F.col("waste_score") >= F.col("__busy_at"), F.col("__busy")).otherwise(F.col("__quiet")),
-            "reason": F.concat_ws(", ", *reasons),
+            "reasons": F.array_compact(F.array(*reasons)),
+            "reason": reason_text(F.array_compact(F.array(*reasons))),
             "is_recently_active": F.col("__recent"),
             "matches_user_intent": F.col("__front") | F.col("__recent") | F.col("__family"),
             "intent_role": role,
@@ -190,6 +191,11 @@ def classify(df: DataFrame) -> DataFrame:
     ).drop(*[c for c in df.columns if c.startswith("__")])
 
 
+def reason_text(reasons: Column) -> Column:
+    """The first three reasons, or that there is none."""
+    return F.when(F.size(reasons) == 0, "no strong signal yet").otherwise(F.array_join(F.slice(reasons, 1, 3), ", "))
+
+
 def pressure_rank() -> Column:
     """Rank that picks the processes kept per tick."""
     safety = F.col("safety")

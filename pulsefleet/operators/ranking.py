@@ -112,6 +112,14 @@ def _largest(df: DataFrame, groups: Sequence[str]) -> int:
     return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
 
 
+def device_medians(df: DataFrame, groups: Sequence[str], series: Sequence[str]) -> DataFrame:
+    """Rows per group and the exact median of each series."""
+    long = df.select(*groups, F.inline(F.array(*[F.struct(F.lit(s).alias("__series"), F.col(s).cast("double").alias("__v")) for s in series])))
+    medians = exact_quantiles(long, [*groups, "__series"], "__v", {"__m": 0.5})
+    wide = medians.groupBy(*groups).agg(*[F.max(F.when(F.col("__series") == s, F.col("__m"))).alias(s) for s in series])
+    return df.groupBy(*groups).agg(F.count(F.lit(1)).alias("count")).join(wide, list(groups))
+
+
 def exact_quantiles(
     df: DataFrame,
     groups: Sequence[str],

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefleet.operators.ordered import HEAVY, HOUR_US, SEG, Ordered
+from pulsefleet.operators.ordered import HEAVY, SEG, Ordered
 from pulsefleet.session import shared_folder
 
 # (column -> values of consecutive rows of one key, state or None) -> (output columns, new state).
@@ -25,6 +25,8 @@ from pulsefleet.session import shared_folder
 Rows = dict[str, list]
 Kernel = Callable[[Rows, object], tuple[Rows, object]]
 
+STATE = "__state"
+
 
 def fold(
     df: DataFrame,
@@ -32,26 +34,53 @@ def fold(
     order: Sequence[str],
     kernel: Kernel,
     outputs: str,
-    slot: int = HOUR_US,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Rows (keys, order, keep) with the kernel's output columns, given as a DDL string."""
     keys, order = list(keys), list(order)
     kept = keys + order + [c for c in keep if c not in keys + order]
     schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + outputs
+    seq = Ordered(df, keys, order)
+    if not seq.split:
+        return _streamed(df, keys, order, kept, kernel, schema, outputs)
+    light = _streamed(seq.df.where(~F.col(HEAVY)).select(*df.columns), keys, order, kept, kernel, schema, outputs)
+    return light.unionByName(_fold_heavy(seq, df, keys, order, kept, kernel, schema, outputs))
+
+
+def output_names(ddl: str) -> list[str]:
+    return [part.strip().split()[0] for part in ddl.split(", ")]
+
+
+def _streamed(rows: DataFrame, keys, order, kept, kernel: Kernel, schema: str, outputs: str, carry: bool = False) -> DataFrame:
+    """Stream sorted partitions through the kernel: memory is an Arrow batch and a state.
+
+    With ``carry``, rows have a column STATE: a key may begin with a row that holds its state, and ends
+    with an extra row that holds its last state, so rows and state commit together.
+    """
     names = output_names(outputs)
-    seq = Ordered(df, keys, order, slot=slot)
+
+    def state_rows(ended: list[tuple[tuple, object]]) -> pd.DataFrame:
+        empty = dict.fromkeys([*kept, *names])
+        return pd.DataFrame([{**empty, **dict(zip(keys, key)), STATE: json.dumps(state)} for key, state in ended], dtype=object)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for pdf in batches:
             rows = {c: pdf[c].tolist() for c in pdf.columns}
             marks = list(zip(*(rows[k] for k in keys)))
+            given = rows.pop(STATE, None)
             made: Rows = {n: [] for n in names}
+            ended, plain = [], [True] * len(marks)
             start = 0
             while start < len(marks):
                 if marks[start] != current:
+                    if current is not None:
+                        ended.append((current, state))
                     current, state = marks[start], None
+                    if given is not None and given[start] is not None:
+                        state, plain[start] = json.loads(given[start]), False
+                        start += 1
+                        continue
                 end = start + 1
                 while end < len(marks) and marks[end] == current:
                     end += 1
@@ -59,23 +88,19 @@ def fold(
                 for n in names:
                     made[n].extend(out[n])
                 start = end
-            yield pdf[kept].assign(**made)
-
-    def streamed(rows: DataFrame) -> DataFrame:
-        placed = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-        return placed.mapInPandas(scan, schema)
-
-    if not seq.split:
-        return streamed(df)
-    light = streamed(seq.df.where(~F.col(HEAVY)).select(*df.columns))
-    return light.unionByName(_fold_heavy(seq, df, keys, order, kept, kernel, schema))
-
+            done = pdf[kept][plain].assign(**made)
+            yield done.assign(**{STATE: None}) if carry else done
+            if carry and ended:
+                yield state_rows(ended)
+        if carry and current is not None:
+            yield state_rows([(current, state)])
 
-def output_names(ddl: str) -> list[str]:
-    return [part.strip().split()[0] for part in ddl.split(", ")]
+    first = [F.col(STATE).desc_nulls_last()] if carry else []
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, *first, *order)
+    return placed.mapInPandas(scan, schema + f", {STATE} string" * carry)
 
 
-def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel, schema: str) -> DataFrame:
+def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel, schema: str, outputs: str) -> DataFrame:
     """Fold the segments of the heavy keys in turn; results and states go to written tables."""
     spark = df.sparkSession
     folder = shared_folder(spark)
@@ -83,30 +108,19 @@ def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel,
     heavy.write.partitionBy(SEG).parquet(f"{folder}/rows")
     stored = spark.read.schema(heavy.schema).parquet(f"{folder}/rows")
     last = stored.agg(F.max(SEG)).first()[0]
-    with_state = schema + ", __state string"
-    fields = output_names(with_state)
-
-    def step(rows: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:  # the key has ended; its state is not needed any more
-            return pd.DataFrame({f: pd.Series(dtype=object) for f in fields})
-        state = json.loads(states["__state"].iloc[0]) if len(states) else None
-        rows = rows.sort_values(order, kind="stable", ignore_index=True)
-        made, state = kernel({c: rows[c].tolist() for c in rows.columns}, state)
-        out = rows[kept].assign(**made)
-        # The state rides on the last row, so rows and state commit together.
-        out["__state"] = None
-        out.loc[len(out) - 1, "__state"] = json.dumps(state)
-        return out[fields]
-
-    key_schema = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
-    states = spark.createDataFrame([], f"{key_schema}, __state string")
+    states, paths = None, []
     for segment in range(last + 1):
-        rows = stored.where(F.col(SEG) == segment).select(*df.columns)
-        done = rows.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(step, with_state)
-        path = f"{folder}/out/part={segment}"
-        done.write.parquet(path)
-        states = spark.read.schema(done.schema).parquet(path).where(F.col("__state").isNotNull()).select(*keys, "__state")
-    return spark.read.schema(done.schema).parquet(*[f"{folder}/out/part={s}" for s in range(last + 1)]).drop("__state")
+        rows = stored.where(F.col(SEG) == segment).select(*df.columns, F.lit(None).cast("string").alias(STATE))
+        if states is not None:
+            # A key that has ended needs no state any more.
+            open_ = states.join(rows.select(*keys).distinct(), list(keys), "left_semi")
+            rows = rows.unionByName(open_, allowMissingColumns=True)
+        done = _streamed(rows, keys, order, kept, kernel, schema, outputs, carry=True)
+        paths.append(f"{folder}/out/part={segment}")
+        done.write.parquet(paths[-1])
+        results = spark.read.schema(done.schema).parquet(paths[-1])
+        states = results.where(F.col(STATE).isNotNull()).select(*keys, STATE)
+    return spark.read.schema(done.schema).parquet(*paths).where(F.col(STATE).isNull()).drop(STATE)
 
 
 # -- adaptive baseline ----------------------------------------------------------------------
@@ -174,9 +188,9 @@ def baseline_kernel(columns: Sequence[str], min_samples: int = 30, sensitivity:
     return kernel
 
 
-def adaptive_baseline(df: DataFrame, keys, order, columns: Sequence[str], min_samples=30, sensitivity=1.6, slot=HOUR_US) -> DataFrame:
+def adaptive_baseline(df: DataFrame, keys, order, columns: Sequence[str], min_samples=30, sensitivity=1.6) -> DataFrame:
     """Baseline evaluation of every sample. columns: the seven metrics in the fixed order."""
-    return fold(df, keys, order, baseline_kernel(columns, min_samples, sensitivity), BASELINE_OUTPUTS, slot)
+    return fold(df, keys, order, baseline_kernel(columns, min_samples, sensitivity), BASELINE_OUTPUTS)
 
 
 # -- cooldown and action budget -------------------------------------------------------------
@@ -199,9 +213,9 @@ def cooldown_kernel(clock: str, seconds: float, units: float) -> Kernel:
     return kernel
 
 
-def cooldown(df: DataFrame, keys, order, seconds: float = 300.0, units: float = 1e6, slot=HOUR_US) -> DataFrame:
+def cooldown(df: DataFrame, keys, order, seconds: float = 300.0, units: float = 1e6) -> DataFrame:
     """Cooldown per key, normally (device, action, target)."""
-    return fold(df, keys, order, cooldown_kernel(order[0], seconds, units), "accepted boolean, remaining_seconds double", slot)
+    return fold(df, keys, order, cooldown_kernel(order[0], seconds, units), "accepted boolean, remaining_seconds double")
 
 
 def budget_kernel(clock: str, target: Sequence[str], per_hour: int, cooldown_seconds: float, units: float) -> Kernel:
@@ -231,8 +245,8 @@ def budget_kernel(clock: str, target: Sequence[str], per_hour: int, cooldown_sec
     return kernel
 
 
-def action_budget(df: DataFrame, keys, order, target, per_hour=3, cooldown_seconds=600.0, units=1e6, slot=HOUR_US) -> DataFrame:
-    return fold(df, keys, order, budget_kernel(order[0], target, per_hour, cooldown_seconds, units), "verdict string", slot, keep=target)
+def action_budget(df: DataFrame, keys, order, target, per_hour=3, cooldown_seconds=600.0, units=1e6) -> DataFrame:
+    return fold(df, keys, order, budget_kernel(order[0], target, per_hour, cooldown_seconds, units), "verdict string", keep=target)
 
 
 # -- adaptive sampling ----------------------------------------------------------------------
@@ -288,9 +302,9 @@ def sampling_kernel(
     return kernel
 
 
-def adaptive_sampling(df: DataFrame, keys, order, units_per_ms: float = 1.0, slot=HOUR_US, **settings) -> DataFrame:
+def adaptive_sampling(df: DataFrame, keys, order, units_per_ms: float = 1.0, **settings) -> DataFrame:
     kernel = sampling_kernel(order[0], units_per_ms, **settings)
-    return fold(df, keys, order, kernel, "capture boolean, reason string", slot)
+    return fold(df, keys, order, kernel, "capture boolean, reason string")
 
 
 # -- recently active applications -----------------------------------------------------------
@@ -315,5 +329,5 @@ def recent_apps_kernel(clock: str, app: str, window: float, limit: int) -> Kerne
     return kernel
 
 
-def recent_apps(df: DataFrame, keys, order, app: str, window: float = 300e6, limit: int = 8, slot=HOUR_US) -> DataFrame:
-    return fold(df, keys, order, recent_apps_kernel(order[0], app, window, limit), "recent_apps array<string>", slot)
+def recent_apps(df: DataFrame, keys, order, app: str, window: float = 300e6, limit: int = 8) -> DataFrame:
+    return fold(df, keys, order, recent_apps_kernel(order[0], app, window, limit), "recent_apps array<string>")

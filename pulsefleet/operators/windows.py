@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
-from pulsefleet.operators.ordered import HOUR_US, Ordered
+from pulsefleet.operators.ordered import Ordered
 
 WINDOW = 8
 HORIZON = 5
@@ -125,10 +125,9 @@ def window_features(
     order: Sequence[str],
     thresholds: S.Thresholds = S.Thresholds(),
     baseline=None,
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Features over the last eight samples; rows with fewer than eight samples are left out."""
-    seq = Ordered(df, keys, order, slot=slot, before=WINDOW - 1)
+    seq = Ordered(df, keys, order, before=WINDOW - 1)
     values = _past(seq, SERIES)
     full = seq.result().where(F.col("__p_rows") == WINDOW)
     return _drop_past(full.select("*", *[c.alias(n) for n, c in feature_columns(values, thresholds, baseline).items()]))
@@ -164,10 +163,10 @@ def _future(seq: Ordered, t: S.Thresholds) -> Column:
 
 
 def future_labels(
-    df: DataFrame, keys, order, thresholds: S.Thresholds = S.Thresholds(), slot: int = HOUR_US
+    df: DataFrame, keys, order, thresholds: S.Thresholds = S.Thresholds()
 ) -> DataFrame:
     """Heuristic label from the next five samples; rows with a shorter future are left out."""
-    seq = Ordered(df, keys, order, slot=slot, after=HORIZON)
+    seq = Ordered(df, keys, order, after=HORIZON)
     label = _future(seq, thresholds)
     return _drop_past(seq.result().where(F.col(f"__f{HORIZON}").isNotNull()).withColumn("label", label))
 
@@ -179,10 +178,9 @@ def training_set(
     thresholds: S.Thresholds = S.Thresholds(),
     manual: str | None = None,
     baseline=None,
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Features and label in one pass; a manual label wins over the heuristic one."""
-    seq = Ordered(df, keys, order, slot=slot, before=WINDOW - 1, after=HORIZON)
+    seq = Ordered(df, keys, order, before=WINDOW - 1, after=HORIZON)
     values = _past(seq, SERIES)
     label = _future(seq, thresholds)
     full = seq.result().where((F.col("__p_rows") == WINDOW) & F.col(f"__f{HORIZON}").isNotNull())
@@ -198,17 +196,17 @@ def training_set(
     return _drop_past(out)
 
 
-def rolling_means(df: DataFrame, keys, order, columns: Sequence[str], rows: int = 30, slot: int = HOUR_US) -> DataFrame:
-    seq = Ordered(df, keys, order, slot=slot, before=rows - 1)
+def rolling_means(df: DataFrame, keys, order, columns: Sequence[str], rows: int = 30) -> DataFrame:
+    seq = Ordered(df, keys, order, before=rows - 1)
     frame = seq.rows(-(rows - 1), 0)
     return seq.with_columns({f"{c}_mean": F.avg(c).over(frame) for c in columns}).result()
 
 
 def deviation_scores(
-    df: DataFrame, keys, order, columns: Sequence[str], rows: int = 30, slot: int = HOUR_US
+    df: DataFrame, keys, order, columns: Sequence[str], rows: int = 30
 ) -> DataFrame:
     """Deviation of each value from the up to ``rows - 1`` samples before it."""
-    seq = Ordered(df, keys, order, slot=slot, before=rows - 1)
+    seq = Ordered(df, keys, order, before=rows - 1)
     frame = seq.rows(-(rows - 1), -1)
     seq.with_columns({"__dn": F.count(F.lit(1)).over(frame)})
     seq.with_columns(
@@ -221,10 +219,10 @@ def deviation_scores(
 
 
 def robust_z(
-    df: DataFrame, keys, order, columns: Sequence[str], rows: int = 120, slot: int = HOUR_US
+    df: DataFrame, keys, order, columns: Sequence[str], rows: int = 120
 ) -> DataFrame:
     """Median, MAD and robust z of each value within its last ``rows`` samples (itself included)."""
-    seq = Ordered(df, keys, order, slot=slot, before=rows - 1)
+    seq = Ordered(df, keys, order, before=rows - 1)
     frame = seq.rows(-(rows - 1), 0)
     seq.with_columns({f"__v_{c}": F.sort_array(F.collect_list(c).over(frame)) for c in columns})
     out = seq.result()
@@ -264,11 +262,10 @@ def counter_rates(
     order,
     counters: Sequence[str],
     units_per_second: float = 1e6,
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Per-second rate of cumulative counters; a first sample, a reset or a stuck clock gives 0."""
     clock = order[0]
-    seq = Ordered(df, keys, order, slot=slot, before=1)
+    seq = Ordered(df, keys, order, before=1)
     seq.with_columns({"__before": F.lag(F.struct(clock, *counters)).over(seq.window)})
     before = F.col("__before")
     step = F.col(clock) - before[clock]
@@ -283,10 +280,10 @@ def cpu_percent(rate_ms_per_second, processors) -> Column:
     return S.clamp(S.col(rate_ms_per_second) / 10.0 / F.greatest(F.lit(1), S.col(processors)))
 
 
-def rolling_p95(df: DataFrame, keys, order, value: str, rows: int = 60, slot: int = HOUR_US) -> DataFrame:
+def rolling_p95(df: DataFrame, keys, order, value: str, rows: int = 60) -> DataFrame:
     """95th percentile (upper index rule) of the last ``rows`` valid values."""
     usable = df.where(F.col(value).isNotNull() & ~F.isnan(value) & (F.col(value) >= 0))
-    seq = Ordered(usable, keys, order, slot=slot, before=rows - 1)
+    seq = Ordered(usable, keys, order, before=rows - 1)
     frame = seq.rows(-(rows - 1), 0)
     seq.with_columns({"__v": F.sort_array(F.collect_list(value).over(frame))})
     at = F.ceil(F.size("__v") * 0.95) - 1
@@ -317,13 +314,13 @@ def collector_cost(
     )
 
 
-def ewma_last(df: DataFrame, keys, order, value: str, alpha: float, slot: int = HOUR_US) -> DataFrame:
+def ewma_last(df: DataFrame, keys, order, value: str, alpha: float) -> DataFrame:
     """Final exponential average per key, seeded by the first value.
 
     The recurrence is a weighted sum: with r rows after it, a value weighs alpha (1-alpha)^r and the
     first value keeps (1-alpha)^r. So one running count and one aggregate replace the fold.
     """
-    seq = Ordered(df.where(F.col(value).isNotNull()), keys, order, slot=slot)
+    seq = Ordered(df.where(F.col(value).isNotNull()), keys, order)
     seq.cumulate({"__i": ("sum", F.lit(1))})
     numbered = seq.result()
     total = numbered.groupBy(*keys).agg(F.max("__i").alias("__n"))
@@ -336,10 +333,10 @@ def ewma_last(df: DataFrame, keys, order, value: str, alpha: float, slot: int =
     )
 
 
-def focus_durations(df: DataFrame, keys, order, identity: Sequence[str], slot: int = HOUR_US) -> DataFrame:
+def focus_durations(df: DataFrame, keys, order, identity: Sequence[str]) -> DataFrame:
     """Time since the foreground identity last changed, in units of the order clock."""
     clock = order[0]
-    seq = Ordered(df, keys, order, slot=slot, before=1)
+    seq = Ordered(df, keys, order, before=1)
     now = F.struct(*identity)
     seq.with_columns({"__id": now})
     before = F.lag("__id").over(seq.window)
@@ -356,14 +353,13 @@ def alert_states(
     calm: Column,
     raise_after: int = 2,
     clear_after: int = 2,
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Alert with hysteresis: raised by a critical streak, cleared by a calm streak.
 
     A streak of k rows only needs the last k rows, and the state is the latest raise or clear.
     """
     reach = max(raise_after, clear_after)
-    seq = Ordered(df, keys, order, slot=slot, before=reach)
+    seq = Ordered(df, keys, order, before=reach)
     seq.with_columns({"__crit": critical.cast("int"), "__calm": (calm & ~critical).cast("int")})
     run = lambda flag, k: (F.sum(flag).over(seq.rows(-(k - 1), 0)) == k)
     seq.with_columns(
@@ -403,12 +399,11 @@ def budget_governor(
     budgets: Sequence[tuple[str, float, str]] = OBSERVER_BUDGETS,
     watchdog: str | None = None,
     recovery_rows: int = 3,
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Degraded from a budget breach until ``recovery_rows`` healthy rows in a row."""
     breach = S.first_match([(F.col(c) > limit, reason) for c, limit, reason in budgets], F.lit(None).cast("string"))
     healthy_watchdog = F.col(watchdog) if watchdog else F.lit(True)
-    seq = Ordered(df, keys, order, slot=slot, before=recovery_rows)
+    seq = Ordered(df, keys, order, before=recovery_rows)
     seq.with_columns({"__breach": breach})
     calm = F.sum(F.col("__breach").isNull().cast("int")).over(seq.rows(-(recovery_rows - 1), 0)) == recovery_rows
     seq.with_columns({"__event": F.when(F.col("__breach").isNotNull(), F.lit(True)).when(calm, F.lit(False))})
@@ -437,9 +432,9 @@ def budget_governor(
     )
 
 
-def change_or_every(df: DataFrame, keys, order, status: Sequence[str], every: int = 10, slot: int = HOUR_US) -> DataFrame:
+def change_or_every(df: DataFrame, keys, order, status: Sequence[str], every: int = 10) -> DataFrame:
     """Rows where the status changed, and every n-th row of the key."""
-    seq = Ordered(df, keys, order, slot=slot, before=1)
+    seq = Ordered(df, keys, order, before=1)
     seq.with_columns({"__id": F.struct(*status)})
     before = F.lag("__id").over(seq.window)
     seq.with_columns({"__changed": before.isNull() | ~before.eqNullSafe(F.col("__id"))})
@@ -452,14 +447,14 @@ def change_or_every(df: DataFrame, keys, order, status: Sequence[str], every: in
     )
 
 
-def accepted_in_order(df: DataFrame, keys, order, sequence: str, usable: Column | None = None, slot: int = HOUR_US) -> DataFrame:
+def accepted_in_order(df: DataFrame, keys, order, sequence: str, usable: Column | None = None) -> DataFrame:
     """Verdict per message: its sequence must exceed every earlier usable one of the session.
 
     A message with a lower sequence never raises the maximum, so the running maximum over usable
     messages is the maximum over accepted ones.
     """
     usable = F.lit(True) if usable is None else usable
-    seq = Ordered(df, keys, order, slot=slot, before=1)
+    seq = Ordered(df, keys, order, before=1)
     seq.with_columns({"__usable": usable})
     seq.with_columns({"__v": F.when(F.col("__usable"), F.col(sequence))})
     seq.with_columns({"__before": F.lag("__v").over(seq.window)})
@@ -479,14 +474,13 @@ def asof_last(
     value: str,
     max_age: int | None = None,
     age_in: str = "rows",
-    slot: int = HOUR_US,
 ) -> DataFrame:
     """Latest non-null ``value`` at or before each row, with its age in rows or clock units.
 
     A value older than ``max_age`` is not reused.
     """
     clock = order[0]
-    seq = Ordered(df, keys, order, slot=slot)
+    seq = Ordered(df, keys, order)
     specs = {"__v": ("last", F.col(value)), "__at": ("last", F.when(F.col(value).isNotNull(), F.col(clock)))}
     if age_in == "rows":
         seq.cumulate({"__i": ("sum", F.lit(1))})
@@ -503,7 +497,7 @@ def asof_last(
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, keys, order, value: str, max_age: int | None = None, slot: int = HOUR_US
+    left: DataFrame, right: DataFrame, keys, order, value: str, max_age: int | None = None
 ) -> DataFrame:
     """Left rows with the latest right value at or before them (clock tolerance ``max_age``).
 
@@ -513,5 +507,5 @@ def asof_join(
         right.select(*keys, *order, value).withColumn("__left", F.lit(0)), allowMissingColumns=True
     )
     merged_order = [order[0], "__left", *order[1:]]
-    swept = asof_last(tagged, keys, merged_order, value, max_age, age_in="clock", slot=slot)
+    swept = asof_last(tagged, keys, merged_order, value, max_age, age_in="clock")
     return swept.where(F.col("__left") == 1).drop("__left", value)

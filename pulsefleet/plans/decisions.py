@@ -19,18 +19,18 @@ ORDINAL = ["pid", "line_supplier", "private_mb", "cpu", "io_write_kbps"]
 
 
 def intents(spark, folder):
-    """One intent row per tick."""
+    """One intent row per tick; some ticks have none, and in some nothing is in the foreground."""
     k = F.col("o_orderkey")
     return table(spark, folder, "orders").select(
         F.col("o_custkey").alias("device_id"),
         k.alias("tick"),
-        ((k % 7 + 1) * 10).alias("foreground_pid"),
+        F.when(k % 11 == 5, 0).otherwise((k % 7 + 1) * 10).alias("foreground_pid"),
         F.when(k % 4 == 0, "Chrome.exe").otherwise("editor.exe").alias("foreground_process"),
         S.by_value(F.col("o_orderstatus"), {"F": "BROWSER", "P": "GAME"}, "UNKNOWN").alias("app_kind"),
         (k % 5 == 0).alias("is_fullscreen"),
         F.when(k % 3 == 0, F.array(F.lit(20).cast("long"), F.lit(30).cast("long"))).otherwise(F.array().cast("array<bigint>")).alias("recent_pids"),
         F.element_at(F.array(*[F.lit(p) for p in S.WORKLOAD_PHASES]), (k % 11 + 1).cast("int")).alias("workload_phase"),
-    )
+    ).where("tick % 13 <> 0")
 
 
 def classified(spark, folder):
@@ -39,13 +39,15 @@ def classified(spark, folder):
 
 _PHASES_SQL = "[" + ", ".join(f"'{p}'" for p in S.WORKLOAD_PHASES) + "]"
 CLASSIFIED = f"""
-itn AS (SELECT o_custkey AS device_id, o_orderkey AS tick, (o_orderkey % 7 + 1) * 10 AS fpid, CASE WHEN o_orderkey % 4 = 0 THEN 'chrome.exe' ELSE 'editor.exe' END AS fproc,
+itn AS (SELECT o_custkey AS device_id, o_orderkey AS tick, CASE WHEN o_orderkey % 11 = 5 THEN 0 ELSE (o_orderkey % 7 + 1) * 10 END AS fpid, CASE WHEN o_orderkey % 4 = 0 THEN 'chrome.exe' ELSE 'editor.exe' END AS fproc,
   CASE o_orderstatus WHEN 'F' THEN 'BROWSER' WHEN 'P' THEN 'GAME' ELSE 'UNKNOWN' END AS app_kind, o_orderkey % 5 = 0 AS fullscreen, o_orderkey % 3 = 0 AS has_recent,
-  {_PHASES_SQL}[o_orderkey % 11 + 1] AS workload_phase FROM orders),
-flg AS (SELECT proc.*, fpid, fullscreen, workload_phase, app_kind, pid = fpid AS front, has_recent AND pid IN (20, 30) AS recent, trusted_path AS trusted,
-  app_kind <> 'UNKNOWN' AND (pid = fpid OR name = fproc) AS family, pid <= 4 OR name IN ('csrss.exe', 'audiodg.exe') AS critical,
+  {_PHASES_SQL}[o_orderkey % 11 + 1] AS workload_phase FROM orders WHERE o_orderkey % 13 <> 0),
+pin AS (SELECT proc.*, coalesce(fpid, 0) AS fpid, coalesce(fullscreen, false) AS fullscreen, workload_phase, app_kind, coalesce(fproc, '') AS fproc,
+  coalesce(has_recent, false) AS has_recent FROM proc LEFT JOIN itn USING (device_id, tick)),
+flg AS (SELECT *, pid = fpid AS front, has_recent AND pid IN (20, 30) AS recent, trusted_path AS trusted,
+  coalesce(app_kind <> 'UNKNOWN', false) AND (pid = fpid OR name = fproc) AS family, pid <= 4 OR name IN ('csrss.exe', 'audiodg.exe') AS critical,
   least(100, least(40, cpu * 1.8::DOUBLE) + least(38, private_mb / 18) + least(22, (io_read_kbps + io_write_kbps) / 250) + CASE WHEN has_visible_window THEN 0 ELSE 8 END
-    + CASE WHEN lifetime_sec > 300 AND private_mb > 250 THEN 6 ELSE 0 END) AS waste FROM proc JOIN itn USING (device_id, tick)),
+    + CASE WHEN lifetime_sec > 300 AND private_mb > 250 THEN 6 ELSE 0 END) AS waste FROM pin),
 cat AS (SELECT *, CASE WHEN critical THEN 'SYSTEM_CRITICAL' WHEN name = 'msmpeng.exe' THEN 'SECURITY' WHEN front AND fullscreen THEN 'FOREGROUND_FULLSCREEN_APP'
   WHEN front THEN 'FOREGROUND_APP' WHEN family THEN 'ACTIVE_APP_FAMILY' WHEN recent THEN 'RECENT_USER_APP' WHEN has_visible_window THEN 'USER_APP'
   WHEN name IN ('chrome.exe', 'firefox.exe') THEN 'BROWSER_CHILD' WHEN name IN ('steam_updater.exe', 'onedrive.exe') THEN 'UPDATER_SYNC'
@@ -81,6 +83,27 @@ def h6_process_classes(spark, folder):
     )
 
 
+_WHY = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.CLASS_REASONS.items()) + " END"
+
+
+@query(
+    "h6_process_reasons",
+    process_sql(
+        f"""SELECT CASE WHEN len(why) = 0 THEN 'no strong signal yet' ELSE array_to_string(why[1:3], ', ') END AS reason, count(*) AS n, CAST(sum(len(why)) AS BIGINT) AS reasons
+FROM (SELECT list_filter([CASE WHEN cpu >= 20 THEN 'high cpu' END, CASE WHEN private_mb >= 350 THEN 'high private memory' END,
+ CASE WHEN working_set_mb >= 500 THEN 'large working set' END, CASE WHEN io_read_kbps + io_write_kbps >= 1024 THEN 'active disk io' END,
+ CASE WHEN NOT has_visible_window THEN 'background or hidden' END, CASE WHEN front THEN 'foreground user app' END,
+ CASE WHEN recent THEN 'recently active user app' END, CASE WHEN family THEN 'same family as active ' || app_kind END,
+ CASE WHEN fullscreen AND front THEN 'fullscreen foreground app' END, CASE WHEN trusted THEN 'trusted install path/signature' END, {_WHY}],
+ lambda x: x IS NOT NULL) AS why FROM cls) GROUP BY 1"""
+    ),
+)
+def h6_process_reasons(spark, folder):
+    return classified(spark, folder).groupBy("reason").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.size("reasons")).alias("reasons")
+    )
+
+
 @query("c5_rows_with_intent", process_sql("SELECT app_kind, fullscreen AS is_fullscreen, count(*) AS n, count(*) FILTER (front) AS foreground_rows FROM flg GROUP BY ALL"))
 def c5_rows_with_intent(spark, folder):
     rows = P.with_intent(processes(spark, folder), intents(spark, folder), TICK)
@@ -95,10 +118,10 @@ _PRESSURE_RANK = """waste + safe_score * 0.55::DOUBLE - importance * 0.35::DOUBL
 
 @query(
     "f3_top_processes",
-    process_sql(f"SELECT tick, place, pid, name, round(rank, 6) + 0 AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY device_id, tick ORDER BY rank DESC, {_ORD}) AS INT) AS place FROM (SELECT *, {_PRESSURE_RANK} AS rank FROM cls)) WHERE place <= 3"),
+    process_sql(f"SELECT tick, place, pid, name, round(rank, 6) + 0 AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY device_id, tick ORDER BY rank DESC, {_ORD}) AS INT) AS place FROM (SELECT *, {_PRESSURE_RANK} AS rank FROM cls)) WHERE place <= 20"),
 )
 def f3_top_processes(spark, folder):
-    top = P.top_processes(classified(spark, folder), TICK, ORDINAL, limit=3)
+    top = P.top_processes(classified(spark, folder), TICK, ORDINAL, limit=20)
     return top.select("tick", "place", "pid", "name", r("pressure_rank").alias("rank"))
 
 
@@ -186,14 +209,13 @@ def f5_autopilot_status(spark, folder):
 
 # -- graph ----------------------------------------------------------------------------------
 
-_FAMILY = """fam AS (SELECT device_id, tick, fpid AS node FROM itn UNION
+_FAMILY = """fam AS (SELECT device_id, tick, fpid AS node FROM itn WHERE fpid <> 0 UNION
   SELECT p.device_id, p.tick, p.pid FROM fam JOIN proc p ON p.device_id = fam.device_id AND p.tick = fam.tick AND p.parent_pid = fam.node)"""
 
 
 def family(spark, folder):
-    roots = intents(spark, folder).select(*TICK, F.col("foreground_pid").alias("node"))
     edges = processes(spark, folder).select(*TICK, "parent_pid", "pid").distinct()
-    return N.descendants(edges, roots, TICK)
+    return N.foreground_family(edges, intents(spark, folder), TICK)
 
 
 @query("i1_foreground_family", process_sql("SELECT tick, count(*) AS members FROM fam GROUP BY tick", _FAMILY, recursive=True))
@@ -725,17 +747,73 @@ def d33_reward_statistics(spark, folder):
     return stats.select("action", F.posexplode("cells").alias("position", "v")).select("action", "position", r("v", 4).alias("value"))
 
 
-@query("d34_reward_prediction")
-def d34_reward_prediction(spark, folder):
-    """Every vector scored by the model of its action."""
+@query(
+    "d34_normal_equations",
+    """SELECT label AS action, CAST(position AS INT) AS position, count(*) AS n, 0.0::DOUBLE AS residual
+FROM embeddings, (SELECT unnest(range(0, (SELECT max(len(embedding)) FROM embeddings))) AS position) GROUP BY ALL""",
+)
+def d34_normal_equations(spark, folder):
+    """The predictions solve the ridge equations: sum of x (x w) + w equals the sum of r x, per action."""
     samples = reward_samples(spark, folder)
     models = L.solve_models(L.reward_statistics(samples))
     scored = L.predict(samples, models, "action", "x")
+    gap = F.col("expected_reward") - S.clamp(F.col("reward"), -L.REWARD_LIMIT, L.REWARD_LIMIT)
+    cells = scored.select("action", F.posexplode(F.transform("x", lambda v: v * gap)).alias("position", "v"))
+    sums = cells.groupBy("action", "position").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("v"))
+    weights = models.select("action", F.posexplode("weights").alias("position", "w"))
+    residual = F.round(F.col("v") + F.col("w"), 6) + 0.0
+    return sums.join(weights, ["action", "position"]).select("action", "position", "n", F.abs(residual).alias("residual"))
+
+
+def two_features(spark, folder):
+    """Contexts of a constant and one component, small enough for SQL to invert."""
+    samples = reward_samples(spark, folder)
+    return samples.select("action", F.array(F.lit(1.0), F.get("x", 0)).alias("x"), "reward")
+
+
+TWO_FEATURES = """
+smp AS (SELECT vec_id, label AS action, embedding[1]::DOUBLE AS x, least(2, greatest(-2, (vec_id % 31 - 10) / 5.0::DOUBLE)) AS r FROM embeddings),
+sms AS (SELECT action, count(*) AS n, count(*) + 1.0::DOUBLE AS a, sum(x) AS b, sum(x * x) + 1.0::DOUBLE AS d, sum(r) AS p, sum(r * x) AS q FROM smp GROUP BY action),
+mdl AS (SELECT *, (d * p - b * q) / (a * d - b * b) AS w0, (a * q - b * p) / (a * d - b * b) AS w1 FROM sms),
+prd AS (SELECT smp.*, n, w0 + w1 * x AS expected, sqrt((d - 2 * b * x + a * x * x) / (a * d - b * b)) AS uncertainty FROM smp JOIN mdl USING (action))"""
+
+
+@query(
+    "d34_reward_prediction",
+    f"""WITH {TWO_FEATURES} SELECT action, count(*) AS n, round(avg(expected), 6) + 0 AS expected, round(avg(uncertainty), 6) + 0 AS uncertainty,
+ count(*) FILTER (n >= 20 AND uncertainty <= 0.75) AS known FROM prd GROUP BY action""",
+)
+def d34_reward_prediction(spark, folder):
+    """Every context scored by the model of its action."""
+    samples = two_features(spark, folder)
+    models = L.solve_models(L.reward_statistics(samples))
+    scored = L.predict(samples, models, "action", "x")
     return scored.groupBy("action").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("expected_reward"), 4).alias("expected"), r(F.avg("uncertainty"), 4).alias("uncertainty"), F.count_if("sufficiently_known").alias("known")
+        F.count(F.lit(1)).alias("n"), r(F.avg("expected_reward")).alias("expected"), r(F.avg("uncertainty")).alias("uncertainty"), F.count_if("sufficiently_known").alias("known")
     )
 
 
+@query(
+    "f8_learned_policy",
+    f"""WITH {TWO_FEATURES}, best AS (SELECT vec_id // 10 AS decision, arg_max({{'a': action, 't': vec_id, 'lb': expected - uncertainty, 'n': n}}, (round(expected - uncertainty, 9), -vec_id))
+   FILTER (action <> 0 AND vec_id % 3 <> 1) AS c FROM prd GROUP BY 1)
+SELECT decision, CAST(c.a AS VARCHAR) AS action, c.t AS target, CASE WHEN c IS NULL THEN 'no_reversible_safe_candidate' WHEN c.n < 30 THEN 'insufficient_measured_outcomes'
+ WHEN c.lb <= 0.05::DOUBLE THEN 'lower_bound_does_not_beat_baseline' ELSE 'shadow_candidate_beats_baseline' END AS reason FROM best""",
+)
+def f8_learned_policy(spark, folder):
+    """Candidates of a decision scored by the learned models; the vector is the target acted on."""
+    samples = two_features(spark, folder)
+    models = L.solve_models(L.reward_statistics(samples))
+    rows = table(spark, folder, "embeddings").select(
+        F.floor(F.col("vec_id") / 10).alias("decision"), F.col("label").alias("learned"), "vec_id",
+        F.array(F.lit(1.0), F.get("embedding", 0).cast("double")).alias("x"), (F.col("vec_id") % 3 != 1).alias("reversible"),
+        F.when(F.col("label") == 0, "None").otherwise(F.col("label").cast("string")).alias("action"), F.lit(True).alias("safety_passed"),
+    )
+    scored = L.predict(rows, models, "learned", "x").withColumn("lower_bound", F.round("lower_bound", 9))
+    out = L.shadow_choice(scored, ["decision"], "vec_id", target="vec_id")
+    return out.select("decision", "action", "target", "reason")
+
+
 @query(
     "f8_shadow_policy",
     """SELECT l_orderkey, best.a AS action, CASE WHEN best IS NULL THEN 'no_reversible_safe_candidate' WHEN best.o < 10 THEN 'insufficient_measured_outcomes' WHEN best.lb <= 0.05::DOUBLE THEN 'lower_bound_does_not_beat_baseline' ELSE 'shadow_candidate_beats_baseline' END AS reason

@@ -225,16 +225,14 @@ def e23_split_leaks(spark, folder):
 
 @query(
     "a21_locked_manifest",
-    """SELECT doc_id // 1000 AS block, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY CAST(doc_id AS VARCHAR))) AS content_hash,
- count(*) AS ids FROM (SELECT DISTINCT doc_id FROM documents) GROUP BY 1""",
+    """WITH ids AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents), n AS (SELECT count(*) AS n FROM ids),
+leaves AS (SELECT CASE WHEN n <= 4096 THEN '' ELSE substr(sha256(id), 1, 3) END AS place, sha256(string_agg(id, chr(10) ORDER BY id)) AS hash FROM ids, n GROUP BY 1)
+SELECT CAST(1 AS INTEGER) AS schema_version, 'independent locked test episodes' AS purpose, (SELECT n FROM n) AS ids,
+ CASE WHEN (SELECT n FROM n) <= 4096 THEN min(hash) ELSE sha256(string_agg(hash, chr(10) ORDER BY place)) END AS content_hash FROM leaves""",
 )
 def a21_locked_manifest(spark, folder):
-    """One manifest hash per block of a thousand ids, so no list can outgrow its bound."""
-    ids = table(spark, folder, "documents").select("doc_id").distinct()
-    listed = ids.groupBy(F.floor(F.col("doc_id") / 1000).alias("block")).agg(
-        F.collect_list(F.col("doc_id").cast("string")).alias("ids")
-    )
-    return listed.select("block", P.ids_hash("ids").alias("content_hash"), F.size("ids").cast("long").alias("ids"))
+    """The header of all documents as locked ids."""
+    return P.locked_manifest(P.locked_ids(table(spark, folder, "documents"), "doc_id"))
 
 
 @query(
@@ -242,7 +240,7 @@ def a21_locked_manifest(spark, folder):
     """SELECT CAST(doc_id AS VARCHAR) AS episode_id FROM labels WHERE doc_id IN (SELECT doc_id FROM documents WHERE source = 'src3')""",
 )
 def c11_locked_overlap(spark, folder):
-    locked = P.locked_manifest(table(spark, folder, "documents").where(F.col("source") == "src3"), "doc_id")
+    locked = P.locked_ids(table(spark, folder, "documents").where(F.col("source") == "src3"), "doc_id")
     used = table(spark, folder, "labels").select(F.col("doc_id").alias("episode_id"))
     return P.locked_overlap(used, locked, "train")
 
@@ -336,16 +334,86 @@ olb AS (SELECT CAST(doc_id AS VARCHAR) AS episode_id, CASE WHEN quality = 1 THEN
 
 @query(
     "b2_label_contract",
-    "WITH " + OUTCOMES + _counts_sql("olb", {"missing:label_confidence": "NOT has_confidence", "weak_provenance": "provenance = 'WEAK_HEURISTIC'"}),
-)
+    "WITH " + OUTCOMES + _counts_sql("olb", {
+        "missing:label_confidence": "NOT has_confidence", "weak_provenance": "provenance = 'WEAK_HEURISTIC'",
+        "missing:qoe_evidence": "CAST(episode_id AS BIGINT) % 13 = 0", "missing:session_id": "CAST(episode_id AS BIGINT) % 17 = 0",
+        "missing:hardware": "CAST(episode_id AS BIGINT) % 19 = 0",
+    }),
+)
 def b2_label_contract(spark, folder):
-    """Certification mode; the columns that the source does not carry are left out of the report."""
-    labels = outcome_labels(spark, folder)
-    rules = [rule for rule in Q.contract_rules(labels, "outcome_label", True) if rule[0].removeprefix("missing:") in labels.columns or not rule[0].startswith("missing:")]
-    checked = Q.with_errors(labels, rules)
+    """Outcome labels in certification mode, with all fields of the record."""
+    k = F.col("episode_id").cast("long")
+    labels = outcome_labels(spark, folder).withColumns(
+        {**_common(k), "qoe_evidence": F.when(k % 13 != 0, F.create_map(F.lit("ms"), F.lit(1.0)))}
+    )
+    return _violations(labels, "outcome_label", True)
+
+
+def _common(k):
+    """The common fields of a version 3 record; some rows lack the session or the hardware."""
+    return {
+        "schema_version": F.lit(3), "monotonic_timestamp_ms": k, "wall_timestamp_utc": k.cast("string"), "device_id": F.lit("d"),
+        "session_id": F.when(k % 17 == 0, "").otherwise("s"), "windows_build_family": F.lit("w11"),
+        "hardware": F.when(k % 19 != 0, F.struct(F.lit("8").alias("cpu_core_tier"))),
+        "collector_health": F.create_map(F.lit("qoe"), F.lit("OK")), "feature_source_versions": F.create_map(F.lit("qoe"), F.lit("1")),
+    }
+
+
+def _violations(rows, record, for_certification=False):
+    checked = Q.validate(rows, record, for_certification)
     return checked.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query(
+    "b2_episode_contract",
+    _counts_sql("orders", {
+        "missing:session_id": "o_orderkey % 17 = 0", "missing:hardware": "o_orderkey % 19 = 0", "missing:workload_class": "o_orderkey % 7 = 0",
+        "missing:stable_baseline": "o_orderkey % 23 = 0", "interval": "o_orderkey % 11 = 0", "provenance": "o_orderkey % 29 = 0",
+    }),
+)
+def b2_episode_contract(spark, folder):
+    """Orders as workload episodes; some end before they start."""
+    k = F.col("o_orderkey")
+    episodes = table(spark, folder, "orders").select(
+        *[c.alias(n) for n, c in _common(k).items()],
+        k.cast("string").alias("episode_id"),
+        F.when(k % 29 == 0, "GUESSED").otherwise("MEASURED_QOE").alias("provenance"),
+        F.when(k % 7 != 0, F.col("o_orderpriority")).alias("workload_class"),
+        F.lit("first_frame").alias("start_reason"),
+        F.lit("input_exhausted").alias("end_reason"),
+        k.alias("start_monotonic_ms"),
+        (k + F.when(k % 11 == 0, 0).otherwise(1000)).alias("end_monotonic_ms"),
+        F.when(k % 23 != 0, F.create_map(F.lit("cpu"), F.lit(1.0))).alias("stable_baseline"),
+        F.lit(1000).alias("observation_interval_ms"),
+        F.lit(1000).alias("outcome_interval_ms"),
+        F.create_map(F.lit("valid"), F.lit(True)).alias("data_quality"),
+    )
+    return _violations(episodes, "workload_episode")
+
+
+@query(
+    "b2_action_contract",
+    _counts_sql("orders", {
+        "missing:session_id": "o_orderkey % 17 = 0", "missing:hardware": "o_orderkey % 19 = 0", "missing:transaction_id": "o_orderkey % 7 = 0",
+        "missing:rollback": "o_orderkey % 23 = 0", "weak_provenance": "o_orderkey % 11 = 0",
+    }),
+)
+def b2_action_contract(spark, folder):
+    """Orders as action outcomes, for certification."""
+    k = F.col("o_orderkey")
+    outcomes = table(spark, folder, "orders").select(
+        *[c.alias(n) for n, c in _common(k).items()],
+        k.cast("string").alias("episode_id"),
+        F.when(k % 11 == 0, "weak_heuristic").otherwise("manual_review").alias("provenance"),
+        F.when(k % 7 == 0, "").otherwise(k.cast("string")).alias("transaction_id"),
+        F.col("o_orderpriority").alias("action_type"),
+        F.col("o_orderstatus").alias("outcome"),
+        F.when(k % 23 != 0, F.create_map(F.lit("done"), F.lit(False))).alias("rollback"),
+        F.create_map(F.lit("cpu"), F.lit(1.0)).alias("measured_effect"),
+    )
+    return _violations(outcomes, "action_outcome", True)
+
+
 @query(
     "b3_eligible_provenance",
     "WITH " + OUTCOMES + "SELECT provenance, provenance <> 'WEAK_HEURISTIC' AS eligible, count(*) AS labels FROM olb GROUP BY ALL",
@@ -426,3 +494,16 @@ WHERE a.id IS NULL OR b.id IS NULL GROUP BY 1""",
 def g1_set_difference(spark, folder):
     left = table(spark, folder, "documents").where(F.col("doc_id") % 2 == 0)
     return T.same_ids(left, table(spark, folder, "labels"), "doc_id").groupBy("side").agg(F.count(F.lit(1)).alias("ids"))
+
+
+@query(
+    "g1_set_intersection",
+    """SELECT 'both' AS side, count(*) AS ids FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 INTERSECT SELECT doc_id FROM labels)
+UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 UNION SELECT doc_id FROM labels)""",
+)
+def g1_set_intersection(spark, folder):
+    """Ids that both sides have, and ids that either has."""
+    left = table(spark, folder, "documents").where(F.col("doc_id") % 2 == 0).select("doc_id")
+    right = table(spark, folder, "labels").select("doc_id")
+    sides = {"both": left.intersect(right), "either": left.union(right).distinct()}
+    return T.union_all([f.agg(F.lit(n).alias("side"), F.count(F.lit(1)).alias("ids")) for n, f in sides.items()])

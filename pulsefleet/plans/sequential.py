@@ -123,7 +123,7 @@ def e18_adaptive_sampling(spark, folder):
     )
     tel = tel.withColumn("t", F.floor(F.col("t") / 1000))
     rows = Q.adaptive_sampling(
-        tel, KEY, ORDER, slot=3_600_000, stable_ms=_ST, elevated_ms=_EL, immediate_ms=_IM, burst_ms=_BU
+        tel, KEY, ORDER, stable_ms=_ST, elevated_ms=_EL, immediate_ms=_IM, burst_ms=_BU
     )
     return rows.select("device_id", "seq", "capture", "reason")
 
@@ -135,12 +135,12 @@ def e18_adaptive_sampling(spark, folder):
         f"""stp AS (SELECT device_id, seq, i, [{{'a': app, 's': t}}] AS apps FROM num WHERE i = 1
  UNION ALL SELECT n.device_id, n.seq, n.i, list_filter(
    CASE WHEN len(list_filter(apps, lambda x: x.a = n.app)) > 0 THEN list_transform(apps, lambda x: {{'a': x.a, 's': CASE WHEN x.a = n.app THEN n.t ELSE x.s END}})
-    ELSE list_slice(list_concat([{{'a': n.app, 's': n.t}}], apps), 1, 4) END, lambda x: n.t - x.s <= {int(3 * DAY_S * 1e6)})
+    ELSE list_slice(list_concat([{{'a': n.app, 's': n.t}}], apps), 1, 8) END, lambda x: n.t - x.s <= {int(3 * DAY_S * 1e6)})
   FROM stp JOIN num n ON n.device_id = stp.device_id AND n.i = stp.i + 1)""")[5:]
     + "SELECT device_id, seq, array_to_string(list_transform(apps, lambda x: x.a), ',') AS recent_apps FROM stp",
 )
 def e14_recent_apps(spark, folder):
-    """Apps of the last three days, at most four remembered."""
+    """Apps of the last three days, at most eight remembered."""
     tel = telemetry(spark, folder).withColumn("app", F.col("seq") % 12)
-    rows = Q.recent_apps(tel, KEY, ORDER, "app", window=3 * DAY_S * 1e6, limit=4)
+    rows = Q.recent_apps(tel, KEY, ORDER, "app", window=3 * DAY_S * 1e6)
     return rows.select("device_id", "seq", F.array_join("recent_apps", ",").alias("recent_apps"))

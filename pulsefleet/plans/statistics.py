@@ -11,7 +11,7 @@ from pulsefleet.operators import calibration as C
 from pulsefleet.operators import evaluation as V
 from pulsefleet.operators import ranking as R
 from pulsefleet.operators import windows as W
-from pulsefleet.operators.quality import SCENARIOS, duplicate_ids, quarantined_rows, with_errors, benchmark_rules
+from pulsefleet.operators.quality import SCENARIOS, VARIANTS, duplicate_ids, quarantined_rows, with_errors, benchmark_rules
 from pulsefleet.plans.history import KEY, ORDER, OVER, _LABEL_CTES, _label_sql, r
 from pulsefleet.plans.quality import certification_episodes
 from pulsefleet.plans.registry import query
@@ -128,7 +128,8 @@ def d22_risk_coverage(spark, folder):
 
 _SLICE_B = f"""b AS (SELECT field, value, label, {_CLIP} AS p FROM (
  SELECT 'device_id' AS field, device_id AS value, label, probability FROM pred
- UNION ALL SELECT 'workload_class', workload_class, label, probability FROM pred))"""
+ UNION ALL SELECT 'workload_class', workload_class, label, probability FROM pred
+ UNION ALL SELECT 'application_family', application_family, label, probability FROM pred))"""
 
 
 @query(
@@ -147,7 +148,7 @@ FROM met JOIN (SELECT field, value, sum(avg_rank * label) AS rsum, sum(CASE WHEN
     ),
 )
 def d23_slice_metrics(spark, folder):
-    m = V.evaluate_slices(predictions(spark, folder), "label", "probability", ["device_id", "workload_class"])
+    m = V.evaluate_slices(predictions(spark, folder), "label", "probability", ["device_id", "workload_class", "application_family"])
     return m.select("field", "value", "n", *[r(c).alias(c) for c in ("balanced_accuracy", "brier", "auroc", "auprc")])
 
 
@@ -616,7 +617,7 @@ def d13_relative_improvement(spark, folder):
 BOOT = f"""
 num AS (SELECT *, row_number() OVER g - 1 AS i, count(*) OVER (PARTITION BY scenario, run_type, variant) AS n FROM prs
   WINDOW g AS (PARTITION BY scenario, run_type, variant ORDER BY iteration)),
-drw AS (SELECT scenario, run_type, variant, rep, CAST('0x' || substr(md5('20260711:' || rep || ':' || i), 1, 8) AS BIGINT) % n AS i FROM num, range(0, 400) AS s(rep)),
+drw AS (SELECT scenario, run_type, variant, rep, CAST('0x' || substr(md5('20260711:' || rep || ':' || i), 1, 8) AS BIGINT) % n AS i FROM num, range(0, 2000) AS s(rep)),
 rpl AS (SELECT scenario, run_type, variant, rep, avg(bp) AS b, avg(cp) AS c FROM drw JOIN num USING (scenario, run_type, variant, i) GROUP BY ALL),
 ci AS (SELECT scenario, run_type, variant, quantile_cont({_GAIN.format(b='b', c='c')}, 0.025) AS ci_low, quantile_cont({_GAIN.format(b='b', c='c')}, 0.975) AS ci_high FROM rpl GROUP BY ALL)"""
 
@@ -627,7 +628,7 @@ ci AS (SELECT scenario, run_type, variant, quantile_cont({_GAIN.format(b='b', c=
 )
 def d14_bootstrap_interval(spark, folder):
     pairs = B.pair_runs(B.run_p95(bench_samples(spark, folder)))
-    ci = B.bootstrap_interval(pairs, [*B.GROUP, "variant"], F.lit("lower"), 20260711, 400)
+    ci = B.bootstrap_interval(pairs, [*B.GROUP, "variant"], F.lit("lower"), 20260711)
     return ci.select(*_BENCH_KEYS, r("ci_low").alias("ci_low"), r("ci_high").alias("ci_high"))
 
 
@@ -668,7 +669,7 @@ JOIN gat ON gat.scenario = c.scenario AND gat.run_type = c.run_type AND gat.vari
 )
 def d16_comparison_report(spark, folder):
     """Baseline group against every other variant, with claim status; no comparison is dropped."""
-    rows = B.comparison_report(bench_samples(spark, folder), bench_runs(spark, folder), replicates=400)
+    rows = B.comparison_report(bench_samples(spark, folder), bench_runs(spark, folder))
     return rows.select(
         *_BENCH_KEYS, "baseline_count", "candidate_count", r("p95_improvement").alias("p95_improvement"), r("ci_low").alias("ci_low"), "claim_status"
     )
@@ -749,12 +750,14 @@ def a4_metric_rows(spark, folder):
     "a13_run_plan",
     """SELECT 'c' || c_custkey || '-' || sc || '-' || rt || '-' || lpad(CAST(it AS VARCHAR), 3, '0') || '-' || v AS run_id, sc AS scenario, v AS variant, rt AS run_type,
  CAST(it AS INT) AS iteration, CAST(row_number() OVER (PARTITION BY c_custkey, sc, rt, it ORDER BY md5('42|c' || c_custkey || '|' || sc || '|' || rt || '|' || it || '|' || v)) AS INT) AS order_index
-FROM customer, (SELECT unnest(['coding', 'gaming']) AS sc), (SELECT unnest(['cold', 'warm']) AS rt), range(1, 3) AS s(it),
- (SELECT unnest(['windows_baseline', 'subject_optimizer', 'process_lasso']) AS v)""",
+FROM customer, (SELECT unnest([{scenarios}]) AS sc), (SELECT unnest(['cold', 'warm']) AS rt), range(1, 11) AS s(it),
+ (SELECT unnest([{variants}]) AS v)""".format(
+        scenarios=", ".join(f"'{s}'" for s in SCENARIOS), variants=", ".join(f"'{v}'" for v in VARIANTS)
+    ),
 )
 def a13_run_plan(spark, folder):
     devices = table(spark, folder, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("device_id"))
-    plan = B.run_plan(devices, ["coding", "gaming"], ["windows_baseline", "subject_optimizer", "process_lasso"], 2, 42)
+    plan = B.run_plan(devices, SCENARIOS, VARIANTS, 10, 42)
     return plan.select("run_id", "scenario", "variant", "run_type", "iteration", "order_index")
 
 
@@ -770,7 +773,8 @@ def a2_duplicate_runs(spark, folder):
 @query(
     "d10_device_medians",
     with_telemetry(
-        """SELECT device_id, count(*) AS count, round(median(cpu), 6) + 0 AS cpu, tier FROM
+        """SELECT device_id, count(*) AS count, round(median(cpu), 6) + 0 AS cpu, round(median(mem), 6) + 0 AS mem, round(median(disk), 6) + 0 AS disk,
+ round(median(net), 6) + 0 AS net, round(median(process), 6) + 0 AS process, tier FROM
  (SELECT *, CASE WHEN normal >= 30 THEN 'labelled' WHEN low > 0 THEN 'low_pressure' ELSE 'all' END AS tier FROM
   (SELECT *, count(*) FILTER (is_normal) OVER d AS normal, count(*) FILTER (is_low) OVER d AS low FROM
    (SELECT *, phase = 'view' AND device_id % 2 = 0 AS is_normal, cpu < 80 * 0.65 AND mem < 85 * 0.8 AND disk > 20 AS is_low FROM tel) WINDOW d AS (PARTITION BY device_id)))
@@ -783,5 +787,5 @@ def d10_device_medians(spark, folder):
     tel = telemetry(spark, folder)
     label = F.when((F.col("phase") == "view") & (F.col("device_id") % 2 == 0), "normal").otherwise("AUTO")
     rows = normal_rows(tel.withColumn("scenario_label", label), KEY, "scenario_label")
-    q = R.exact_quantiles(rows, ["device_id", "tier"], "cpu", {"cpu": 0.5})
-    return q.select("device_id", "count", r("cpu").alias("cpu"), "tier")
+    medians = R.device_medians(rows, ["device_id", "tier"], list(W.DEFAULT_BASELINE))
+    return medians.select("device_id", "count", *[r(c).alias(c) for c in W.DEFAULT_BASELINE], "tier")

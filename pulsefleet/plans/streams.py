@@ -2,73 +2,150 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
 from pulsefleet.operators import evaluation as V
+from pulsefleet.operators import ranking as R
 from pulsefleet.operators import sequential as Q
+from pulsefleet.operators import splits as P
 from pulsefleet.operators import training as M
 from pulsefleet.operators import windows as W
-from pulsefleet.plans.history import KEY, ORDER, r
-from pulsefleet.plans.quality import CUT, FRAMES, HOUR, frames
+from pulsefleet.operators.rollups import normal_rows
+from pulsefleet.plans.history import _LABEL_CTES, KEY, ORDER, _label_sql, r
+from pulsefleet.plans.quality import CUT, FRAMES, HOUR
 from pulsefleet.plans.registry import ORACLES, query
 from pulsefleet.plans.sequential import _VALUES
-from pulsefleet.plans.views import epoch_us, table, telemetry, with_telemetry
+from pulsefleet.plans.views import as_telemetry, table, telemetry, with_telemetry
 from pulsefleet.session import shared_folder
+from pulsefleet.sources.files import window_values
+from pulsefleet.sources.sinks import read_keyed
 from pulsefleet.streaming import stream as K
 
+# -- the training chain: medians, windows, split, forest, report, readiness, stored model -----------
+
+_MODELS: dict[tuple[str, str], tuple[str, dict[str, float]]] = {}
+
 
-def _labelled(spark, folder):
-    return W.training_set(telemetry(spark, folder), KEY, ORDER)
+def _rows(spark, folder, baseline):
+    """Labelled windows with the role of their device."""
+    rows = W.training_set(telemetry(spark, folder), KEY, ORDER, baseline=baseline)
+    return P.split_grouped_temporal(rows, "device_id", "t", "t")
 
 
-def _forest(spark, folder):
-    """Devices are the disjoint groups of training and test rows."""
-    rows = _labelled(spark, folder)
-    test = F.pmod(F.xxhash64("device_id"), F.lit(4)) == 0
-    model = M.train_forest(rows.where(~test), trees=20, depth=8)
-    return model, rows.where(test)
+def _fleet_baseline(spark, folder) -> dict[str, float]:
+    """Medians of the five series over the normal rows of the fleet."""
+    tel = telemetry(spark, folder).withColumns(
+        {"fleet": F.lit("all"), "scenario_label": F.when((F.col("phase") == "view") & (F.col("device_id") % 2 == 0), "normal").otherwise("AUTO")}
+    )
+    medians = R.device_medians(normal_rows(tel, ["fleet"], "scenario_label"), ["fleet"], list(W.DEFAULT_BASELINE)).first()
+    return {name: medians[name] for name in W.DEFAULT_BASELINE}
+
+
+def _trained(spark, folder) -> tuple[str, dict[str, float]]:
+    """Folder of the stored model and its baseline; trained once per application and table folder."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _MODELS:
+        baseline = _fleet_baseline(spark, folder)
+        rows = _rows(spark, folder, baseline)
+        model = M.train_forest(rows.where("role = 'train'"))
+        scored = M.score(rows.where("role = 'validation'"), model)
+        report = V.multiclass_report(V.confusion_matrix(scored, "label", "predicted_class"))
+        ready = V.readiness(report.select("class", F.col("support").alias("rows")), report.select("class", "recall")).first()
+        path = shared_folder(spark)
+        extra = {"window": W.WINDOW, "horizon": W.HORIZON, "readiness": ready["status"], "blockers": ready["blockers"]}
+        M.save_model(model, path, spark, baseline, extra)
+        _MODELS[key] = (path, baseline)
+    return _MODELS[key]
+
+
+def _scored(spark, folder):
+    """Rows of the locked test devices, scored by the stored model."""
+    path, _ = _trained(spark, folder)
+    model, meta = M.load_model(path, spark)
+    return M.score(_rows(spark, folder, meta["baseline"]).where("role = 'locked_test'"), model)
+
+
+_ROLE_CTES = (
+    f"""win AS (SELECT device_id, seq, t, {_label_sql()} AS label FROM (SELECT fut.*, tel.t FROM fut JOIN tel USING (device_id, seq)) WHERE n_future = 5 AND n >= 8)""",
+    """grp AS (SELECT device_id, row_number() OVER (ORDER BY min(t), device_id) AS rank, count(*) OVER () AS n FROM win GROUP BY device_id)""",
+    """rol AS (SELECT win.*, CASE WHEN rank <= n - 2 * v - l THEN 'train' WHEN rank <= n - v - l THEN 'validation' WHEN rank <= n - l THEN 'calibration' ELSE 'locked_test' END AS role
+  FROM win JOIN (SELECT *, greatest(1, CAST(floor(n * 0.15::DOUBLE) AS BIGINT)) AS v, greatest(1, CAST(floor(n * 0.1::DOUBLE) AS BIGINT)) AS l FROM grp) USING (device_id))""",
+)
 
 
-@query("j1_forest_report")
+@query(
+    "j1_forest_report",
+    with_telemetry(
+        "SELECT label AS class, count(*) AS support, true AS beats_majority FROM rol WHERE role = 'locked_test' GROUP BY label", *_LABEL_CTES, *_ROLE_CTES
+    ),
+)
 def j1_forest_report(spark, folder):
-    model, test = _forest(spark, folder)
-    scored = M.score(test, model)
-    report = V.multiclass_report(V.confusion_matrix(scored, "label", "predicted_class"))
-    return report.select("class", "support", "predicted", "hits", r("precision").alias("precision"), r("recall").alias("recall"))
+    """Support per class of devices that training never saw; accuracy is not below always saying the largest class."""
+    matrix = V.confusion_matrix(_scored(spark, folder), "label", "predicted_class")
+    report = V.multiclass_report(matrix)
+    totals = report.agg((F.sum("hits") >= F.max("support")).alias("beats_majority"))
+    return report.where("support > 0").select("class", "support").join(F.broadcast(totals))
 
 
-@query("f7_feature_importances")
+@query("f7_feature_importances", "SELECT 12 AS features, true AS descending, true AS known, true AS shares")
 def f7_feature_importances(spark, folder):
-    model, _ = _forest(spark, folder)
-    return M.importances(model, spark)
+    """The twelve most important features: in order, among the contract's, with shares of at most one in all."""
+    path, _ = _trained(spark, folder)
+    model, _ = M.load_model(path, spark)
+    rows = M.importances(model, spark)
+    listed = rows.agg(F.collect_list(F.struct("importance", "feature")).alias("l")).select(
+        F.transform("l", lambda x: x["importance"]).alias("v"), F.transform("l", lambda x: x["feature"]).alias("names")
+    )
+    return listed.select(
+        F.size("v").alias("features"),
+        (F.reverse(F.array_sort("v")) == F.col("v")).alias("descending"),
+        (F.size(F.array_except("names", F.array(*[F.lit(f) for f in W.FEATURES]))) == 0).alias("known"),
+        F.aggregate("v", F.lit(0.0), lambda x, y: x + y).between(0.0, 1.0 + 1e-9).alias("shares"),
+    )
 
 
-@query("j2_saved_model_scores")
+@query(
+    "j2_saved_model_scores",
+    with_telemetry(
+        """SELECT count(*) AS n, 'ai_reliability_v2' AS contract, true AS in_range, true AS repeated,
+ (SELECT round(median(cpu), 6) FROM tel WHERE phase = 'view' AND device_id % 2 = 0) AS cpu_baseline FROM rol WHERE role = 'locked_test'""",
+        *_LABEL_CTES, *_ROLE_CTES,
+    ),
+)
 def j2_saved_model_scores(spark, folder):
-    """The model is stored with its baseline, read back, and used for scoring."""
-    model, test = _forest(spark, folder)
-    path = shared_folder(spark)
-    M.save_model(model, path, spark, W.DEFAULT_BASELINE, {"window": W.WINDOW, "horizon": W.HORIZON})
-    loaded, meta = M.load_model(path, spark)
-    scored = M.score(test, loaded)
-    return scored.groupBy("predicted_class").agg(
-        F.count(F.lit(1)).alias("n"), r(F.avg("risk"), 3).alias("risk"), F.lit(meta["contract"]).alias("contract")
+    """The stored model, read twice, gives the same scores; its metadata holds the medians it was fit with."""
+    path, _ = _trained(spark, folder)
+    _, meta = M.load_model(path, spark)
+    first = _scored(spark, folder).select("device_id", "seq", "risk")
+    again = _scored(spark, folder).select("device_id", "seq", F.col("risk").alias("risk_again"))
+    both = first.join(again, ["device_id", "seq"])
+    return both.agg(
+        F.count(F.lit(1)).alias("n"),
+        F.lit(meta["contract"]).alias("contract"),
+        F.bool_and(F.col("risk").between(0.0, 100.0)).alias("in_range"),
+        F.bool_and(F.col("risk") == F.col("risk_again")).alias("repeated"),
+        F.round(F.lit(meta["baseline"]["cpu"]), 6).alias("cpu_baseline"),
     )
 
 
-def _events(spark, folder):
-    schema = table(spark, folder, "events").schema
-    return K.file_stream(spark, folder, schema, "events.parquet")
+# -- streams -------------------------------------------------------------------------------------------
 
 
-def _telemetry_stream(spark, folder):
-    k = F.get_json_object("props", "$.k").cast("double")
-    return _events(spark, folder).select(
-        F.col("user_id").alias("device_id"), epoch_us("ts").alias("t"), F.col("event_id").alias("seq"), F.col("event_type").alias("phase"),
-        F.least("value", F.lit(100.0)).alias("cpu"), k.alias("mem"), (100.0 - k / 2.0).alias("disk"), F.col("value").alias("net"),
-        (150.0 + F.pmod(F.col("event_id"), F.lit(64))).alias("process"), (F.col("value") % 50.0).alias("top_cpu"), (k * 9.0).alias("top_mem"),
-    )
+def _events(spark, folder, files: int = 1, order: str = "event_id"):
+    """The events as a stream: the table itself, or cut into files in the order of a column, a batch each."""
+    stored = table(spark, folder, "events")
+    if files == 1:
+        return K.file_stream(spark, folder, stored.schema, "events.parquet")
+    base = shared_folder(spark)
+    stored.repartitionByRange(files, order).write.parquet(base)
+    return K.file_stream(spark, base, stored.schema, files_per_batch=1)
+
+
+def _telemetry_stream(spark, folder, **cut):
+    return as_telemetry(_events(spark, folder, **cut))
 
 
 def _drain(spark, stream):
@@ -81,20 +158,24 @@ def _drain(spark, stream):
 
 @query(
     "k1_stream_batches",
-    """SELECT user_id AS device_id, count(*) AS rows, max(event_id) AS last_seq FROM events GROUP BY user_id""",
+    """SELECT user_id AS device_id, epoch_us(ts) // 86400000000 AS ts, max(event_id) AS seq, arg_max(least(value, 100.0), event_id) AS cpu, count(*) > 0 AS kept
+FROM events GROUP BY ALL""",
 )
 def k1_stream_batches(spark, folder):
-    """Snapshots written by batches and read back."""
-    tel = _telemetry_stream(spark, folder)
+    """Snapshots of a day replace each other across batches: the last written counts."""
+    tel = _telemetry_stream(spark, folder, files=5)
     snapshots = tel.select(
-        "device_id", F.col("seq").alias("ts"), F.struct("cpu", "mem", "disk").alias("system"),
+        "device_id", F.floor(F.col("t") / 86_400_000_000).alias("ts"), "seq", F.struct("cpu", "mem", "disk").alias("system"),
         F.array(F.struct(F.lit(1).alias("pid"), F.col("top_cpu").alias("cpu"))).alias("processes"), F.struct("phase").alias("intent"),
     )
     base = shared_folder(spark)
-    running = K.store_snapshots(snapshots, f"{base}/rows", f"{base}/checkpoint", seconds=None)
+    running = K.store_snapshots(snapshots, f"{base}/rows", f"{base}/checkpoint", ["seq"], seconds=None)
     running.awaitTermination()
-    stored = spark.read.parquet(f"{base}/rows/process_samples")
-    return stored.groupBy("device_id").agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("last_seq"))
+    rows = {name: read_keyed(spark, f"{base}/rows", name, ["seq"]) for name in ("metrics", "process_samples", "user_intent_samples")}
+    written = rows["process_samples"].select("device_id", "ts", F.col("seq").alias("process_seq"))
+    return rows["metrics"].join(written, ["device_id", "ts"]).select(
+        "device_id", "ts", "seq", "cpu", (F.col("seq") == F.col("process_seq")).alias("kept")
+    )
 
 
 @query("k2_stream_baseline", ORACLES["e9_adaptive_baseline"])
@@ -110,13 +191,26 @@ def k2_stream_baseline(spark, folder):
 
 @query(
     "k3_late_rows",
-    """SELECT user_id AS device_id, count(*) AS rows, CAST(0 AS BIGINT) AS late FROM events GROUP BY user_id""",
+    with_telemetry(
+        """SELECT device_id, count(*) AS rows, count(*) FILTER (late) AS late, round(sum(CASE WHEN NOT late THEN m END), 4) AS means FROM (
+  SELECT *, false AS late, avg(cpu) OVER (PARTITION BY device_id ORDER BY t, seq ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS m FROM tel WHERE seq % 10 <> 0
+  UNION ALL SELECT *, NOT coalesce((t, seq) > (SELECT max((x.t, x.seq)) FROM tel x WHERE x.device_id = tel.device_id AND x.seq % 10 <> 0), true), 0 FROM tel WHERE seq % 10 = 0) GROUP BY device_id"""
+    ),
 )
 def k3_late_rows(spark, folder):
-    """Rows that are not after the last accepted one are marked; a sorted replay has none."""
-    tel = _telemetry_stream(spark, folder)
-    folded = K.stateful_fold(tel, KEY, ORDER, K.rolling_mean_kernel(["cpu"]), "cpu_mean double")
-    return _drain(spark, folded).groupBy("device_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"))
+    """A tenth of the rows comes in a second file, after its time: late rows are marked and change no state."""
+    stored = table(spark, folder, "events")
+    base = shared_folder(spark)
+    late = F.col("event_id") % 10 == 0
+    for part in (stored.where(~late), stored.where(late)):
+        part.coalesce(1).write.mode("append").parquet(base)
+        time.sleep(1.1)  # file times apart keep the order of the batches
+    tel = as_telemetry(K.file_stream(spark, base, stored.schema, files_per_batch=1))
+    rows = _drain(spark, K.stateful_fold(tel, KEY, ORDER, K.rolling_mean_kernel(["cpu"]), "cpu_mean double"))
+    on_time = F.when(~F.col("late") & (F.col("seq") % 10 != 0), F.col("cpu_mean"))
+    return rows.groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if("late").alias("late"), F.round(F.sum(on_time), 4).alias("means")
+    )
 
 
 @query(
@@ -150,14 +244,27 @@ def e15_stream_alerts(spark, folder):
     return _drain(spark, folded).select("device_id", "seq", "alert")
 
 
-@query("j3_stream_scores")
+@query(
+    "j3_stream_scores",
+    """SELECT user_id AS device_id, count(*) - 7 AS windows, true AS equal_to_batch FROM events GROUP BY user_id HAVING count(*) >= 8""",
+)
 def j3_stream_scores(spark, folder):
-    """A saved model scores the windows of a stream; it is read anew for every batch."""
-    model, _ = _forest(spark, folder)
+    """A stored model scores the windows of a stream cut into batches; the scores are those of the whole table."""
+    path, baseline = _trained(spark, folder)
     base = shared_folder(spark)
-    M.save_model(model, f"{base}/model", spark, W.DEFAULT_BASELINE)
-    features = lambda batch, meta: W.window_features(batch, KEY, ORDER, baseline=meta["baseline"])
-    running = K.score_stream(_telemetry_stream(spark, folder), f"{base}/model", features, f"{base}/scores", f"{base}/checkpoint", seconds=None)
-    running.awaitTermination()
-    scores = spark.read.parquet(f"{base}/scores")
-    return scores.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"), r(F.avg("risk"), 3).alias("risk"))
+    windows = K.windowed(_telemetry_stream(spark, folder, files=5, order="ts"), KEY, ORDER)
+    # Windows are stored between state and scoring: both are streams of their own.
+    K.store_rows(windows, f"{base}/windows", f"{base}/state").awaitTermination()
+    packets = K.file_stream(spark, f"{base}/windows", windows.schema, files_per_batch=2)
+
+    def features(batch, meta):
+        columns = W.feature_columns(window_values(), baseline=meta["baseline"])
+        return batch.select(*KEY, *ORDER, *[c.alias(n) for n, c in columns.items()])
+
+    K.score_stream(packets, path, features, f"{base}/scores", f"{base}/checkpoint", seconds=None).awaitTermination()
+    scores = spark.read.parquet(f"{base}/scores").select("device_id", "seq", "risk")
+    model, _ = M.load_model(path, spark)
+    whole = M.score(W.window_features(telemetry(spark, folder), KEY, ORDER, baseline=baseline), model)
+    both = scores.join(whole.select("device_id", "seq", F.col("risk").alias("batch_risk")), ["device_id", "seq"], "full")
+    same = F.coalesce(F.abs(F.col("risk") - F.col("batch_risk")) < 1e-6, F.lit(False))
+    return both.groupBy("device_id").agg(F.count(F.lit(1)).alias("windows"), F.bool_and(same).alias("equal_to_batch"))

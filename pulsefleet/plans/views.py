@@ -17,8 +17,13 @@ def epoch_us(name: str):
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     """One system sample per event."""
+    return as_telemetry(table(spark, folder, "events"))
+
+
+def as_telemetry(events: DataFrame) -> DataFrame:
+    """Events, a table or a stream, as system samples."""
     k = F.get_json_object("props", "$.k").cast("double")
-    return table(spark, folder, "events").select(
+    return events.select(
         F.col("user_id").alias("device_id"),
         epoch_us("ts").alias("t"),
         F.col("event_id").alias("seq"),
@@ -134,6 +139,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("row_id"),
         F.col("lang").alias("workload_class"),
         F.col("source").alias("device_id"),
+        F.concat(F.lit("family"), F.col("doc_id") % 6).alias("application_family"),
         F.col("quality").alias("label"),
         (F.pmod(F.col("doc_id") * 37, F.lit(101)) / 100.0).alias("probability"),
         (F.col("toxic") == 1).alias("toxic"),
@@ -142,7 +148,7 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
 
 PREDICTIONS = """
 pred AS (
-  SELECT l.doc_id AS row_id, d.lang AS workload_class, d.source AS device_id, l.quality AS label,
+  SELECT l.doc_id AS row_id, d.lang AS workload_class, d.source AS device_id, 'family' || (l.doc_id % 6) AS application_family, l.quality AS label,
          (l.doc_id * 37 % 101) / 100.0 AS probability, l.toxic = 1 AS toxic
   FROM labels l JOIN documents d ON d.doc_id = l.doc_id
 )

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsefleet.operators.tables import latest_by_key
 
 
-def flatten_snapshots(snapshots: DataFrame) -> dict[str, DataFrame]:
-    """System, process and intent rows of nested snapshots (device_id, ts, system, processes, intent)."""
-    key = ["device_id", "ts"]
+def flatten_snapshots(snapshots: DataFrame, order: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """System, process and intent rows of nested snapshots (device_id, ts, system, processes, intent).
+
+    ``order`` are the snapshot's columns that say which of several rows of a key was written last.
+    """
+    key = ["device_id", "ts", *order]
     return {
         "metrics": snapshots.select(*key, "system.*"),
         "process_samples": snapshots.select(*key, F.explode("processes").alias("p")).select(*key, "p.*"),
@@ -28,15 +31,29 @@ SNAPSHOT_KEYS = {
 
 
 def write_batch(
-    tables: Mapping[str, DataFrame], folder: str, batch_id: int, keys: Mapping[str, Sequence[str]] = SNAPSHOT_KEYS, order: Sequence[str] = ()
+    tables: Mapping[str, DataFrame], folder: str, batch_id: int, order: Sequence[str], keys: Mapping[str, Sequence[str]] = SNAPSHOT_KEYS
 ) -> None:
-    """Write one batch of tables, last row of a key kept, below ``batch=<id>``.
+    """Write one batch of tables, the last row of a key by ``order`` kept, below ``batch=<id>``.
 
     A repeated batch overwrites its own folder, so a retry after a lost executor adds nothing twice.
+    Rows of a key in several batches stay beside each other; ``read_keyed`` takes the last of them.
     """
     for name, rows in tables.items():
-        kept = latest_by_key(rows, keys[name], order) if order else rows.dropDuplicates(list(keys[name]))
-        kept.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        latest_by_key(rows, keys[name], order).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+
+
+def read_keyed(
+    spark: SparkSession, folder: str, name: str, order: Sequence[str], keys: Mapping[str, Sequence[str]] = SNAPSHOT_KEYS
+) -> DataFrame:
+    """The table that the batches add up to: one row per key, the last by ``order``, then by batch."""
+    stored = spark.read.parquet(f"{folder}/{name}")
+    return latest_by_key(stored, keys[name], [*order, "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, folder: str, name: str, order: Sequence[str], target: str, keys: Mapping[str, Sequence[str]] = SNAPSHOT_KEYS) -> None:
+    """Write the keyed table as a single batch of ``target``, so that later reads need not resolve old batches."""
+    rows = read_keyed(spark, folder, name, order, keys)
+    rows.write.mode("overwrite").parquet(f"{target}/{name}/batch=0")
 
 
 EXPORT_COLUMNS = (

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 
 from pulsefleet.operators import training
 from pulsefleet.operators.sequential import Kernel, Rows, output_names
+from pulsefleet.operators.windows import SERIES, WINDOW
 from pulsefleet.sources.sinks import SNAPSHOT_KEYS, flatten_snapshots, write_batch
 
 
@@ -30,11 +31,15 @@ def _start(writer, seconds: float | None) -> StreamingQuery:
     return timed.start()
 
 
-def store_snapshots(stream: DataFrame, folder: str, checkpoint: str, seconds: float | None = 2.0) -> StreamingQuery:
-    """Append nested snapshots as three keyed tables, one idempotent write per batch."""
+def store_snapshots(stream: DataFrame, folder: str, checkpoint: str, order: Sequence[str], seconds: float | None = 2.0) -> StreamingQuery:
+    """Append nested snapshots as three keyed tables, one idempotent write per batch.
+
+    Of the rows of a key the last by ``order`` counts, within a batch and, through ``sinks.read_keyed``,
+    across batches: any cut into batches gives the same tables.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_batch(flatten_snapshots(batch), folder, batch_id, SNAPSHOT_KEYS)
+        write_batch(flatten_snapshots(batch, order), folder, batch_id, order, SNAPSHOT_KEYS)
 
     return _start(stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint), seconds)
 
@@ -164,6 +169,33 @@ def sessions(stream: DataFrame, keys: Sequence[str], event_time: str, gap: str,
     )
 
 
+def window_kernel(columns: Sequence[str], size: int = WINDOW) -> Kernel:
+    """Per row the last ``size`` values of each column, once there are so many; the state is the rest of them."""
+
+    def kernel(rows: Rows, state):
+        state = state or [[] for _ in columns]
+        out = {}
+        for i, c in enumerate(columns):
+            joined = [*state[i], *(float(v) for v in rows[c])]
+            known = len(state[i])
+            out[f"{c}_window"] = [joined[k - size + 1 : k + 1] if k >= size - 1 else None for k in range(known, len(joined))]
+            state[i] = joined[-(size - 1) :]
+        return out, state
+
+    return kernel
+
+
+def windowed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], series: Sequence[str] = SERIES) -> DataFrame:
+    """Each row that ends a full window, with ``values`` (per series the window, oldest first).
+
+    The last rows of a key are kept as state, so the windows do not depend on how rows fall into batches.
+    """
+    outputs = ", ".join(f"{c}_window array<double>" for c in series)
+    folded = stateful_fold(stream, keys, order, window_kernel(series), outputs)
+    values = F.struct(*[F.col(f"{c}_window").alias(c) for c in series])
+    return folded.where(~F.col("late") & F.col(f"{series[0]}_window").isNotNull()).select(*keys, *order, values.alias("values"))
+
+
 # -- scoring --------------------------------------------------------------------------------
 
 
@@ -175,9 +207,11 @@ def score_stream(
     checkpoint: str,
     seconds: float | None = 1.0,
 ) -> StreamingQuery:
-    """Score window rows batch by batch; the model and its metadata are read anew for every batch.
+    """Score windows batch by batch; the model and its metadata are read anew for every batch.
 
-    ``features`` turns a batch and the metadata (baseline, thresholds) into feature columns.
+    Every row of ``stream`` is a whole window (a packet of ``files.window_rows``, or a row of ``windowed``),
+    so no score depends on other rows of the batch. ``features`` turns a batch and the metadata (baseline,
+    thresholds) into feature columns.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:

@@ -119,7 +119,7 @@ def sampled(spark, rows, **settings):
     names = ("elevated", "severe", "foreground_changed", "invalid", "safety", "within_budget", "collector_failed")
     data = [("d", t, *[bool(flags.get(n, n == "within_budget")) for n in names]) for t, flags in rows]
     df = spark.createDataFrame(data, "device_id string, t long, " + ", ".join(f"{n} boolean" for n in names))
-    return [(r["t"], r["capture"], r["reason"]) for r in Q.adaptive_sampling(df, ["device_id"], ["t"], slot=1000, **settings).orderBy("t").collect()]
+    return [(r["t"], r["capture"], r["reason"]) for r in Q.adaptive_sampling(df, ["device_id"], ["t"], **settings).orderBy("t").collect()]
 
 
 def test_stable_sampling(spark):
@@ -146,7 +146,7 @@ def test_collector_cost(spark):
 
 def test_ewma(spark):
     df = spark.createDataFrame([("d", 1, 0.0), ("d", 2, 1.0)], "d string, t long, v double")
-    assert W.ewma_last(df, ["d"], ["t"], "v", 0.5, slot=10).first()["ewma"] == 0.5
+    assert W.ewma_last(df, ["d"], ["t"], "v", 0.5).first()["ewma"] == 0.5
 
 
 def test_window_features_of_the_contract_case(spark):
@@ -154,20 +154,30 @@ def test_window_features_of_the_contract_case(spark):
     net, proc = [1, 1, 2, 2, 2, 3, 3, 4], [80, 80, 81, 82, 82, 83, 84, 84]
     rows = [("d", i, float(c), float(m), float(k), float(n), float(p), 0.0, 0.0) for i, (c, m, k, n, p) in enumerate(zip(cpu, mem, disk, net, proc))]
     df = spark.createDataFrame(rows, "device_id string, t long, cpu double, mem double, disk double, net double, process double, top_cpu double, top_mem double")
-    out = W.window_features(df, ["device_id"], ["t"], slot=100)
+    out = W.window_features(df, ["device_id"], ["t"])
     row = out.first()
     assert out.count() == 1 and len(W.FEATURES) == 73 and set(W.FEATURES) <= set(out.columns)
     assert row["cpu_slope"] == pytest.approx(np.polyfit(range(8), cpu, 1)[0]) and row["cpu_std"] == pytest.approx(np.std(cpu))
     assert row["net_spike"] == 2.0 and row["top_cpu_slope"] == 0.0
-    assert W.window_features(df.where("t < 7"), ["device_id"], ["t"], slot=100).count() == 0
+    assert W.window_features(df.where("t < 7"), ["device_id"], ["t"]).count() == 0
 
 
-@pytest.mark.parametrize("slot", [10, 10**9])
-def test_segments_cover_every_row_once(spark, small_segments, slot):
-    rows = [("hot", t, t % 7) for t in range(1000)] + [("hot", 5000, 1)] * 90 + [("cold", t, 1) for t in range(20)]
+BURSTS = {
+    # A spread key, a key with 99 % of its rows in one second, and a key with a single timestamp.
+    "spread": [("hot", t, t % 7) for t in range(1090)],
+    "burst": [("hot", t * 1_000_000, 1) for t in range(10)] + [("hot", 5_000_000 + t % 997, t % 7) for t in range(1080)],
+    "one_time": [("hot", 5000, t % 7) for t in range(1090)],
+}
+
+
+@pytest.mark.parametrize("shape", sorted(BURSTS))
+def test_segments_cover_every_row_once(spark, small_segments, shape):
+    rows = BURSTS[shape] + [("cold", t, 1) for t in range(20)]
     df = spark.createDataFrame(rows, "k string, t long, v long").withColumn("i", F.monotonically_increasing_id())
-    seq = Ordered(df, ["k"], ["t", "i"], slot=slot, before=7, after=5)
-    assert seq.split and seq.df.select("__seg").distinct().count() > 5
+    seq = Ordered(df, ["k"], ["t", "i"], before=7, after=5)
+    assert seq.split
+    sizes = seq.df.groupBy("k", "__seg").agg(F.count(F.lit(1)).alias("n"), F.count_if("__halo").alias("halo")).collect()
+    assert len(sizes) == 1 + -(-1090 // 25) and max(r["n"] - r["halo"] for r in sizes) <= 25 and max(r["halo"] for r in sizes) <= 12
     seq.with_columns({"n": F.count(F.lit(1)).over(seq.rows(-7, 0)), "m": F.count(F.lit(1)).over(seq.rows(1, 5))})
     seq.cumulate({"total": ("sum", F.col("v")), "place": ("sum", F.lit(1))})
     out = seq.result()

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -20,7 +21,7 @@ def frames(spark, rows):
 
 def build(spark, rows, **rules):
     rules = E.EpisodeRules(**rules)
-    cut = E.cut_episodes(frames(spark, rows), ["device_id"], ["t"], "session", "phase", ["behavior", "app"], rules, slot=1000)
+    cut = E.cut_episodes(frames(spark, rows), ["device_id"], ["t"], "session", "phase", ["behavior", "app"], rules)
     made = E.episodes(cut, ["device_id"], ["t"], ["cpu"], collectors="health", rules=rules)
     return made.orderBy("start_t").collect()
 
@@ -49,7 +50,7 @@ def test_gap_limit_is_exclusive(spark):
 
 
 def test_stuck_clock_is_reported(spark):
-    cut = E.cut_episodes(frames(spark, [(1000, "A", 1.0, "OK"), (1000, "A", 2.0, "OK")]), ["device_id"], ["t"], "session", "phase", ["behavior", "app"], slot=1000)
+    cut = E.cut_episodes(frames(spark, [(1000, "A", 1.0, "OK"), (1000, "A", 2.0, "OK")]), ["device_id"], ["t"], "session", "phase", ["behavior", "app"])
     assert E.out_of_order_frames(cut).count() == 1
 
 
@@ -58,7 +59,7 @@ def test_context_episodes_and_erasure(spark):
         [("d", 1000, "A", "I", True), ("d", 6000, "A", "I", False), ("d", 11000, "B", "I", True)],
         "device_id string, t long, phase string, behaviour string, captured boolean",
     )
-    made, summaries = E.context_episodes(ticks, ["device_id"], ["t"], "phase", "behaviour", F.col("captured"), slot=1000)
+    made, summaries = E.context_episodes(ticks, ["device_id"], ["t"], "phase", "behaviour", F.col("captured"))
     assert made.count() == 2 and summaries.count() == 2
     rows = {r["episode_index"]: r for r in made.collect()}
     assert rows[1]["end_reason"] == "WORKLOAD_OR_FOREGROUND_CHANGE" and rows[1]["ended_at"] == 11000
@@ -107,15 +108,33 @@ def test_leak_is_found(spark):
 
 def test_manifest_round_trip(spark):
     ids = spark.createDataFrame([("b",), ("a",), ("a",), ("",)], "id string")
-    manifest = P.locked_manifest(ids, "id")
-    assert manifest.first()["episode_ids"] == ["a", "b"]
-    assert P.manifest_problems(manifest).count() == 0
-    assert P.manifest_problems(manifest.withColumn("content_hash", F.lit("x"))).first()["problem"] == "hash_mismatch"
+    locked = P.locked_ids(ids, "id")
+    manifest = P.locked_manifest(locked)
+    assert sorted(r["episode_id"] for r in locked.collect()) == ["a", "b"] and manifest.first()["ids"] == 2
+    assert manifest.first()["content_hash"] == hashlib.sha256(b"a\nb").hexdigest()
+    assert P.manifest_problems(manifest, locked).count() == 0
+    assert P.manifest_problems(manifest, locked.where("episode_id = 'a'")).first()["problem"] == "hash_mismatch"
+    with pytest.raises(P.LeakageError):
+        P.locked_manifest(locked.where("false"))
     used = spark.createDataFrame([("a",), ("z",)], "episode_id string")
     with pytest.raises(P.LeakageError):
-        P.reject_locked_use(used, manifest, "train")
+        P.reject_locked_use(used, locked, "train")
     with pytest.raises(P.LeakageError):
-        P.locked_overlap(used, manifest, "locked_test")
+        P.locked_overlap(used, locked, "locked_test")
+
+
+def test_manifest_hash_of_a_tree(spark):
+    """More ids than a leaf holds: the hash is that of the leaves' hashes, in order."""
+    locked = P.locked_ids(spark.range(1000).selectExpr("cast(id AS string) AS id"), "id")
+    leaves = {}
+    for i in range(1000):
+        leaves.setdefault(hashlib.sha256(str(i).encode()).hexdigest()[:2], []).append(str(i))
+    digest = lambda parts: hashlib.sha256("\n".join(parts).encode()).hexdigest()
+    pairs = sorted((place, digest(sorted(own))) for place, own in leaves.items())
+    tops = {}
+    for place, own in pairs:
+        tops.setdefault(place[:1], []).append(own)
+    assert P.ids_hash(locked, 1) == (1000, digest([digest(tops[t]) for t in sorted(tops)]))
 
 
 def test_frame_contract_lists_missing_fields(spark):

@@ -105,7 +105,7 @@ def test_stream_equals_batch_over_several_batches(spark, tmp_path):
     folded = K.stateful_fold(source, ["device_id"], ["t"], kernel, outputs)
     K.store_rows(folded, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {(r["device_id"], r["t"]): r["accepted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    batch = Q.cooldown(spark.createDataFrame(all_rows, "device_id string, t long, v double"), ["device_id"], ["t"], 3.0, 1.0, slot=10)
+    batch = Q.cooldown(spark.createDataFrame(all_rows, "device_id string, t long, v double"), ["device_id"], ["t"], 3.0, 1.0)
     assert got == {(r["device_id"], r["t"]): r["accepted"] for r in batch.collect()}
 
 
@@ -134,6 +134,30 @@ def test_sessions_by_gap(spark, tmp_path):
 def test_repeated_batch_is_written_once(spark, tmp_path):
     rows = spark.createDataFrame([("d", 1, 5.0), ("d", 1, 6.0), ("d", 2, 7.0)], "device_id string, ts long, cpu double")
     for _ in range(2):
-        sinks.write_batch({"metrics": rows}, str(tmp_path), 0, order=["cpu"])
+        sinks.write_batch({"metrics": rows}, str(tmp_path), 0, ["cpu"])
     back = spark.read.parquet(str(tmp_path / "metrics")).orderBy("ts").collect()
     assert [(r["ts"], r["cpu"]) for r in back] == [(1, 6.0), (2, 7.0)]
+
+
+def test_later_batches_replace_rows_of_a_key(spark, tmp_path):
+    schema = "device_id string, ts long, cpu double, written long"
+    for batch, rows in enumerate([[("d", 1, 5.0, 1), ("d", 2, 7.0, 2)], [("d", 1, 6.0, 3), ("d", 2, 1.0, 1)]]):
+        sinks.write_batch({"metrics": spark.createDataFrame(rows, schema)}, str(tmp_path / "t"), batch, ["written"])
+    expected = [(1, 6.0), (2, 7.0)]
+    back = sinks.read_keyed(spark, str(tmp_path / "t"), "metrics", ["written"])
+    assert [(r["ts"], r["cpu"]) for r in back.orderBy("ts").collect()] == expected
+    sinks.compact(spark, str(tmp_path / "t"), "metrics", ["written"], str(tmp_path / "c"))
+    back = sinks.read_keyed(spark, str(tmp_path / "c"), "metrics", ["written"])
+    assert [(r["ts"], r["cpu"]) for r in back.orderBy("ts").collect()] == expected
+
+
+def test_windows_do_not_depend_on_batches(spark, tmp_path):
+    """16 samples of a device in batches of five give the nine windows of the whole."""
+    folder = str(tmp_path / "in")
+    rows = [("a", t, float(t * t % 11)) for t in range(16)]
+    for low in range(0, 16, 5):
+        put(spark, folder, rows[low : low + 5])
+    source = K.file_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
+    K.store_rows(K.windowed(source, ["device_id"], ["t"], ["v"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["t"]: r["values"]["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {t: [rows[k][2] for k in range(t - 7, t + 1)] for t in range(7, 16)}
