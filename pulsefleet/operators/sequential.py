@@ -14,8 +14,9 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType
 
 from pulsefleet.operators.ordered import HEAVY, SEG, Ordered
 from pulsefleet.session import shared_folder
@@ -100,6 +101,14 @@ def _streamed(rows: DataFrame, keys, order, kept, kernel: Kernel, schema: str, o
     return placed.mapInPandas(scan, schema + f", {STATE} string" * carry)
 
 
+def _blank(df: DataFrame, keys: Sequence[str]) -> list[Column]:
+    """Values for the other columns of a state row: zeros, as nulls would turn whole numbers into floats."""
+    number = (NumericType, BooleanType)
+    return [
+        F.lit(0 if isinstance(f.dataType, number) else None).cast(f.dataType).alias(f.name) for f in df.schema if f.name not in keys
+    ]
+
+
 def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel, schema: str, outputs: str) -> DataFrame:
     """Fold the segments of the heavy keys in turn; results and states go to written tables."""
     spark = df.sparkSession
@@ -114,7 +123,7 @@ def _fold_heavy(seq: Ordered, df: DataFrame, keys, order, kept, kernel: Kernel,
         if states is not None:
             # A key that has ended needs no state any more.
             open_ = states.join(rows.select(*keys).distinct(), list(keys), "left_semi")
-            rows = rows.unionByName(open_, allowMissingColumns=True)
+            rows = rows.unionByName(open_.select(*keys, *_blank(df, keys), STATE))
         done = _streamed(rows, keys, order, kept, kernel, schema, outputs, carry=True)
         paths.append(f"{folder}/out/part={segment}")
         done.write.parquet(paths[-1])
