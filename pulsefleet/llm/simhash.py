@@ -32,6 +32,11 @@ SHINGLE = 3
 SEGMENT = 32
 DISTANCE = 2
 
+#: Variants of crowds that are broadcast at most (8 bytes each); more are joined by shuffle.
+BROADCAST_VARIANTS = 4_000_000
+#: Fingerprints whose variants one task makes.
+TASK_FINGERPRINTS = 16_384
+
 #: For a byte, its eight bits spread over the bytes of a word, so that 255 such words can be added.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
@@ -118,7 +123,11 @@ def links(distinct: DataFrame) -> DataFrame:
         .where("n > 1")
     )
     pairs = held.where("n = 2").where(_distance("a", "b") <= DISTANCE).select("a", "b").distinct()
-    crowd = variants.join(held.where("n > 2").select("variant"), "variant", "left_semi").select("fp").distinct()
+    crowded = held.where("n > 2").select("variant")
+    # Crowds are few beside the variants: while their list is small it goes to the variants, not the reverse.
+    if crowded.count() <= BROADCAST_VARIANTS:
+        crowded = F.broadcast(crowded)
+    crowd = variants.join(crowded, "variant", "left_semi").select("fp").distinct()
     near = crowd.select("fp", _neighbours().alias("near"))
     smallest = F.min("fp").over(Window.partitionBy("near"))
     stars = near.select(smallest.alias("a"), F.col("fp").alias("b")).where("a <> b").distinct()
@@ -127,8 +136,9 @@ def links(distinct: DataFrame) -> DataFrame:
 
 def classes(prints: DataFrame) -> DataFrame:
     """The class of each distinct fingerprint of ``prints``: fp, root."""
-    distinct = prints.select("fp").distinct()
-    joined = components(links(stored(distinct)))
+    distinct = stored(prints.select("fp").distinct())
+    tasks = -(-distinct.count() // TASK_FINGERPRINTS)
+    joined = components(links(distinct.repartition(max(1, tasks))))
     return distinct.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root")
     )
