@@ -74,7 +74,7 @@ def inflate(source) -> Iterator[bytes]:
     while data := source.read(CHUNK):
         while data:
             yield opened.decompress(data, CHUNK)
-            while opened.unconsumed_tail:
+            while opened.unconsumed_tail and not opened.eof:
                 yield opened.decompress(opened.unconsumed_tail, CHUNK)
             data = opened.unused_data
             if opened.eof:
