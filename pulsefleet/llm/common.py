@@ -85,7 +85,7 @@ def words_of(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray, cuts: np.nd
     return Words(data[inside], offsets, np.searchsorted(starts, ends))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 16 << 20):
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     """Cut an Arrow batch so that the texts of a piece have ``most`` bytes, or are a single text."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     piece = np.cumsum(sizes) // most

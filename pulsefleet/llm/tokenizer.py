@@ -27,7 +27,7 @@ _MARKS = np.isin(np.arange(256), np.frombuffer(b",.;:!?", np.uint8))
 _LETTERS = np.isin(LOWER, np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
 
 #: Words a worker keeps at most; the store starts anew above it.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 
 
 def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
