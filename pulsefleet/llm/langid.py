@@ -26,6 +26,9 @@ from pulsefleet.llm.tokenizer import ragged
 
 UNKNOWN = "und"
 
+#: Times the quota that is looked at to find the rows with the smallest orders.
+SPARE = 4
+
 #: Words are runs of a-z and bytes above 0x7F (texts are in lower case by then).
 _BREAKS = ~((np.arange(256) >= 0x80) | ((np.arange(256) >= ord("a")) & (np.arange(256) <= ord("z"))))
 
@@ -160,13 +163,17 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     Rows with a null text or lang are left out. Without any row the model knows no language.
     """
     labelled = labelled.where("text is not null and lang is not null")
-    known = labelled.select("lang").distinct().orderBy("lang").limit(settings.sample_rows)
-    languages = [row["lang"] for row in known.collect()]
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy("lang").limit(settings.sample_rows).collect()
+    languages = [row["lang"] for row in known]
     if not languages:
         return Model([], np.zeros((settings.buckets, 0)), np.zeros(0), 1.0, 0.0, settings)
     quota = max(1, settings.sample_rows // len(languages))
+    # About SPARE times the quota of each language passes by its order; the smallest of them are the sample.
+    limits = [(r["lang"], int(min(1.0, SPARE * quota / r["rows"]) * (2**64 - 2**12)) - 2**63) for r in known]
+    limits = F.broadcast(labelled.sparkSession.createDataFrame(limits, "lang string, most long"))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
-    sample = labelled.withColumn("nth", nth).where(F.col("nth") <= quota)
+    few = labelled.join(limits, "lang").where((F.col("order") <= F.col("most")) | (F.col("most") > 2**62))
+    sample = few.withColumn("nth", nth).where(F.col("nth") <= quota)
     schema = "lang string, nth int, rows binary, weights binary"
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
