@@ -189,7 +189,8 @@ def drift(
     reference: (feature, mean, scale); current: (groups, feature, mean). Features that are missing
     on either side are ignored; a group with none left has an infinite shift.
     """
-    both = current.withColumnRenamed("mean", "__now").join(reference, "feature", "left")
+    # The reference has one row per feature; a shuffle by feature would make as many hot keys.
+    both = current.withColumnRenamed("mean", "__now").join(F.broadcast(reference), "feature", "left")
     shift = F.abs(F.col("__now") - F.col("mean")) / F.greatest(F.coalesce("scale", F.lit(0.0)), F.lit(1e-6))
     rows = both.groupBy(*groups).agg(F.avg(shift).alias("__s"))
     drop = F.greatest(F.lit(0.0), expected_coverage - observed_coverage)

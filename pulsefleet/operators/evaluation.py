@@ -441,7 +441,3 @@ def majority_rate(df: DataFrame, label: str) -> DataFrame:
 def resource_rule(cpu: Column, mem: Column, disk_free: Column) -> Column:
     """Score of the fixed resource rule; the label is score >= 0.70."""
     return S.clamp(0.45 * cpu / 100.0 + 0.45 * mem / 100.0 + 0.10 * (100.0 - disk_free) / 100.0, 0.0, 1.0)
-
-
-def ordered_window(keys: Sequence[str], order: Sequence[str]):
-    return Window.partitionBy(*keys).orderBy(*order)

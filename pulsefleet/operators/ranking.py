@@ -17,6 +17,9 @@ from pulsefleet.session import RowBudget, checkpointed
 BUCKETS = 256
 TIE_SLICES = 64
 ONE_TASK_ROWS = 200_000
+
+#: Column of a constant, for callers that order the whole table.
+WHOLE = "__all"
 PERCENTILE_ROWS = 500_000
 
 
@@ -48,14 +51,13 @@ def prefix_sums(
     """
     budget = RowBudget.of(df.sparkSession)
     if cuts is None:
-        largest = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-        if (largest or 0) <= budget.segment_rows and groups:
-            cuts = []
-        elif (largest or 0) <= min(budget.segment_rows, 100_000):
-            cuts = []
-        else:
+        # A group of the whole table is always dealt in buckets; ordinary groups while one of them is large.
+        whole = list(groups) in ([], [WHOLE])
+        if whole or _largest(df, groups) > min(budget.segment_rows, ONE_TASK_ROWS):
             df = checkpointed(df)  # read for the cuts, the bucket totals and the ranks
             cuts = cut_points(df, value)
+        else:
+            cuts = []
     before = Window.unboundedPreceding
     if not cuts:
         w = Window.partitionBy(*groups).orderBy(value).rowsBetween(before, -1)

@@ -90,13 +90,19 @@ def update_where_present(base: DataFrame, delta: DataFrame, keys: Sequence[str],
 
 
 def cascade_retention(
-    tables: Mapping[str, DataFrame], parent: str, clock: str, cutoff, children: Mapping[str, str]
+    tables: Mapping[str, DataFrame], clocks: Mapping[str, str], cutoff, children: Mapping[str, tuple[str, str]]
 ) -> dict[str, DataFrame]:
-    """Drop old parents and, by id, their children. children maps table name to its parent id column."""
-    doomed_rows = tables[parent].where(F.col(clock) < cutoff)
-    out = {parent: tables[parent].where(~(F.col(clock) < cutoff) | F.col(clock).isNull())}
-    for name, id_column in children.items():
-        out[name] = tables[name].join(doomed_rows.select(id_column).distinct(), id_column, "left_anti")
+    """Drop rows that are old by their table's own clock and, by id, the children of such rows.
+
+    clocks maps a table to its clock column, children a table without one to its parent and the id column.
+    Rows without a time stay.
+    """
+    out = {}
+    for name, clock in clocks.items():
+        out[name] = tables[name].where(~(F.col(clock) < cutoff) | F.col(clock).isNull())
+    for name, (parent, id_column) in children.items():
+        doomed = tables[parent].where(F.col(clocks[parent]) < cutoff).select(id_column).distinct()
+        out[name] = tables[name].join(doomed, id_column, "left_anti")
     return out
 
 

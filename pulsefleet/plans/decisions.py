@@ -9,6 +9,7 @@ from pulsefleet.functions import scoring as S
 from pulsefleet.operators import graph as N
 from pulsefleet.operators import learning as L
 from pulsefleet.operators import process as P
+from pulsefleet.operators import rollups as R
 from pulsefleet.operators import windows as W
 from pulsefleet.plans.history import DEVIATION_CTE, KEY, ORDER, OVER, deviation_sql, r
 from pulsefleet.plans.registry import query
@@ -86,17 +87,21 @@ def h6_process_classes(spark, folder):
 _WHY = "CASE category " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.CLASS_REASONS.items()) + " END"
 
 
-@query(
-    "h6_process_reasons",
-    process_sql(
-        f"""SELECT CASE WHEN len(why) = 0 THEN 'no strong signal yet' ELSE array_to_string(why[1:3], ', ') END AS reason, count(*) AS n, CAST(sum(len(why)) AS BIGINT) AS reasons
-FROM (SELECT list_filter([CASE WHEN cpu >= 20 THEN 'high cpu' END, CASE WHEN private_mb >= 350 THEN 'high private memory' END,
+_REASONS = f"""list_filter([CASE WHEN cpu >= 20 THEN 'high cpu' END, CASE WHEN private_mb >= 350 THEN 'high private memory' END,
  CASE WHEN working_set_mb >= 500 THEN 'large working set' END, CASE WHEN io_read_kbps + io_write_kbps >= 1024 THEN 'active disk io' END,
  CASE WHEN NOT has_visible_window THEN 'background or hidden' END, CASE WHEN front THEN 'foreground user app' END,
  CASE WHEN recent THEN 'recently active user app' END, CASE WHEN family THEN 'same family as active ' || app_kind END,
  CASE WHEN fullscreen AND front THEN 'fullscreen foreground app' END, CASE WHEN trusted THEN 'trusted install path/signature' END, {_WHY}],
- lambda x: x IS NOT NULL) AS why FROM cls) GROUP BY 1"""
-    ),
+ lambda x: x IS NOT NULL)"""
+_REASON = "CASE WHEN len(why) = 0 THEN 'no strong signal yet' ELSE array_to_string(why[1:3], ', ') END"
+_ADVICE = "CASE " + " ".join(
+    (f"WHEN category = '{c[0]}' AND waste >= {c[9]} THEN '{c[10]}' " if c[10] else "") + f"WHEN category = '{c[0]}' THEN '{c[8]}'" for c in P.CLASSES
+) + " END"
+
+
+@query(
+    "h6_process_reasons",
+    process_sql(f"SELECT {_REASON} AS reason, count(*) AS n, CAST(sum(len(why)) AS BIGINT) AS reasons FROM (SELECT {_REASONS} AS why FROM cls) GROUP BY 1"),
 )
 def h6_process_reasons(spark, folder):
     return classified(spark, folder).groupBy("reason").agg(
@@ -104,6 +109,25 @@ def h6_process_reasons(spark, folder):
     )
 
 
+@query(
+    "d8_waste_candidates",
+    process_sql(
+        f"""SELECT name, category, safety, recommendation, {_REASON} AS reason, round(avg(waste), 1) AS avg_waste, round(max(gain), 1) + 0 AS max_gain,
+ round(max(private_mb), 1) AS max_private_mb, count(*) AS samples FROM (SELECT *, {_REASONS} AS why, {_ADVICE} AS recommendation FROM cls)
+WHERE tick >= (SELECT max(tick) FROM cls) - 3600 GROUP BY ALL ORDER BY avg_waste DESC, max_gain DESC, name, category, safety, recommendation, reason LIMIT 12"""
+    ),
+)
+def d8_waste_candidates(spark, folder):
+    """The twelve most wasteful groups of the last 3600 ticks."""
+    keys = ["name", "category", "safety", "recommendation", "reason"]
+    recent = R.since_newest(classified(spark, folder), "tick", 3600)
+    rows = recent.groupBy(*keys).agg(
+        F.round(F.avg("waste_score"), 1).alias("avg_waste"), r(F.max("expected_gain_mb"), 1).alias("max_gain"),
+        F.round(F.max("private_mb"), 1).alias("max_private_mb"), F.count(F.lit(1)).alias("samples"),
+    )
+    return rows.orderBy(F.desc("avg_waste"), F.desc("max_gain"), *keys).limit(12)
+
+
 @query("c5_rows_with_intent", process_sql("SELECT app_kind, fullscreen AS is_fullscreen, count(*) AS n, count(*) FILTER (front) AS foreground_rows FROM flg GROUP BY ALL"))
 def c5_rows_with_intent(spark, folder):
     rows = P.with_intent(processes(spark, folder), intents(spark, folder), TICK)

@@ -433,38 +433,103 @@ def a17_retain_by_count(spark, folder):
     return kept.groupBy("phase").agg(F.count(F.lit(1)).alias("kept"), F.min("seq").alias("oldest"))
 
 
+_CUTOFF = "TIMESTAMP '1998-01-01'"
+
+
 @query(
     "a18_cascade_retention",
-    """SELECT 'orders' AS name, count(*) AS rows FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01'
-UNION ALL SELECT 'lines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01')""",
+    f"""SELECT 'summaries' AS name, count(*) AS rows FROM lineitem WHERE l_shipdate >= {_CUTOFF}
+UNION ALL SELECT 'baselines', count(*) FROM lineitem WHERE (l_orderkey, l_linenumber) NOT IN (SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate < {_CUTOFF})
+UNION ALL SELECT 'outcomes', count(*) FROM orders WHERE o_orderdate >= {_CUTOFF}
+UNION ALL SELECT 'health', count(*) FROM events WHERE ts >= {_CUTOFF}
+UNION ALL SELECT 'episodes', count(*) FROM orders WHERE o_orderdate + INTERVAL 90 DAY >= {_CUTOFF}""",
 )
 def a18_cascade_retention(spark, folder):
-    """Old orders go, and their lines with them."""
-    orders = table(spark, folder, "orders").withColumn("order_id", F.col("o_orderkey"))
-    lines = table(spark, folder, "lineitem").withColumn("order_id", F.col("l_orderkey"))
-    out = K.cascade_retention({"orders": orders, "lines": lines}, "orders", "o_orderdate", F.lit("1998-01-01").cast("timestamp_ntz"), {"lines": "order_id"})
+    """Four tables age by their own clock; the baselines go with their summaries."""
+    orders, lines = table(spark, folder, "orders"), table(spark, folder, "lineitem")
+    summary_id = F.concat_ws("-", "l_orderkey", "l_linenumber").alias("summary_id")
+    tables = {
+        "summaries": lines.select(summary_id, F.col("l_shipdate").alias("observed_at")),
+        "baselines": lines.select(summary_id),
+        "outcomes": orders.select(F.col("o_orderdate").alias("observed_at")),
+        "health": table(spark, folder, "events").select(F.col("ts").alias("observed_at")),
+        "episodes": orders.select((F.col("o_orderdate") + F.expr("INTERVAL 90 DAY")).alias("ended_at")),
+    }
+    clocks = {"summaries": "observed_at", "outcomes": "observed_at", "health": "observed_at", "episodes": "ended_at"}
+    out = K.cascade_retention(tables, clocks, F.lit("1998-01-01").cast("timestamp_ntz"), {"baselines": ("summaries", "summary_id")})
     return K.union_all([f.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n, f in out.items()])
 
 
+_ERASED = ("devices", "descriptors", "sessions")
+_OF_EPISODES = ("summaries", "qoe_outcomes", "label_provenance", "action_outcomes")
+
+
 @query(
     "a19_erase_devices",
     """WITH gone AS (SELECT c_custkey FROM customer WHERE c_mktsegment = 'HOUSEHOLD'), ep AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT * FROM gone))
-SELECT 'devices' AS name, count(*) AS rows FROM customer WHERE c_custkey NOT IN (SELECT * FROM gone)
+SELECT name, (SELECT count(*) FROM customer WHERE c_custkey NOT IN (SELECT * FROM gone)) AS rows FROM (VALUES ('devices'), ('descriptors'), ('sessions')) v(name)
 UNION ALL SELECT 'episodes', count(*) FROM orders WHERE o_custkey NOT IN (SELECT * FROM gone)
-UNION ALL SELECT 'summaries', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM ep)
-UNION ALL SELECT 'baselines', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM ep)""",
+UNION ALL SELECT name, (SELECT count(*) FROM orders WHERE o_orderkey NOT IN (SELECT * FROM ep)) FROM (VALUES ('qoe_outcomes'), ('label_provenance'), ('action_outcomes')) v(name)
+UNION ALL SELECT name, (SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT * FROM ep)) FROM (VALUES ('summaries'), ('baselines')) v(name)""",
 )
 def a19_erase_devices(spark, folder):
-    """Customers of a segment are erased from devices, episodes, summaries and baselines."""
+    """Customers of a segment are erased from all nine tables."""
     customers = table(spark, folder, "customer").withColumn("device_id", F.col("c_custkey"))
     episodes = table(spark, folder, "orders").select(F.col("o_custkey").alias("device_id"), F.col("o_orderkey").alias("episode_id"))
-    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("episode_id"), F.col("l_orderkey").alias("summary_id"))
-    tables = {"devices": customers, "episodes": episodes, "summaries": lines, "baselines": lines.select("summary_id")}
+    lines = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("episode_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("summary_id")
+    )
+    tables = {name: customers for name in _ERASED}
+    tables |= {name: episodes.select("episode_id") for name in _OF_EPISODES}
+    tables |= {"episodes": episodes, "summaries": lines, "baselines": lines.select("summary_id")}
     doomed = customers.where(F.col("c_mktsegment") == "HOUSEHOLD")
-    out = K.erase_devices(tables, doomed, "episodes", "summaries", ["baselines"], ["summaries"], ["episodes", "devices"])
+    out = K.erase_devices(tables, doomed, "episodes", "summaries", ["baselines"], _OF_EPISODES, ["episodes", *_ERASED])
     return K.union_all([f.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n, f in out.items()])
 
 
+@query(
+    "a9_update_present",
+    """SELECT o_orderkey AS id, CASE WHEN n > 4 THEN 'LARGE' ELSE o_orderstatus END AS status
+FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey""",
+)
+def a9_update_present(spark, folder):
+    """The status of orders with many lines is overwritten; rows without an order are ignored."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    many = table(spark, folder, "lineitem").groupBy(F.col("l_orderkey").alias("id")).count().where("count > 4")
+    absent = spark.createDataFrame([(-1,)], "id long")
+    delta = many.select("id").union(absent).withColumn("status", F.lit("LARGE"))
+    return K.update_where_present(orders, delta, ["id"], ["status"])
+
+
+@query(
+    "a22_matrix_codec",
+    """SELECT label, vec_id, 2 AS rows, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)) * 3, 4) + 0 AS total FROM embeddings""",
+)
+def a22_matrix_codec(spark, folder):
+    """A matrix of a vector and its double, written as text and read back."""
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, folder, "embeddings").select("label", "vec_id", K.encode_matrix(F.array(x, F.transform(x, lambda v: v * 2.0))).alias("text"))
+    back = rows.withColumn("m", K.decode_matrix(F.col("text")))
+    total = F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, v: a + v)
+    return back.select("label", "vec_id", F.size("m").alias("rows"), r(total, 4).alias("total"))
+
+
+@query(
+    "a14_report_file",
+    """SELECT lang, count(*) AS rows, CASE WHEN lang = 'en' THEN NULL ELSE max(n_chars) END AS longest FROM documents GROUP BY lang""",
+)
+def a14_report_file(spark, folder):
+    """Report rows written as JSON lines and read back; null fields stay."""
+    from pulsefleet.session import shared_folder
+    from pulsefleet.sources.sinks import write_report
+
+    report = table(spark, folder, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.max("n_chars").alias("longest"))
+    report = report.withColumn("longest", F.when(F.col("lang") != "en", F.col("longest")))
+    path = shared_folder(spark)
+    write_report(report, path)
+    return spark.read.schema("lang string, rows long, longest long").json(path)
+
+
 @query(
     "a20_pseudonyms",
     "SELECT c_custkey, 'dev-' || sha256(c_name) AS device, substr(sha256('salt' || c_nationkey || '|' || c_mktsegment), 1, 32) AS token FROM customer",

@@ -15,6 +15,8 @@ from pulsefleet.operators.quality import SCENARIOS, VARIANTS, duplicate_ids, qua
 from pulsefleet.plans.history import KEY, ORDER, OVER, _LABEL_CTES, _label_sql, r
 from pulsefleet.plans.quality import certification_episodes
 from pulsefleet.plans.registry import query
+from pulsefleet.session import shared_folder
+from pulsefleet.sources.files import read_benchmark_runs, read_certification_episodes
 from pulsefleet.plans.views import pressure_sql, predictions, table, telemetry, with_predictions, with_telemetry
 
 # -- binary evaluation ----------------------------------------------------------------------
@@ -761,6 +763,53 @@ def a13_run_plan(spark, folder):
     return plan.select("run_id", "scenario", "variant", "run_type", "iteration", "order_index")
 
 
+@query(
+    "a2_run_files",
+    " UNION ALL ".join(
+        f"SELECT '{code}' AS code, count(*) AS runs FROM {_RECORD} WHERE k % 37 <> 0 AND k % 59 <> 0 AND {rule} HAVING count(*) > 0"
+        for code, rule in {
+            "schema_version": "k % 31 = 0", "unknown_scenario": "k % 41 = 0", "iteration": "k % 43 = 0", "metric_samples": "k % 47 = 0",
+            "metric_direction": "k % 53 = 0", "negative_crashes": "k % 61 = 0", "malformed": "k % 50 = 1",
+            "(valid)": "k % 31 <> 0 AND k % 41 <> 0 AND k % 43 <> 0 AND k % 47 <> 0 AND k % 53 <> 0 AND k % 61 <> 0",
+        }.items()
+    ),
+)
+def a2_run_files(spark, folder):
+    """Runs written as JSON lines, some lines cut short, read back into valid runs and rejected lines."""
+    k = F.col("k")
+    runs = bench_records(spark, folder).withColumn("k", F.split("run_id", "-")[0].try_cast("long") * 7 + F.split("run_id", "-")[1].try_cast("long"))
+    runs = runs.where((k % 37 != 0) & (k % 59 != 0))
+    text = F.to_json(F.struct(*[c for c in runs.columns if c != "k"]))
+    lines = runs.select(F.explode(F.when(k % 50 == 1, F.array(text, F.substring(text, 1, 40))).otherwise(F.array(text))).alias("value"))
+    path = shared_folder(spark)
+    lines.write.text(path)
+    good, bad = read_benchmark_runs(spark, path)
+    codes = bad.select(F.when(F.array_contains("errors", "malformed"), F.array(F.lit("malformed"))).otherwise(F.col("errors")).alias("errors"))
+    rejected = codes.select(F.explode("errors").alias("code")).groupBy("code").agg(F.count(F.lit(1)).alias("runs"))
+    return rejected.union(good.agg(F.lit("(valid)").alias("code"), F.count(F.lit(1)).alias("runs")))
+
+
+@query(
+    "a5_episode_files",
+    """SELECT d.lang AS support_slice, count(*) AS episodes, count(*) FILTER (l.doc_id % 5 <> 0) AS eligible, count(*) FILTER (l.doc_id % 50 = 1) AS rejected
+FROM labels l JOIN documents d USING (doc_id) GROUP BY 1""",
+)
+def a5_episode_files(spark, folder):
+    """Certification episodes written as JSON lines beside broken copies of some, and read back."""
+    rows = certification_episodes(spark, folder)
+    text = F.to_json(F.struct(*rows.columns))
+    broken = F.concat(F.col("support_slice"), F.lit("|"), F.substring(text, 1, 30))
+    lines = rows.select(
+        F.explode(F.when(F.col("episode_id").cast("long") % 50 == 1, F.array(text, broken)).otherwise(F.array(text))).alias("value")
+    )
+    path = shared_folder(spark)
+    lines.write.text(path)
+    good, bad = read_certification_episodes(spark, path)
+    counts = good.groupBy("support_slice").agg(F.count(F.lit(1)).alias("episodes"), F.count_if("eligible").alias("eligible"))
+    rejected = bad.groupBy(F.substring_index("value", "|", 1).alias("support_slice")).agg(F.count(F.lit(1)).alias("rejected"))
+    return counts.join(rejected, "support_slice", "left").withColumn("rejected", F.coalesce("rejected", F.lit(0)))
+
+
 @query(
     "a2_duplicate_runs",
     "SELECT CAST(l_orderkey AS VARCHAR) || '-' || l_linenumber AS run_id, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 1",

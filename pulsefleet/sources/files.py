@@ -20,11 +20,18 @@ METRIC_DEFAULTS = {
     "scenario_label": "AUTO",
 }
 _KINDS = {float: "double", int: "int", str: "string"}
+METRIC_HISTORY = (
+    """device_id string, ts long, cpu double, mem double, disk double, net_down_kbps double, net_up_kbps double,
+    process_count int, scenario_label string, top_process string, top_process_cpu double, top_process_mem double"""
+)
 
 
 def read_metrics(spark: SparkSession, *paths: str) -> DataFrame:
-    """Metric history from Parquet files of any schema age; order is a matter of the consumer."""
-    return metrics_view(spark.read.option("mergeSchema", True).parquet(*paths))
+    """Metric history from Parquet files of any schema age; order is a matter of the consumer.
+
+    The schema is that of the newest age, so no footers are merged; columns a file lacks are null.
+    """
+    return metrics_view(spark.read.schema(METRIC_HISTORY).parquet(*paths))
 
 
 def metrics_view(stored: DataFrame) -> DataFrame:
@@ -105,9 +112,21 @@ CERTIFICATION_EPISODE = (
 )
 
 
-def read_certification_episodes(spark: SparkSession, path: str) -> DataFrame:
-    """Episodes from a JSON list (multi-line) or JSON lines."""
-    return spark.read.option("multiLine", True).schema(CERTIFICATION_EPISODE).json(path)
+def read_certification_episodes(spark: SparkSession, path: str, as_list: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(episodes, rejected texts) of JSON lines; ``as_list`` imports files that are one JSON list each.
+
+    A list cannot be cut, so one task reads a whole file: import it once and keep lines. A line that is
+    no record of the schema is rejected; of a list, records that break it are.
+    """
+    texts = spark.read.text(path, wholetext=as_list)
+    if as_list:
+        texts = texts.select(F.explode(F.from_json("value", "array<string>")).alias("value"))
+    options = {"columnNameOfCorruptRecord": "corrupt"}
+    rows = texts.where(F.trim("value") != "").select(
+        "value", F.from_json("value", CERTIFICATION_EPISODE + ", corrupt string", options).alias("r")
+    )
+    good = rows.where("r is not null and r.corrupt is null").select("r.*").drop("corrupt")
+    return good, rows.where("r is null or r.corrupt is not null").select("value")
 
 
 # -- model input windows --------------------------------------------------------------------
@@ -158,12 +177,27 @@ def window_values(column: str = "values") -> dict[str, list[Column]]:
 
 
 def event_log(lines: DataFrame, fields: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
-    """Typed rows of a JSON log whose values are all strings; works on batch and stream ``value`` rows."""
-    entry = lines.select(F.from_json("value", "map<string, string>").alias("m"))
+    """Typed rows of a JSON log whose values are all strings; works on batch and stream ``value`` rows.
+
+    Lines that are no JSON object give no row; see ``malformed_lines``.
+    """
+    entry = lines.where(~_malformed()).select(F.from_json("value", "map<string, string>").alias("m"))
     casts = casts or {}
     pick = lambda name: F.col("m")[name].try_cast(casts[name]) if name in casts else F.col("m")[name]
     return entry.select(*[pick(name).alias(name) for name in fields])
 
 
+def _malformed() -> Column:
+    """A line is malformed unless it is blank or an object: text that cannot be parsed gives null or no entry."""
+    parsed = F.from_json("value", "map<string, string>")
+    empty = F.regexp_replace("value", r"\s", "") == "{}"
+    return F.coalesce((parsed.isNull() | (F.size(parsed) == 0)) & ~empty, F.lit(True))
+
+
+def malformed_lines(lines: DataFrame) -> DataFrame:
+    """The lines of a log that are no JSON object."""
+    return lines.where(_malformed() & (F.coalesce(F.trim("value"), F.lit("")) != "")).select("value")
+
+
 def read_event_log(spark: SparkSession, path: str, fields: Sequence[str], casts: dict[str, str] | None = None) -> DataFrame:
     return event_log(spark.read.text(path), fields, casts)

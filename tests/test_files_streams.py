@@ -34,9 +34,13 @@ def test_benchmark_reader_rejects_bad_lines(spark, tmp_path):
 
 
 def test_certification_reader(spark, tmp_path):
-    (tmp_path / "e.json").write_text(json.dumps([{"episode_id": "a", "eligible": True}, {"episode_id": "b", "eligible": "yes"}]))
-    rows = {r["episode_id"]: r for r in files.read_certification_episodes(spark, str(tmp_path / "e.json")).collect()}
-    assert rows["a"]["eligible"] is True and rows.get("b", {"eligible": None})["eligible"] is None
+    records = [{"episode_id": "a", "eligible": True}, {"episode_id": "b", "eligible": "yes"}]
+    (tmp_path / "e.json").write_text(json.dumps(records[:1]))
+    good, bad = files.read_certification_episodes(spark, str(tmp_path / "e.json"), as_list=True)
+    assert [r["episode_id"] for r in good.collect()] == ["a"] and bad.count() == 0
+    (tmp_path / "e.jsonl").write_text("\n".join([*map(json.dumps, records), "{no"]))
+    good, bad = files.read_certification_episodes(spark, str(tmp_path / "e.jsonl"))
+    assert [r["episode_id"] for r in good.collect()] == ["a"] and bad.count() == 2
 
 
 def test_runtime_windows(spark):
@@ -60,7 +64,8 @@ def test_metrics_of_old_schema(spark, tmp_path):
 
 
 def test_event_log(spark, tmp_path):
-    (tmp_path / "log.jsonl").write_text('{"event":"alert","risk":"71"}\n{"event":"tick","risk":"x"}\n')
+    (tmp_path / "log.jsonl").write_text('{"event":"alert","risk":"71"}\n{"event":"tick","risk":"x"}\n{broken\n\n')
+    assert [r["value"] for r in files.malformed_lines(spark.read.text(str(tmp_path / "log.jsonl"))).collect()] == ["{broken"]
     rows = files.read_event_log(spark, str(tmp_path / "log.jsonl"), ["event", "risk"], {"risk": "int"}).orderBy("event").collect()
     assert [(r["event"], r["risk"]) for r in rows] == [("alert", 71), ("tick", None)]
 
