@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
@@ -229,6 +229,26 @@ def policy_waterfall(c: Mapping[str, Column], s: PolicySwitches = PolicySwitches
     return F.struct(score.alias("score"), level.alias("level"), code.alias("code"))
 
 
+def policy_replay(
+    audits: DataFrame, plans: DataFrame, verifications: DataFrame, keys: Sequence[str], switches: PolicySwitches = PolicySwitches()
+) -> DataFrame:
+    """Recorded decisions judged anew: audits with score, level, code, and whether the recorded code agrees.
+
+    audits hold keys, the decision's columns and ``recorded_code``; plans and verifications hold keys and
+    their columns (see ``policy_waterfall``), one row per decision at most. A decision without a plan only
+    observes; one without a verification is blocked.
+    """
+    rows = audits.join(plans, list(keys), "left").join(verifications, list(keys), "left")
+    missing = {
+        "plan_status": "OBSERVE", "plan_executes": False, "plan_readiness": 0.0, "plan_needs_approval": False,
+        "simulated_pass": False, "simulated_fail": False, "verification_blocked": True, "verification_confidence": 0.0,
+    }
+    rows = rows.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in missing.items()})
+    judged = rows.withColumn("__g", policy_waterfall({c: F.col(c) for c in rows.columns}, switches))
+    agrees = F.col("__g.code").eqNullSafe(F.col("recorded_code"))
+    return judged.select(*audits.columns, "__g.score", "__g.level", "__g.code", agrees.alias("agrees"))
+
+
 def online_gate(c: Mapping[str, Column], min_benefit: float = 0.05, min_safety: float = 90.0, max_criticality: float = 30.0) -> Column:
     """First reason an online action is refused, or ``eligible`` (budget and cooldown come after).
 

@@ -134,15 +134,8 @@ def budget_report(components: DataFrame, bundles: Sequence[str], global_budget:
 
     components: bundles, component, measured, error_upper_bound, requested.
     """
-    good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
-    bound, asked = F.col("error_upper_bound"), F.col("requested")
-    named = F.coalesce(F.col("component"), F.lit("")) != ""
-    valid = named & F.coalesce(F.col("measured"), F.lit(False)) & good(bound) & good(asked) & (bound >= 0.0) & (asked > 0.0)
-    violation = (
-        F.when(~named, F.lit("unnamed_component"))
-        .when(~valid, F.concat("component", F.lit(":unmeasured_or_invalid")))
-        .when(bound > asked, F.concat("component", F.lit(":upper_bound_exceeds_budget")))
-    )
+    valid, violation = _budget_rule()
+    asked = F.col("requested")
     rows = components.groupBy(*bundles).agg(
         F.coalesce(F.sum(F.when(valid, asked)), F.lit(0.0)).alias("total_allocated"),
         F.count(violation).alias("component_violations"),
@@ -158,8 +151,8 @@ def budget_report(components: DataFrame, bundles: Sequence[str], global_budget:
     )
 
 
-def budget_violations(components: DataFrame, bundles: Sequence[str]) -> DataFrame:
-    """The violating components as rows, so a bundle with many of them stays spread out."""
+def _budget_rule() -> tuple[Column, Column]:
+    """Whether a component's numbers are valid, and what it violates (null: nothing)."""
     good = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
     bound, asked = F.col("error_upper_bound"), F.col("requested")
     named = F.coalesce(F.col("component"), F.lit("")) != ""
@@ -169,4 +162,10 @@ def budget_violations(components: DataFrame, bundles: Sequence[str]) -> DataFram
         .when(~valid, F.concat("component", F.lit(":unmeasured_or_invalid")))
         .when(bound > asked, F.concat("component", F.lit(":upper_bound_exceeds_budget")))
     )
+    return valid, violation
+
+
+def budget_violations(components: DataFrame, bundles: Sequence[str]) -> DataFrame:
+    """The violating components as rows, so a bundle with many of them stays spread out."""
+    _, violation = _budget_rule()
     return components.select(*bundles, violation.alias("violation")).where(F.col("violation").isNotNull())

@@ -670,6 +670,54 @@ def h14_policy_waterfall(spark, folder):
     return rows.groupBy(F.col("g.code").alias("code"), F.col("g.level").alias("level")).agg(F.count(F.lit(1)).alias("n"), r(F.sum("g.score"), 3).alias("score"))
 
 
+_SWITCHES = {"open": (True, False, False), "safe": (True, True, False), "dry": (True, False, True), "off": (False, False, False)}
+
+
+@query(
+    "h14_policy_replay",
+    with_telemetry(
+        """SELECT setting, code, count(*) AS n, count(*) FILTER (code = recorded) AS agreeing, round(sum(score), 3) + 0 AS score FROM (
+ SELECT *, CASE WHEN phase = 'view' OR NOT planned THEN 'NO_ACTION' WHEN seq % 7 = 0 THEN 'DENYLIST_TARGET' WHEN seq % 5 = 0 THEN 'PROTECTED_TARGET' WHEN seq % 11 = 0 THEN 'USER_ACTIVE_TARGET'
+  WHEN seq % 13 = 0 THEN 'COOLDOWN_ACTIVE' WHEN phase = 'click' THEN 'USER_REVIEW_REQUIRED' WHEN verified AND mem < 20 THEN 'VERIFICATION_FAILED' WHEN NOT verified OR mem < 40 THEN 'VERIFICATION_NOT_READY'
+  WHEN NOT heals THEN 'AUTO_HEAL_DISABLED' WHEN safe THEN 'SAFE_MODE_ENABLED' WHEN dry THEN 'DRY_RUN_ENABLED' WHEN seq % 3 <> 0 THEN 'ALLOWLIST_REQUIRED'
+  WHEN cpu < 60 THEN 'MODEL_GATE_FAILED' WHEN mem < 60 THEN 'READINESS_GATE_FAILED' WHEN score < 90 THEN 'POLICY_SCORE_LOW' ELSE 'EXECUTION_ELIGIBLE' END AS code FROM (
+ SELECT *, CASE WHEN phase = 'view' THEN 'NO_ACTION' ELSE 'DRY_RUN_ENABLED' END AS recorded,
+  least(100, greatest(0, 100 * 0.22::DOUBLE + (cpu + 25) * 0.2::DOUBLE + CASE WHEN planned THEN mem + 15 ELSE 0 END * 0.22::DOUBLE + CASE WHEN verified THEN mem + 10 ELSE 0 END * 0.16::DOUBLE
+   + CASE WHEN verified AND mem >= 40 THEN 15 ELSE 0 END + 5 - CASE WHEN seq % 5 = 0 THEN 45 ELSE 0 END - CASE WHEN seq % 11 = 0 THEN 35 ELSE 0 END - CASE WHEN seq % 7 = 0 THEN 60 ELSE 0 END
+   - CASE WHEN seq % 7 = 0 OR seq % 3 <> 0 THEN 18 ELSE 0 END - CASE WHEN heals THEN 0 ELSE 10 END - CASE WHEN safe THEN 10 ELSE 0 END - CASE WHEN dry THEN 10 ELSE 0 END
+   - CASE WHEN verified AND mem < 20 THEN 25 ELSE 0 END - CASE WHEN verified THEN 0 ELSE 20 END)) AS score
+ FROM (SELECT *, seq % 17 <> 0 AS planned, seq % 19 <> 0 AS verified FROM tel),
+  (VALUES ('open', true, false, false), ('safe', true, true, false), ('dry', true, false, true), ('off', false, false, false)) v(setting, heals, safe, dry))) GROUP BY ALL"""
+    ),
+)
+def h14_policy_replay(spark, folder):
+    """Audits joined to their plans and verifications, some missing, judged anew under four settings."""
+    tel, k, no = telemetry(spark, folder), F.col("seq"), F.lit(False)
+    keys = ["device_id", "seq"]
+    audits = tel.select(
+        *keys, F.when(k % 7 == 0, "Denied.exe").when(k % 3 == 0, "good.exe").otherwise("other.exe").alias("target_name"), F.lit(77).alias("target_pid"),
+        F.lit("BACKGROUND_HELPER").alias("category"), F.when(k % 5 == 0, "PROTECTED").otherwise("CANDIDATE").alias("safety"), no.alias("intent_protected"),
+        no.alias("denied_candidate"), (k % 11 == 0).alias("is_foreground"), F.lit(100.0).alias("candidate_safety"), (F.col("cpu") + 25).alias("action_confidence"),
+        F.when(k % 13 == 0, "COOLDOWN").otherwise("MODEL_CALIBRATION_REQUIRED").alias("safety_gate"), F.lit(True).alias("safe_to_heal"), F.lit("CRITICAL").alias("risk_level"),
+        F.when(F.col("phase") == "view", "monitor_only").otherwise("act").alias("action"), F.when(F.col("phase") == "click", "disk").otherwise("cpu").alias("root_cause"),
+        F.when(F.col("phase") == "view", "NO_ACTION").otherwise("DRY_RUN_ENABLED").alias("recorded_code"),
+    )
+    plans = tel.where(k % 17 != 0).select(
+        *keys, F.lit("READY").alias("plan_status"), F.lit(True).alias("plan_executes"), (F.col("mem") + 15).alias("plan_readiness"), no.alias("plan_needs_approval")
+    )
+    verifications = tel.where(k % 19 != 0).select(
+        *keys, (F.col("mem") >= 40).alias("simulated_pass"), (F.col("mem") < 20).alias("simulated_fail"), no.alias("verification_blocked"), (F.col("mem") + 10).alias("verification_confidence")
+    )
+    out = None
+    for name, (heals, safe, dry) in _SWITCHES.items():
+        switches = G.PolicySwitches(auto_heal=heals, safe_mode=safe, dry_run=dry, allow="good.exe", deny="denied.exe")
+        part = G.policy_replay(audits, plans, verifications, keys, switches).select(F.lit(name).alias("setting"), "code", "agrees", "score")
+        out = part if out is None else out.union(part)
+    return out.groupBy("setting", "code").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("agrees").alias("agreeing"), r(F.sum("score"), 3).alias("score")
+    )
+
+
 @query(
     "h15_online_gate",
     with_telemetry(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsefleet.functions import scoring as S
+from pulsefleet.operators import episodes as E
 from pulsefleet.operators import rollups as R
 from pulsefleet.operators import tables as K
 from pulsefleet.operators import windows as W
@@ -223,14 +224,42 @@ def d9_intent_states(spark, folder):
 FROM customer GROUP BY c_nationkey""".replace("CASE WHEN c_custkey % 9 <> 0 THEN", "CASE WHEN c_custkey % 9 <> 0 AND c_acctbal >= 0 AND c_custkey % 31 <> 0 THEN"),
 )
 def d37_reliability_budget(spark, folder):
-    components = table(spark, folder, "customer").select(
+    report = R.budget_report(budget_components(spark, folder), ["c_nationkey"])
+    return report.select("c_nationkey", r("total_allocated").alias("total_allocated"), "component_violations", "accepted")
+
+
+def budget_components(spark, folder):
+    return table(spark, folder, "customer").select(
         "c_nationkey",
         F.when(F.col("c_custkey") % 31 != 0, F.col("c_name")).alias("component"),
         (F.col("c_custkey") % 9 != 0).alias("measured"),
         (F.col("c_acctbal") / 1e7).alias("error_upper_bound"),
         F.lit(0.001).alias("requested"),
     )
-    return R.budget_report(components, ["c_nationkey"]).select("c_nationkey", r("total_allocated").alias("total_allocated"), "component_violations", "accepted")
+
+
+@query(
+    "d37_budget_violations",
+    """SELECT c_nationkey, CASE WHEN c_custkey % 31 = 0 THEN 'unnamed_component' WHEN c_custkey % 9 = 0 OR c_acctbal < 0 THEN c_name || ':unmeasured_or_invalid'
+ ELSE c_name || ':upper_bound_exceeds_budget' END AS violation FROM customer
+WHERE c_custkey % 31 = 0 OR c_custkey % 9 = 0 OR c_acctbal < 0 OR c_acctbal / 1e7 > 0.001""",
+)
+def d37_budget_violations(spark, folder):
+    return R.budget_violations(budget_components(spark, folder), ["c_nationkey"])
+
+
+@query(
+    "e12_collector_states",
+    with_telemetry(
+        """SELECT CASE WHEN NOT (disk > 55) THEN 'UNAVAILABLE' WHEN NOT (cpu < 60) THEN 'OVER_BUDGET' WHEN seq % 2 = 0 THEN 'HEALTHY' ELSE 'SCHEDULED_REUSE' END AS status,
+ 'cpu=' || CASE WHEN cpu < 90 THEN 0 ELSE 1 END || ';mem=' || CASE WHEN seq % 3 <> 0 THEN 0 ELSE 1 END AS mask, count(*) AS n FROM tel GROUP BY ALL"""
+    ),
+)
+def e12_collector_states(spark, folder):
+    """Health row and missingness mask of each sample's collectors."""
+    status = E.collector_status(F.col("disk") > 55, F.col("cpu") < 60, F.col("seq") % 2 == 0)
+    mask = E.missingness_mask({"cpu": F.col("cpu") < 90, "mem": F.col("seq") % 3 != 0})
+    return telemetry(spark, folder).groupBy(status.alias("status"), mask.alias("mask")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

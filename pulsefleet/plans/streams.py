@@ -233,6 +233,20 @@ def k4_stream_episodes(spark, folder):
     return _drain(spark, folded).select("device_id", "seq", "episode_index", "boundary_reason")
 
 
+@query(
+    "k4_stream_sessions",
+    """WITH e AS (SELECT user_id AS device_id, ts, ts >= coalesce(lag(ts) OVER w, TIMESTAMP '1900-01-01') + INTERVAL 6 HOUR AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY device_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT device_id, started, frames FROM (SELECT device_id, min(ts) AS started, count(*) AS frames, max(ts) AS last FROM s GROUP BY device_id, session)
+WHERE last + INTERVAL 6 HOUR < (SELECT max(ts) - INTERVAL 1 HOUR FROM events)""",
+)
+def k4_stream_sessions(spark, folder):
+    """Sessions by the gap rule that are closed by the watermark: an hour behind the newest event."""
+    events = _events(spark, folder).select(F.col("user_id").alias("device_id"), F.col("ts").cast("timestamp").alias("at"))
+    rows = _drain(spark, K.sessions(events, ["device_id"], "at", "6 hours", "1 hour"))
+    return rows.select("device_id", F.col("started").cast("timestamp_ntz").alias("started"), "frames")
+
+
 _EDGE = "alert, CASE WHEN alert AND NOT was THEN 'RAISED' WHEN NOT alert AND was THEN 'CLEARED' END AS alert_edge"
 
 
