@@ -287,6 +287,26 @@ def d28_certification_status(spark, folder):
     return V.certification_status(V.certify_slices(certification_episodes(spark, folder)))
 
 
+@query(
+    "d28_certified_slices",
+    """SELECT coalesce(o_orderstatus, 'global') AS support_slice, count(*) AS episodes, CASE WHEN count(*) FILTER (o_orderstatus <> 'O') > 0 AND power(0.05, 1.0 / count(*)) >= 0.99 AND power(0.05, 1.0 / count(*) FILTER (o_orderkey % 4 = 0)) >= 0.97
+ AND 1 - power(0.05, 1.0 / count(*)) < 0.001 THEN 'CERTIFIED_AUTOMATIC' ELSE 'NOT_CERTIFIED' END AS status FROM orders GROUP BY GROUPING SETS ((o_orderstatus), ())""",
+)
+def d28_certified_slices(spark, folder):
+    """Orders as faultless episodes: slices are certified once they are large, but for the one without rollbacks.
+
+    Without a fault the exact bounds have a closed form, which the SQL uses.
+    """
+    yes, critical = F.lit(True), F.col("o_orderkey") % 4 == 0
+    episodes = table(spark, folder, "orders").select(
+        F.col("o_orderkey").cast("string").alias("episode_id"), F.lit("MEASURED_QOE").alias("label_provenance"), F.col("o_orderstatus").alias("support_slice"),
+        yes.alias("eligible"), yes.alias("accepted"), yes.alias("correct"), critical.alias("critical_event"), critical.alias("critical_detected"),
+        yes.alias("committed_action"), F.lit(False).alias("severe_harm"), (F.col("o_orderstatus") != "O").alias("rollback_attempted"),
+        (F.col("o_orderstatus") != "O").alias("rollback_succeeded"), F.lit(False).alias("protected_policy_violation"),
+    )
+    return V.certify_slices(episodes).select("support_slice", F.col("eligible_episodes").alias("episodes"), "status")
+
+
 # -- multiclass and readiness ---------------------------------------------------------------
 
 _PAIRS = """
@@ -391,20 +411,38 @@ def d40_fit_sigmoid(spark, folder):
     return options.where(F.col("method") == "sigmoid").select(r("a").alias("a"), r("b").alias("b"))
 
 
+_OPTIONS = f"""opt AS (
+  SELECT 0 AS place, 'identity' AS method, avg(-(label * ln({_CLIP6.format('probability')}) + (1 - label) * ln(1 - {_CLIP6.format('probability')}))) AS loss FROM pred
+  UNION ALL SELECT 1, 'temperature', min(loss) FROM grd
+  UNION ALL SELECT 2, 'sigmoid', sum(-(y * ln(q) + (w - y) * ln(1 - q))) / sum(w) FROM (SELECT *, {_CLIP6.format('1 / (1 + exp(-(a * z + b)))')} AS q FROM cmp, gd WHERE step = 500))"""
+
+
 @query(
     "d41_select_calibrator",
     "WITH RECURSIVE "
-    + with_predictions("", _DESCENT, _grid_sql(), f"""opt AS (
-  SELECT 0 AS place, 'identity' AS method, avg(-(label * ln({_CLIP6.format('probability')}) + (1 - label) * ln(1 - {_CLIP6.format('probability')}))) AS loss FROM pred
-  UNION ALL SELECT 1, 'temperature', min(loss) FROM grd
-  UNION ALL SELECT 2, 'sigmoid', sum(-(y * ln(q) + (w - y) * ln(1 - q))) / sum(w) FROM (SELECT *, {_CLIP6.format('1 / (1 + exp(-(a * z + b)))')} AS q FROM cmp, gd WHERE step = 500))""")[5:]
+    + with_predictions("", _DESCENT, _grid_sql(), _OPTIONS)[5:]
     + "SELECT method, round(loss, 6) AS log_loss, place = (SELECT arg_min(place, (loss, place)) FROM opt) AS chosen FROM opt",
-)
+)
 def d41_select_calibrator(spark, folder):
     options = C.select_calibrator(predictions(spark, folder), "label", "probability")
     return options.select("method", r("log_loss").alias("log_loss"), "chosen")
 
 
+@query(
+    "d41_calibrated",
+    "WITH RECURSIVE "
+    + with_predictions("", _DESCENT, _grid_sql(), _OPTIONS)[5:]
+    + f"""SELECT label, count(*) AS n, round(avg(CASE place WHEN 0 THEN {_CLIP6.format('probability')} WHEN 1 THEN {_CLIP6.format('1 / (1 + exp(-z / t))')}
+  ELSE {_CLIP6.format('1 / (1 + exp(-(a * z + b)))')} END), 6) AS calibrated FROM (SELECT *, {_Z} AS z FROM pred), (SELECT arg_min(place, (loss, place)) AS place FROM opt),
+ (SELECT arg_min(t, loss) AS t FROM grd), (SELECT a, b FROM gd WHERE step = 500) GROUP BY label""",
+)
+def d41_calibrated(spark, folder):
+    """The chosen calibrator applied to all predictions."""
+    pred = predictions(spark, folder)
+    done = C.apply_calibrator(pred, "probability", C.select_calibrator(pred, "label", "probability"))
+    return done.groupBy("label").agg(F.count(F.lit(1)).alias("n"), r(F.avg("calibrated")).alias("calibrated"))
+
+
 @query(
     "d42_conformal_sets",
     with_predictions(
