@@ -18,11 +18,13 @@ from pulsefleet.operators.windows import SERIES, WINDOW
 from pulsefleet.sources.sinks import SNAPSHOT_KEYS, flatten_snapshots, write_batch
 
 
-def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+#: Files of a micro-batch at most, so that a first batch is never a whole history.
+FILES_PER_BATCH = 100
+
+
+def file_stream(spark: SparkSession, folder: str, schema: StructType, pattern: str = "*.parquet", files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
 def _start(writer, seconds: float | None) -> StreamingQuery:
@@ -58,12 +60,15 @@ def stateful_fold(
     outputs: str,
     watermark: str | None = None,
     idle_ms: int | None = None,
+    lateness: str = "0 seconds",
 ) -> DataFrame:
     """Streaming twin of ``sequential.fold``: the same kernel, its state kept per key.
 
     Rows of a batch are put in order. A row that is not after the last accepted one of its key is
     late: it keeps ``late`` = true, null outputs, and does not touch the state. With a watermark
-    column and ``idle_ms``, the state of a key that stays silent is dropped.
+    column and ``idle_ms``, the state of a key that stays silent is dropped; ``lateness`` is how far behind
+    the newest row the watermark stays. A task holds a key's rows of one micro-batch, which
+    ``file_stream`` bounds by its number of files.
     """
     keys, order = list(keys), list(order)
     kept = keys + order
@@ -94,7 +99,7 @@ def stateful_fold(
         if any(late):
             yield pdf.loc[late, kept].assign(late=True, **{n: None for n in names})
 
-    source = stream.withWatermark(watermark, "0 seconds") if expires else stream
+    source = stream.withWatermark(watermark, lateness) if expires else stream
     timeout = GroupStateTimeout.EventTimeTimeout if expires else GroupStateTimeout.NoTimeout
     return source.groupBy(*keys).applyInPandasWithState(step, schema, "state string", "append", timeout)
 
