@@ -93,6 +93,8 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
     for low, high in zip(cuts, cuts[1:]):
         if high > low:
             yield batch.slice(low, high - low)
+    # Idle workers hand back what the batch has needed.
+    pa.default_memory_pool().release_unused()
 
 
 # -- written tables and files -------------------------------------------------------------------
