@@ -249,6 +249,34 @@ def policy_replay(
     return judged.select(*audits.columns, "__g.score", "__g.level", "__g.code", agrees.alias("agrees"))
 
 
+# The contract's texts for the reason codes of gates, impact and the learned policy.
+REASON_TEXTS = {
+    "online_disabled": "online execution is disabled by configuration",
+    "policy_not_promoted": "shadow policy has not passed offline promotion gates",
+    "no_intervention_selected": "shadow policy selected the no-intervention baseline",
+    "benefit_below_gate": "action lower-confidence benefit does not exceed the online gate",
+    "deterministic_policy_refused": "deterministic safety policy did not grant execution eligibility",
+    "outside_policy_boundary": "target safety or performance-criticality is outside the online policy boundary",
+    "protected_target": "foreground, system-critical, or intent-matching target is protected",
+    "approval_required": "online action requires explicit approval",
+    "not_measured": "measured verification requires an executed transaction and two valid snapshots",
+    "foreground_regressed": "foreground process regressed or stopped responding",
+    "page_fault_guardrail": "page-fault rate exceeded the safety guardrail",
+    "harmful_threshold": "measured resource outcome crossed the harmful threshold",
+    "helpful_threshold": "measured resource improvement exceeded the helpful threshold",
+    "too_small": "measured effect was safe but too small to claim improvement",
+    "no_reversible_safe_candidate": "no reversible candidate passed deterministic safety",
+    "insufficient_measured_outcomes": "insufficient measured outcomes; remain on no-intervention baseline",
+    "lower_bound_does_not_beat_baseline": "lower-confidence benefit does not beat no intervention",
+    "shadow_candidate_beats_baseline": "shadow candidate beats baseline with required lower-confidence benefit",
+}
+
+
+def reason_text(code: Column) -> Column:
+    """The contract's text of a reason code; other codes stand for themselves."""
+    return S.by_value(code, REASON_TEXTS, code)
+
+
 def online_gate(c: Mapping[str, Column], min_benefit: float = 0.05, min_safety: float = 90.0, max_criticality: float = 30.0) -> Column:
     """First reason an online action is refused, or ``eligible`` (budget and cooldown come after).
 

@@ -869,8 +869,9 @@ def d34_reward_prediction(spark, folder):
     "f8_learned_policy",
     f"""WITH {TWO_FEATURES}, best AS (SELECT vec_id // 10 AS decision, arg_max({{'a': action, 't': vec_id, 'lb': expected - uncertainty, 'n': n}}, (round(expected - uncertainty, 9), -vec_id))
    FILTER (action <> 0 AND vec_id % 3 <> 1) AS c FROM prd GROUP BY 1)
-SELECT decision, CAST(c.a AS VARCHAR) AS action, c.t AS target, CASE WHEN c IS NULL THEN 'no_reversible_safe_candidate' WHEN c.n < 30 THEN 'insufficient_measured_outcomes'
- WHEN c.lb <= 0.05::DOUBLE THEN 'lower_bound_does_not_beat_baseline' ELSE 'shadow_candidate_beats_baseline' END AS reason FROM best""",
+SELECT decision, CAST(c.a AS VARCHAR) AS action, c.t AS target, CASE WHEN c IS NULL THEN 'no reversible candidate passed deterministic safety'
+ WHEN c.n < 30 THEN 'insufficient measured outcomes; remain on no-intervention baseline' WHEN c.lb <= 0.05::DOUBLE THEN 'lower-confidence benefit does not beat no intervention'
+ ELSE 'shadow candidate beats baseline with required lower-confidence benefit' END AS reason FROM best""",
 )
 def f8_learned_policy(spark, folder):
     """Candidates of a decision scored by the learned models; the vector is the target acted on."""
@@ -883,7 +884,7 @@ def f8_learned_policy(spark, folder):
     )
     scored = L.predict(rows, models, "learned", "x").withColumn("lower_bound", F.round("lower_bound", 9))
     out = L.shadow_choice(scored, ["decision"], "vec_id", target="vec_id")
-    return out.select("decision", "action", "target", "reason")
+    return out.select("decision", "action", "target", G.reason_text(F.col("reason")).alias("reason"))
 
 
 @query(
