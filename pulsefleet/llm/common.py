@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,8 +85,18 @@ def words_of(data: np.ndarray, ends: np.ndarray, breaks: np.ndarray, cuts: np.nd
     return Words(data[inside], offsets, np.searchsorted(starts, ends))
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
-    """Cut an Arrow batch so that the texts of a piece have ``most`` bytes, or are a single text."""
+#: What a worker process keeps between tasks: functions that let it go, by the operator that keeps it.
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20, keeps: str | None = None):
+    """Cut an Arrow batch so that the texts of a piece have ``most`` bytes, or are a single text.
+
+    Workers are used again by later stages: what other operators than ``keeps`` have kept is let go.
+    """
+    for owner, release in KEPT.items():
+        if owner != keeps:
+            release()
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     piece = np.cumsum(sizes) // most
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]

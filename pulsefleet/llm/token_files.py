@@ -157,7 +157,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         size = max(coder.tokenizer.get_vocab_size(), end_id + 1)
         kind, counts = np.dtype("<u2" if size <= 1 << 16 else "<u4"), np.zeros(size, dtype=np.int64)
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", keeps="tokenizer"):
                 ids, ends = coder.encode(piece.column("text"))
                 sizes = np.diff(ends)
                 whole = np.full(len(ids) + len(sizes), end_id, dtype=np.uint32)

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from pulsefleet.llm.common import LOWER, Words, utf8, words_of
+from pulsefleet.llm.common import KEPT, LOWER, Words, utf8, words_of
 
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[0x20, 0x09, 0x0A, 0x0D]] = True
@@ -109,3 +109,6 @@ class WordTokenizer:
 def tokenizer(path: str) -> WordTokenizer:
     """One per worker process."""
     return WordTokenizer(path)
+
+
+KEPT["tokenizer"] = tokenizer.cache_clear
