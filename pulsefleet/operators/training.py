@@ -19,6 +19,9 @@ from pulsefleet.operators.windows import FEATURES
 CONTRACT = "ai_reliability_v2"
 TREES, DEPTH, MIN_LEAF, SEED = 420, 12, 2, 42
 
+#: Rows of a task of the fit, at least.
+TASK_ROWS = 20_000
+
 
 def label_id(label) -> F.Column:
     return S.by_value(S.col(label), {name: float(i) for i, name in enumerate(S.LABELS)}, -1.0)
@@ -43,14 +46,16 @@ def train_forest(
 ) -> PipelineModel:
     # The fit passes over its input several times; windows are dearer than their stored features.
     kept = rows.select(*features, label).persist()
+    # Every task sends the statistics of all open nodes of all trees, so tasks must not be small.
+    tasks = max(1, -(-kept.count() // TASK_ROWS))
     balanced = with_class_weights(kept, label).withColumn("label_id", label_id(label))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestClassifier(
         featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=seed,
+        minInstancesPerNode=min_leaf, seed=seed, cacheNodeIds=True,
     )
     try:
-        return Pipeline(stages=[assembler, forest]).fit(balanced.select(*features, "label_id", "weight"))
+        return Pipeline(stages=[assembler, forest]).fit(balanced.select(*features, "label_id", "weight").coalesce(tasks))
     finally:
         kept.unpersist()
 
