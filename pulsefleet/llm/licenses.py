@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.llm.common import slices, split_words
+from pulsefleet.llm.license_templates import common
 from pulsefleet.llm.phrase_index import WORD_BREAKS
 
 LEAST = 0.8
 
-# The public texts of common licences and the usual one-line statements.
-TEMPLATES = (
+# The public texts of common licences and the usual one-line statements; license_templates has the others.
+TEMPLATES = common((
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0 notice",
@@ -71,7 +72,7 @@ TEMPLATES = (
         "OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR "
         "OTHER DEALINGS IN THE SOFTWARE.",
     ),
-)
+))
 
 
 class Scanner:
@@ -86,7 +87,7 @@ class Scanner:
         rows = [codes[a:b].astype(np.int64) for a, b in zip(words.first, words.first[1:])]
         pairs = [row[:-1] * len(self.vocabulary) + row[1:] for row in rows]
         self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
-        self.counts = np.array([np.bincount(np.searchsorted(self.pairs, p), minlength=len(self.pairs)) for p in pairs])
+        self.counts = np.array([np.bincount(np.searchsorted(self.pairs, p), minlength=len(self.pairs)) for p in pairs], dtype=np.int32)
         self.sizes = np.array([len(p) for p in pairs])
         self.low = np.ceil(self.sizes * least / (2 - least) - 1e-9)
         self.high = np.floor(self.sizes * (2 - least) / least + 1e-9)
@@ -110,15 +111,25 @@ class Scanner:
         low, high = words.first[low_line], words.first[high_line + 1]
         size = high - low - 1
         shared = met[np.maximum(high - 1, low)] - met[low]
-        fits = ((size[:, None] >= self.low) & (size[:, None] <= self.high) & (2 * shared[:, None] >= self.least * (size[:, None] + self.sizes) - 1e-9)).any(axis=1)
-        for i in np.flatnonzero(fits & (size > 0)).tolist():
-            own = place[low[i] : high[i] - 1]
-            counts = np.bincount(own[own >= 0], minlength=len(self.pairs))
-            dice = 2.0 * np.minimum(self.counts, counts).sum(axis=1) / (size[i] + self.sizes)
-            best = int(np.argmax(dice))
-            if dice[best] >= self.least:
-                text = int(np.searchsorted(first_line, low_line[i], "right")) - 1
-                yield text, int(low_line[i] - first_line[text]), int(high_line[i] - first_line[text]), best, float(dice[best])
+        # Passages that fit no template by the smallest bounds go first; the others meet the bounds of each.
+        near = np.flatnonzero((size > 0) & (size >= self.low.min()) & (2 * shared >= self.least * (size + self.sizes.min()) - 1e-9))
+        for k in range(0, len(near), 4096):
+            some = near[k : k + 4096]
+            n, met_n = size[some, None], shared[some, None]
+            fits = (n >= self.low) & (n <= self.high) & (2 * met_n >= self.least * (n + self.sizes) - 1e-9)
+            for row in np.flatnonzero(fits.any(axis=1)).tolist():
+                yield from self._best(int(some[row]), fits[row], place, low, high, low_line, high_line, first_line)
+
+    def _best(self, i, fits, place, low, high, low_line, high_line, first_line) -> Iterator[tuple[int, int, int, int, float]]:
+        """The best of the templates that passage i can reach, if it reaches the least."""
+        own = place[low[i] : high[i] - 1]
+        met, counts = np.unique(own[own >= 0], return_counts=True)
+        among = np.flatnonzero(fits)
+        dice = 2.0 * np.minimum(self.counts[np.ix_(among, met)], counts).sum(axis=1) / (high[i] - low[i] - 1 + self.sizes[among])
+        best = int(np.argmax(dice))
+        if dice[best] >= self.least:
+            text = int(np.searchsorted(first_line, low_line[i], "right")) - 1
+            yield text, int(low_line[i] - first_line[text]), int(high_line[i] - first_line[text]), int(among[best]), float(dice[best])
 
     @staticmethod
     def _passages(first: np.ndarray, first_line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
