@@ -10,6 +10,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Queries whose values come from a trained model: no SQL can say them; tests check them by their meaning.
+REPORTS: dict[str, Query] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -22,3 +24,13 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return register
+
+
+def report(name: str):
+    def register(fn: Query) -> Query:
+        if name in QUERIES or name in REPORTS:
+            raise ValueError(f"query {name} registered twice")
+        REPORTS[name] = fn
+        return fn
+
+    return register

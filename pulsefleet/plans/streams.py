@@ -16,7 +16,7 @@ from pulsefleet.operators import windows as W
 from pulsefleet.operators.rollups import normal_rows
 from pulsefleet.plans.history import _LABEL_CTES, KEY, ORDER, _label_sql, r
 from pulsefleet.plans.quality import CUT, FRAMES, HOUR
-from pulsefleet.plans.registry import ORACLES, query
+from pulsefleet.plans.registry import ORACLES, query, report
 from pulsefleet.plans.sequential import _VALUES
 from pulsefleet.plans.views import as_telemetry, table, telemetry, with_telemetry
 from pulsefleet.session import shared_folder
@@ -83,7 +83,7 @@ _ROLE_CTES = (
     ),
 )
 def j1_forest_report(spark, folder):
-    """Support per class of devices that training never saw; every row has a predicted class, hits are within both sides."""
+    """The part of ``j1_forest_classes`` that SQL can say. Support per class of devices that training never saw; every row has a predicted class, hits are within both sides."""
     matrix = V.confusion_matrix(_scored(spark, folder), "label", "predicted_class")
     report = V.multiclass_report(matrix)
     within = F.bool_and((F.col("hits") <= F.col("support")) & (F.col("hits") <= F.col("predicted")))
@@ -91,6 +91,14 @@ def j1_forest_report(spark, folder):
     return report.where("support > 0").select("class", "support").join(F.broadcast(totals))
 
 
+@report("j1_forest_classes")
+def j1_forest_classes(spark, folder):
+    """The report itself: per class the support, predictions, hits and rates, and whether hits reach the largest class."""
+    classes = V.multiclass_report(V.confusion_matrix(_scored(spark, folder), "label", "predicted_class"))
+    totals = classes.agg((F.sum("hits") >= F.max("support")).alias("beats_majority"))
+    return classes.join(F.broadcast(totals))
+
+
 @query("f7_feature_importances", "SELECT 12 AS features, true AS descending, true AS known, true AS shares")
 def f7_feature_importances(spark, folder):
     """The twelve most important features: in order, among the contract's, with shares of at most one in all."""
@@ -108,6 +116,23 @@ def f7_feature_importances(spark, folder):
     )
 
 
+@report("f7_importance_rows")
+def f7_importance_rows(spark, folder):
+    """The twelve most important features and their importances."""
+    model, _ = M.load_model(_trained(spark, folder)[0], spark)
+    return M.importances(model, spark)
+
+
+def _per_class(scored):
+    return scored.groupBy("predicted_class").agg(F.count(F.lit(1)).alias("n"), F.avg("risk").alias("mean_risk"))
+
+
+@report("j2_saved_model_classes")
+def j2_saved_model_classes(spark, folder):
+    """Rows and mean risk per class that the stored model predicts."""
+    return _per_class(_scored(spark, folder))
+
+
 @query(
     "j2_saved_model_scores",
     with_telemetry(
@@ -259,13 +284,9 @@ def e15_stream_alerts(spark, folder):
     return _drain(spark, folded).select("device_id", "seq", "alert")
 
 
-@query(
-    "j3_stream_scores",
-    """SELECT user_id AS device_id, count(*) - 7 AS windows, true AS equal_to_batch FROM events GROUP BY user_id HAVING count(*) >= 8""",
-)
-def j3_stream_scores(spark, folder):
-    """A stored model scores the windows of a stream cut into batches; the scores are those of the whole table."""
-    path, baseline = _trained(spark, folder)
+def _stream_scores(spark, folder):
+    """The windows of a stream cut into batches, scored by the stored model."""
+    path, _ = _trained(spark, folder)
     base = shared_folder(spark)
     windows = K.windowed(_telemetry_stream(spark, folder, files=5, order="ts"), KEY, ORDER)
     # Windows are stored between state and scoring: both are streams of their own.
@@ -277,7 +298,23 @@ def j3_stream_scores(spark, folder):
         return batch.select(*KEY, *ORDER, *[c.alias(n) for n, c in columns.items()])
 
     K.score_stream(packets, path, features, f"{base}/scores", f"{base}/checkpoint", seconds=None).awaitTermination()
-    scores = spark.read.parquet(f"{base}/scores").select("device_id", "seq", "risk")
+    return spark.read.parquet(f"{base}/scores")
+
+
+@report("j3_stream_classes")
+def j3_stream_classes(spark, folder):
+    """Windows of the stream and mean risk per predicted class."""
+    return _per_class(_stream_scores(spark, folder))
+
+
+@query(
+    "j3_stream_scores",
+    """SELECT user_id AS device_id, count(*) - 7 AS windows, true AS equal_to_batch FROM events GROUP BY user_id HAVING count(*) >= 8""",
+)
+def j3_stream_scores(spark, folder):
+    """A stored model scores the windows of a stream cut into batches; the scores are those of the whole table."""
+    path, baseline = _trained(spark, folder)
+    scores = _stream_scores(spark, folder).select("device_id", "seq", "risk")
     model, _ = M.load_model(path, spark)
     whole = M.score(W.window_features(telemetry(spark, folder), KEY, ORDER, baseline=baseline), model)
     both = scores.join(whole.select("device_id", "seq", F.col("risk").alias("batch_risk")), ["device_id", "seq"], "full")
