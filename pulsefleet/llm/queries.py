@@ -10,6 +10,8 @@ from pulsefleet.llm.common import table
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 SHARDS = 24
+#: Setting that names an empty shared folder for token files; without it they are gone with the application.
+TOKEN_FOLDER = "spark.pulsefleet.tokenFolder"
 
 # The rules of the URL filter (verdict, host, path).
 URL_RULES = (
@@ -30,12 +32,16 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def token_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get(TOKEN_FOLDER, None)
+
+
 def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
 
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.encoded_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID)
+    return token_files.encoded_and_read(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, folder=token_folder(spark))
 
 
 def op3_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

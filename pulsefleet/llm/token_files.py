@@ -8,6 +8,9 @@ its checkpoints at once, or any single one.
 
 A file holds, little-endian: magic, sizes, the directory of documents (id, number of ids), and per block
 its number of ids, CRC-32 of the ids, lane states and stream positions of the checkpoints, and the words.
+
+Beside the files their folder holds the frequency table (``TABLE``) and, written last, the manifest
+(``MANIFEST``, Parquet): ``opened`` needs nothing but the folder.
 """
 
 from __future__ import annotations
@@ -20,7 +23,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefleet.llm import rans
@@ -28,6 +32,8 @@ from pulsefleet.llm.common import files_folder, open_folder, publish, slices, st
 from pulsefleet.llm.tokenizer import tokenizer
 
 MAGIC = b"PFTOKEN1"
+TABLE, MANIFEST = "table.frequencies", "manifest"
+_TABLE_HEAD = struct.Struct("<8sII")  # magic, bits, symbols
 _HEAD = struct.Struct("<8sIIIIQ")  # magic, lanes, steps between checkpoints, documents, blocks, ids
 
 
@@ -202,12 +208,49 @@ class TokenSet:
     table: rans.Frequencies
 
 
-def write(docs: DataFrame, path: str, end_id: int, layout: Layout = Layout()) -> TokenSet:
-    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; nulls come first, null texts are empty."""
+def _uri(folder: str) -> str:
+    return f"file://{folder}" if folder.startswith("/") else folder
+
+
+def _claimed(folder: str) -> None:
+    """Stop if the folder holds anything: files of two writes would mix."""
+    fs, base = open_folder(folder)
+    if fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+        raise FileExistsError(f"{folder} is not empty")
+
+
+def _write_table(folder: str, table: rans.Frequencies) -> None:
+    fs, base = open_folder(folder)
+    data = _TABLE_HEAD.pack(MAGIC, table.bits, len(table.symbols)) + table.symbols.astype("<u4").tobytes() + table.shares.astype("<u4").tobytes()
+    publish(fs, f"{base}/{TABLE}", lambda out: out.write(data))
+
+
+def opened(spark: SparkSession, folder: str) -> TokenSet:
+    """The written files of a folder, in any session: table and manifest are read from it."""
+    folder = _uri(folder)
+    fs, base = open_folder(folder)
+    with fs.open_input_file(f"{base}/{TABLE}") as source:
+        data = source.read()
+    magic, bits, size = _TABLE_HEAD.unpack_from(data)
+    if magic != MAGIC:
+        raise ValueError("not a table of token files")
+    symbols, shares = np.frombuffer(data, "<u4", 2 * size, _TABLE_HEAD.size).astype(np.uint32).reshape(2, size)
+    return TokenSet(folder, spark.read.parquet(f"{folder}/{MANIFEST}"), rans.Frequencies(bits, symbols, shares))
+
+
+def write(docs: DataFrame, path: str, end_id: int, layout: Layout = Layout(), folder: str | None = None) -> TokenSet:
+    """Write the ids of ``docs`` (doc_id, text) in ascending doc_id order; nulls come first, null texts are empty.
+
+    folder  an empty or new folder that all executors share, as a path or URI; it stays when the application
+            ends. None: a folder that is gone with the application.
+    """
     spark = docs.sparkSession
+    if folder is not None:
+        folder = _uri(folder)
+        _claimed(folder)
     rows = tokenized(docs, path, end_id)
     table, total = shared_table(rows)
-    folder = files_folder(spark)
+    folder = folder or files_folder(spark)
     ranges = max(1, -(-total // layout.file_tokens))
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +292,10 @@ def write(docs: DataFrame, path: str, end_id: int, layout: Layout = Layout()) ->
     of_range = files.groupBy("range").agg(F.sum("n_tokens").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("range_start"))
     inside = Window.partitionBy("range").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     manifest = files.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(of_range, "range")
-    return TokenSet(folder, stored(manifest.withColumn("start", F.col("range_start") + F.col("inside")).drop("range_start", "inside")), table)
+    manifest = manifest.withColumn("start", F.col("range_start") + F.col("inside")).drop("range_start", "inside")
+    _write_table(folder, table)
+    manifest.write.parquet(f"{folder}/{MANIFEST}")
+    return opened(spark, folder)
 
 
 def read(tokens: TokenSet, with_ids: bool = True) -> DataFrame:
@@ -261,14 +307,14 @@ def read(tokens: TokenSet, with_ids: bool = True) -> DataFrame:
         for batch in batches:
             for name, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 with fs.open_input_file(f"{base}/{name}") as source:
-                    opened = TokenFile(source.read())
-                flat = memoryview(opened.ids(table).astype("<u4").tobytes())
-                ends = np.concatenate([[0], np.cumsum(opened.sizes)]).astype(np.int64)
+                    file = TokenFile(source.read())
+                flat = memoryview(file.ids(table).astype("<u4").tobytes())
+                ends = np.concatenate([[0], np.cumsum(file.sizes)]).astype(np.int64)
                 own = [flat[4 * a : 4 * b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
                 columns = {
-                    "doc_id": pa.array(opened.doc_ids, pa.int64()),
+                    "doc_id": pa.array(file.doc_ids, pa.int64()),
                     "start": pa.array(start + ends[:-1]),
-                    "n_tokens": pa.array(opened.sizes),
+                    "n_tokens": pa.array(file.sizes),
                     "ids_crc32": pa.array([zlib.crc32(x) for x in own], pa.int64()),
                 }
                 if with_ids:
@@ -281,11 +327,11 @@ def read(tokens: TokenSet, with_ids: bool = True) -> DataFrame:
     return spread.mapInArrow(decoded, schema)
 
 
-def encoded_and_read(docs: DataFrame, path: str, end_id: int, layout: Layout = Layout()) -> DataFrame:
-    """Write the files of ``docs`` and read them back: doc_id, start, n_tokens, ids_crc32.
+def encoded_and_read(docs: DataFrame, path: str, end_id: int, layout: Layout = Layout(), folder: str | None = None) -> DataFrame:
+    """Write the files of ``docs`` (to ``folder``, as ``write`` does) and read them back: doc_id, start, n_tokens, ids_crc32.
 
     A null or empty text has the end id only. Rows of one doc_id (repeated rows too) are coded each, in
     the order of a hash of the text. No rows: no files, no result rows. Other columns are not read.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return read(write(docs, path, end_id, layout), with_ids=False)
+    return read(write(docs, path, end_id, layout, folder), with_ids=False)
