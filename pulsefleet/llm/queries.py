@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from itertools import permutations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulsefleet.llm import langid, licenses, mixture, permutation_index, phrase_index, sharding, simhash, token_files, urls, warc
+from pulsefleet.llm import filter_audit, langid, licenses, mixture, permutation_index, phrase_index, pieces, sharding, simhash, token_files, urls, warc
 from pulsefleet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 SHARDS = 24
 #: Setting that names an empty shared folder for token files; without it they are gone with the application.
@@ -36,6 +40,12 @@ def token_folder(spark: SparkSession) -> str | None:
     return spark.conf.get(TOKEN_FOLDER, None)
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(PIECES)
+
+
 def op1_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf_dir, "pages"))
 
@@ -76,6 +86,22 @@ def op10_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identified(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = filter_audit.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    steps = filter_audit.audit(rows, "part", "ABCDE", ["quality", "toxic"])
+    return steps.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.encoded(table(spark, sf_dir, "documents"), pieces_path())
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     fn.__name__: fn
     for fn in (
@@ -89,6 +115,8 @@ QUERIES = {
         op8_near_duplicates,
         op9_licenses,
         op10_languages,
+        op11_filter_audit,
+        op13_sentence_pieces,
     )
 }
 
@@ -257,10 +285,52 @@ SELECT doc_id, CAST(first_line AS BIGINT) AS first_line, CAST(last_line AS BIGIN
 """
 
 
+def _filter_audit_sql() -> str:
+    bit = {c: 1 << i for i, c in enumerate("ABCDE")}
+    steps = [(order, k + 1, sum(bit[c] for c in order[:k]), bit[order[k]]) for order in map("".join, permutations("ABCDE")) for k in range(5)]
+    return f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), firsts AS (
+  SELECT text, min(doc_id) AS first FROM docs GROUP BY text
+), worded AS (
+  SELECT doc_id, part, text, first, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM docs JOIN firsts USING (text)
+), masks AS (
+  SELECT doc_id, part,
+    CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+    + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+    + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS mask
+  FROM worded
+), known AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
+), cells AS (
+  SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(bad), 0) AS bad FROM masks LEFT JOIN known USING (doc_id) GROUP BY part, mask
+), steps(filter_order, step, earlier, own) AS (
+  VALUES {", ".join(map(str, steps))}
+), sums AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN mask & (earlier | own) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & earlier > 0 AND mask & own > 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & earlier = 0 AND mask & own > 0 THEN bad ELSE 0 END) AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, own
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+       CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM sums
+"""
+
+
 ORACLES = {
     "op1_archives": _ARCHIVES,
     "op4_contamination": _CONTAMINATION,
     "op5_url_filter": _URL_FILTER,
     "op7_mixture": _mixture_sql(MIXTURE),
     "op9_licenses": _licenses_sql(),
+    "op11_filter_audit": _filter_audit_sql(),
 }
