@@ -4,14 +4,10 @@ The library writes a blank as a marker and puts one before the text. If no piece
 character, no piece reaches over the place where a run of markers begins, so a text is cut there into marked
 words, and its ids are those of its marked words, one after the other. That is checked for every model.
 
-1. Tasks cut their texts, and write per document the places of its chunks in the block's list of distinct
-   chunks, and per block that list.
-2. The distinct chunks of all blocks are a table; each is segmented and decoded once in the whole job.
-3. The table is joined to the lists, and a block's documents meet their list: ids and decoded text of a document
-   are gathered by position.
-
-A chunk is once in a block's list however often the texts have it, so a very common word is no hot key; a block is
-some megabytes of text, or one text.
+The texts of a batch become places in the batch's list of distinct chunks. A worker keeps a table of the chunks it
+has met, with the ids and the decoded text of each; only chunks that the table lacks are segmented. Ids and
+decoded text of a document are gathered from the table by position. Texts are never shuffled: a table of the whole
+corpus, joined to the documents, moves several times the input, because rare words are most of the distinct ones.
 """
 
 from __future__ import annotations
@@ -21,31 +17,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
-from pulsefleet.llm.common import KEPT, Words, slices, stored, utf8
+from pulsefleet.llm.common import KEPT, Words, slices, utf8
 from pulsefleet.llm.tokenizer import ragged
 
-#: Bytes of text in a block, but for longer single texts.
-BLOCK = 6 << 20
+#: Chunks a worker's table holds at most, but for those of one batch; it starts anew above that.
+KEPT_CHUNKS = 1_000_000
 
 _MARKER = "▁"
 
 
-@lru_cache(maxsize=1)
-def _model(path: str):
-    """One per worker process."""
-    import sentencepiece
-
-    return sentencepiece.SentencePieceProcessor(model_file=path)
-
-
-KEPT["pieces"] = _model.cache_clear
-
-
 def check_model(path: str) -> None:
     """Raise ValueError unless chunks of this model can be segmented apart."""
     from sentencepiece import sentencepiece_model_pb2 as proto
@@ -92,66 +76,66 @@ def chunks(texts: pa.Array) -> Words:
     return Words(data[~cut], offsets, np.searchsorted(starts, ends))
 
 
-def _coded(docs: DataFrame, kept: Sequence[str], text: str) -> DataFrame:
-    """Written rows of two kinds: (block, row, codes) per document, (block, chunks) per block."""
-    row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row")
-    rows = docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))
-    row_type = rows.schema["row"].dataType
-    schema = (
-        StructType().add("block", LongType()).add("row", row_type).add("codes", BinaryType()).add("chunks", ArrayType(BinaryType()))
-    )
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for piece in slices(batch, "text", BLOCK, keeps="pieces"):
-                words = chunks(piece.column("text"))
-                distinct, codes = words.encoded()
-                data = codes.astype("<i4").tobytes()
-                own = [data[4 * a : 4 * b] for a, b in zip(words.first.tolist(), words.first[1:].tolist())]
-                n, row_kind = piece.num_rows, piece.column("row").type
-                lists = pa.array([None] * n, pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * n, pa.int64()), piece.column("row"), pa.array(own, pa.binary()), lists],
-                    names=["block", "row", "codes", "chunks"],
-                )
-                listed = pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct.cast(pa.binary()))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block], pa.int64()), pa.nulls(1, row_kind), pa.nulls(1, pa.binary()), listed],
-                    names=["block", "row", "codes", "chunks"],
-                )
-                block += 1
-
-    return stored(rows.mapInArrow(of, schema), compression="zstd")
-
-
-def chunk_table(listed: DataFrame, model: str) -> DataFrame:
-    """The distinct values of the column ``chunk``, each with its ids (int32 in bytes) and decoded text."""
+class ChunkTable:
+    """Chunks met so far, each with its ids and its decoded text behind the blank of its marker."""
+
+    def __init__(self, path: str) -> None:
+        import sentencepiece
+
+        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.ids, self.id_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.marked, self.mark_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def places(self, listed: list[bytes]) -> np.ndarray:
+        """Rows of the distinct chunks; those that the table lacks are segmented."""
+        if len(self.place) > KEPT_CHUNKS:
+            self._clear()
+        new = [c for c in listed if c not in self.place]
+        if new:
+            rows = self.model.encode([c.decode("utf-8", "replace") for c in new], num_threads=1)
+            texts = [b" " + d.encode() for d in self.model.decode(rows, num_threads=1)]
+            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new))))
+            sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+            flat = np.fromiter((i for row in rows for i in row), np.int32, int(sizes.sum()))
+            self.ids, self.id_ends = np.append(self.ids, flat), np.append(self.id_ends, self.id_ends[-1] + np.cumsum(sizes))
+            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            self.marked = np.append(self.marked, np.frombuffer(b"".join(texts), np.uint8))
+            self.mark_ends = np.append(self.mark_ends, self.mark_ends[-1] + np.cumsum(sizes))
+        return np.fromiter((self.place[c] for c in listed), np.int64, len(listed))
+
+    def encode(self, texts: pa.Array) -> tuple[pa.Array, pa.Array]:
+        """Ids and decoded text of each text; null is empty."""
+        words = chunks(texts)
+        distinct, codes = words.encoded()
+        place, ends = self.places(distinct.to_pylist())[codes], words.first
+        begins = self.id_ends[place]
+        sizes = self.id_ends[place + 1] - begins
+        flat = self.ids[ragged(begins, sizes)]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
+        begins = self.mark_ends[place]
+        sizes = self.mark_ends[place + 1] - begins
+        # The marker of a text's first chunk is the library's own.
+        first = ends[:-1][ends[:-1] < ends[1:]]
+        begins[first] += 1
+        sizes[first] -= 1
+        data = self.marked[ragged(begins, sizes)]
+        starts = np.concatenate([[0], np.cumsum(sizes)])[ends]
+        whole = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(starts.astype(np.int64)), pa.py_buffer(data)])
+        return ids, whole.cast(pa.string())
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _model(model)
-        for batch in batches:
-            texts = [c.decode("utf-8", "replace") for c in batch.column("chunk").to_pylist()]
-            ids = pieces.encode(texts, num_threads=1)
-            decoded = [d.encode() for d in pieces.decode(ids, num_threads=1)] if ids else []
-            data = [np.array(row, dtype="<i4").tobytes() for row in ids]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), pa.array(data, pa.binary()), pa.array(decoded, pa.binary())], names=["chunk", "ids", "decoded"]
-            )
 
-    return listed.select("chunk").distinct().mapInArrow(of, "chunk binary, ids binary, decoded binary")
+@lru_cache(maxsize=1)
+def _table(path: str) -> ChunkTable:
+    """One per worker process."""
+    return ChunkTable(path)
 
 
-def _flat(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column and the offsets of its rows."""
-    values = column.cast(pa.large_binary()).combine_chunks()
-    if isinstance(values, pa.ChunkedArray):
-        values = pa.concat_arrays(values.chunks) if values.num_chunks else pa.array([], pa.large_binary())
-    _, offsets, data = values.buffers()
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    ends = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
-    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))[ends[0] : ends[-1]], ends - ends[0]
+KEPT["pieces"] = _table.cache_clear
 
 
 def encoded(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
@@ -164,35 +148,15 @@ def encoded(docs: DataFrame, model: str, keep: Sequence[str] = ("doc_id",), text
     columns may have any names and values.
     """
     check_model(model)
-    coded = _coded(docs, keep, text)
-    listed = coded.where("chunks IS NOT NULL").select(F.col("block").alias("of_block"), F.posexplode("chunks").alias("code", "chunk"))
-    found = listed.join(chunk_table(listed, model), "chunk").select("of_block", "code", "ids", "decoded")
-    texts = coded.where("chunks IS NULL").select("block", "row", "codes")
-    schema = StructType().add(coded.schema["row"]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
-
-    def gather(rows: pa.Table, table: pa.Table) -> pa.Table:
-        table = table.sort_by("code")
-        ids, id_ends = _flat(table.column("ids"))
-        ids, id_ends = ids.view("<i4"), id_ends // 4
-        # Every decoded chunk gets the blank of its marker; a text's first one loses it again.
-        raw, raw_ends = _flat(table.column("decoded"))
-        marked = np.insert(raw, raw_ends[:-1], 0x20)
-        mark_ends = raw_ends + np.arange(len(raw_ends))
-        codes, ends = _flat(rows.column("codes"))
-        codes, ends = codes.view("<i4").astype(np.int64), ends // 4
-        sizes = np.diff(id_ends)[codes]
-        flat = ids[ragged(id_ends[codes], sizes)]
-        starts = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        sizes = np.diff(mark_ends)[codes]
-        first = ends[:-1][ends[:-1] < ends[1:]]
-        begins = mark_ends[codes]
-        begins[first] += 1
-        sizes[first] -= 1
-        data = marked[ragged(begins, sizes)]
-        text_ends = np.concatenate([[0], np.cumsum(sizes)])[ends]
-        lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat.astype(np.int32)))
-        whole = pa.Array.from_buffers(pa.large_string(), rows.num_rows, [None, pa.py_buffer(text_ends.astype(np.int64)), pa.py_buffer(data)])
-        return pa.Table.from_arrays([rows.column("row"), pa.chunked_array([lists]), pa.chunked_array([whole.cast(pa.string())])], names=["row", "ids", "decoded"])
-
-    joined = texts.groupBy("block").cogroup(found.groupBy("of_block")).applyInArrow(gather, schema)
-    return joined.select("row.*", "ids", "decoded")
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    rows = docs.select(row, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = StructType().add(rows.schema["row"]).add("ids", ArrayType(IntegerType())).add("decoded", StringType())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = _table(model)
+        for batch in batches:
+            for piece in slices(batch, "text", keeps="pieces"):
+                ids, decoded = table.encode(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([piece.column("row"), ids, decoded], names=["row", "ids", "decoded"])
+
+    return rows.mapInArrow(of, schema).select("row.*", "ids", "decoded")

@@ -74,7 +74,23 @@ def test_query_equals_the_library(spark, data):
         assert mine.decoded_sha256 == hashlib.sha256(MODEL.decode(ids).encode()).hexdigest()
 
 
-def test_each_distinct_chunk_is_segmented_once(spark):
-    rows = spark.createDataFrame([(b"the",), (b"the",), (b"cat",)], "chunk binary")
-    got = pieces.chunk_table(rows, PATH).collect()
-    assert sorted(bytes(r.chunk) for r in got) == [b"cat", b"the"]
+def test_each_distinct_chunk_is_segmented_once(monkeypatch):
+    table = pieces.ChunkTable(PATH)
+    asked = []
+
+    class Counting:
+        def encode(self, texts, **options):
+            asked.extend(texts)
+            return MODEL.encode(texts, **options)
+
+        def decode(self, ids, **options):
+            return MODEL.decode(ids, **options)
+
+    table.model = Counting()
+    for texts in (["the cat the dog", "cat the"], ["dog", None, "a cat"]):
+        ids, decoded = table.encode(pa.array(texts, pa.string()))
+        assert ids.to_pylist() == [MODEL.encode(t or "") for t in texts] and decoded.to_pylist() == [t or "" for t in texts]
+    assert sorted(asked) == ["a", "cat", "dog", "the"]
+    monkeypatch.setattr(pieces, "KEPT_CHUNKS", 3)
+    ids, _ = table.encode(pa.array(["the end"]))
+    assert ids.to_pylist() == [MODEL.encode("the end")] and len(table.place) == 2
