@@ -118,6 +118,14 @@ def stored(df: DataFrame, partition_by: str | None = None, **options: str) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a frame of ``stored`` whose successor is written. Nothing that is still read may come from it."""
+    spark = df.sparkSession
+    for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def files_folder(spark: SparkSession) -> str:
     """A new folder for files in the shared folder, as a URI that pyarrow's file systems open."""
     folder = shared_folder(spark)
@@ -205,8 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
             .where("a <> b")
             .distinct()
         )
-        edges = stored(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        before, edges = edges, stored(small)
+        discard(before)
+        # Equal sets of edges have equal sums of two 64-bit hashes; the sums are exact.
+        sums = [F.sum(F.xxhash64(F.lit(seed), "a", "b").cast("decimal(20,0)")) for seed in (0, 1)]
+        now = edges.agg(F.count(F.lit(1)), *sums).first()
         if now == mark:
             break
         mark = now
