@@ -5,7 +5,8 @@ hashed to a fixed number of rows of an embedding table. A text is the mean of it
 softmax over the mean gives the languages. Table and softmax are trained in numpy by stochastic gradient
 descent on a bounded sample of labelled texts (``sample_rows``, spread evenly over the languages). A part
 of the sample is kept aside to calibrate: a temperature for the probabilities, and the probability below
-which a text is rejected.
+which a text is rejected. For that, noise is made of each text kept aside: its letters shuffled, and its letters
+exchanged for those of another script.
 
 Prediction covers every whole text: as the model is linear in the mean, each row of the table is reduced
 to one score per language once, and each distinct word of a batch is scored once.
@@ -44,7 +45,7 @@ class Settings:
     rate: float = 1.0
     seed: int = 7
     most_lost: float = 0.002  # share of calibration texts that may be rejected
-    most_threshold: float = 0.5
+    least_caught: float = 0.95  # share of noise texts that the threshold is to be above, where most_lost allows it
 
 
 # -- features ------------------------------------------------------------------------------------
@@ -150,20 +151,46 @@ def _sgd(rows: list[np.ndarray], weights: list[np.ndarray], labels: np.ndarray,
     return table, softmax, bias
 
 
-def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
-    """The temperature with the least log loss, from a grid."""
-    grid = np.geomspace(0.05, 20, 121)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-300)).mean() for t in grid]
-    return float(grid[int(np.argmin(loss))])
+def _temperature(logits: np.ndarray, labels: np.ndarray, noise: np.ndarray) -> float:
+    """The temperature, from a grid, with the least log loss: of their labels for texts, of all languages alike for noise."""
+    grid = np.geomspace(0.05, 50, 141)
+
+    def loss(t: float) -> float:
+        clean = -np.log(np.maximum(_softmax(logits / t)[np.arange(len(labels)), labels], 1e-300)).mean()
+        return clean - (np.log(np.maximum(_softmax(noise / t), 1e-300)).mean() if len(noise) else 0.0)
+
+    return float(grid[int(np.argmin([loss(t) for t in grid]))])
+
+
+#: Letters of another script for a-z.
+_OTHER = str.maketrans({chr(97 + k): chr(0x561 + k) for k in range(26)})
+
+
+def _noise(text: str, seed: int) -> list[str]:
+    """The text in lower case with its letters shuffled, and in another script."""
+    chars = np.array(list(text.lower()))
+    letters = np.flatnonzero([c.isalpha() for c in chars.tolist()])
+    chars[letters] = chars[np.random.default_rng(seed).permutation(letters)]
+    return ["".join(chars.tolist()), text.lower().translate(_OTHER)]
+
+
+def _threshold(clean: np.ndarray, noise: np.ndarray, settings: Settings) -> float:
+    """From the ascending scores of clean texts and of noise: between the two, but never above what ``most_lost`` allows."""
+    most = float(clean[int(settings.most_lost * len(clean))])
+    if not len(noise):
+        return most
+    caught = float(noise[min(len(noise) - 1, int(settings.least_caught * len(noise)))])
+    return (caught + most) / 2 if caught < most else most
 
 
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on a sample of ``labelled`` (text, lang, order: a long spread evenly that picks the sample).
 
-    Rows with a null text or lang are left out. Without any row the model knows no language.
+    Rows with a null text or lang are left out. Without any row the model knows no language. Every value of
+    lang is learnt, from one text at least: with more than ``sample_rows`` values the sample has a text of each.
     """
     labelled = labelled.where("text is not null and lang is not null")
-    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy("lang").limit(settings.sample_rows).collect()
+    known = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy("lang").collect()
     languages = [row["lang"] for row in known]
     if not languages:
         return Model([], np.zeros((settings.buckets, 0)), np.zeros(0), 1.0, 0.0, settings)
@@ -174,31 +201,34 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
     few = labelled.join(limits, "lang").where((F.col("order") <= F.col("most")) | (F.col("most") > 2**62))
     sample = few.withColumn("nth", nth).where(F.col("nth") <= quota)
-    schema = "lang string, nth int, rows binary, weights binary"
+    schema = "lang string, nth int, noise boolean, rows binary, weights binary"
+    # By rank in the language, so that both parts hold all languages.
+    every = max(2, round(1 / settings.calibration_share))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                words = split_words(piece.column("text"), _BREAKS)
+                made = [(i, noise) for i, n in enumerate(piece.column("nth").to_pylist()) if n % every == 0 for noise in _noise(piece.column("text")[i].as_py(), settings.seed + n)]
+                at = pa.array([*range(piece.num_rows), *(i for i, _ in made)])
+                words = split_words(pa.concat_arrays([piece.column("text"), pa.array([t for _, t in made], piece.column("text").type)]), _BREAKS)
                 out = []
                 for low, high in zip(words.first.tolist(), words.first[1:].tolist()):
                     ends = words.offsets[low : high + 1]
                     _, row = subwords(words.data[ends[0] : ends[-1]], ends - ends[0], settings) if high > low else (None, np.zeros(0, np.int64))
                     met, count = np.unique(row, return_counts=True)
                     out.append((met.astype("<u4").tobytes(), (count / max(1, count.sum())).astype("<f4").tobytes()))
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("lang"), piece.column("nth"), pa.array([a for a, _ in out], pa.binary()), pa.array([b for _, b in out], pa.binary())],
-                    names=["lang", "nth", "rows", "weights"],
-                )
+                noisy = pa.array([i >= piece.num_rows for i in range(len(at))])
+                listed = [piece.column("lang").take(at), piece.column("nth").take(at), noisy, *(pa.array(c, pa.binary()) for c in zip(*out))]
+                yield pa.RecordBatch.from_arrays(listed, names=["lang", "nth", "noise", "rows", "weights"])
 
     got = sample.select("lang", "nth", "text").mapInArrow(features, schema).collect()
-    got = sorted((r for r in got if r["rows"]), key=lambda r: (r["nth"], r["lang"]))
+    got = sorted((r for r in got if r["rows"]), key=lambda r: (r["noise"], r["nth"], r["lang"]))
     place = {name: k for k, name in enumerate(languages)}
-    labels = np.array([place[r["lang"]] for r in got], dtype=np.int64)
     rows = [np.frombuffer(r["rows"], "<u4").astype(np.int64) for r in got]
     weights = [np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in got]
-    # By rank in the language, so that both parts hold all languages.
-    every = max(2, round(1 / settings.calibration_share))
+    noise = np.flatnonzero([r["noise"] for r in got])
+    got = [r for r in got if not r["noise"]]
+    labels = np.array([place[r["lang"]] for r in got], dtype=np.int64)
     aside = np.array([r["nth"] % every == 0 for r in got], dtype=bool)
     learn = np.flatnonzero(~aside)
     table, softmax, bias = _sgd([rows[i] for i in learn], [weights[i] for i in learn], labels[learn], len(languages), settings)
@@ -206,10 +236,11 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     check = np.flatnonzero(aside)
     temperature, threshold = 1.0, 0.0
     if len(check):
-        logits = np.stack([weights[i] @ scores[rows[i]] + bias for i in check])
-        temperature = _temperature(logits, labels[check])
-        sure = np.sort(_softmax(logits / temperature).max(axis=1))
-        threshold = min(settings.most_threshold, float(sure[int(settings.most_lost * len(sure))]))
+        logits = lambda at: np.array([weights[i] @ scores[rows[i]] + bias for i in at]).reshape(-1, len(languages))
+        clean, odd = logits(check), logits(noise)
+        temperature = _temperature(clean, labels[check], odd)
+        sure = lambda values: np.sort(_softmax(values / temperature).max(axis=1))
+        threshold = _threshold(sure(clean), sure(odd), settings)
     return Model(languages, scores, bias, temperature, threshold, settings)
 
 
