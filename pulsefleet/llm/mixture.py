@@ -29,7 +29,7 @@ NONE = "none"
 class Plan:
     """share: part of all tokens (per mille) that the budget is; weights: per level, value to weight (positive; else 1)."""
 
-    share: int = 600
+    share: int = 1000
     epochs: int = 4
     seed: int = 11
     weights: Mapping[str, Mapping[str, int]] = field(default_factory=dict)
