@@ -7,7 +7,7 @@ from itertools import permutations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulsefleet.llm import filter_audit, langid, licenses, mixture, permutation_index, phrase_index, pieces, sharding, simhash, token_files, urls, warc
+from pulsefleet.llm import conversation_trie, filter_audit, langid, licenses, mixture, permutation_index, phrase_index, pieces, sharding, simhash, token_files, urls, warc
 from pulsefleet.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -92,6 +92,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steps.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces.encoded(table(spark, sf_dir, "documents"), pieces_path())
     return rows.select(
@@ -116,6 +120,7 @@ QUERIES = {
         op9_licenses,
         op10_languages,
         op11_filter_audit,
+        op12_conversation_trie,
         op13_sentence_pieces,
     )
 }
@@ -326,6 +331,51 @@ FROM sums
 """
 
 
+#: CRC-32 of the decimal digits, a byte and a bit at a time.
+_CRC32 = """xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, x: list_reduce(list_concat([xor(a, x)], list_transform(range(8), lambda k: CAST(k AS BIGINT))),
+    lambda b, y: xor(b >> 1, CAST(3988292384 AS BIGINT) * (b & 1)))), CAST(4294967295 AS BIGINT))"""
+
+_CONVERSATION_TRIE = f"""
+WITH own AS (
+  SELECT conv_id AS conv, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), sizes AS (
+  SELECT conv, count(*) AS size FROM own GROUP BY conv
+), plans AS (
+  SELECT conv, base, h, least(h, coalesce(b.size, 0)) AS lent
+  FROM (SELECT conv, conv - conv % 5 AS base, {_CRC32.format("conv")} % 9 AS h FROM sizes) LEFT JOIN (SELECT conv AS base, size FROM sizes) b USING (base)
+), turns AS (
+  SELECT p.conv, o.nth AS depth, role, text FROM plans p JOIN own o ON o.conv = p.base AND o.nth <= p.h
+  UNION ALL
+  SELECT p.conv, o.nth - p.h + p.lent, role, text FROM plans p JOIN own o ON o.conv = p.conv AND o.nth > p.h
+), paths AS (
+  SELECT conv, coalesce(list(md5(md5(role) || md5(text)) ORDER BY depth) FILTER (depth IS NOT NULL), []) AS path,
+         coalesce(list(strlen(text) ORDER BY depth) FILTER (depth IS NOT NULL), []) AS bytes
+  FROM plans LEFT JOIN turns USING (conv) GROUP BY conv
+), prefixes AS (
+  SELECT conv, d, array_to_string(path[1:d], '') AS key, CASE WHEN d > 0 THEN array_to_string(path[1:d - 1], '') END AS parent,
+         CASE WHEN d > 0 THEN bytes[d] ELSE 0 END AS bytes, d = len(path) AS ends
+  FROM (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM paths)
+), nodes AS (
+  SELECT key, any_value(parent) AS parent, any_value(d) AS depth, min(conv) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+         sha256(coalesce(string_agg(CAST(conv AS VARCHAR), ',' ORDER BY conv) FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY key
+), children AS (
+  SELECT parent AS key, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT DISTINCT a.key AS top, b.key AS key FROM prefixes a JOIN prefixes b ON a.conv = b.conv AND a.d <= b.d
+), sums AS (
+  SELECT top AS key, count(*) FILTER (n_children IS NULL) AS n_leaves, sum((n_convs - 1) * bytes) AS saved_tokens
+  FROM subtrees JOIN nodes USING (key) LEFT JOIN children USING (key) GROUP BY top
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+       CAST(saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON n.parent = p.key LEFT JOIN children c ON c.key = n.key JOIN sums s ON s.key = n.key
+"""
+
+
 ORACLES = {
     "op1_archives": _ARCHIVES,
     "op4_contamination": _CONTAMINATION,
@@ -333,4 +383,5 @@ ORACLES = {
     "op7_mixture": _mixture_sql(MIXTURE),
     "op9_licenses": _licenses_sql(),
     "op11_filter_audit": _filter_audit_sql(),
+    "op12_conversation_trie": _CONVERSATION_TRIE,
 }
