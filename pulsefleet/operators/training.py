@@ -86,3 +86,10 @@ def save_model(model: PipelineModel, path: str, spark: SparkSession, baseline: M
 def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, dict]:
     meta = spark.read.text(f"{path}/meta").first()
     return PipelineModel.load(f"{path}/model"), json.loads(meta["value"]) if meta else {}
+
+
+def model_version(path: str, spark: SparkSession) -> str:
+    """Changes whenever ``save_model`` has written to ``path``: the metadata is the last that it writes."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/meta")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return ",".join(sorted(f"{f.getPath().getName()}:{f.getModificationTime()}" for f in files))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
@@ -22,6 +20,7 @@ from pulsefleet.plans.views import as_telemetry, table, telemetry, with_telemetr
 from pulsefleet.session import shared_folder
 from pulsefleet.sources.files import window_values
 from pulsefleet.sources.sinks import read_keyed
+from pulsefleet.streaming import event_order as E
 from pulsefleet.streaming import stream as K
 
 # -- the training chain: medians, windows, split, forest, report, readiness, stored model -----------
@@ -170,6 +169,23 @@ def _events(spark, folder, files: int = 1, order: str = "event_id"):
     return K.file_stream(spark, base, stored.schema, files_per_batch=1)
 
 
+#: How far apart in event time the files of a history may be delivered: as long as any history here.
+DISORDER = "366 days"
+
+
+def _scattered(spark, folder):
+    """The events as a stream of files in any order, a batch each, and a last row without device behind them.
+
+    The last row's time lets the watermark pass all rows, as a heartbeat does on a running stream.
+    """
+    stored = table(spark, folder, "events")
+    base = shared_folder(spark)
+    stored.repartition(5, "event_id").write.parquet(base)
+    end = stored.agg((F.max("ts") + F.expr(f"interval {DISORDER}") + F.expr("interval 1 hour")).alias("ts"))
+    end.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "ts" else F.col("ts").cast(f.dataType) for f in stored.schema]).write.mode("append").parquet(base)
+    return K.file_stream(spark, base, stored.schema, files_per_batch=1)
+
+
 def _telemetry_stream(spark, folder, **cut):
     return as_telemetry(_events(spark, folder, **cut))
 
@@ -228,10 +244,11 @@ def k3_late_rows(spark, folder):
     stored = table(spark, folder, "events")
     base = shared_folder(spark)
     late = F.col("event_id") % 10 == 0
-    for part in (stored.where(~late), stored.where(late)):
-        part.coalesce(1).write.mode("append").parquet(base)
-        time.sleep(1.1)  # file times apart keep the order of the batches
-    tel = as_telemetry(K.file_stream(spark, base, stored.schema, files_per_batch=1))
+    # The first batch is the files of the first write; the second write begins when they are there.
+    stored.where(~late).write.mode("append").parquet(base)
+    files = len(spark.read.parquet(base).inputFiles())
+    stored.where(late).write.mode("append").parquet(base)
+    tel = as_telemetry(K.file_stream(spark, base, stored.schema, files_per_batch=files))
     rows = _drain(spark, K.stateful_fold(tel, KEY, ORDER, K.rolling_mean_kernel(["cpu"]), "cpu_mean double"))
     on_time = F.when(~F.col("late") & (F.col("seq") % 10 != 0), F.col("cpu_mean"))
     return rows.groupBy("device_id").agg(
@@ -288,10 +305,10 @@ def _stream_scores(spark, folder):
     """The windows of a stream cut into batches, scored by the stored model."""
     path, _ = _trained(spark, folder)
     base = shared_folder(spark)
-    windows = K.windowed(_telemetry_stream(spark, folder, files=5, order="ts"), KEY, ORDER)
+    windows = E.windowed(as_telemetry(_scattered(spark, folder)), KEY, ORDER, DISORDER)
     # Windows are stored between state and scoring: both are streams of their own.
-    K.store_rows(windows, f"{base}/windows", f"{base}/state").awaitTermination()
-    packets = K.file_stream(spark, f"{base}/windows", windows.schema, files_per_batch=2)
+    E.store_in_order(windows, f"{base}/windows", f"{base}/state").awaitTermination()
+    packets = K.file_stream(spark, f"{base}/windows", windows.schema, files_per_batch=20).where("not late")
 
     def features(batch, meta):
         columns = W.feature_columns(window_values(), baseline=meta["baseline"])

@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 
 from pulsefleet.operators import training
 from pulsefleet.operators.sequential import Kernel, Rows, output_names
-from pulsefleet.operators.windows import SERIES, WINDOW
+from pulsefleet.operators.windows import WINDOW
 from pulsefleet.sources.sinks import SNAPSHOT_KEYS, flatten_snapshots, write_batch
 
 
@@ -190,17 +190,6 @@ def window_kernel(columns: Sequence[str], size: int = WINDOW) -> Kernel:
     return kernel
 
 
-def windowed(stream: DataFrame, keys: Sequence[str], order: Sequence[str], series: Sequence[str] = SERIES) -> DataFrame:
-    """Each row that ends a full window, with ``values`` (per series the window, oldest first).
-
-    The last rows of a key are kept as state, so the windows do not depend on how rows fall into batches.
-    """
-    outputs = ", ".join(f"{c}_window array<double>" for c in series)
-    folded = stateful_fold(stream, keys, order, window_kernel(series), outputs)
-    values = F.struct(*[F.col(f"{c}_window").alias(c) for c in series])
-    return folded.where(~F.col("late") & F.col(f"{series[0]}_window").isNotNull()).select(*keys, *order, values.alias("values"))
-
-
 # -- scoring --------------------------------------------------------------------------------
 
 
@@ -212,15 +201,21 @@ def score_stream(
     checkpoint: str,
     seconds: float | None = 1.0,
 ) -> StreamingQuery:
-    """Score windows batch by batch; the model and its metadata are read anew for every batch.
+    """Score windows batch by batch; the model and its metadata are read anew when they were written anew.
 
-    Every row of ``stream`` is a whole window (a packet of ``files.window_rows``, or a row of ``windowed``),
+    Every row of ``stream`` is a whole window (a packet of ``files.window_rows``, or a row of ``event_order.windowed``),
     so no score depends on other rows of the batch. ``features`` turns a batch and the metadata (baseline,
     thresholds) into feature columns.
     """
 
+    kept: dict[str, tuple] = {}
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        model, meta = training.load_model(model_path, batch.sparkSession)
+        version = training.model_version(model_path, batch.sparkSession)
+        if version not in kept:
+            kept.clear()
+            kept[version] = training.load_model(model_path, batch.sparkSession)
+        model, meta = kept[version]
         scored = training.score(features(batch, meta), model)
         scored.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
 

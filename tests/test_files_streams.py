@@ -8,6 +8,7 @@ from pulsefleet.functions import scoring as S
 from pulsefleet.operators import sequential as Q
 from pulsefleet.operators import windows as W
 from pulsefleet.sources import files, sinks
+from pulsefleet.streaming import event_order as E
 from pulsefleet.streaming import stream as K
 
 
@@ -157,12 +158,14 @@ def test_later_batches_replace_rows_of_a_key(spark, tmp_path):
 
 
 def test_windows_do_not_depend_on_batches(spark, tmp_path):
-    """16 samples of a device in batches of five give the nine windows of the whole."""
+    """16 samples of a device in batches of five, delivered from the last to the first, give the nine windows of the whole."""
     folder = str(tmp_path / "in")
     rows = [("a", t, float(t * t % 11)) for t in range(16)]
-    for low in range(0, 16, 5):
+    for low in reversed(range(0, 16, 5)):
         put(spark, folder, rows[low : low + 5])
+    put(spark, folder, [(None, 10**12, 0.0)])
     source = K.file_stream(spark, folder, spark.read.parquet(folder).schema, files_per_batch=1)
-    K.store_rows(K.windowed(source, ["device_id"], ["t"], ["v"]), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    got = {r["t"]: r["values"]["v"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    windows = E.windowed(source, ["device_id"], ["t"], "1 hour", ["v"])
+    E.store_in_order(windows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {r["t"]: r["values"]["v"] for r in spark.read.parquet(str(tmp_path / "out")).where("not late").collect()}
     assert got == {t: [rows[k][2] for k in range(t - 7, t + 1)] for t in range(7, 16)}
