@@ -5,7 +5,7 @@ hashed to a fixed number of rows of an embedding table. A text is the mean of it
 softmax over the mean gives the languages. Table and softmax are trained in numpy by stochastic gradient
 descent on a bounded sample of labelled texts (``sample_rows``, spread evenly over the languages). A part
 of the sample is kept aside to calibrate: a temperature for the probabilities, and the probability below
-which a text is rejected. For that, noise is made of each text kept aside: its letters shuffled, and its letters
+which a text is rejected. For that, noise is made of each text kept aside: its letters shuffled, or its letters
 exchanged for those of another script.
 
 Prediction covers every whole text: as the model is linear in the mean, each row of the table is reduced
@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -208,7 +209,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, "text"):
-                made = [(i, noise) for i, n in enumerate(piece.column("nth").to_pylist()) if n % every == 0 for noise in _noise(piece.column("text")[i].as_py(), settings.seed + n)]
+                made = [(i, _noise(piece.column("text")[i].as_py(), settings.seed + n)[n // every % 2]) for i, n in enumerate(piece.column("nth").to_pylist()) if n % every == 0]
                 at = pa.array([*range(piece.num_rows), *(i for i, _ in made)])
                 words = split_words(pa.concat_arrays([piece.column("text"), pa.array([t for _, t in made], piece.column("text").type)]), _BREAKS)
                 out = []
@@ -221,15 +222,16 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
                 listed = [piece.column("lang").take(at), piece.column("nth").take(at), noisy, *(pa.array(c, pa.binary()) for c in zip(*out))]
                 yield pa.RecordBatch.from_arrays(listed, names=["lang", "nth", "noise", "rows", "weights"])
 
-    got = sample.select("lang", "nth", "text").mapInArrow(features, schema).collect()
-    got = sorted((r for r in got if r["rows"]), key=lambda r: (r["noise"], r["nth"], r["lang"]))
+    got = sample.select("lang", "nth", "text").mapInArrow(features, schema).toArrow()
+    got = got.filter(pc.greater(pc.binary_length(got.column("rows")), 0)).sort_by([("noise", "ascending"), ("nth", "ascending"), ("lang", "ascending")])
     place = {name: k for k, name in enumerate(languages)}
-    rows = [np.frombuffer(r["rows"], "<u4").astype(np.int64) for r in got]
-    weights = [np.frombuffer(r["weights"], "<f4").astype(np.float64) for r in got]
-    noise = np.flatnonzero([r["noise"] for r in got])
-    got = [r for r in got if not r["noise"]]
-    labels = np.array([place[r["lang"]] for r in got], dtype=np.int64)
-    aside = np.array([r["nth"] % every == 0 for r in got], dtype=bool)
+    # Views of the collected bytes: the sample is in the driver's memory once.
+    rows = [np.frombuffer(v.as_buffer(), "<u4") for v in got.column("rows")]
+    weights = [np.frombuffer(v.as_buffer(), "<f4") for v in got.column("weights")]
+    noisy = got.column("noise").to_numpy()
+    noise, clean_rows = np.flatnonzero(noisy), int((~noisy).sum())
+    labels = np.array([place[name] for name in got.column("lang").to_pylist()[:clean_rows]], dtype=np.int64)
+    aside = got.column("nth").to_numpy()[:clean_rows] % every == 0
     learn = np.flatnonzero(~aside)
     table, softmax, bias = _sgd([rows[i] for i in learn], [weights[i] for i in learn], labels[learn], len(languages), settings)
     scores = table @ softmax
