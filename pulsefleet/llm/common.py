@@ -126,6 +126,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files and broadcasts of frames that are gone.
+
+    Its cleaner waits for the driver's collector, which a job of many rounds may not meet for long.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def files_folder(spark: SparkSession) -> str:
     """A new folder for files in the shared folder, as a URI that pyarrow's file systems open."""
     folder = shared_folder(spark)
@@ -221,6 +229,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == mark:
             break
         mark = now
+    release(spark)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulsefleet.llm.common import Words, packed, slices, split_words, stored
+from pulsefleet.llm.common import Words, packed, release, slices, split_words, stored
 from pulsefleet.llm.tokenizer import ragged
 
 UNKNOWN = "und"
@@ -163,12 +163,16 @@ def _temperature(logits: np.ndarray, labels: np.ndarray, noise: np.ndarray) -> f
     return float(grid[int(np.argmin([loss(t) for t in grid]))])
 
 
+#: Characters of a noise text; shuffled letters have a new feature with nearly every one.
+NOISE = 1000
+
 #: Letters of another script for a-z.
 _OTHER = str.maketrans({chr(97 + k): chr(0x561 + k) for k in range(26)})
 
 
 def _noise(text: str, seed: int) -> list[str]:
-    """The text in lower case with its letters shuffled, and in another script."""
+    """The text's first NOISE characters in lower case with their letters shuffled, and in another script."""
+    text = text[:NOISE]
     chars = np.array(list(text.lower()))
     letters = np.flatnonzero([c.isalpha() for c in chars.tolist()])
     chars[letters] = chars[np.random.default_rng(seed).permutation(letters)]
@@ -223,15 +227,18 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
                 yield pa.RecordBatch.from_arrays(listed, names=["lang", "nth", "noise", "rows", "weights"])
 
     got = sample.select("lang", "nth", "text").mapInArrow(features, schema).toArrow()
-    got = got.filter(pc.greater(pc.binary_length(got.column("rows")), 0)).sort_by([("noise", "ascending"), ("nth", "ascending"), ("lang", "ascending")])
+    order = pc.sort_indices(got.select(["noise", "nth", "lang"]), [("noise", "ascending"), ("nth", "ascending"), ("lang", "ascending")]).to_pylist()
+    features_of, weights_of = got.column("rows"), got.column("weights")
+    order = [i for i in order if len(features_of[i].as_buffer())]
+    heads = got.select(["noise", "nth", "lang"]).take(order)
     place = {name: k for k, name in enumerate(languages)}
     # Views of the collected bytes: the sample is in the driver's memory once.
-    rows = [np.frombuffer(v.as_buffer(), "<u4") for v in got.column("rows")]
-    weights = [np.frombuffer(v.as_buffer(), "<f4") for v in got.column("weights")]
-    noisy = got.column("noise").to_numpy()
+    rows = [np.frombuffer(features_of[i].as_buffer(), "<u4") for i in order]
+    weights = [np.frombuffer(weights_of[i].as_buffer(), "<f4") for i in order]
+    noisy = heads.column("noise").to_numpy()
     noise, clean_rows = np.flatnonzero(noisy), int((~noisy).sum())
-    labels = np.array([place[name] for name in got.column("lang").to_pylist()[:clean_rows]], dtype=np.int64)
-    aside = got.column("nth").to_numpy()[:clean_rows] % every == 0
+    labels = np.array([place[name] for name in heads.column("lang").to_pylist()[:clean_rows]], dtype=np.int64)
+    aside = heads.column("nth").to_numpy()[:clean_rows] % every == 0
     learn = np.flatnonzero(~aside)
     table, softmax, bias = _sgd([rows[i] for i in learn], [weights[i] for i in learn], labels[learn], len(languages), settings)
     scores = table @ softmax
@@ -243,6 +250,9 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
         temperature = _temperature(clean, labels[check], odd)
         sure = lambda values: np.sort(_softmax(values / temperature).max(axis=1))
         threshold = _threshold(sure(clean), sure(odd), settings)
+    del got, features_of, weights_of, rows, weights
+    pa.default_memory_pool().release_unused()
+    release(labelled.sparkSession)
     return Model(languages, scores, bias, temperature, threshold, settings)
 
 
