@@ -78,9 +78,13 @@ def replace_children(children: DataFrame, delta: DataFrame, parent: Sequence[str
     return children.join(touched, list(parent), "left_anti").unionByName(delta)
 
 
-def update_where_present(base: DataFrame, delta: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Overwrite columns of existing rows; delta rows without a base row are ignored."""
-    new = delta.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
+def update_where_present(base: DataFrame, delta: DataFrame, keys: Sequence[str], columns: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Overwrite columns of existing rows; delta rows without a base row are ignored.
+
+    Of several delta rows of a key the last by ``order`` counts, then the one with the largest values.
+    """
+    new = latest_by_key(delta.select(*dict.fromkeys([*keys, *order, *columns])), keys, [*order, *columns])
+    new = new.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns], F.lit(True).alias("__hit"))
     joined = base.join(new, list(keys), "left")
     picked = [
         F.when(F.col("__hit"), F.col(f"__new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
 from pulsefleet.operators import sequential as Q
+from pulsefleet.operators import tables
 from pulsefleet.operators import windows as W
 from pulsefleet.sources import files, sinks
 from pulsefleet.streaming import event_order as E
@@ -169,3 +170,11 @@ def test_windows_do_not_depend_on_batches(spark, tmp_path):
     E.store_in_order(windows, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r["t"]: r["values"]["v"] for r in spark.read.parquet(str(tmp_path / "out")).where("not late").collect()}
     assert got == {t: [rows[k][2] for k in range(t - 7, t + 1)] for t in range(7, 16)}
+
+
+def test_update_of_present_rows_takes_the_last_delta_row_of_a_key(spark):
+    base = spark.createDataFrame([(1, "a", 0), (1, "b", 0), (2, "c", 0), (None, "d", 0)], "id long, name string, status int")
+    delta = spark.createDataFrame([(1, 5, 2), (1, 7, 1), (1, 7, 1), (3, 9, 1), (None, 9, 1)], "id long, status int, at int")
+    got = lambda order: sorted((r.name, r.status) for r in tables.update_where_present(base, delta, ["id"], ["status"], order).collect())
+    assert got(["at"]) == [("a", 5), ("b", 5), ("c", 0), ("d", 0)]
+    assert got([]) == [("a", 7), ("b", 7), ("c", 0), ("d", 0)]
