@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pulsefleet.functions import scoring as S
 from pulsefleet.operators.quality import BASELINE_VARIANT, RUN_TYPES, SCENARIOS, SUBJECT_VARIANT, VARIANTS
 from pulsefleet.operators.ranking import exact_quantiles
+from pulsefleet.session import RowBudget, checkpointed
 
 GROUP = ["device_id", "scenario", "run_type", "metric"]
 QUANTILES = {"median": 0.50, "p95": 0.95, "p99": 0.99}
@@ -55,6 +56,17 @@ def pair_runs(p95: DataFrame, groups: Sequence[str] = GROUP, baseline: str = BAS
     return other.join(base, [*groups, "iteration"])
 
 
+def resample_counts(lengths: DataFrame, seed: int, replicates: int = REPLICATES) -> DataFrame:
+    """How often each replicate draws each number, per pair count: __n, rep, __i, __times. lengths has one column, __n."""
+    slots = lengths.select("__n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__n") - 1)).alias("__slot"))
+    draws = slots.repartition("__n", "__slot").select(
+        "__n", "__slot", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    )
+    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep"), F.col("__slot"))
+    picked = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("__n")
+    return draws.groupBy("__n", "rep", picked.cast("int").alias("__i")).agg(F.count(F.lit(1)).alias("__times"))
+
+
 def bootstrap_interval(
     pairs: DataFrame,
     groups: Sequence[str],
@@ -65,30 +77,29 @@ def bootstrap_interval(
     """95 % interval of the relative improvement over resampled pair keys.
 
     Draw (replicate, slot) takes the pair whose number is a hash of seed, replicate and slot modulo
-    the pair count, so any engine reproduces it. Draws are joined to pairs on (group, number), which
-    spreads a large group over its pairs, and averaged with map-side combining.
+    the pair count, so any engine reproduces it. Groups of one pair count draw the same numbers: how
+    often a replicate takes a number is counted once per distinct count and joined to the pairs as a
+    weight. Up to the row budget these counts are sent to the pairs, which are dealt by group once and
+    averaged in place; larger ones meet the pairs by shuffle, with map-side combining.
     """
     groups = list(groups)
     w = Window.partitionBy(*groups)
-    numbered = pairs.withColumns(
-        {"__i": F.row_number().over(w.orderBy("iteration")) - 1, "__n": F.count(F.lit(1)).over(w)}
-    ).withColumn("__direction", direction)
-    draws = numbered.select(
-        *groups, "__n", F.col("__i").alias("__slot"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep")
+    numbered = checkpointed(
+        pairs.withColumns({"__i": F.row_number().over(w.orderBy("iteration")) - 1, "__n": F.count(F.lit(1)).over(w)})
+        .withColumn("__lower", F.coalesce(direction == "lower", F.lit(False)))
+        .select(*groups, "__n", "__i", "__lower", "baseline_p95", "candidate_p95")
     )
-    text = F.concat_ws(":", F.lit(str(seed)), F.col("rep"), F.col("__slot"))
-    picked = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") % F.col("__n")
-    draws = draws.select(*groups, "rep", picked.cast("int").alias("__i"))
+    weights = resample_counts(numbered.select("__n").distinct(), seed, replicates)
+    slots = numbered.select("__n").distinct().agg(F.sum("__n")).first()[0] or 0
+    if slots * replicates <= RowBudget.of(pairs.sparkSession).broadcast_rows:
+        weights, numbered = F.broadcast(weights), numbered.repartition(*groups)
+    weighted = lambda c: (F.sum(F.col("__times") * F.col(c)) / F.first("__n")).alias(c[0])
     means = (
-        draws.join(numbered.select(*groups, "__i", "__direction", "baseline_p95", "candidate_p95"), [*groups, "__i"])
+        numbered.join(weights, ["__n", "__i"])
         .groupBy(*groups, "rep")
-        .agg(
-            F.avg("baseline_p95").alias("b"),
-            F.avg("candidate_p95").alias("c"),
-            F.first("__direction").alias("__direction"),
-        )
+        .agg(weighted("baseline_p95"), weighted("candidate_p95"), F.first("__lower").alias("__lower"))
     )
-    gain = S.relative_improvement("b", "c", "__direction")
+    gain = S.relative_improvement("b", "c", F.when(F.col("__lower"), "lower").otherwise("higher"))
     # Exactly `replicates` values per group, so the built-in percentile is bounded.
     return means.groupBy(*groups).agg(F.percentile(gain, F.array(F.lit(0.025), F.lit(0.975))).alias("ci")).select(
         *groups, F.get("ci", 0).alias("ci_low"), F.get("ci", 1).alias("ci_high")

@@ -237,9 +237,16 @@ _FAMILY = """fam AS (SELECT device_id, tick, fpid AS node FROM itn WHERE fpid <>
   SELECT p.device_id, p.tick, p.pid FROM fam JOIN proc p ON p.device_id = fam.device_id AND p.tick = fam.tick AND p.parent_pid = fam.node)"""
 
 
+#: The family by session and table folder: the queries of a session share one search.
+_FAMILIES: dict[tuple[str, str], DataFrame] = {}
+
+
 def family(spark, folder):
-    edges = processes(spark, folder).select(*TICK, "parent_pid", "pid").distinct()
-    return N.foreground_family(edges, intents(spark, folder), TICK)
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _FAMILIES:
+        edges = processes(spark, folder).select(*TICK, "parent_pid", "pid").distinct()
+        _FAMILIES[key] = N.foreground_family(edges, intents(spark, folder), TICK)
+    return _FAMILIES[key]
 
 
 @query("i1_foreground_family", process_sql("SELECT tick, count(*) AS members FROM fam GROUP BY tick", _FAMILY, recursive=True))

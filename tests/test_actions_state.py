@@ -115,6 +115,48 @@ def test_descendants_stop_on_cycles(spark):
     assert {r["node"] for r in N.descendants(edges, roots, ["tick"]).collect()} == {1, 2, 3}
 
 
+def test_family_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
+    """A chain of 10,000 processes settles in rounds that double, with the distance of every member."""
+    rounds = []
+    written = N.checkpointed
+    monkeypatch.setattr(N, "checkpointed", lambda df: rounds.append(1) or written(df))
+    edges = spark.range(1, 10_000).selectExpr("1 AS tick", "id AS parent_pid", "id + 1 AS pid")
+    roots = spark.createDataFrame([(1, 1)], "tick int, node long")
+    got = N.descendants(edges, roots, ["tick"]).selectExpr("count(*) AS n", "count_if(depth = node - 1) AS right").first()
+    assert (got["n"], got["right"]) == (10_000, 10_000)
+    assert len(rounds) <= 3 + 15
+
+
+@pytest.mark.parametrize("several", [False, True])
+def test_descendants_equal_a_search_per_tick(spark, several):
+    """Random forests with cycles, several roots above each other, self-loops, absent roots and repeated edges."""
+    rng = np.random.default_rng(5)
+    edges, roots, want = [], [], {}
+    for tick in range(12):
+        up = {(int(rng.integers(0, 40)), n) for n in range(40) if rng.random() < 0.95}
+        if several:
+            up |= {(int(rng.integers(0, 40)), n) for n in range(40) if rng.random() < 0.2}
+        start = {int(x) for x in rng.integers(0, 45, 3 if tick else 0)}
+        edges += [(tick, a, b) for a, b in up] * 2
+        roots += [(tick, x) for x in start]
+        depth, newest, d = dict.fromkeys(start, 0), start, 0
+        while newest:
+            d += 1
+            newest = {b for a, b in up if a in newest and b not in depth}
+            depth |= dict.fromkeys(newest, d)
+        want |= {(tick, n): d for n, d in depth.items()}
+    got = N.descendants(
+        spark.createDataFrame(edges, "tick int, parent_pid long, pid long"), spark.createDataFrame(roots, "tick int, node long"), ["tick"]
+    ).collect()
+    assert {(r["tick"], r["node"]): r["depth"] for r in got} == want and len(got) == len(want)
+
+
+def test_descendants_of_empty_tables(spark):
+    edges = spark.createDataFrame([], "tick int, parent_pid long, pid long")
+    roots = spark.createDataFrame([], "tick int, node long")
+    assert N.descendants(edges, roots, ["tick"]).count() == 0
+
+
 def sampled(spark, rows, **settings):
     names = ("elevated", "severe", "foreground_changed", "invalid", "safety", "within_budget", "collector_failed")
     data = [("d", t, *[bool(flags.get(n, n == "within_budget")) for n in names]) for t, flags in rows]

@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -11,7 +12,7 @@ from pulsefleet.operators import benchstats as B
 from pulsefleet.operators import calibration as C
 from pulsefleet.operators import evaluation as V
 from pulsefleet.operators import ranking as R
-from pulsefleet.session import SEGMENT_ROWS
+from pulsefleet.session import BROADCAST_ROWS, SEGMENT_ROWS
 
 
 def pairs(spark, ys, ps):
@@ -215,3 +216,44 @@ def test_wilson_and_improvement(spark):
         S.relative_improvement(F.lit(10.0), F.lit(15.0), F.lit("higher")).alias("h"),
     ).first()
     assert (row["w"], row["z"], row["h"]) == (0.0, 0.0, 0.5)
+
+
+@pytest.mark.parametrize("budget", [1_000_000, 10])
+def test_bootstrap_by_counts_equals_drawing_one_by_one(spark, budget):
+    """Groups of several sizes, two of them equal; counts sent to the pairs, and met by shuffle."""
+    rng = random.Random(8)
+    sizes = {"a": 12, "b": 12, "c": 1, "d": 30}
+    rows = [(g, 3 * i, rng.uniform(50, 90), rng.uniform(20, 80)) for g, n in sizes.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, iteration int, baseline_p95 double, candidate_p95 double")
+    spark.conf.set(BROADCAST_ROWS, str(budget))
+    try:
+        out = B.bootstrap_interval(df, ["g"], F.lit("lower"), 7, 200)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r["g"]: (r["ci_low"], r["ci_high"]) for r in out.collect()}
+    finally:
+        spark.conf.unset(BROADCAST_ROWS)
+    assert ("BroadcastHashJoin" in plan) == (budget > 10)
+    for g, n in sizes.items():
+        own, gains = [r for r in rows if r[0] == g], []
+        for rep in range(200):
+            at = [int(hashlib.md5(f"7:{rep}:{slot}".encode()).hexdigest()[:8], 16) % n for slot in range(n)]
+            b, c = sum(own[i][2] for i in at) / n, sum(own[i][3] for i in at) / n
+            gains.append((b - c) / b)
+        assert got[g] == pytest.approx(tuple(np.quantile(gains, [0.025, 0.975])), abs=1e-9)
+
+
+def test_bootstrap_keeps_the_pairs_where_they_are(spark):
+    """The pairs themselves are dealt by group once; rows per replicate are never shuffled."""
+    rows = [(f"g{i % 50}", i // 50, 50.0 + i % 7, 40.0 + i % 5) for i in range(600)]
+    df = spark.createDataFrame(rows, "g string, iteration int, baseline_p95 double, candidate_p95 double")
+    out = B.bootstrap_interval(df, ["g"], F.lit("lower"), 7, 20)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning(g#" in line]
+    assert len(shuffled) == 1 and "REPARTITION_BY_COL" in shuffled[0] and "SortAggregate" not in plan
+    assert "hashpartitioning(g#" not in plan.replace(shuffled[0], "")
+    assert out.count() == 50
+
+
+def test_bootstrap_of_no_pairs(spark):
+    df = spark.createDataFrame([], "g string, iteration int, baseline_p95 double, candidate_p95 double")
+    assert B.bootstrap_interval(df, ["g"], F.lit("lower"), 7, 20).count() == 0
