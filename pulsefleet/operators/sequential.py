@@ -5,7 +5,8 @@ accepted, and a baseline's learning rate on the deviation it just computed. ``fo
 key, sorts inside the partitions, and streams each partition through one small kernel, so memory is
 an Arrow batch and a state, never a group. A key above the row budget would still be one long task;
 it is cut in consecutive segments that are folded one after the other with the state carried
-between them, and the segments of all heavy keys advance together.
+between them, and the segments of all heavy keys advance together. A cooldown alone needs no fold there: what
+follows an accepted time depends on that time only, so pointers between times settle it in parallel.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
 from pulsefleet.operators.ordered import HEAVY, SEG, Ordered
-from pulsefleet.session import shared_folder
+from pulsefleet.session import checkpointed, shared_folder
 
 # (column -> values of consecutive rows of one key, state or None) -> (output columns, new state).
 # A state is JSON-compatible.
@@ -39,15 +40,26 @@ def fold(
 ) -> DataFrame:
     """Rows (keys, order, keep) with the kernel's output columns, given as a DDL string."""
     keys, order = list(keys), list(order)
-    kept = keys + order + [c for c in keep if c not in keys + order]
-    schema = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + outputs
     seq = Ordered(df, keys, order)
     if not seq.split:
-        return _streamed(df, keys, order, kept, kernel, schema, outputs)
+        return fold_ordinary(df, keys, order, kernel, outputs, keep)
+    kept, schema = _returned(df, keys, order, outputs, keep)
     light = _streamed(seq.df.where(~F.col(HEAVY)).select(*df.columns), keys, order, kept, kernel, schema, outputs)
     return light.unionByName(_fold_heavy(seq, df, keys, order, kept, kernel, schema, outputs))
 
 
+def fold_ordinary(df: DataFrame, keys: Sequence[str], order: Sequence[str], kernel: Kernel, outputs: str, keep: Sequence[str] = ()) -> DataFrame:
+    """``fold`` of keys that are known to be within the row budget."""
+    kept, schema = _returned(df, keys, order, outputs, keep)
+    return _streamed(df, keys, order, kept, kernel, schema, outputs)
+
+
+def _returned(df: DataFrame, keys: Sequence[str], order: Sequence[str], outputs: str, keep: Sequence[str]) -> tuple[list[str], str]:
+    """Columns of df that a fold returns, and the schema of its result."""
+    kept = [*keys, *order, *[c for c in keep if c not in [*keys, *order]]]
+    return kept, ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in kept) + ", " + outputs
+
+
 def output_names(ddl: str) -> list[str]:
     return [part.strip().split()[0] for part in ddl.split(", ")]
 
@@ -223,8 +235,56 @@ def cooldown_kernel(clock: str, seconds: float, units: float) -> Kernel:
 
 
 def cooldown(df: DataFrame, keys, order, seconds: float = 300.0, units: float = 1e6) -> DataFrame:
-    """Cooldown per key, normally (device, action, target)."""
-    return fold(df, keys, order, cooldown_kernel(order[0], seconds, units), "accepted boolean, remaining_seconds double")
+    """Cooldown per key, normally (device, action, target): rows (keys, order) with ``accepted`` and ``remaining_seconds``.
+
+    Ordinary keys are folded. Keys above the row budget are settled by pointers, all their rows in parallel.
+    """
+    outputs = "accepted boolean, remaining_seconds double"
+    keys, order = list(keys), list(order)
+    seq = Ordered(df.select(*keys, *order), keys, order)
+    light = seq.df.where(~F.col(HEAVY)).select(*keys, *order) if seq.split else seq.df
+    folded = fold_ordinary(light, keys, order, cooldown_kernel(order[0], seconds, units), outputs)
+    if not seq.split:
+        return folded
+    return folded.unionByName(_cooldown_by_pointers(seq.df.where(HEAVY).select(*keys, *order), keys, order, seconds, units))
+
+
+def _cooldown_by_pointers(rows: DataFrame, keys: list[str], order: list[str], seconds: float, units: float) -> DataFrame:
+    """Cooldown of keys that no single task should hold.
+
+    The time accepted after t is the first one at t plus the cooldown or later, whatever came before: a pointer per
+    distinct time. From the first time of a key, the accepted ones are its chain of pointers. Each round
+    follows pointers of doubled reach from all accepted times, so the rounds grow with the logarithm of their number.
+    """
+    clock, wait = order[0], seconds * units
+    if wait <= 0:
+        return rows.select(*keys, *order, F.lit(True).alias("accepted"), F.lit(0.0).alias("remaining_seconds"))
+    wait = int(wait) if wait == int(wait) else wait
+    times = checkpointed(rows.select(*keys, F.col(clock).alias("__t")).distinct())
+    none = F.lit(None).cast(times.schema["__t"].dataType)
+    # Backwards in time, a question for t + cooldown comes after the times it may find; the last one met is the answer.
+    found = times.select(*keys, (-F.col("__t")).alias("__at"), F.lit(0).alias("__asks"), F.col("__t").alias("__met"), none.alias("__t"))
+    asked = times.select(*keys, (-(F.col("__t") + F.lit(wait))).alias("__at"), F.lit(1).alias("__asks"), none.alias("__met"), "__t")
+    backwards = Ordered(found.unionByName(asked), keys, ["__at", "__asks"]).cumulate({"__next": ("last", F.col("__met"))})
+    reach = checkpointed(backwards.df.where("__asks = 1 AND __next IS NOT NULL").select(*keys, "__t", "__next"))
+    accepted = checkpointed(times.groupBy(*keys).agg(F.min("__t").alias("__t")))
+    new = accepted
+    while True:
+        new = checkpointed(accepted.join(reach, [*keys, "__t"]).select(*keys, F.col("__next").alias("__t")))
+        if new.isEmpty():
+            break
+        accepted = accepted.unionByName(new)
+        beyond = reach.select(*keys, F.col("__t").alias("__next"), F.col("__next").alias("__beyond"))
+        reach = checkpointed(reach.join(beyond, [*keys, "__next"]).select(*keys, "__t", F.col("__beyond").alias("__next")))
+    marked = rows.join(accepted.select(*keys, F.col("__t").alias(clock), F.lit(True).alias("__marked")), [*keys, clock], "left")
+    seq = Ordered(marked, keys, order, before=1)
+    earlier = F.lag(clock).over(seq.window)
+    seq.with_columns({"__first": earlier.isNull() | (earlier != F.col(clock))})
+    seq.cumulate({"__last": ("last", F.when(F.col("__marked"), F.col(clock)))})
+    # Of the rows at an accepted time, the first is the accepted one.
+    taken = F.coalesce("__marked", F.lit(False)) & F.col("__first")
+    left = F.lit(float(seconds)) - (F.col(clock) - F.col("__last")) / F.lit(float(units))
+    return seq.result().select(*keys, *order, taken.alias("accepted"), F.when(taken, 0.0).otherwise(left).alias("remaining_seconds"))
 
 
 def budget_kernel(clock: str, target: Sequence[str], per_hour: int, cooldown_seconds: float, units: float) -> Kernel:

@@ -157,6 +157,27 @@ def test_descendants_of_empty_tables(spark):
     assert N.descendants(edges, roots, ["tick"]).count() == 0
 
 
+@pytest.mark.parametrize("seconds", [0.0, 0.5, 3.0, 5000.0])
+def test_cooldown_of_heavy_keys_by_pointers(spark, small_segments, monkeypatch, seconds):
+    """Ties, bursts and gaps of two heavy keys and a light one equal the fold, row by row, without a loop over segments."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for key, n in (("a", 400), ("b", 90), ("c", 8)):
+        clock = np.cumsum(rng.choice([0, 0, 200_000, 700_000, 9_000_000], n))
+        rows += [(key, int(t), i) for i, t in enumerate(clock)]
+    df = spark.createDataFrame(rows, "k string, t long, seq int").repartition(5)
+    monkeypatch.setattr(Q, "_fold_heavy", None)
+    got = {(r["k"], r["seq"]): (r["accepted"], r["remaining_seconds"]) for r in Q.cooldown(df, ["k"], ["t", "seq"], seconds).collect()}
+    want = {}
+    for key in "abc":
+        own = sorted(r for r in rows if r[0] == key)
+        out, _ = Q.cooldown_kernel("t", seconds, 1e6)({"t": [r[1] for r in own]}, None)
+        want |= {(key, r[2]): (x, y) for r, x, y in zip(own, out["accepted"], out["remaining_seconds"])}
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert all(got[k][1] == pytest.approx(want[k][1]) for k in want)
+
+
 def sampled(spark, rows, **settings):
     names = ("elevated", "severe", "foreground_changed", "invalid", "safety", "within_budget", "collector_failed")
     data = [("d", t, *[bool(flags.get(n, n == "within_budget")) for n in names]) for t, flags in rows]
