@@ -13,6 +13,9 @@ from pulsefleet.operators import windows as W
 from pulsefleet.plans.history import KEY, ORDER, OVER, r
 from pulsefleet.plans.registry import query
 from pulsefleet.plans.views import TELEMETRY, pressure_sql, processes, table, telemetry, with_processes, with_telemetry
+from pulsefleet.session import shared_folder
+from pulsefleet.sources import migrations
+from pulsefleet.sources.migrations import Step
 
 
 def audits(spark, folder):
@@ -392,6 +395,40 @@ def a3_conform_columns(spark, folder):
     return K.conform(stored, schema, {"schema_version": 3, "gpu_tier": "UNKNOWN"})
 
 
+#: Layouts of the device table: each step adds columns to those before.
+DEVICE_STEPS = (
+    Step(16, "devices", "device_id long, balance double"),
+    Step(17, "platforms", "platform string", {"platform": "UNKNOWN"}),
+    Step(18, "tiers", "gpu_tier string, cores int", {"gpu_tier": "UNKNOWN"}),
+    Step(19, "evidence", "runs long", {"runs": 0}),
+)
+
+
+@query(
+    "a3_migrated_devices",
+    """SELECT c_custkey AS device_id, round(c_acctbal, 2) AS balance, CASE WHEN c_custkey % 3 = 0 THEN 'UNKNOWN' ELSE c_name END AS platform,
+ CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment ELSE 'UNKNOWN' END AS gpu_tier, CASE WHEN c_custkey % 3 = 2 THEN c_custkey % 16 END AS cores, 0 AS runs,
+ 16 + c_custkey % 3 AS written_version, 19 AS schema_version, 4 AS applied, 0 AS applied_again FROM customer""",
+)
+def a3_migrated_devices(spark, folder):
+    """Rows written in three layouts, brought to the newest by the ledger; a second migration has nothing to do."""
+    base = shared_folder(spark)
+    key = F.col("c_custkey")
+    devices = table(spark, folder, "customer").select(
+        key.alias("device_id"), F.round("c_acctbal", 2).alias("balance"), F.col("c_name").alias("platform"),
+        F.col("c_mktsegment").alias("gpu_tier"), (key % 16).cast("int").alias("cores"),
+    )
+    applied = []
+    for n, step in enumerate(DEVICE_STEPS[:3]):
+        applied += migrations.migrate(spark, base, DEVICE_STEPS[: n + 1], step.version)
+        migrations.write_rows(devices.where(F.col("device_id") % 3 == n), base, DEVICE_STEPS)
+    applied += migrations.migrate(spark, base, DEVICE_STEPS, 19)
+    again = migrations.migrate(spark, base, DEVICE_STEPS, 20)
+    return migrations.read_rows(spark, base, DEVICE_STEPS).withColumns(
+        {"schema_version": F.lit(migrations.version(spark, base)), "applied": F.lit(len(applied)), "applied_again": F.lit(len(again))}
+    )
+
+
 @query(
     "a8_last_write_wins",
     "SELECT o_custkey, o_orderstatus, max(o_orderkey) AS o_orderkey, round(arg_max(o_totalprice, o_orderkey), 2) AS o_totalprice FROM orders GROUP BY ALL",

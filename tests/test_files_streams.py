@@ -8,7 +8,7 @@ from pulsefleet.functions import scoring as S
 from pulsefleet.operators import sequential as Q
 from pulsefleet.operators import tables
 from pulsefleet.operators import windows as W
-from pulsefleet.sources import files, sinks
+from pulsefleet.sources import files, migrations, sinks
 from pulsefleet.streaming import event_order as E
 from pulsefleet.streaming import stream as K
 
@@ -178,3 +178,36 @@ def test_update_of_present_rows_takes_the_last_delta_row_of_a_key(spark):
     got = lambda order: sorted((r.name, r.status) for r in tables.update_where_present(base, delta, ["id"], ["status"], order).collect())
     assert got(["at"]) == [("a", 5), ("b", 5), ("c", 0), ("d", 0)]
     assert got([]) == [("a", 7), ("b", 7), ("c", 0), ("d", 0)]
+
+
+def test_migrations_are_repeatable_and_rewrite_nothing(spark, tmp_path):
+    one = migrations.Step(3, "first", "id long, name string", {"name": "none"})
+    two = migrations.Step(5, "second", "size double, name string", {"size": 1.5, "name": "later"})
+    base = str(tmp_path / "t")
+    assert migrations.version(spark, base) == 0
+    assert migrations.migrate(spark, base, [one], 10) == [3] and migrations.migrate(spark, base, [one], 11) == []
+    migrations.write_rows(spark.createDataFrame([(1, "a"), (2, None)], "id long, name string"), base, [one, two])
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "t/rows").rglob("*.parquet")}
+    # Steps are given in any order and applied by number.
+    assert migrations.migrate(spark, base, [two, one], 12) == [5] and migrations.migrate(spark, base, [one, two], 13) == []
+    migrations.write_rows(spark.createDataFrame([(3, 9)], "id int, size int"), base, [one, two])
+    rows = {tuple(r) for r in migrations.read_rows(spark, base, [one, two]).collect()}
+    assert rows == {(1, "a", 1.5, 3), (2, "none", 1.5, 3), (3, "none", 9.0, 5)}
+    assert all(f.stat().st_mtime_ns == t for f, t in before.items()) and before
+    assert [(r["version"], r["name"], r["applied_at"]) for r in migrations.ledger(spark, base).orderBy("version").collect()] == [(3, "first", 10), (5, "second", 12)]
+
+
+def test_migrations_that_do_not_fit_leave_no_trace(spark, tmp_path):
+    base = str(tmp_path / "t")
+    one = migrations.Step(1, "first", "id long")
+    assert migrations.read_rows(spark, base, [one]).count() == 0
+    migrations.migrate(spark, base, [one], 1)
+    for steps in (
+        [migrations.Step(1, "other", "id long")],
+        [one, migrations.Step(2, "a", "x int"), migrations.Step(2, "b", "y int")],
+        [one, migrations.Step(2, "a", "x int", {"y": 1})],
+        [one, migrations.Step(2, "a", "x int"), migrations.Step(3, "b", "y no_such_type")],
+    ):
+        with pytest.raises(Exception):
+            migrations.migrate(spark, base, steps, 2)
+    assert migrations.version(spark, base) == 1
