@@ -12,46 +12,73 @@ from pulsefleet.operators.process import is_audio_video, is_compiler
 from pulsefleet.session import checkpointed
 
 
+#: Levels that are searched one by one before pointers double.
+SHALLOW = 4
+
+
 def descendants(
     edges: DataFrame, roots: DataFrame, keys: Sequence[str], parent: str = "parent_pid", child: str = "pid"
 ) -> DataFrame:
-    """All nodes reachable from the roots, each with its distance to the nearest one above it.
+    """All nodes reachable from the roots, each with its distance to the nearest one above it; cycles end.
 
-    Where each child of a key has one parent, pointers double (``forest_descendants``), so the rounds grow with the
-    logarithm of the depth; otherwise the search goes level by level. Cycles end in both.
+    The first levels are searched one by one, which touches only the families and ends shallow trees. Where some are
+    deeper and each child of a key has one parent, pointers double from there, so the rounds grow with the logarithm of
+    the depth. Every round is checkpointed, so the plan stays short and a lost executor does not replay the search.
     """
     keys = list(keys)
     links = edges.select(*keys, F.col(parent).alias("__from"), F.col(child).alias("node")).where(
         F.col("__from") != F.col("node")
     )
-    # Written once, hashed by key and child: neither the rounds nor the count of parents rebuild the edges.
-    links = checkpointed(links.distinct().repartition(*keys, "node"))
-    roots = checkpointed(roots.select(*keys, "node").distinct())
-    several = links.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1")
-    return forest_descendants(links, roots, keys) if several.isEmpty() else _by_level(links, roots, keys)
+    # Written once, hashed by the join keys: the rounds neither rebuild nor reshuffle the edges.
+    links = checkpointed(links.distinct().repartition(*keys, "__from"))
+    frontier = checkpointed(roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
+    seen, level = frontier, 0
+    while not frontier.isEmpty():
+        if level == SHALLOW:
+            several = links.groupBy(*keys, "node").agg(F.count(F.lit(1)).alias("parents")).where("parents > 1")
+            if several.isEmpty():
+                return _by_pointers(links, seen, keys)
+        step = (
+            frontier.select(*keys, F.col("node").alias("__from"), "depth")
+            .join(links, [*keys, "__from"])
+            .select(*keys, "node", (F.col("depth") + 1).alias("depth"))
+            .distinct()
+            .join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
+        )
+        frontier = checkpointed(step)
+        seen = seen.unionByName(frontier)
+        level += 1
+    return seen
 
 
-def forest_descendants(links: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``descendants`` where each node has at most one parent: links (keys, __from, node) and roots (keys, node).
+def _by_pointers(links: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """``seen`` (keys, node, depth) and all nodes below it, where each node has at most one parent (keys, __from, node).
 
-    An open node points ``steps`` up, and no root is among the nodes passed. A round looks up the node pointed at: if
-    that has a root above it, so has this one; if it is a top without parent, the node is dropped; otherwise the
+    An open node points ``steps`` up, and none of the nodes passed is known. A round looks up the node pointed at: if
+    that one's depth is known, so is this one's; if it is a top without parent, the node is dropped; otherwise the
     pointer is extended by its pointer. A round that settles no node leaves only nodes whose pointers stay among
-    themselves, that is nodes at a cycle without a root. Every round is checkpointed.
+    themselves, that is nodes at a cycle without a root.
     """
-    keys = list(keys)
-    found = [roots.select(*keys, "node", F.lit(0).alias("depth"))]
-    start = links.join(roots, [*keys, "node"], "left_anti")
+    found = [seen]
+    start = links.join(seen, [*keys, "node"], "left_anti")
     pointers = checkpointed(start.select(*keys, "node", F.col("__from").alias("__up"), F.lit(1).alias("__steps")))
+    no_pointer = [F.lit(None).cast(pointers.schema["__up"].dataType).alias("__up"), F.lit(0).alias("__steps")]
     left, before = pointers.count(), None
     while left and left != before:
         known = pointers.withColumn("depth", F.lit(None).cast("int"))
         for part in found:
-            known = known.unionByName(part.select(*keys, "node", F.lit(None).cast(pointers.schema["__up"].dataType).alias("__up"), F.lit(0).alias("__steps"), "depth"))
-        target = known.select(*keys, F.col("node").alias("__up"), F.col("__up").alias("__next"), F.col("__steps").alias("__more"), "depth")
+            known = known.unionByName(part.select(*keys, "node", *no_pointer, "depth"))
+        target = known.select(
+            *keys, F.col("node").alias("__up"), F.col("__up").alias("__next"), F.col("__steps").alias("__more"), "depth"
+        )
+        steps = F.col("__steps")
         met = checkpointed(
             pointers.join(target, [*keys, "__up"]).select(
-                *keys, "node", F.col("__next").alias("__up"), (F.col("__steps") + F.col("__more")).alias("__steps"), (F.col("__steps") + F.col("depth")).alias("depth")
+                *keys,
+                "node",
+                F.col("__next").alias("__up"),
+                (steps + F.col("__more")).alias("__steps"),
+                (steps + F.col("depth")).alias("depth"),
             )
         )
         found.append(met.where("depth IS NOT NULL").select(*keys, "node", "depth"))
@@ -63,25 +90,6 @@ def forest_descendants(links: DataFrame, roots: DataFrame, keys: Sequence[str])
     return out
 
 
-def _by_level(links: DataFrame, roots: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``descendants`` of any graph: a breadth-first search that joins only the newest nodes with the links."""
-    keys = list(keys)
-    links = checkpointed(links.repartition(*keys, "__from"))
-    frontier = roots.withColumn("depth", F.lit(0))
-    seen = frontier
-    while not frontier.isEmpty():
-        step = (
-            frontier.select(*keys, F.col("node").alias("__from"), "depth")
-            .join(links, [*keys, "__from"])
-            .select(*keys, "node", (F.col("depth") + 1).alias("depth"))
-            .distinct()
-            .join(seen.select(*keys, "node"), [*keys, "node"], "left_anti")
-        )
-        frontier = checkpointed(step)
-        seen = seen.unionByName(frontier)
-    return seen
-
-
 def foreground_family(edges: DataFrame, intents: DataFrame, tick: Sequence[str]) -> DataFrame:
     """The foreground process of each tick and its descendants. Pid 0 is no process: it starts no family."""
     roots = intents.where(F.col("foreground_pid") != 0).select(*tick, F.col("foreground_pid").alias("node"))

@@ -124,12 +124,13 @@ def test_family_rounds_grow_with_the_logarithm_of_the_depth(spark, monkeypatch):
     roots = spark.createDataFrame([(1, 1)], "tick int, node long")
     got = N.descendants(edges, roots, ["tick"]).selectExpr("count(*) AS n", "count_if(depth = node - 1) AS right").first()
     assert (got["n"], got["right"]) == (10_000, 10_000)
-    assert len(rounds) <= 3 + 15
+    assert len(rounds) <= 2 + N.SHALLOW + 1 + 15
 
 
-@pytest.mark.parametrize("several", [False, True])
-def test_descendants_equal_a_search_per_tick(spark, several):
+@pytest.mark.parametrize(("several", "shallow"), [(False, 0), (False, 2), (True, 0)])
+def test_descendants_equal_a_search_per_tick(spark, monkeypatch, several, shallow):
     """Random forests with cycles, several roots above each other, self-loops, absent roots and repeated edges."""
+    monkeypatch.setattr(N, "SHALLOW", shallow)
     rng = np.random.default_rng(5)
     edges, roots, want = [], [], {}
     for tick in range(12):
