@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
+from pulsefleet.operators.sequential import Kernel, fold
 
 RIDGE = 1.0
 EXPLORATION = 1.0
@@ -120,6 +121,52 @@ def predict(contexts: DataFrame, models: DataFrame, action: str, vector: str, ri
     ).drop("__p", "__action", "__n", "__w", "__i")
 
 
+ONLINE_OUTPUTS = "expected_reward double, uncertainty double, lower_bound double, observations long, sufficiently_known boolean"
+
+
+def online_kernel(dimension: int, vector: str = "x", reward: str = "reward", ridge: float = RIDGE, exploration: float = EXPLORATION) -> Kernel:
+    """Scores a row by what was known before it, then learns from it. The state of an action is bounded.
+
+    The state holds the inverse of (ridge I + sum x xᵀ), which a rank-one update (Sherman and Morrison) keeps, the
+    sum of r x, and the count. A row without a usable vector is not scored, one without a usable reward not learnt.
+    """
+
+    def learn(rows: dict[str, list], state: object) -> tuple[dict[str, list], object]:
+        inverse = np.eye(dimension) / ridge if state is None else np.array(state[0]).reshape(dimension, dimension)
+        total = np.zeros(dimension) if state is None else np.array(state[1])
+        n = 0 if state is None else state[2]
+        out: dict[str, list] = {name: [] for name in ("expected_reward", "uncertainty", "lower_bound", "observations", "sufficiently_known")}
+        for x, r in zip(rows[vector], rows[reward]):
+            x = None if x is None else np.array([np.nan if v is None else v for v in x], dtype=float)
+            if x is None or len(x) != dimension or not np.isfinite(x).all():
+                scored: tuple = (None, None, None, n, False)
+            else:
+                seen = inverse @ x
+                spread = float(x @ seen)
+                expected, uncertainty = float(seen @ total), max(0.0, spread) ** 0.5
+                scored = (expected, uncertainty, expected - exploration * uncertainty, n, n >= 20 and uncertainty <= 0.75)
+                if r is not None and r == r:
+                    inverse = inverse - np.outer(seen, seen) / (1.0 + spread)
+                    total = total + min(REWARD_LIMIT, max(-REWARD_LIMIT, r)) * x
+                    n += 1
+            for name, value in zip(out, scored):
+                out[name].append(value)
+        return out, [inverse.ravel().tolist(), total.tolist(), n]
+
+    return learn
+
+
+def online_predictions(
+    samples: DataFrame, order: Sequence[str], dimension: int, action: str = "action", vector: str = "x", reward: str = "reward"
+) -> DataFrame:
+    """Every sample scored by the model of its action as it was before the sample; one pass, heavy actions by segments.
+
+    Returns the action, the order columns and the scores. ``streaming.event_order.in_event_order`` takes the same kernel.
+    """
+    rows = samples.select(action, *order, F.col(vector).cast("array<double>").alias(vector), F.col(reward).cast("double").alias(reward))
+    return fold(rows, [action], order, online_kernel(dimension, vector, reward), ONLINE_OUTPUTS)
+
+
 def shadow_choice(
     scored: DataFrame, decision: Sequence[str], ordinal: str, required: float = 0.05, minimum: int = 30, target: str | None = None
 ) -> DataFrame:

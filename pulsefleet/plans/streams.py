@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
 from pulsefleet.operators import evaluation as V
+from pulsefleet.operators import learning as L
 from pulsefleet.operators import ranking as R
 from pulsefleet.operators import sequential as Q
 from pulsefleet.operators import splits as P
@@ -186,6 +187,51 @@ def _scattered(spark, folder):
     return K.file_stream(spark, base, stored.schema, files_per_batch=1)
 
 
+def _rewards_in_order():
+    """Scores from the sums over the rows before, for contexts of a constant and one component."""
+    over = "OVER (PARTITION BY action ORDER BY vec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""WITH smp AS (SELECT vec_id, label AS action, embedding[1]::DOUBLE AS x, least(2, greatest(-2, (vec_id % 31 - 10) / 5.0::DOUBLE)) AS r FROM embeddings),
+bef AS (SELECT action, vec_id, x, count(*) {over} AS n, count(*) {over} + 1.0::DOUBLE AS a, coalesce(sum(x) {over}, 0) AS b, coalesce(sum(x * x) {over}, 0) + 1.0::DOUBLE AS d,
+ coalesce(sum(r) {over}, 0) AS p, coalesce(sum(r * x) {over}, 0) AS q FROM smp),
+prd AS (SELECT *, ((d * p - b * q) + (a * q - b * p) * x) / (a * d - b * b) AS expected, sqrt((d - 2 * b * x + a * x * x) / (a * d - b * b)) AS uncertainty FROM bef)
+SELECT action, vec_id, round(expected, 6) + 0 AS expected_reward, round(uncertainty, 6) + 0 AS uncertainty, n AS observations, n >= 20 AND uncertainty <= 0.75 AS sufficiently_known FROM prd"""
+
+
+def _scored_rewards(rows):
+    return rows.select(
+        "action", "vec_id", r("expected_reward").alias("expected_reward"), r("uncertainty").alias("uncertainty"), "observations", "sufficiently_known"
+    )
+
+
+def _reward_rows(vectors):
+    """Contexts of a constant and one component, one a second by vec_id."""
+    return vectors.select(
+        F.col("label").alias("action"), (F.col("vec_id") * 1_000_000).alias("t"), "vec_id",
+        F.array(F.lit(1.0), F.get("embedding", 0).cast("double")).alias("x"), ((F.col("vec_id") % 31 - 10) / 5.0).alias("reward"),
+    )
+
+
+@query("d34_online_rewards", _rewards_in_order())
+def d34_online_rewards(spark, folder):
+    """Every context scored by the samples before it."""
+    return _scored_rewards(L.online_predictions(_reward_rows(table(spark, folder, "embeddings")), ["t", "vec_id"], 2))
+
+
+@query("d34_stream_rewards", _rewards_in_order())
+def d34_stream_rewards(spark, folder):
+    """The same from a stream whose files come in any order."""
+    base = shared_folder(spark)
+    rows = _reward_rows(table(spark, folder, "embeddings"))
+    rows.repartition(5, "vec_id").write.parquet(f"{base}/in")
+    # A row without an action, a century on, lets the watermark pass all others.
+    end = [F.lit(None).cast(f.dataType).alias(f.name) if f.name != "t" else (F.max("t") + 3_155_760_000_000_000).alias("t") for f in rows.schema]
+    rows.agg(*end).write.mode("append").parquet(f"{base}/in")
+    stream = K.file_stream(spark, f"{base}/in", rows.schema, files_per_batch=1)
+    scored = E.in_event_order(stream, ["action"], ["t", "vec_id"], L.online_kernel(2), L.ONLINE_OUTPUTS, "36500 days")
+    E.store_in_order(scored, f"{base}/out", f"{base}/state").awaitTermination()
+    return _scored_rewards(spark.read.schema(scored.schema).parquet(f"{base}/out").where("not late"))
+
+
 def _telemetry_stream(spark, folder, **cut):
     return as_telemetry(_events(spark, folder, **cut))
 

@@ -13,6 +13,7 @@ import json
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,17 @@ def list_state(spark: SparkSession):
             spark.conf.set(PROVIDER, before)
 
 
+def _plain(value):
+    """A cell as the list state stores it."""
+    if isinstance(value, (np.ndarray, list)):
+        return [_plain(v) for v in value]
+    return None if value is None or value != value else value
+
+
+def _cells(rows: pd.DataFrame) -> list[tuple]:
+    return [tuple(map(_plain, row)) for row in rows.astype(object).itertuples(index=False, name=None)]
+
+
 #: Called with a key's state when the key is silent: output columns of a closing row, or None for no row.
 Close = Callable[[object], dict | None]
 
@@ -85,7 +97,7 @@ class InOrder(StatefulProcessor):
                 yield pdf.loc[late, [*self.keys, *self.order]].assign(late=True, **{n: None for n in self.names})
             fresh = pdf.loc[~late, self.rest.names]
             if len(fresh):
-                self.waiting.appendList([tuple(None if v is None or v != v else v for v in row) for row in fresh.astype(object).itertuples(index=False, name=None)])
+                self.waiting.appendList(_cells(fresh))
                 low = int(fresh[self.order[0]].min())
                 first = low if first is None else min(first, low)
         if first is not None:
@@ -132,7 +144,7 @@ class InOrder(StatefulProcessor):
             else:
                 due.append(silent_at)
         if len(stay):
-            self.waiting.put([tuple(None if v is None or v != v else v for v in row) for row in stay.astype(object).itertuples(index=False, name=None)])
+            self.waiting.put(_cells(stay))
         else:
             self.waiting.clear()
         if last is not None:
