@@ -8,6 +8,9 @@ A search looks up a window's terms in each block, takes the list of the rarest o
 term's place in the window, and keeps the starts that the next rarer lists, moved likewise, confirm.
 With ``slack`` a term may stand up to that many words from its place (proximity); 0 asks for the exact
 phrase. Postings of a term are decoded only when a search reaches them. No postings are shuffled.
+
+The windows of the test set are a table in the shared folder, in parts of bounded size. A task reads them from there, one
+part after the other, so that neither the driver nor a worker ever holds the test set, however large it is.
 """
 
 from __future__ import annotations
@@ -18,10 +21,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefleet.llm.common import packed, slices, split_words, stored
+from pulsefleet.llm.common import open_folder, packed, slices, split_words, stored
 
 WINDOW = 10
 
@@ -29,8 +33,11 @@ WINDOW = 10
 WORD_BREAKS = np.zeros(256, dtype=bool)
 WORD_BREAKS[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 
-#: Test items are shipped to the tasks in parts of at most so many bytes of text.
-PART_BYTES = 8 << 20
+#: Windows of one part of the test set: a task holds one part of it at a time.
+PART_WINDOWS = 1 << 16
+
+#: Blocks that a task searches before it goes on to the next part.
+AT_ONCE = 8
 
 
 # -- variable-length integers --------------------------------------------------------------------
@@ -163,39 +170,45 @@ class Block:
 class Windows:
     """Distinct windows of some test items: their terms, the windows as places of terms, and whose they are."""
 
-    terms: list[bytes]
+    terms: pa.Array
     windows: list[np.ndarray]  # by length: one row per window
     owners: list[list[list[str]]]  # by length: item ids of each window
 
+    @classmethod
+    def of(cls, rows: pa.Table) -> "Windows":
+        places: dict[str, int] = {}
+        owners: dict[tuple[int, ...], list[str]] = {}
+        for words, item in zip(rows.column("words").to_pylist(), rows.column("item").to_pylist()):
+            owners.setdefault(tuple(places.setdefault(w, len(places)) for w in words.split(" ")), []).append(item)
+        grouped = [[w for w in owners if len(w) == n] for n in sorted({len(w) for w in owners})]
+        return cls(
+            pa.array([w.encode() for w in places], pa.large_binary()),
+            [np.array(group, dtype=np.int64) for group in grouped],
+            [[owners[w] for w in group] for group in grouped],
+        )
+
+
+def windows_of(benchmark: DataFrame, item_id: str, text: str, size: int = WINDOW) -> DataFrame:
+    """words (joined by a space), item: windows of ``size`` words; an item of fewer, but not none, is one window.
+
+    Written in files of at most ``PART_WINDOWS`` distinct rows, the parts of a search.
+    """
 
-def windows_of(items: list[tuple[object, str | None]], size: int = WINDOW) -> Windows:
-    """Windows of ``size`` words; an item of fewer words, but not none, is one window."""
-    words = split_words(pa.array([text for _, text in items], pa.string()), WORD_BREAKS)
-    distinct, codes = words.encoded()
-    owners: dict[tuple[int, ...], set[str]] = {}
-    for (item, _), low, high in zip(items, words.first.tolist(), words.first[1:].tolist()):
-        for at in range(low, max(low + 1, high - size + 1) if high > low else low):
-            owners.setdefault(tuple(codes[at : min(at + size, high)].tolist()), set()).add("" if item is None else str(item))
-    lengths = sorted({len(w) for w in owners})
-    grouped = [[w for w in owners if len(w) == n] for n in lengths]
-    return Windows(
-        distinct.to_pylist(),
-        [np.array(group, dtype=np.int64) for group in grouped],
-        [[sorted(owners[w]) for w in group] for group in grouped],
-    )
-
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text"):
+                words = split_words(piece.column("text"), WORD_BREAKS)
+                distinct, codes = words.encoded()
+                terms = [t.decode() for t in distinct.to_pylist()]
+                for item, low, high in zip(piece.column("item").to_pylist(), words.first.tolist(), words.first[1:].tolist()):
+                    starts = range(low, max(low + 1, high - size + 1)) if high > low else ()
+                    for few in range(0, len(starts), PART_WINDOWS):
+                        made = [" ".join(terms[c] for c in codes[at : min(at + size, high)]) for at in starts[few : few + PART_WINDOWS]]
+                        yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array([item] * len(made), pa.string())], names=["words", "item"])
 
-def _parts(benchmark: DataFrame, item_id: str, text: str, size: int) -> Iterator[Windows]:
-    """Windows of all items, part by part: the driver holds one part at a time."""
-    held, filled = [], 0
-    for item, body in benchmark.select(item_id, text).toLocalIterator():
-        held.append((item, body))
-        filled += len(body or "")
-        if filled >= PART_BYTES:
-            yield windows_of(held, size)
-            held, filled = [], 0
-    if held:
-        yield windows_of(held, size)
+    items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(text).alias("text"))
+    rows = items.mapInArrow(of, "words string, item string").distinct()
+    return stored(rows, maxRecordsPerFile=str(PART_WINDOWS))
 
 
 # -- search --------------------------------------------------------------------------------------
@@ -208,48 +221,61 @@ def search(index: DataFrame, benchmark: DataFrame, item_id: str = "item_id", tex
     has terms. spans are [from, to) word numbers in the document, merged. Items with null or wordless
     text have no window; a null item id stands as the empty string; rows with one id are one item.
     """
-    spark = index.sparkSession
-    shared = [spark.sparkContext.broadcast(part) for part in _parts(benchmark, item_id, text, size)]
+    parts = windows_of(benchmark, item_id, text, size).inputFiles()
     key = index.schema["keys"].dataType.elementType.simpleString()
     names = ["key", "n_words", "n_hit", "items", "spans"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Windows] = {}
         for batch in batches:
-            for r in range(batch.num_rows):
-                block = Block.of({p: batch.column(p)[r].as_buffer() for p in _PARTS})
-                edges = np.zeros(int(block.first[-1]) + 1, dtype=np.int64)
-                hits: dict[int, set[str]] = {}
-                for part in shared:
-                    _mark(block, part.value, slack, edges, hits)
-                inside = np.cumsum(edges[:-1]) > 0
-                before = np.concatenate([[0], np.cumsum(inside)])
-                n_hit = np.diff(before[block.first])
-                none: list = []
-                spans = [none] * len(n_hit)
-                for d in hits:
-                    low, high = int(block.first[d]), int(block.first[d + 1])
-                    turns = np.flatnonzero(np.diff(inside[low:high].astype(np.int8), prepend=0, append=0))
-                    spans[d] = [{"from": int(a), "to": int(b)} for a, b in turns.reshape(-1, 2)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("keys")[r].values,
-                        pa.array(np.diff(block.first)),
-                        pa.array(n_hit),
-                        pa.array([sorted(hits.get(d, none)) for d in range(len(n_hit))], pa.list_(pa.string())),
-                        pa.array(spans, pa.list_(pa.struct({"from": pa.int64(), "to": pa.int64()}))),
-                    ],
-                    names=names,
-                )
+            for low in range(0, batch.num_rows, AT_ONCE):
+                few = batch.slice(low, AT_ONCE)
+                blocks = [Block.of({p: few.column(p)[r].as_buffer() for p in _PARTS}) for r in range(few.num_rows)]
+                edges = [np.zeros(int(block.first[-1]) + 1, dtype=np.int32) for block in blocks]
+                hits: list[dict[int, set[str]]] = [{} for _ in blocks]
+                for part in parts:
+                    windows = _opened(part, held)
+                    for r, block in enumerate(blocks):
+                        _mark(block, windows, slack, edges[r], hits[r])
+                        block.opened.clear()
+                for r, block in enumerate(blocks):
+                    yield pa.RecordBatch.from_arrays([few.column("keys")[r].values, *_found(block, edges[r], hits[r])], names=names)
 
     schema = f"key {key}, n_words long, n_hit long, items array<string>, spans array<struct<from:long,to:long>>"
     return index.mapInArrow(of, schema)
 
 
+def _found(block: Block, edges: np.ndarray, hits: dict[int, set[str]]) -> list[pa.Array]:
+    """Per document of the block: n_words, n_hit, items, spans."""
+    inside = np.cumsum(edges[:-1]) > 0
+    before = np.concatenate([[0], np.cumsum(inside)])
+    none: list = []
+    spans = [none] * (len(block.first) - 1)
+    for d in hits:
+        low, high = int(block.first[d]), int(block.first[d + 1])
+        turns = np.flatnonzero(np.diff(inside[low:high].astype(np.int8), prepend=0, append=0))
+        spans[d] = [{"from": int(a), "to": int(b)} for a, b in turns.reshape(-1, 2)]
+    return [
+        pa.array(np.diff(block.first)),
+        pa.array(np.diff(before[block.first])),
+        pa.array([sorted(hits.get(d, none)) for d in range(len(spans))], pa.list_(pa.string())),
+        pa.array(spans, pa.list_(pa.struct({"from": pa.int64(), "to": pa.int64()}))),
+    ]
+
+
+def _opened(part: str, held: dict[str, Windows]) -> Windows:
+    """A part of the test set, read from the shared folder; the last one read is kept."""
+    if part not in held:
+        held.clear()
+        fs, path = open_folder(part)
+        with fs.open_input_file(path) as file:
+            held[part] = Windows.of(pq.read_table(file))
+    return held[part]
+
+
 def _mark(block: Block, part: Windows, slack: int, edges: np.ndarray, hits: dict[int, set[str]]) -> None:
     """Add where windows begin and end to ``edges``, and the items to the documents that hold them."""
-    if not part.terms:
-        return
-    places = block.places(pa.array(part.terms, pa.large_binary()))
+    places = block.places(part.terms)
     for windows, owners in zip(part.windows, part.owners):
         local = places[windows]
         for w in np.flatnonzero((local >= 0).all(axis=1)).tolist():

@@ -231,10 +231,13 @@ def test_contamination_of_odd_tables(spark, odd, none):
 def test_test_sets_in_parts_and_proximity(spark, odd, monkeypatch):
     benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
     whole = phrase_index.contamination(odd, benchmark).collect()
-    monkeypatch.setattr(phrase_index, "PART_BYTES", 10)
+    monkeypatch.setattr(phrase_index, "PART_WINDOWS", 2)
+    assert len(phrase_index.windows_of(benchmark, "item_id", "text").inputFiles()) > 2
     assert near_rows(map(tuple, phrase_index.contamination(odd, benchmark).collect())) == near_rows(map(tuple, whole))
     docs = docs_frame(spark, [(1, "alpha beta x gamma", None, None), (2, "alpha y y y y gamma beta", None, None)])
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    parts = phrase_index.windows_of(items, "item_id", "text").collect()
+    assert [tuple(r) for r in parts] == [("alpha beta gamma", "1")]
     index = phrase_index.build(docs, "doc_id", "text")
     near = {r.key: r.n_hit for r in phrase_index.search(index, items, slack=1).collect()}
     exact = {r.key: r.n_hit for r in phrase_index.search(index, items).collect()}
