@@ -6,7 +6,8 @@ of its group fellows there, so the links of a group need one count per (group, s
 A round joins the counts of the groups to their nodes. Each node whose strongest pull is another shard
 asks to move there. The requests, at most shards x shards numbers, are granted under capacity quotas:
 exchanges between two shards first, as they keep all sizes, then what free room allows. Requests of a
-pair are granted in the order of their pull. Rounds end when nothing moves.
+pair are granted in the order of their pull. Rounds end when nothing moves, or when ``STALE`` rounds in turn have
+brought no more links inside shards; the best placing so far is the result. Links are finite, so this ends without a bound on rounds.
 
 Shard sizes: the quotas are counts that differ by one at most. Nodes without links feel no pull, so they
 take the places that are left at the end, and counts come out exact.
@@ -24,6 +25,9 @@ from pulsefleet.llm.common import counted_before, stored
 
 LEVELS = 32
 
+#: Rounds without more links inside shards after which the propagation has settled.
+STALE = 8
+
 
 def _pulls(nodes: DataFrame, members: DataFrame, shards: int) -> DataFrame:
     """node, shard, order, pulls: per shard the number of fellows in the node's groups, itself included."""
@@ -39,7 +43,7 @@ def _pulls(nodes: DataFrame, members: DataFrame, shards: int) -> DataFrame:
 
 
 def _asks(pulled: DataFrame, shards: int, shut: Collection[int]) -> DataFrame:
-    """node, order, shard, want, gain, asks. Nobody asks for the shards in ``shut``.
+    """node, order, shard, own (pull of its shard), want, gain, asks. Nobody asks for the shards in ``shut``.
 
     Ties go the same way for a whole group, so that fellows don't swap places.
     """
@@ -56,9 +60,10 @@ def _asks(pulled: DataFrame, shards: int, shut: Collection[int]) -> DataFrame:
         F.array(*[o if s not in shut else F.when(F.col("shard") == s, o) for s, o in enumerate(options)])
     )
     best = F.array_max(open_)
-    gain = best["pull"] - F.element_at("pulls", F.col("shard") + 1)
+    own = F.element_at("pulls", F.col("shard") + 1)
+    gain = best["pull"] - own
     asks = (best["shard"] != F.col("shard")) & (gain >= 0)
-    return pulled.select("node", "order", "shard", best["shard"].alias("want"), gain.alias("gain"), asks.alias("asks"))
+    return pulled.select("node", "order", "shard", own.alias("own"), best["shard"].alias("want"), gain.alias("gain"), asks.alias("asks"))
 
 
 def _grants(asked: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -82,7 +87,7 @@ def _by_shard(values: np.ndarray, shard: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)) for v in values]), shard + 1)
 
 
-def propagate(nodes: DataFrame, members: DataFrame, shards: int, rounds: int = 48) -> DataFrame:
+def propagate(nodes: DataFrame, members: DataFrame, shards: int) -> DataFrame:
     """Assign every node to a shard: node, shard; shard counts differ by one at most.
 
     nodes    node (unique), order (a long spread evenly; it decides ties)
@@ -101,11 +106,20 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int, rounds: int = 4
 
     shut: set[int] = set()
     again = True
-    for _ in range(rounds):
+    most, stale, best = -1, 0, (placed, held.copy())
+    while True:
         asks = _asks(stored(_pulls(placed, members, shards)), shards, shut)
         asked = np.zeros((shards, shards), dtype=np.int64)
-        for row in asks.where("asks").groupBy("shard", "want").count().collect():
-            asked[row["shard"], row["want"]] = row["count"]
+        inside = 0
+        for row in asks.groupBy("shard", "want").agg(F.count_if("asks").alias("n"), F.sum("own").alias("own")).collect():
+            asked[row["shard"], row["want"]] = row["n"]
+            inside += row["own"]
+        if inside > most:
+            most, stale, best = inside, 0, (placed, held.copy())
+        else:
+            stale += 1
+            if stale == STALE:
+                break
         granted = _grants(asked, quotas - held)
         # Requests to a full shard go to the next best from now on.
         refused = {j for j in range(shards) if held[j] == quotas[j] and (asked - granted)[:, j].any()}
@@ -118,6 +132,7 @@ def propagate(nodes: DataFrame, members: DataFrame, shards: int, rounds: int = 4
             shut, again = set(), False
             continue
         shut = shut | refused
+    placed, held = best
 
     # The nodes without links fill the places that are left.
     free = counted_before(nodes.join(linked.select("node"), "node", "left_anti"), [], F.col("order"), F.lit(1), "rank")
@@ -159,7 +174,7 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
 
     Equal texts are linked. The law is ``rows``: shard counts differ by one at most. slot numbers the
     rows of a shard without gaps. A null text counts as an empty one; null doc_ids and repeated rows are
-    rows like any other. Other columns are not read.
+    rows like any other. Other columns are not read. The shards depend on the rows alone, not on their files or order.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(
@@ -168,8 +183,14 @@ def shard_documents(docs: DataFrame, shards: int) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("group"),
         F.monotonically_increasing_id().alias("node"),
-    ).withColumn("order", F.xxhash64("doc_id", "group", "node"))
-    rows = stored(rows)
+    )
+    rows = stored(rows.withColumn("mark", F.xxhash64("doc_id", "group")))
+    # Equal rows are told apart by their number, so that a hot row is spread; which of them has which number is all one.
+    repeated = rows.groupBy("mark").count().where("count > 1").select("mark")
+    twins = rows.join(repeated, "mark", "left_semi").select("node", "mark")
+    numbered = counted_before(twins, ["mark"], F.xxhash64("node"), F.lit(1), "nth").select("node", "nth")
+    order = F.xxhash64("mark", F.coalesce("nth", F.lit(0)))
+    rows = stored(rows.join(numbered, "node", "left").withColumn("order", order).drop("mark", "nth"))
     placed = propagate(rows.select("node", "order"), rows.select("node", F.xxhash64("group").alias("group")), shards)
     out = counted_before(rows.drop("group").join(stored(placed), "node"), ["shard"], F.col("order"), F.lit(1), "slot")
     return out.select(
