@@ -20,6 +20,8 @@ GROUP = ["device_id", "scenario", "run_type", "metric"]
 QUANTILES = {"median": 0.50, "p95": 0.95, "p99": 0.99}
 ENVIRONMENT = ("os_build", "power_mode", "thermal_state")
 REPLICATES = 2000
+#: Runs of a plan that one task makes.
+TASK_RUNS = 250_000
 
 
 def explode_metrics(runs: DataFrame) -> DataFrame:
@@ -251,13 +253,16 @@ def run_plan(
     if set(variants) - set(known) or set(scenarios) - set(SCENARIOS):
         raise ValueError("unknown variant or scenario")
     each = lambda values: F.explode(F.array(*[F.lit(v) for v in values]))
+    # A device becomes many runs, so a short list of devices in a file or two is dealt to the tasks that its runs need.
+    runs = devices.count() * len(scenarios) * len(RUN_TYPES) * repetitions * len(variants)
+    tasks = max(1, -(-runs // TASK_RUNS))
     cells = (
-        devices.select("device_id", each(scenarios).alias("scenario"))
+        devices.select("device_id").repartition(tasks).select("device_id", each(scenarios).alias("scenario"))
         .select("*", each(RUN_TYPES).alias("run_type"))
         .select("*", F.explode(F.sequence(F.lit(1), F.lit(repetitions))).alias("iteration"))
     )
     cell = F.concat_ws("|", F.lit(str(seed)), F.col("device_id").cast("string"), "scenario", "run_type", F.col("iteration").cast("string"))
-    drawn = F.array_sort(
+    drawn = F.sort_array(
         F.array(*[F.struct(F.md5(F.concat_ws("|", cell, F.lit(v))).alias("h"), F.lit(v).alias("variant")) for v in variants])
     )
     rows = cells.select("*", F.posexplode(drawn).alias("__pos", "__v"))

@@ -203,6 +203,16 @@ def test_plan_is_reproducible_and_balanced(spark):
         B.run_plan(devices, repetitions=1)
 
 
+def test_plan_is_dealt_over_tasks(spark, monkeypatch):
+    devices = spark.createDataFrame([(f"d{i}",) for i in range(6)] + [(None,), ("d0",)], "device_id string").coalesce(1)
+    whole = B.run_plan(devices, repetitions=10)
+    assert whole.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(B, "TASK_RUNS", 400)
+    dealt = B.run_plan(devices, repetitions=10)
+    assert dealt.rdd.getNumPartitions() == 4
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, whole.collect())) and dealt.count() == 8 * 200
+
+
 def test_prediction_payload(spark):
     p = {"NORMAL": F.lit(0.10), "WARNING": F.lit(0.20), "CRITICAL": F.lit(0.60), "RECOVERY": F.lit(0.10)}
     row = spark.range(1).select(*[c.alias(n) for n, c in S.prediction_payload(p).items()]).first()
