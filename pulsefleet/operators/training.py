@@ -35,6 +35,11 @@ def with_class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
     return rows.withColumn("weight", S.by_value(F.col(label), weights, 1.0))
 
 
+def fit_tasks(rows: DataFrame) -> int:
+    """Tasks of the fit. Each sends the statistics of all open nodes of all trees in every pass, so tasks must not be small, nor more than run at once."""
+    return max(1, min(-(-rows.count() // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def train_forest(
     rows: DataFrame,
     features: Sequence[str] = FEATURES,
@@ -46,8 +51,7 @@ def train_forest(
 ) -> PipelineModel:
     # The fit passes over its input several times; windows are dearer than their stored features.
     kept = rows.select(*features, label).persist()
-    # Every task sends the statistics of all open nodes of all trees, so tasks must not be small.
-    tasks = max(1, -(-kept.count() // TASK_ROWS))
+    tasks = fit_tasks(kept)
     balanced = with_class_weights(kept, label).withColumn("label_id", label_id(label))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     forest = RandomForestClassifier(

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from pulsefleet.operators import training
 from pulsefleet.operators.windows import FEATURES
 from pulsefleet.plans import streams
 
@@ -41,3 +42,10 @@ def test_stored_model_and_stream(spark, data, scored):
     assert got.mean_risk.to_dict() == pytest.approx(expected["mean"].to_dict())
     stream = rows(spark, data, "j3_stream_classes")
     assert stream.n.sum() == rows(spark, data, "j3_stream_scores").windows.sum() and stream.mean_risk.between(0, 100).all()
+
+
+def test_a_fit_has_no_more_tasks_than_run_at_once(spark, monkeypatch):
+    assert training.fit_tasks(spark.range(0)) == training.fit_tasks(spark.range(training.TASK_ROWS)) == 1
+    monkeypatch.setattr(training, "TASK_ROWS", 10)
+    assert training.fit_tasks(spark.range(21)) == 3
+    assert training.fit_tasks(spark.range(10_000)) == spark.sparkContext.defaultParallelism
