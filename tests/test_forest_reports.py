@@ -49,3 +49,10 @@ def test_a_fit_has_no_more_tasks_than_run_at_once(spark, monkeypatch):
     monkeypatch.setattr(training, "TASK_ROWS", 10)
     assert training.fit_tasks(spark.range(21)) == 3
     assert training.fit_tasks(spark.range(10_000)) == spark.sparkContext.defaultParallelism
+
+
+def test_late_rows_keep_state_over_one_column(spark, data, monkeypatch):
+    seen, fold = [], streams.K.stateful_fold
+    monkeypatch.setattr(streams.K, "stateful_fold", lambda stream, *rest: (seen.append(stream.columns), fold(stream, *rest))[1])
+    assert rows(spark, data, "k3_late_rows")["rows"].sum() == spark.read.parquet(f"{data}/events.parquet").count()
+    assert seen == [["device_id", "t", "seq", "cpu"]]
