@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import inheritable_thread_target
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -20,7 +22,9 @@ CONTRACT = "ai_reliability_v2"
 TREES, DEPTH, MIN_LEAF, SEED = 420, 12, 2, 42
 
 #: Rows of a task of the fit, at least.
-TASK_ROWS = 20_000
+TASK_ROWS = 200_000
+#: Rows up to which all trees are one forest, and the least trees of one of several.
+ONE_FOREST_ROWS, LEAST_TREES = 20_000, 20
 
 
 def label_id(label) -> F.Column:
@@ -36,10 +40,16 @@ def with_class_weights(rows: DataFrame, label: str = "label") -> DataFrame:
 
 
 def fit_tasks(rows: DataFrame) -> int:
-    """Tasks of the fit. Each sends the statistics of all open nodes of all trees in every pass, so tasks must not be small, nor more than run at once."""
+    """Tasks of a fit. Each sends the statistics of all open nodes of its trees in every pass, so tasks must not be small, nor more than run at once."""
     return max(1, min(-(-rows.count() // TASK_ROWS), rows.sparkSession.sparkContext.defaultParallelism))
 
 
+def tree_shares(rows: int, tasks: int, slots: int, trees: int) -> list[int]:
+    """Trees of the forests that are fit side by side: as many forests of ``tasks`` tasks as fill the slots."""
+    forests = 1 if rows <= ONE_FOREST_ROWS else max(1, min(-(-slots // tasks), trees // LEAST_TREES))
+    return [trees // forests + (i < trees % forests) for i in range(forests)]
+
+
 def train_forest(
     rows: DataFrame,
     features: Sequence[str] = FEATURES,
@@ -52,30 +62,47 @@ def train_forest(
     # The fit passes over its input several times; windows are dearer than their stored features.
     kept = rows.select(*features, label).persist()
     tasks = fit_tasks(kept)
+    shares = tree_shares(kept.count(), tasks, rows.sparkSession.sparkContext.defaultParallelism, trees)
     balanced = with_class_weights(kept, label).withColumn("label_id", label_id(label))
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    forest = RandomForestClassifier(
-        featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=trees, maxDepth=depth,
-        minInstancesPerNode=min_leaf, seed=seed, cacheNodeIds=True,
-    )
+    assembled = assembler.transform(balanced.select(*features, "label_id", "weight").coalesce(tasks))
+    names = [{}] if len(shares) == 1 else [{"rawPredictionCol": f"raw{i}", "probabilityCol": "", "predictionCol": ""} for i in range(len(shares))]
+
+    def fit(i: int):
+        forest = RandomForestClassifier(
+            featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=shares[i], maxDepth=depth,
+            minInstancesPerNode=min_leaf, seed=seed + i, cacheNodeIds=True, **names[i],
+        )
+        return forest.fit(assembled)
+
+    # Trees do not know of each other. Fits of few tasks side by side send fewer statistics than one whose tasks fill all slots.
     try:
-        return Pipeline(stages=[assembler, forest]).fit(balanced.select(*features, "label_id", "weight").coalesce(tasks))
+        with ThreadPoolExecutor(len(shares)) as pool:
+            return PipelineModel([assembler, *pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(len(shares)))])
     finally:
         kept.unpersist()
 
 
 def score(rows: DataFrame, model: PipelineModel) -> DataFrame:
-    """Rows with risk, confidence, class and action."""
-    scored = model.transform(rows).withColumn("__p", vector_to_array("probability"))
-    classes = model.stages[-1].numClasses
+    """Rows with risk, confidence, class and action. All trees of all forests of the model vote alike."""
+    scored, forests = model.transform(rows), model.stages[1:]
+    classes = forests[0].numClasses
+    if len(forests) == 1:
+        scored = scored.withColumn("__p", vector_to_array("probability"))
+    else:
+        votes = [vector_to_array(forest.getRawPredictionCol()) for forest in forests]
+        summed = [sum((F.get(v, i) for v in votes), F.lit(0.0)) for i in range(classes)]
+        scored = scored.withColumn("__p", F.transform(F.array(*summed), lambda x: x / sum(forest.getNumTrees for forest in forests)))
     p = {name: F.get("__p", i) for i, name in enumerate(S.LABELS) if i < classes}
     out = scored.withColumns(S.prediction_payload(p))
-    return out.drop("__p", "features", "rawPrediction", "probability", "prediction")
+    return out.drop("__p", "features", "probability", "prediction", *[forest.getRawPredictionCol() for forest in forests])
 
 
 def importances(model: PipelineModel, spark: SparkSession, features: Sequence[str] = FEATURES, top: int = 12) -> DataFrame:
-    """The most important features; the model has one number per feature."""
-    values = model.stages[-1].featureImportances.toArray().tolist()
+    """The most important features; the model has one number per feature, the mean over its trees."""
+    forests = model.stages[1:]
+    trees = sum(forest.getNumTrees for forest in forests)
+    values = sum(forest.featureImportances.toArray() * (forest.getNumTrees / trees) for forest in forests).tolist()
     frame = spark.createDataFrame(list(zip(features, values)), "feature string, importance double")
     return frame.orderBy(F.col("importance").desc(), "feature").limit(top)
 

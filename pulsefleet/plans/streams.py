@@ -18,7 +18,7 @@ from pulsefleet.plans.quality import CUT, FRAMES, HOUR
 from pulsefleet.plans.registry import ORACLES, query, report
 from pulsefleet.plans.sequential import _VALUES
 from pulsefleet.plans.views import as_telemetry, table, telemetry, with_telemetry
-from pulsefleet.session import shared_folder
+from pulsefleet.session import checkpointed, shared_folder
 from pulsefleet.sources.files import window_values
 from pulsefleet.sources.sinks import read_keyed
 from pulsefleet.streaming import event_order as E
@@ -51,7 +51,7 @@ def _trained(spark, folder) -> tuple[str, dict[str, float]]:
         baseline = _fleet_baseline(spark, folder)
         rows = _rows(spark, folder, baseline)
         model = M.train_forest(rows.where("role = 'train'"))
-        scored = M.score(rows.where("role = 'validation'"), model)
+        scored = _kept_scores(rows.where("role = 'validation'"), model)
         report = V.multiclass_report(V.confusion_matrix(scored, "label", "predicted_class"))
         ready = V.readiness(report.select("class", F.col("support").alias("rows")), report.select("class", "recall")).first()
         path = shared_folder(spark)
@@ -61,11 +61,16 @@ def _trained(spark, folder) -> tuple[str, dict[str, float]]:
     return _MODELS[key]
 
 
+def _kept_scores(rows, model):
+    """Scores of labelled rows, written once: a plan that scores sends the whole forest with every stage."""
+    return checkpointed(M.score(rows, model).select("device_id", "seq", "label", "predicted_class", "risk"))
+
+
 def _scored(spark, folder):
     """Rows of the locked test devices, scored by the stored model."""
     path, _ = _trained(spark, folder)
     model, meta = M.load_model(path, spark)
-    return M.score(_rows(spark, folder, meta["baseline"]).where("role = 'locked_test'"), model)
+    return _kept_scores(_rows(spark, folder, meta["baseline"]).where("role = 'locked_test'"), model)
 
 
 _ROLE_CTES = (

@@ -1,8 +1,11 @@
 """The values of the trained forest's reports, which no SQL can say, against its scored rows."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from pulsefleet.functions.scoring import LABELS
 from pulsefleet.operators import training
 from pulsefleet.operators.windows import FEATURES
 from pulsefleet.plans import streams
@@ -51,6 +54,30 @@ def test_a_fit_has_no_more_tasks_than_run_at_once(spark, monkeypatch):
     assert training.fit_tasks(spark.range(10_000)) == spark.sparkContext.defaultParallelism
 
 
+def test_forests_side_by_side_vote_like_one(spark, tmp_path, monkeypatch):
+    assert training.tree_shares(20_000, 1, 12, 420) == [420]
+    assert training.tree_shares(300_000, 2, 12, 420) == [70] * 6 and training.tree_shares(9_000_000, 12, 12, 420) == [420]
+    monkeypatch.setattr(training, "ONE_FOREST_ROWS", 10)
+    monkeypatch.setattr(training, "LEAST_TREES", 2)
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("id") % 4 + 1).cast("int"))
+    values = [((F.col("id") % 4) * 10 + F.rand(i)).alias(name) for i, name in enumerate(FEATURES)]
+    rows = spark.range(400).select("id", *values, label.alias("label"))
+    model = training.train_forest(rows, trees=7, depth=3)
+    assert [f.getNumTrees for f in model.stages[1:]] == [3, 2, 2]
+    training.save_model(model, str(tmp_path), spark, {})
+    model, _ = training.load_model(str(tmp_path), spark)
+    scored = training.score(rows, model).orderBy("id").toPandas()
+    votes = [np.stack(model.transform(rows).orderBy("id").toPandas()[f"raw{i}"].map(lambda v: v.toArray())) for i in range(3)]
+    assert [len(v) for v in votes] == [400] * 3 and np.allclose(sum(votes).sum(axis=1), 7)
+    assert [LABELS[i] for i in sum(votes).argmax(axis=1)] == scored.predicted_class.tolist() == scored.label.tolist()
+    assert training.importances(model, spark, top=99).toPandas().importance.sum() == pytest.approx(1.0)
+
+
+def test_reports_read_stored_scores(spark, data):
+    # A plan that scores sends the forest with every stage.
+    assert "UDF" not in streams._scored(spark, data)._jdf.queryExecution().toString()
+
+
 def test_late_rows_keep_state_over_one_column(spark, data, monkeypatch):
     seen, fold = [], streams.K.stateful_fold
     monkeypatch.setattr(streams.K, "stateful_fold", lambda stream, *rest: (seen.append(stream.columns), fold(stream, *rest))[1])
