@@ -25,6 +25,8 @@ TREES, DEPTH, MIN_LEAF, SEED = 420, 12, 2, 42
 TASK_ROWS = 200_000
 #: Rows up to which all trees are one forest, and the least trees of one of several.
 ONE_FOREST_ROWS, LEAST_TREES = 20_000, 20
+#: Most trees that are fit at once over more rows: all open nodes of a level then fit one pass, and a pass keeps the places of these trees only.
+MOST_TREES = 40
 
 
 def label_id(label) -> F.Column:
@@ -50,6 +52,14 @@ def tree_shares(rows: int, tasks: int, slots: int, trees: int) -> list[int]:
     return [trees // forests + (i < trees % forests) for i in range(forests)]
 
 
+def split_shares(rows: int, shares: Sequence[int]) -> list[int]:
+    """The shares cut into forests of at most ``MOST_TREES``, so that many trees over many rows are fit in turns."""
+    if rows <= ONE_FOREST_ROWS:
+        return list(shares)
+    turns = -(-max(shares) // MOST_TREES)
+    return [share // turns + (i < share % turns) for i in range(turns) for share in shares]
+
+
 def train_forest(
     rows: DataFrame,
     features: Sequence[str] = FEATURES,
@@ -59,18 +69,18 @@ def train_forest(
     min_leaf: int = MIN_LEAF,
     seed: int = SEED,
 ) -> PipelineModel:
-    # The fit passes over its input several times; windows are dearer than their stored features.
-    kept = rows.select(*features, label).persist()
-    tasks = fit_tasks(kept)
-    shares = tree_shares(kept.count(), tasks, rows.sparkSession.sparkContext.defaultParallelism, trees)
-    balanced = with_class_weights(kept, label).withColumn("label_id", label_id(label))
+    # Each fit passes over its input several times; windows are dearer than their stored features, and these than one vector.
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    assembled = assembler.transform(balanced.select(*features, "label_id", "weight").coalesce(tasks))
-    names = [{}] if len(shares) == 1 else [{"rawPredictionCol": f"raw{i}", "probabilityCol": "", "predictionCol": ""} for i in range(len(shares))]
+    kept = assembler.transform(rows.select(*features, label)).select("features", label).persist()
+    tasks, n = fit_tasks(kept), kept.count()
+    shares = tree_shares(n, tasks, rows.sparkSession.sparkContext.defaultParallelism, trees)
+    forests = split_shares(n, shares)
+    assembled = with_class_weights(kept, label).select("features", label_id(label).alias("label_id"), "weight").coalesce(tasks)
+    names = [{}] if len(forests) == 1 else [{"rawPredictionCol": f"raw{i}", "probabilityCol": "", "predictionCol": ""} for i in range(len(forests))]
 
     def fit(i: int):
         forest = RandomForestClassifier(
-            featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=shares[i], maxDepth=depth,
+            featuresCol="features", labelCol="label_id", weightCol="weight", numTrees=forests[i], maxDepth=depth,
             minInstancesPerNode=min_leaf, seed=seed + i, cacheNodeIds=True, **names[i],
         )
         return forest.fit(assembled)
@@ -78,7 +88,7 @@ def train_forest(
     # Trees do not know of each other. Fits of few tasks side by side send fewer statistics than one whose tasks fill all slots.
     try:
         with ThreadPoolExecutor(len(shares)) as pool:
-            return PipelineModel([assembler, *pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(len(shares)))])
+            return PipelineModel([assembler, *pool.map(inheritable_thread_target(rows.sparkSession)(fit), range(len(forests)))])
     finally:
         kept.unpersist()
 

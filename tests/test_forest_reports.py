@@ -83,3 +83,19 @@ def test_late_rows_keep_state_over_one_column(spark, data, monkeypatch):
     monkeypatch.setattr(streams.K, "stateful_fold", lambda stream, *rest: (seen.append(stream.columns), fold(stream, *rest))[1])
     assert rows(spark, data, "k3_late_rows")["rows"].sum() == spark.read.parquet(f"{data}/events.parquet").count()
     assert seen == [["device_id", "t", "seq", "cpu"]]
+
+
+def test_many_trees_are_fit_in_turns(spark, monkeypatch):
+    assert training.split_shares(20_000, [420]) == [420]
+    assert training.split_shares(300_000, [105] * 4) == [35] * 12 and training.split_shares(9_000_000, [420]) == [39] * 2 + [38] * 9
+    monkeypatch.setattr(training, "ONE_FOREST_ROWS", 10)
+    monkeypatch.setattr(training, "LEAST_TREES", 2)
+    monkeypatch.setattr(training, "MOST_TREES", 2)
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("id") % 4 + 1).cast("int"))
+    values = [((F.col("id") % 4) * 10 + F.rand(i)).alias(name) for i, name in enumerate(FEATURES)]
+    rows = spark.range(400).select("id", *values, label.alias("label"))
+    model = training.train_forest(rows, trees=7, depth=3)
+    trees = [f.getNumTrees for f in model.stages[1:]]
+    assert sum(trees) == 7 and max(trees) == 2
+    scored = training.score(rows, model).toPandas()
+    assert scored.predicted_class.tolist() == scored.label.tolist()
