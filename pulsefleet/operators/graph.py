@@ -29,8 +29,8 @@ def descendants(
     links = edges.select(*keys, F.col(parent).alias("__from"), F.col(child).alias("node")).where(
         F.col("__from") != F.col("node")
     )
-    # Written once, hashed by the join keys: the rounds neither rebuild nor reshuffle the edges.
-    links = checkpointed(links.distinct().repartition(*keys, "__from"))
+    # Written once, hashed by the join keys; equal edges meet there, so that they are told apart without another shuffle.
+    links = checkpointed(links.repartition(*keys, "__from").distinct())
     frontier = checkpointed(roots.select(*keys, "node").distinct().withColumn("depth", F.lit(0)))
     seen, level = frontier, 0
     while not frontier.isEmpty():
@@ -126,41 +126,33 @@ def criticality(processes: DataFrame, family: DataFrame, tick: Sequence[str]) ->
     rows = processes.join(inside, [*tick, "pid"], "left").withColumn("__in", F.coalesce("__in", F.lit(False)))
     phase, front = F.col("workload_phase"), F.col("pid") == F.col("foreground_pid")
     io = F.col("io_read_kbps") + F.col("io_write_kbps")
-    reason = lambda condition, score, text: F.when(
-        condition, F.struct(F.lit(float(score)).alias("score"), F.lit(text).alias("reason"))
+    rules = (
+        (front, 100.0, "active foreground process"),
+        (F.col("__in") & ~front, 92.0, "foreground process-family dependency"),
+        (F.col("matches_user_intent"), 95.0, "matches current user intent"),
+        (F.col("is_recently_active"), 82.0, "recently active application"),
+        (F.col("has_visible_window"), 72.0, "visible user-facing window"),
+        (F.col("is_system_critical") | (F.col("safety") == "PROTECTED"), 100.0, "deterministic protected target"),
+        (
+            is_audio_video(F.col("name")) & phase.isin("VIDEO_MEETING", "PASSIVE_PLAYBACK", "GAMING"),
+            96.0,
+            "audio/video deadline dependency",
+        ),
+        (is_compiler(F.col("name")) & (phase == "COMPILATION"), 88.0, "active compilation throughput dependency"),
+        ((io > 1024.0) & phase.isin("APP_LAUNCHING", "LARGE_FILE_TRANSFER"), 75.0, "current workload I/O dependency"),
     )
-    found = F.array_compact(
-        F.array(
-            reason(front, 100, "active foreground process"),
-            reason(F.col("__in") & ~front, 92, "foreground process-family dependency"),
-            reason(F.col("matches_user_intent"), 95, "matches current user intent"),
-            reason(F.col("is_recently_active"), 82, "recently active application"),
-            reason(F.col("has_visible_window"), 72, "visible user-facing window"),
-            reason(
-                F.col("is_system_critical") | (F.col("safety") == "PROTECTED"), 100, "deterministic protected target"
-            ),
-            reason(
-                is_audio_video(F.col("name")) & phase.isin("VIDEO_MEETING", "PASSIVE_PLAYBACK", "GAMING"),
-                96,
-                "audio/video deadline dependency",
-            ),
-            reason(is_compiler(F.col("name")) & (phase == "COMPILATION"), 88, "active compilation throughput dependency"),
-            reason(
-                (io > 1024.0) & phase.isin("APP_LAUNCHING", "LARGE_FILE_TRANSFER"), 75, "current workload I/O dependency"
-            ),
-        )
-    )
-    nothing = F.array(F.struct(F.lit(10.0).alias("score"), F.lit("no observed foreground dependency").alias("reason")))
-    rows = rows.withColumn("__r", F.when(F.size(found) > 0, found).otherwise(nothing))
-    score = F.array_max(F.transform("__r", lambda e: e["score"]))
+    # A number per rule, no array of reasons: only plans that read the reasons build it.
+    score = F.greatest(*[F.when(condition, points).otherwise(10.0) for condition, points, _ in rules])
+    found = F.array_compact(F.array(*[F.when(condition, text) for condition, _, text in rules]))
+    rows = rows.withColumns({"criticality": score, "__found": found})
+    reasons = F.when(F.size("__found") > 0, F.col("__found")).otherwise(F.array(F.lit("no observed foreground dependency")))
     return rows.withColumns(
         {
-            "criticality": score,
-            "criticality_reasons": F.transform("__r", lambda e: e["reason"]),
+            "criticality_reasons": reasons,
             "on_foreground_path": F.col("__in") | F.col("matches_user_intent"),
-            "protected_from_intervention": (score >= 70.0) | F.col("is_system_critical"),
+            "protected_from_intervention": (F.col("criticality") >= 70.0) | F.col("is_system_critical"),
         }
-    ).drop("__r", "__in")
+    ).drop("__found", "__in")
 
 
 def workload_protection(name: Column, phase: Column, is_foreground: Column, matches_intent: Column) -> Column:

@@ -244,7 +244,7 @@ _FAMILIES: dict[tuple[str, str], DataFrame] = {}
 def family(spark, folder):
     key = (spark.sparkContext.applicationId, folder)
     if key not in _FAMILIES:
-        edges = processes(spark, folder).select(*TICK, "parent_pid", "pid").distinct()
+        edges = processes(spark, folder).select(*TICK, "parent_pid", "pid")
         _FAMILIES[key] = N.foreground_family(edges, intents(spark, folder), TICK)
     return _FAMILIES[key]
 

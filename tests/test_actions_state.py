@@ -9,6 +9,7 @@ from pulsefleet.operators import process as P
 from pulsefleet.operators import sequential as Q
 from pulsefleet.operators import windows as W
 from pulsefleet.operators.ordered import Ordered
+from pulsefleet.plans import decisions
 
 SNAP = "t_ms long, cpu double, available_mb double, page_faults double, working_set_mb double, foreground_alive boolean, foreground_hung boolean, measured boolean"
 
@@ -251,3 +252,26 @@ def test_segments_cover_every_row_once(spark, small_segments, shape):
     hot = out.where("k = 'hot'").orderBy("place").collect()
     assert [r["place"] for r in hot] == list(range(1, 1091))
     assert hot[-1]["total"] == sum(v for k, _, v in rows if k == "hot")
+
+
+def test_scores_of_processes_build_no_array_of_reasons(spark, data):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    rows = decisions.nodes(spark, data)
+    assert "array" in plan(rows.select("criticality_reasons")) and "dependency" not in plan(rows.select("criticality", "protected_from_intervention"))
+    points = {"active foreground process": 100, "foreground process-family dependency": 92, "matches current user intent": 95,
+              "recently active application": 82, "visible user-facing window": 72, "deterministic protected target": 100,
+              "audio/video deadline dependency": 96, "active compilation throughput dependency": 88, "current workload I/O dependency": 75,
+              "no observed foreground dependency": 10}
+    got = rows.select("criticality", "criticality_reasons").distinct().collect()
+    assert len(got) > 10 and all(row.criticality == max(points[x] for x in row.criticality_reasons) for row in got)
+
+
+def test_equal_edges_meet_in_one_shuffle(spark):
+    edges = spark.createDataFrame([(1, 0, 1), (1, 1, 2), (1, 1, 2), (1, 2, 3), (2, 5, 6), (2, 6, 6)], "k int, parent_pid int, pid int")
+    roots = spark.createDataFrame([(1, 1), (1, 1), (2, 5)], "k int, node int")
+    seen, checkpointed = [], N.checkpointed
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(N, "checkpointed", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), checkpointed(df))[1])
+        found = N.descendants(edges, roots, ["k"]).collect()
+    assert sorted((r.k, r.node, r.depth) for r in found) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 5, 0), (2, 6, 1)]
+    assert seen[0].count("Exchange") == 1
