@@ -8,7 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +21,14 @@ from pulsefleet.operators.windows import FEATURES
 CONTRACT = "ai_reliability_v2"
 TREES, DEPTH, MIN_LEAF, SEED = 420, 12, 2, 42
 
-#: Rows of a task of the fit, at least.
-TASK_ROWS = 200_000
+#: Rows of a task of the fit, at least. All statistics of a pass are sent once per task, while forests of few tasks fill the slots side by side.
+TASK_ROWS = 500_000
 #: Rows up to which all trees are one forest, and the least trees of one of several.
 ONE_FOREST_ROWS, LEAST_TREES = 20_000, 20
 #: Most trees that are fit at once over more rows: all open nodes of a level then fit one pass, and a pass keeps the places of these trees only.
 MOST_TREES = 40
+#: Stages of a model that are saved or loaded at once.
+FILES_AT_ONCE = 4
 
 
 def label_id(label) -> F.Column:
@@ -117,16 +119,24 @@ def importances(model: PipelineModel, spark: SparkSession, features: Sequence[st
     return frame.orderBy(F.col("importance").desc(), "feature").limit(top)
 
 
+def _stages(spark: SparkSession, path: str, of, stages: Sequence) -> list:
+    """``of(stage, folder)`` for each stage; a forest's trees are one job of few tasks, so several go side by side."""
+    folders = [f"{path}/model/{i}" for i in range(len(stages))]
+    with ThreadPoolExecutor(FILES_AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(of), stages, folders))
+
+
 def save_model(model: PipelineModel, path: str, spark: SparkSession, baseline: Mapping[str, float], extra: Mapping[str, object] | None = None) -> None:
     """The model and, beside it, the metadata that scoring reads (baseline, thresholds, readiness)."""
-    model.write().overwrite().save(f"{path}/model")
-    meta = {"contract": CONTRACT, "features": list(FEATURES), "labels": list(S.LABELS), "baseline": dict(baseline), **(extra or {})}
+    _stages(spark, path, lambda stage, folder: stage.write().overwrite().save(folder), model.stages)
+    meta = {"contract": CONTRACT, "features": list(FEATURES), "labels": list(S.LABELS), "baseline": dict(baseline), "stages": len(model.stages), **(extra or {})}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def load_model(path: str, spark: SparkSession) -> tuple[PipelineModel, dict]:
-    meta = spark.read.text(f"{path}/meta").first()
-    return PipelineModel.load(f"{path}/model"), json.loads(meta["value"]) if meta else {}
+    meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
+    kinds = [VectorAssembler, *[RandomForestClassificationModel] * (meta["stages"] - 1)]
+    return PipelineModel(_stages(spark, path, lambda kind, folder: kind.load(folder), kinds)), meta
 
 
 def model_version(path: str, spark: SparkSession) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsefleet.functions import scoring as S
@@ -29,10 +30,17 @@ from pulsefleet.streaming import stream as K
 _MODELS: dict[tuple[str, str], tuple[str, dict[str, float]]] = {}
 
 
+#: Labelled windows by session, table folder and baseline: fit, validation and test read one written table.
+_WINDOWS: dict[tuple, DataFrame] = {}
+
+
 def _rows(spark, folder, baseline):
-    """Labelled windows with the role of their device."""
-    rows = W.training_set(telemetry(spark, folder), KEY, ORDER, baseline=baseline)
-    return P.split_grouped_temporal(rows, "device_id", "t", "t")
+    """Labelled windows with the role of their device, written once."""
+    key = (spark.sparkContext.applicationId, folder, tuple(sorted(baseline.items())))
+    if key not in _WINDOWS:
+        rows = W.training_set(telemetry(spark, folder), KEY, ORDER, baseline=baseline)
+        _WINDOWS[key] = checkpointed(P.split_grouped_temporal(rows, "device_id", "t", "t"))
+    return _WINDOWS[key]
 
 
 def _fleet_baseline(spark, folder) -> dict[str, float]:

@@ -99,3 +99,30 @@ def test_many_trees_are_fit_in_turns(spark, monkeypatch):
     assert sum(trees) == 7 and max(trees) == 2
     scored = training.score(rows, model).toPandas()
     assert scored.predicted_class.tolist() == scored.label.tolist()
+
+
+def test_fit_and_scores_read_one_table_of_windows(spark, data, monkeypatch):
+    built, training_set = [], streams.W.training_set
+    monkeypatch.setattr(streams.W, "training_set", lambda *rest, **named: (built.append(1), training_set(*rest, **named))[1])
+    monkeypatch.setattr(streams, "_MODELS", {})
+    monkeypatch.setattr(streams, "_WINDOWS", {}, raising=False)
+    monkeypatch.setattr(training, "TREES", 4)
+    assert streams._scored(spark, data).count() > 0 and len(built) == 1
+
+
+def test_a_task_of_the_fit_is_not_small(spark):
+    assert training.fit_tasks(spark.range(304_572)) == 1 and training.fit_tasks(spark.range(3_045_720)) == 7
+
+
+def test_stages_of_a_stored_model_keep_their_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(training, "ONE_FOREST_ROWS", 10)
+    monkeypatch.setattr(training, "LEAST_TREES", 1)
+    label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), (F.col("id") % 4 + 1).cast("int"))
+    rows = spark.range(200).select("id", *[((F.col("id") % 4) * 10 + F.rand(i)).alias(name) for i, name in enumerate(FEATURES)], label.alias("label"))
+    model = training.train_forest(rows, trees=6, depth=2)
+    training.save_model(model, str(tmp_path), spark, {"cpu": 1.5})
+    again, meta = training.load_model(str(tmp_path), spark)
+    assert meta["baseline"] == {"cpu": 1.5} and [s.uid for s in again.stages] == [s.uid for s in model.stages]
+    assert len(again.stages) > 5 and (tmp_path / "model" / "1" / "metadata").exists()
+    first, second = (training.score(rows, m).orderBy("id").toPandas() for m in (model, again))
+    assert first.equals(second)
