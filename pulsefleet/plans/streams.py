@@ -30,17 +30,22 @@ from pulsefleet.streaming import stream as K
 _MODELS: dict[tuple[str, str], tuple[str, dict[str, float]]] = {}
 
 
-#: Labelled windows by session, table folder and baseline: fit, validation and test read one written table.
-_WINDOWS: dict[tuple, DataFrame] = {}
+#: Held-out windows by session, table folder and baseline: validation and test read one written table.
+_HELD_OUT: dict[tuple, DataFrame] = {}
 
 
 def _rows(spark, folder, baseline):
-    """Labelled windows with the role of their device, written once."""
+    """Labelled windows with the role of their device."""
+    rows = W.training_set(telemetry(spark, folder), KEY, ORDER, baseline=baseline)
+    return P.split_grouped_temporal(rows, "device_id", "t", "t")
+
+
+def _held_out(spark, folder, baseline, role):
+    """Labelled windows of the devices that validate or test, written once."""
     key = (spark.sparkContext.applicationId, folder, tuple(sorted(baseline.items())))
-    if key not in _WINDOWS:
-        rows = W.training_set(telemetry(spark, folder), KEY, ORDER, baseline=baseline)
-        _WINDOWS[key] = checkpointed(P.split_grouped_temporal(rows, "device_id", "t", "t"))
-    return _WINDOWS[key]
+    if key not in _HELD_OUT:
+        _HELD_OUT[key] = checkpointed(_rows(spark, folder, baseline).where("role IN ('validation', 'locked_test')"))
+    return _HELD_OUT[key].where(F.col("role") == role)
 
 
 def _fleet_baseline(spark, folder) -> dict[str, float]:
@@ -57,9 +62,8 @@ def _trained(spark, folder) -> tuple[str, dict[str, float]]:
     key = (spark.sparkContext.applicationId, folder)
     if key not in _MODELS:
         baseline = _fleet_baseline(spark, folder)
-        rows = _rows(spark, folder, baseline)
-        model = M.train_forest(rows.where("role = 'train'"))
-        scored = _kept_scores(rows.where("role = 'validation'"), model)
+        model = M.train_forest(_rows(spark, folder, baseline).where("role = 'train'"))
+        scored = _kept_scores(_held_out(spark, folder, baseline, "validation"), model)
         report = V.multiclass_report(V.confusion_matrix(scored, "label", "predicted_class"))
         ready = V.readiness(report.select("class", F.col("support").alias("rows")), report.select("class", "recall")).first()
         path = shared_folder(spark)
@@ -78,7 +82,7 @@ def _scored(spark, folder):
     """Rows of the locked test devices, scored by the stored model."""
     path, _ = _trained(spark, folder)
     model, meta = M.load_model(path, spark)
-    return _kept_scores(_rows(spark, folder, meta["baseline"]).where("role = 'locked_test'"), model)
+    return _kept_scores(_held_out(spark, folder, meta["baseline"], "locked_test"), model)
 
 
 _ROLE_CTES = (

@@ -101,13 +101,11 @@ def test_many_trees_are_fit_in_turns(spark, monkeypatch):
     assert scored.predicted_class.tolist() == scored.label.tolist()
 
 
-def test_fit_and_scores_read_one_table_of_windows(spark, data, monkeypatch):
-    built, training_set = [], streams.W.training_set
-    monkeypatch.setattr(streams.W, "training_set", lambda *rest, **named: (built.append(1), training_set(*rest, **named))[1])
-    monkeypatch.setattr(streams, "_MODELS", {})
-    monkeypatch.setattr(streams, "_WINDOWS", {}, raising=False)
-    monkeypatch.setattr(training, "TREES", 4)
-    assert streams._scored(spark, data).count() > 0 and len(built) == 1
+def test_validation_and_test_read_one_table_of_windows(spark, data, monkeypatch):
+    streams._trained(spark, data)
+    monkeypatch.setattr(streams.W, "training_set", lambda *rest, **named: pytest.fail("the windows are written"))
+    scored = streams._scored(spark, data)
+    assert scored.count() > 0 and scored.select("device_id", "seq").distinct().count() == scored.count()
 
 
 def test_a_task_of_the_fit_is_not_small(spark):
