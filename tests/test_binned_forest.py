@@ -4,9 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from pulsefleet.functions.scoring import LABELS
 from pulsefleet.operators import forest, training
 from pulsefleet.operators.windows import FEATURES
+from pulsefleet.plans import streams
+from tests import compare
 
 NAMES = ["a", "b", "c", "d", "e"]
 
@@ -118,3 +121,29 @@ def test_missing_features_are_an_error(spark, monkeypatch):
         row = spark.createDataFrame([(1.0, 2.0, value, 1.0, 1.0, 1.0)], ", ".join(f"{n} double" for n in [*NAMES, "few"]))
         with pytest.raises(Exception, match="a feature is"):
             row.select(model.probabilities(spark)).collect()
+
+
+def test_queries_of_the_binned_forest_equal_sql(spark, data, monkeypatch):
+    """j1, f7, j2 and the stream of j3 with the forest that many rows get."""
+    monkeypatch.setattr(training, "BINNED_ROWS", 100)
+    monkeypatch.setattr(streams, "_MODELS", {})
+    duck = compare.connect(data)
+    for name in ("j1_forest_report", "f7_feature_importances", "j2_saved_model_scores", "j3_stream_scores"):
+        got = compare.spark_rows(entry.queries()[name](spark, data))
+        assert compare.difference(got, compare.sql_rows(duck, entry.oracle_sql()[name])) is None
+    (path, _), = streams._MODELS.values()
+    assert isinstance(training.load_model(path, spark)[0], training.Forest)
+    scored = streams._scored(spark, data).toPandas()
+    rows = entry.queries()["j2_saved_model_classes"](spark, data).toPandas().set_index("predicted_class")
+    assert rows.n.to_dict() == scored.predicted_class.value_counts().to_dict()
+    assert rows.mean_risk.to_dict() == pytest.approx(scored.groupby("predicted_class").risk.mean().to_dict())
+
+
+def test_scoring_sends_no_trees_with_its_stages(spark, monkeypatch):
+    """The forest goes to the executors as a broadcast, once for all batches."""
+    rows = noisy(spark)
+    model, _ = fitted(rows, monkeypatch, trees=3)
+    assert rows.select(model.probabilities(spark).alias("p")).count() == 3000 and len(model.sent) == 1
+    first = next(iter(model.sent.values()))
+    got = rows.select("a", model.probabilities(spark).alias("p")).collect()
+    assert next(iter(model.sent.values())) is first and all(sum(r.p) == pytest.approx(1.0) for r in got)
