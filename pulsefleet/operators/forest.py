@@ -133,14 +133,45 @@ def binned(columns: Sequence[np.ndarray], cuts: Sequence[np.ndarray]) -> np.ndar
     return out
 
 
+def _bounds_of(values: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Upper bounds of the bins of a feature: all values of a feature with few, else quantiles."""
+    order = np.argsort(values, kind="stable")
+    reached = np.cumsum(weights[order])
+    values = values[order][np.searchsorted(reached, np.arange(QUANTILES) / QUANTILES * reached[-1])]
+    distinct = np.unique(values)
+    return distinct if len(distinct) < BINS else np.unique(values[QUANTILES // BINS :: QUANTILES // BINS])
+
+
 def cut_points(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
-    """Upper bounds of the bins of each feature: all values of a feature with few, else quantiles of all rows."""
-    found = rows.select(*[F.col(name).cast("double").alias(name) for name in features]).approxQuantile(list(features), [k / QUANTILES for k in range(QUANTILES)], 0.5 / QUANTILES)
-    out = []
-    for values in map(np.array, found):
-        distinct = np.unique(values)
-        out.append(distinct if len(distinct) < BINS else np.unique(values[QUANTILES // BINS :: QUANTILES // BINS]))
-    return out
+    """Upper bounds of the bins of each feature, from quantiles of all rows: lots are cut at their own quantiles, whose shares are added up."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[np.ndarray] = []
+
+        def lot() -> pa.RecordBatch:
+            values = np.concatenate(waiting, axis=1)
+            values.sort(axis=1)
+            n = values.shape[1]
+            picks = ((np.arange(min(n, QUANTILES)) + 0.5) * n / min(n, QUANTILES)).astype(np.int64)
+            cells = [range(len(values)), [n] * len(values), [x.tobytes() for x in values[:, picks]]]
+            return pa.RecordBatch.from_arrays([pa.array(v, kind) for v, kind in zip(cells, (pa.int32(), pa.int64(), pa.binary()))], names=["feature", "n", "picks"])
+
+        for batch in batches:
+            waiting.append(np.stack(_known(batch.columns)))
+            if sum(x.shape[1] for x in waiting) >= LOT_ROWS:
+                yield lot()
+                waiting.clear()
+        if sum(x.shape[1] for x in waiting):
+            yield lot()
+
+    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lots = [(n, np.frombuffer(x.as_buffer())) for batch in batches for n, x in zip(batch.column("n").to_pylist(), batch.column("picks"))]
+        bounds = _bounds_of(np.concatenate([x for _, x in lots]), np.concatenate([np.full(len(x), n / len(x)) for n, x in lots]))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([bounds.tobytes()], pa.binary())], names=["feature", "bounds"])
+
+    values = rows.select(*[F.col(name).cast("double").alias(name) for name in features])
+    found = values.mapInArrow(of, "feature int, n long, picks binary").groupBy("feature").applyInArrow(merged, "feature int, bounds binary").toArrow()
+    return [np.frombuffer(x) for x in found.sort_by("feature").column("bounds").to_pylist()]
 
 
 # -- what a task does --------------------------------------------------------------------------
@@ -334,23 +365,27 @@ class _Job:
                 continue
             counts = _counts(x, base[rows], drawn[rows], place, self.subsets(tree, level, open_), self.classes)
             for part in range(0, len(open_), PART_NODES):
-                cells = [pa.array([v], kind) for v, kind in ((tree, pa.int32()), (part, pa.int32()), (counts[part : part + PART_NODES].tobytes(), pa.binary()))]
+                own = counts[part : part + PART_NODES]
+                # In as few bytes as the greatest takes.
+                own = own.astype(next(kind for kind in _KINDS if own.max() <= np.iinfo(kind).max))
+                cells = [pa.array([v], kind) for v, kind in ((tree, pa.int32()), (part, pa.int32()), (own.tobytes(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(cells, names=["tree", "part", "counts"])
 
     def merged(self, key: tuple, batches: Iterator[pa.RecordBatch], level: int, sent: Broadcast) -> Iterator[pa.RecordBatch]:
         """The best splits of some nodes of a tree from the counts of all blocks."""
         tree, part = (x.as_py() for x in key)
-        total = None
+        subsets = self.subsets(tree, level, sent.value[tree][2])[part : part + PART_NODES]
+        total = np.zeros((*subsets.shape, BINS, self.classes), np.int32)
         for batch in batches:
             for cells in batch.column("counts"):
-                counts = np.frombuffer(cells.as_buffer(), np.int32)
-                total = counts.astype(np.int32) if total is None else total + counts
-        subsets = self.subsets(tree, level, sent.value[tree][2])[part : part + PART_NODES]
-        best = best_splits(total.reshape(*subsets.shape, BINS, self.classes), subsets, self.weights, self.min_leaf)
+                own = cells.as_buffer()
+                total += np.frombuffer(own, next(kind for kind in _KINDS if total.size * np.dtype(kind).itemsize == own.size)).reshape(total.shape)
+        best = best_splits(total, subsets, self.weights, self.min_leaf)
         cells = [pa.array([x.astype(kind).tobytes()], pa.binary()) for x, kind in zip(best, _BEST.values())]
         yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([part], pa.int32()), *cells], names=["tree", "part", *_BEST])
 
 
+_KINDS = (np.uint8, np.uint16, np.int32)
 _BEST = {"feature": np.int16, "test": np.uint8, "gain": np.float64, "left": np.int64, "right": np.int64}
 
 

@@ -115,6 +115,16 @@ def test_many_rows_are_stored_scored_and_ranked(spark, tmp_path, monkeypatch):
     assert len(ranked) == len(FEATURES) and ranked.importance.is_monotonic_decreasing and ranked.importance.sum() == pytest.approx(1.0)
 
 
+def test_cut_points_are_quantiles_of_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LOT_ROWS", 3000)
+    rows = spark.range(0, 40_000, 1, 3).select((F.col("id") * 7919 % 40_009).alias("spread"), (F.col("id") % 5).alias("few"), F.when(F.col("id") % 10 < 8, 0.0).otherwise(F.col("id")).alias("tied"))
+    spread, few, tied = forest.cut_points(rows, ["spread", "few", "tied"])
+    assert few.tolist() == [0, 1, 2, 3, 4] and len(spread) == forest.BINS - 1 and tied[0] == 0.0 and 6 <= len(tied) <= 8
+    whole = np.sort(np.arange(40_000) * 7919 % 40_009)
+    ranks = np.searchsorted(whole, spread) / 40_000
+    assert np.abs(ranks - np.arange(1, forest.BINS) / forest.BINS).max() < 2 / forest.QUANTILES
+
+
 def test_missing_features_are_an_error(spark, monkeypatch):
     model, _ = fitted(noisy(spark), monkeypatch, trees=2)
     for value in (None, float("nan")):
